@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .packing import op3_packing
+from .quality import op8_quality_gam
 from .secrets import op10_secrets
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_quality_gam": op8_quality_gam,
     "op10_secrets": op10_secrets,
 }
 

@@ -51,9 +51,10 @@ def _where(test: Column, found: Column) -> Column:
     return F.when(test, found).otherwise(F.array().cast(_NONE))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with `base`, sorted by start and then kind as listed, and `weak`, the candidate parts by start."""
-    text, low = F.col("text"), F.lower(F.col("text"))
+def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with `_qw_base`, sorted by start and then kind as listed, and `_qw_weak`, the candidate parts by start."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    low = F.lower(text)
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_SECRET
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     assign = _where(named, spans(text, ASSIGN, "assign", long_value))
@@ -62,7 +63,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     weak_access = _where(text.rlike("AKIA|ASIA|AIDA|AROA"), spans(text, WEAK_ACCESS, "weak_access"))
     weak_secret = _where(text.rlike("[A-Za-z0-9+/]{40}"), spans(text, WEAK_SECRET, "weak_secret"))
     endpoint = _where(text.contains("://") | low.contains("amazonaws") | low.contains("windows") | low.contains("googleapis"), spans(text, ENDPOINT, "endpoint"))
-    return docs.select("doc_id", _ordered(F.concat(assign, access, hexes)).alias("base"), F.concat(weak_access, weak_secret, endpoint).alias("weak"))
+    return docs.select("*", _ordered(F.concat(assign, access, hexes)).alias("_qw_base"), F.concat(weak_access, weak_secret, endpoint).alias("_qw_weak"))
 
 
 def _rank(kind: Column) -> Column:
@@ -103,19 +104,42 @@ def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return weak.join(near, ["row_key", "zone"]).where(complete).groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("linked"))
 
 
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """docs with `_qw_base` and `_qw_spans`, every row once and all columns kept.
+
+    Only rows with weak parts, a few, go through the link join; they are known by a hash of id and spans, so equal rows
+    share one link result."""
+    found = with_spans(docs, text_col)
+    weak = found.where(F.size("_qw_weak") > 0).withColumn("_qw_key", F.xxhash64(F.col(id_col), "_qw_base", "_qw_weak"))
+    new = F.filter("_qw_weak", lambda w: ~F.exists("_qw_base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
+    parts = weak.select(F.col("_qw_key").alias("row_key"), F.col("_qw_base").alias("base"), new.alias("weak")).dropDuplicates(["row_key"])
+    linked = link_parts(parts, scope).select(F.col("row_key").alias("_qw_key"), F.col("linked").alias("_qw_linked"))
+    all_spans = _ordered(F.concat("_qw_base", F.coalesce("_qw_linked", F.array().cast(_NONE))))
+    joined = weak.join(linked, "_qw_key", "left").select(*docs.columns, "_qw_base", all_spans.alias("_qw_spans"))
+    plain = found.where(F.size("_qw_weak") == 0).select(*docs.columns, "_qw_base", F.col("_qw_base").alias("_qw_spans"))
+    return plain.unionByName(joined)
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """(doc_id, base, spans) per input row: arrays of (start, end, kind) in code points, end exclusive, by start and then kind.
 
     base holds the assign, access and hex matches; spans adds the weak parts that complementary parts stand beside. Null and
-    empty texts have none; rows that repeat a doc_id are scanned each for itself when their texts differ; other columns are
-    ignored. Candidates are bounded by the text's own length."""
-    own = id_and_text(docs, id_col, text_col)
-    found = base_spans(own)
-    weak = found.where(F.size("weak") > 0).withColumn("row_key", F.xxhash64("doc_id", "base", "weak"))
-    linked = link_parts(weak.select("row_key", "base", "weak").dropDuplicates(["row_key"]))
-    joined = weak.join(linked, "row_key", "left").select("doc_id", "base", _ordered(F.concat("base", F.coalesce("linked", F.array().cast(_NONE)))).alias("spans"))
-    plain = found.where(F.size("weak") == 0).select("doc_id", "base", F.col("base").alias("spans"))
-    return plain.unionByName(joined)
+    empty texts have none; repeated rows are scanned each for itself; an empty table gives no rows; other columns are ignored.
+    Candidates are bounded by the text's own length."""
+    return annotate(id_and_text(docs, id_col, text_col), scope=scope).select("doc_id", F.col("_qw_base").alias("base"), F.col("_qw_spans").alias("spans"))
+
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """docs with every span of its text overwritten by asterisks of the same length; all columns and rows stay, null text stays null."""
+    text, first = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        stars = F.repeat(F.lit("*"), F.greatest(F.lit(0), x["end"] - F.greatest(acc["at"], x["start"])))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"])), stars).alias("out"))
+
+    folded = F.aggregate("_qw_spans", first, step)
+    masked = F.when(F.size("_qw_spans") == 0, text).otherwise(F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text))))
+    return annotate(docs, id_col, text_col, scope).withColumn(text_col, masked).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
