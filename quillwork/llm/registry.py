@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .licences import op5_licence_digests, oracle
 from .packing import op3_packing
+from .pii import op1_pii_feistel
 from .quality import op8_quality_gam
 from .secrets import op10_secrets
 from .simhash import op7_simhash
+from .warc import ORACLE_OP6, op6_warc
 
 QUERIES = {
+    "op1_pii_feistel": op1_pii_feistel,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_licence_digests": op5_licence_digests,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_quality_gam": op8_quality_gam,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_licence_digests": oracle(), "op6_warc": ORACLE_OP6}
