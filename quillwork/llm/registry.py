@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .gif import op9_gif_media
 from .licences import op5_licence_digests, oracle
 from .packing import op3_packing
 from .pii import op1_pii_feistel
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_quality_gam": op8_quality_gam,
+    "op9_gif_media": op9_gif_media,
     "op10_secrets": op10_secrets,
 }
 
