@@ -10,10 +10,12 @@ from .pii import op1_pii_feistel
 from .quality import op8_quality_gam
 from .secrets import op10_secrets
 from .simhash import op7_simhash
+from .substrings import op2_substring_dedup
 from .warc import ORACLE_OP6, op6_warc
 
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_licence_digests": op5_licence_digests,
