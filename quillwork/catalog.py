@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import reading
+from .operators import chapters, reading, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (reading,):
+for module in (chapters, reading, usage):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
