@@ -72,7 +72,7 @@ def stage_means(calls: DataFrame, last: int = 40) -> DataFrame:
 
 def time_breakdown(calls: DataFrame) -> DataFrame:
     """Per chapter: measured span, the calls' sum and the residue, never negative."""
-    out = calls.groupBy("chapter").agg((F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("total_ms"), F.sum("duration_ms").alias("calls_ms"), F.count(F.when(F.col("outcome") != "success", 1)).alias("failures"), F.countDistinct("model").alias("models"))
+    out = calls.groupBy("chapter").agg(F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).alias("total_ms"), F.sum("duration_ms").alias("calls_ms"), F.count(F.when(F.col("outcome") != "success", 1)).alias("failures"), F.countDistinct("model").alias("models"))
     return out.withColumn("rest_ms", F.greatest(F.lit(0).cast("long"), F.col("total_ms") - F.col("calls_ms")))
 
 
@@ -137,7 +137,7 @@ ORACLE = {
     "api_latest_state": f"SELECT * FROM {_STATE} y",
     "api_card_state": f"SELECT api_key, model, CASE WHEN outcome = 'quota' AND cooling_until > TIMESTAMP '2024-01-30 22:00:00' THEN 'cooling' WHEN outcome = 'quota' THEN 'retryable' WHEN outcome = 'success' THEN 'ready' WHEN outcome = 'error' THEN 'transient' ELSE 'refused' END AS card FROM {_STATE} y",
     "stage_mean_with_zero": f"WITH c AS (SELECT * FROM {_CALLS} x), r AS (SELECT chapter FROM (SELECT chapter, max((ts, id)) AS last_at FROM c GROUP BY chapter) q ORDER BY last_at DESC, chapter DESC LIMIT 40), o AS (SELECT chapter, stage, sum(duration_ms) AS ms FROM c WHERE chapter IN (SELECT chapter FROM r) GROUP BY ALL) SELECT stage, round(sum(ms) / (SELECT count(*) FROM r), 3) AS mean_ms, round(count(*) / (SELECT count(*) FROM r), 4) AS share FROM o GROUP BY stage",
-    "chapter_time_breakdown": f"SELECT *, greatest(CAST(0 AS BIGINT), total_ms - calls_ms) AS rest_ms FROM (SELECT chapter, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS total_ms, CAST(sum(duration_ms) AS BIGINT) AS calls_ms, count(*) FILTER (outcome <> 'success') AS failures, count(DISTINCT model) AS models FROM {_CALLS} x GROUP BY chapter) y",
+    "chapter_time_breakdown": f"SELECT *, greatest(CAST(0 AS BIGINT), total_ms - calls_ms) AS rest_ms FROM (SELECT chapter, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS total_ms, CAST(sum(duration_ms) AS BIGINT) AS calls_ms, count(*) FILTER (outcome <> 'success') AS failures, count(DISTINCT model) AS models FROM {_CALLS} x GROUP BY chapter) y",
     "failures_by_model_day": f"SELECT *, round(failures / calls, 6) AS rate FROM (SELECT day, model, count(*) AS calls, count(*) FILTER (outcome <> 'success') AS failures FROM {_CALLS} x GROUP BY ALL) y",
     "job_latest_priority": f"WITH j AS (SELECT id, book, coalesce(type, 'bulk') AS type, state, updated_at FROM {_JOBS} x), n AS (SELECT *, rank() OVER (PARTITION BY book, type ORDER BY updated_at DESC) AS r FROM j) SELECT book, type, state, updated_at, id FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY CASE state WHEN 'running' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, updated_at DESC, id) AS p FROM n WHERE r = 1) q WHERE p = 1",
     "retention_cap": f"SELECT id, ts, model, outcome FROM {_CALLS} x WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 20 DAY ORDER BY id DESC LIMIT 2000",
