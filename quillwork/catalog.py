@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import chapters, glossary, graph, ledger, quality, reading, usage
+from .operators import chapters, glossary, graph, ledger, matching, messages, quality, reading, selection, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (chapters, glossary, graph, ledger, quality, reading, usage):
+for module in (chapters, glossary, graph, ledger, matching, messages, quality, reading, selection, usage):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
