@@ -97,17 +97,21 @@ def stem_groups(counts: dict[str, int], least: int = 4) -> dict[str, int]:
 
 def drift(renderings: DataFrame, hits: int = 5, chapters: int = 3, share: float = 0.08, second: int = 3) -> DataFrame:
     """Names rendered in two ways: enough hits in enough chapters, and a runner-up form with its share. Forms are counted before
-    the shuffle; a group holds one row per distinct form."""
+    the shuffle; a name's row holds its distinct forms."""
     per = renderings.groupBy("book", "source", "form").agg(F.count("*").alias("n"), F.collect_set("chapter_no").alias("chs"))
+    names = per.groupBy("book", "source").agg(F.collect_list("form").alias("forms"), F.collect_list("n").alias("counts"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("chs")))).alias("chapters"))
+    wide = names.where((F.size("forms") > 1) & (F.col("n") >= hits) & (F.col("chapters") >= chapters)).select("book", "source", "forms", "counts", "n")
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        forms = sorted(stem_groups(dict(zip(rows.form, rows.n, strict=True))).items(), key=lambda x: (-x[1], x[0]))
-        total, seen = int(rows.n.sum()), len({c for x in rows.chs for c in x})
-        if len(forms) < 2 or total < hits or seen < chapters or forms[1][1] < max(second, share * total):
-            return pd.DataFrame(columns=["book", "source", "main", "runner_up", "n", "n_runner_up"])
-        return pd.DataFrame([{"book": rows.book.iloc[0], "source": rows.source.iloc[0], "main": forms[0][0], "runner_up": forms[1][0], "n": total, "n_runner_up": forms[1][1]}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for x in b.itertuples():
+                forms = sorted(stem_groups(dict(zip(x.forms, x.counts, strict=True))).items(), key=lambda f: (-f[1], f[0]))
+                if len(forms) > 1 and forms[1][1] >= max(second, share * x.n):
+                    rows.append((x.book, x.source, forms[0][0], forms[1][0], x.n, forms[1][1]))
+            yield pd.DataFrame(rows, columns=["book", "source", "main", "runner_up", "n", "n_runner_up"])
 
-    return per.groupBy("book", "source").applyInPandas(group, "book string, source string, main string, runner_up string, n long, n_runner_up long")
+    return wide.mapInPandas(run, "book string, source string, main string, runner_up string, n long, n_runner_up long")
 
 
 def memory_examples(pairs: DataFrame, k: int = 10, damp: float = 0.3, talk: float = 1.2) -> DataFrame:
