@@ -5,6 +5,8 @@ matches in turn, and their running lengths are the starts (code points, as `leng
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ ASSIGN = r"""(?<key>[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[s
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts: reported only beside the parts that complete them.
-WEAK_ACCESS = r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}"
+ID_PREFIXES = ("AKIA", "ASIA", "AIDA", "AROA")
+WEAK_ACCESS = rf"(?<![A-Z0-9])(?:{'|'.join(ID_PREFIXES)})[A-Z0-9]{{8,}}"
 WEAK_SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"(?i)\b(?:https?://[a-z0-9.-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|windows|googleapis)\.(?:com|net))"
 #: Parts of one credential stand within so many code points.
@@ -60,10 +63,10 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     assign = _where(named, spans(text, ASSIGN, "assign", long_value))
     access = _where(text.contains("AKIA"), spans(text, ACCESS, "access"))
     hexes = _where(text.rlike(HEX), spans(text, HEX, "hex"))
-    weak_access = _where(text.rlike("AKIA|ASIA|AIDA|AROA"), spans(text, WEAK_ACCESS, "weak_access"))
-    weak_secret = _where(text.rlike("[A-Za-z0-9+/]{40}"), spans(text, WEAK_SECRET, "weak_secret"))
-    endpoint = _where(text.contains("://") | low.contains("amazonaws") | low.contains("windows") | low.contains("googleapis"), spans(text, ENDPOINT, "endpoint"))
-    return docs.select("*", _ordered(F.concat(assign, access, hexes)).alias("_qw_base"), F.concat(weak_access, weak_secret, endpoint).alias("_qw_weak"))
+    # every link has an access id at one end, so texts without a prefix of one have no weak part to report
+    has_id = reduce(lambda a, b: a | b, [text.contains(p) for p in ID_PREFIXES])
+    weak = F.concat(spans(text, WEAK_ACCESS, "weak_access"), spans(text, WEAK_SECRET, "weak_secret"), spans(text, ENDPOINT, "endpoint"))
+    return docs.select("*", _ordered(F.concat(assign, access, hexes)).alias("_qw_base"), _where(has_id, weak).alias("_qw_weak"))
 
 
 def _rank(kind: Column) -> Column:
