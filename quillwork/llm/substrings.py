@@ -8,9 +8,12 @@ of 64-bit mixes instead of ranks, so that naming needs no global sort and equal
    once are settled as unique, and equal units are counted, not compared: copies shrink to one row before any shuffle.
 2. Difference cover. Where different units share a least name, suffixes are sampled at positions whose residues form a
    difference cover modulo V: two equal windows have, at some common distance below V, sampled suffixes that agree on the
-   next LENGTH - V + 1 bytes. Sampled suffixes are named to that depth and grouped; those met once are dropped.
-3. The remaining suffixes, those with a repeated sample within V - 1 bytes, are merged in by their own 400-byte prefixes, and
-   neighbours with equal prefixes are repeats."""
+   next LENGTH - V + 1 bytes. Sampled suffixes are named to that depth and sorted; those met once are dropped.
+3. The remaining suffixes, those with a repeated sample within V - 1 bytes, are merged in, sorted by the names of their
+   LENGTH-byte prefixes, and neighbours with equal names are repeats.
+
+Steps 2 and 3 run where the units of one least name have been brought together, many least names to a task; a least name with
+more than LOCAL_KINDS different units has its suffixes dealt out by name over the cluster instead, by the same two steps."""
 
 from __future__ import annotations
 
@@ -24,13 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stage, table, utf8
+from .common import bucket_count, id_and_text, stage, table, unstage, utf8
 
 LENGTH = 400
 GRAM = 81
 #: Rows and bytes that a broadcast may hold; joins beyond either shuffle.
-BROADCAST_ROWS = 500_000
-BROADCAST_RUNS = 2_000_000
+BROADCAST_ROWS = 1_000_000
+BROADCAST_RUNS = 4_000_000
+#: Different units of one least name (some 650 bytes each) that one task compares.
+LOCAL_KINDS = 8192
+#: Bytes of units whose suffixes a task sorts at a time.
+SORTED_BYTES = 1 << 21
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -121,23 +128,86 @@ def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(text_key, unit, first, size, copies) -> (unit, copies, slice): the bytes of all the unit's windows."""
-    keys = wanted.groupBy("text_key").agg(F.collect_list(F.struct("unit", "copies", "first", "size")).alias("wanted"))
+    """wanted(text_key, least, unit, first, size, copies) -> (least, unit, copies, slice): the bytes of all the unit's windows,
+    once for each row of the text."""
+    keys = wanted.groupBy("text_key").agg(F.collect_list(F.struct("least", "unit", "copies", "first", "size")).alias("wanted"))
     keys = stage(keys, "substring-wanted")
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["text_key", "text"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w["unit"], w["copies"], text[w["first"] : w["first"] + w["size"] + LENGTH - 1]) for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in want]
+            rows = [(w["least"], w["unit"], w["copies"], text[w["first"] : w["first"] + w["size"] + LENGTH - 1]) for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in want]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["unit", "copies", "slice"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["least", "unit", "copies", "slice"])
+
+    keyed = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_keyed, "doc_id long, text_key binary, text binary")
+    return keyed.join(_sized(keys, F.size("wanted")), "text_key").select("text", "wanted").mapInArrow(cut, "least long, unit binary, copies long, slice binary")
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = utf8(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "text_key", "text"])
+
+
+def local_runs(units_: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, list[dict[str, int]]]]:
+    """(unit, copies, bytes) of whole groups -> the runs [a, b) of repeated windows of each unit that occurs once itself."""
+    sizes = np.array([len(x[2]) for x in units_], np.int64)
+    copies = np.array([x[1] for x in units_], np.int64)
+    data = np.frombuffer(b"".join(x[2] for x in units_), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(units_)), sizes)
+    place = np.arange(len(data)) - starts[owner]
+    room = sizes[owner] - place
+
+    def met(at: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The places whose name occurs elsewhere: neighbours in sorted order, or copies of the unit."""
+        order = np.argsort(name, kind="stable")
+        ranked = name[order]
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = ranked[1:] == ranked[:-1]
+        return np.sort(at[order[same[1:] | same[:-1] | (copies[owner[at[order]]] > 1)]])
+
+    sampled = np.flatnonzero(np.isin(place % V, RESIDUES) & (room >= DEPTH))
+    repeated = met(sampled, names_to(data, DEPTH)[sampled])
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, np.maximum(repeated - V + 1, starts[owner[repeated]]), 1)
+    np.add.at(change, repeated + 1, -1)
+    remaining = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (room >= LENGTH))
+    if not len(remaining):
+        return []
+    found = met(remaining, names_to(data, LENGTH)[remaining])
+    found = found[copies[owner[found]] == 1]
+    cuts = np.flatnonzero((np.diff(found) > 1) | (np.diff(owner[found]) > 0)) + 1
+    out: dict[int, list[dict[str, int]]] = {}
+    for run in np.split(found, cuts) if len(found) else ():
+        out.setdefault(int(owner[run[0]]), []).append({"a": int(place[run[0]]), "b": int(place[run[-1]]) + 1})
+    return [(units_[k][0], runs) for k, runs in out.items()]
+
+
+_RUNS = "unit binary, runs array<struct<a:int,b:int>>"
+_RUNS_ARROW = [pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by least name and unit; groups are never cut, repeated rows of a unit are one."""
+    held: list[tuple[bytes, int, bytes]] = []
+    size, last = 0, None
+
+    def emit() -> pa.RecordBatch:
+        found = local_runs(held)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(_RUNS_ARROW)], ["unit", "runs"])
 
-    keyed = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(key, "text_key binary, text binary")
-    return keyed.join(_sized(keys, F.size("wanted")), "text_key").select("text", "wanted").mapInArrow(cut, "unit binary, copies long, slice binary").dropDuplicates(["unit"])
+    for b in batches:
+        for least, unit, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if least != last and size > SORTED_BYTES:
+                yield emit()
+                held, size = [], 0
+            if least != last or unit != held[-1][0]:
+                held.append((unit, copies, text))
+                size += len(text)
+            last = least
+    if held:
+        yield emit()
 
 
 def _sized(df: DataFrame, weight) -> DataFrame:
@@ -186,8 +256,8 @@ def _repeated(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(met, name, "left_semi")
 
 
-def repeated_windows(slices: DataFrame) -> DataFrame:
-    """slices(unit, copies, slice) -> (unit, runs array<struct<a int, b int>>): the windows [a, b) of each unit that occur again."""
+def dealt_runs(slices: DataFrame) -> DataFrame:
+    """The two steps with suffixes dealt out by name: slices(unit, copies, slice) -> (unit, runs array<struct<a int, b int>>): the windows [a, b) of each unit that occur again."""
     samples = _repeated(slices.mapInArrow(_sampled, "unit binary, at int, name long, copies long"), "name")
     marks = samples.groupBy("unit").agg(F.collect_list("at").alias("marks"))
     rest = slices.join(marks, "unit").select("unit", "copies", "slice", "marks").mapInArrow(_remaining, "unit binary, at int, prefix binary, copies long")
@@ -204,55 +274,64 @@ def repeated_windows(slices: DataFrame) -> DataFrame:
     return _repeated(stage(rest, "substring-suffixes"), "prefix").groupBy("unit").agg(F.collect_list("at").alias("at")).mapInArrow(runs, "unit binary, runs array<struct<a:int,b:int>>")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (text_key, spans): for each text with repeats, the window runs [start, end) of its units."""
+def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS) -> DataFrame:
+    """docs(doc_id, text) -> (text_key, starts, ends): for each text with repeats, its maximal removed runs."""
+    spark = docs.sparkSession
     found = stage(docs.select("doc_id", "text").mapInArrow(_find_units, _UNITS), "substring-units")
-    kinds = found.groupBy("least", "unit").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("text_key", "first", "size")).alias("at"))
-    kinds = stage(kinds, "substring-kinds")
-    met = kinds.groupBy("least").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds"))
-    hot = kinds.join(met.where("`all` > 1").select("least", "kinds"), "least", "left").where("kinds is not null or again")
-    mixed = (F.coalesce("kinds", F.lit(1)) > 1) | F.col("again")
-    open_units = hot.where(mixed).select("unit", "copies", "at.text_key", "at.first", "at.size")
-    partial = repeated_windows(stage(_slices(docs, open_units), "substring-slices"))
+    hot = stage(found.groupBy("least").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("least"), "substring-least")
+    candidates = stage(found.join(_sized(hot, F.lit(1)), "least", "left_semi"), "substring-candidates")
+    unstage(found)
+    kinds = stage(candidates.groupBy("least", "unit").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("text_key", "first", "size")).alias("at")), "substring-kinds")
+    met = kinds.groupBy("least").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.max("again").alias("again")).where("fewest = 1 and (kinds > 1 or again)")
+    mixed = stage(kinds.join(met.select("least", "kinds"), "least").select("least", "kinds", "unit", "copies", "at.text_key", "at.first", "at.size"), "substring-mixed")
+    local = _slices(docs, mixed.where(F.col("kinds") <= local_kinds))
+    runs = local.repartition(bucket_count(spark), "least").sortWithinPartitions("least", "unit").mapInArrow(_local, _RUNS)
+    large = mixed.where(F.col("kinds") > local_kinds)
     settled = kinds.where("copies > 1").select("unit", F.array(F.struct(F.lit(0).alias("a"), F.col("at.size").alias("b"))).alias("runs"))
-    runs = settled.unionByName(partial.join(settled.select("unit"), "unit", "left_anti"))
-    placed = found.select("text_key", "unit", "first").distinct().join(runs, "unit")
-    return placed.groupBy("text_key").agg(F.collect_list(F.struct("first", "runs")).alias("units"))
-
+    if not large.isEmpty():
+        dealt = dealt_runs(stage(_slices(docs, large).dropDuplicates(["unit"]).drop("least"), "substring-slices"))
+        runs = runs.unionByName(dealt.join(settled, "unit", "left_anti"))
+    placed = candidates.select("text_key", "unit", "first").distinct().join(settled.unionByName(runs), "unit")
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Window runs of a text's units to removed byte runs, each as far as it goes."""
+        for b in batches:
+            starts, ends = [], []
+            for own in b.column(1).to_pylist():
+                pairs = sorted((u["first"] + r["a"], u["first"] + r["b"] - 1 + LENGTH) for u in own for r in u["runs"])
+                out = [list(pairs[0])]
+                for a, e in pairs[1:]:
+                    if a <= out[-1][1]:
+                        out[-1][1] = max(out[-1][1], e)
+                    else:
+                        out.append([a, e])
+                starts.append([x[0] for x in out])
+                ends.append([x[1] for x in out])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["text_key", "starts", "ends"])
+
+    return placed.groupBy("text_key").agg(F.collect_list(F.struct("first", "runs")).alias("units")).mapInArrow(merge, "text_key binary, starts array<int>, ends array<int>")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", local_kinds: int = LOCAL_KINDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) per input row.
 
     Removed is each byte covered by a 400-byte string that starts anywhere else as well, in the same text or another, judged on
     the input. Null and empty texts, and texts below 400 bytes, keep all; a row that repeats another of 400 bytes or more loses
     all; matches never cross rows; an empty table gives no rows; other columns are ignored."""
     own = id_and_text(docs, id_col, text_col)
-    spans = _sized(stage(repeated_spans(own), "substring-spans"), F.size("units"))
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "text_key", "text"])
+    spans = _sized(stage(repeated_spans(own, local_kinds), "substring-spans"), F.size("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text, marks in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                n = len(text)
-                change = np.zeros(n + 1, np.int32)
-                for u in marks or ():
-                    for r in u["runs"]:
-                        change[u["first"] + r["a"]] += 1
-                        change[u["first"] + r["b"] - 1 + LENGTH] -= 1
-                gone = np.cumsum(change[:n]) > 0
-                starts = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(n > 0 and gone[0])
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if starts else text
-                rows.append((doc, n, n - len(kept), starts, kept))
+            for doc, text, starts, ends in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                kept = text if not starts else b"".join(text[a:e] for a, e in zip([0, *ends], [*starts, len(text)], strict=True))
+                rows.append((doc, len(text), len(text) - len(kept), len(starts or ()), kept))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    keyed = own.mapInArrow(key, "doc_id long, text_key binary, text binary")
-    return keyed.join(spans, "text_key", "left").select("doc_id", "text", "units").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    keyed = own.mapInArrow(_keyed, "doc_id long, text_key binary, text binary")
+    return keyed.join(spans, "text_key", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

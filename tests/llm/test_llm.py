@@ -83,11 +83,12 @@ def test_difference_covers():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("local_kinds", [8192, 0])
+def test_repeats_against_brute_force(spark, local_kinds):
     rng = random.Random(5)
     base, part, line = prose(rng, 300), prose(rng, 110), prose(rng, 75)
     cases = [base, base, base[:800] + "XX" + base[802:], prose(rng, 60) + part + prose(rng, 30), part + prose(rng, 20), *EMPTY, "a" * 399, "a" * 400, "a" * 401, "ab" * 500, base[600:999], "q" + base[600:1000], line * 3, "z" + "ab" * 250 + "y", "abc" * 300 + "!", *(base[: k * 97] + prose(rng, 2) + base[k * 97 :] for k in range(9))]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in substrings.remove_repeats(docs(spark, cases)).selectExpr("*", "sha2(kept, 256) AS h").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in substrings.remove_repeats(docs(spark, cases), local_kinds=local_kinds).selectExpr("*", "sha2(kept, 256) AS h").collect()}
     assert [got[i] for i in range(len(cases))] == substrings.brute_force(cases)
 
 
