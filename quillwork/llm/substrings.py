@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, id_and_text, stage, table, unstage, utf8
+from .common import bucket_count, id_and_text, small_batches, stage, table, unstage, utf8
 
 LENGTH = 400
 GRAM = 81
@@ -37,7 +37,9 @@ BROADCAST_RUNS = 4_000_000
 #: Different units of one least name (some 650 bytes each) that one task compares.
 LOCAL_KINDS = 8192
 #: Bytes of units whose suffixes a task sorts at a time.
-SORTED_BYTES = 1 << 21
+SORTED_BYTES = 1 << 19
+#: Rows of an Arrow batch that a worker turns into Python objects at a time.
+ROWS = 256
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -110,7 +112,7 @@ _UNITS = "text_key binary, least long, unit binary, first int, size int, again b
 
 
 def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small_batches(batches, ROWS):
         out: list[list] = [[] for _ in range(6)]
         for text in utf8(b.column(1)):
             if len(text) < LENGTH:
@@ -134,7 +136,7 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keys = stage(keys, "substring-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, ROWS):
             rows = [(w["least"], w["unit"], w["copies"], text[w["first"] : w["first"] + w["size"] + LENGTH - 1]) for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in want]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["least", "unit", "copies", "slice"])
@@ -144,7 +146,7 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small_batches(batches, ROWS):
         texts = utf8(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "text_key", "text"])
 
@@ -155,9 +157,9 @@ def local_runs(units_: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, list
     copies = np.array([x[1] for x in units_], np.int64)
     data = np.frombuffer(b"".join(x[2] for x in units_), np.uint8)
     starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(units_)), sizes)
-    place = np.arange(len(data)) - starts[owner]
-    room = sizes[owner] - place
+    owner = np.repeat(np.arange(len(units_), dtype=np.int32), sizes)
+    place = (np.arange(len(data)) - starts[owner]).astype(np.int32)
+    room = sizes.astype(np.int32)[owner] - place
 
     def met(at: np.ndarray, name: np.ndarray) -> np.ndarray:
         """The places whose name occurs elsewhere: neighbours in sorted order, or copies of the unit."""
@@ -197,7 +199,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = local_runs(held)
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(_RUNS_ARROW)], ["unit", "runs"])
 
-    for b in batches:
+    for b in small_batches(batches, ROWS):
         for least, unit, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if least != last and size > SORTED_BYTES:
                 yield emit()
@@ -322,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = _sized(stage(repeated_spans(own, local_kinds), "substring-spans"), F.size("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, ROWS):
             rows = []
             for doc, text, starts, ends in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 kept = text if not starts else b"".join(text[a:e] for a, e in zip([0, *ends], [*starts, len(text)], strict=True))
