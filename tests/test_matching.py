@@ -36,11 +36,16 @@ def test_endings():
     assert matching.retarget("Kaleye gitti, kalenin önü.", "kale", "kule") == ("Kuleye gitti, kulenin önü.", 2, 0)
 
 
-def test_verdicts():
-    terms = [{"source": "Shadow", "target": "Gölge", "since": 1}, {"source": "Nephis", "target": "Nephis", "since": None}, {"source": "Saints", "target": "Azizler", "since": None}, {"source": "Late", "target": "Geç", "since": 9}]
-    got = dict((t, v) for t, _, v in matching.judge("The Shadow met Nephis and a Saint. Late.", "Gölgenin yanında Shadow, Nephis ve bir Saint.", terms, 5))
-    assert got == {"Shadow": "ok", "Nephis": "ok", "Saints": "left_in_english"}
-    assert matching.judge("A Shadow.", "Karaltı.", terms, 5) == [("Shadow", "Gölge", "target_missing")]
+def test_verdicts(spark):
+    terms = [("Shadow", "Gölge", 1), ("Nephis", "Nephis", None), ("Saints", "Azizler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
+    ready = matching.Dictionary(terms)
+    got = {t: v for t, _, v in ready.judge("The Shadow met Nephis and a Saint. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Nephis ve bir Saint. Anılar.", 5)}
+    assert got == {"Shadow": "ok", "Nephis": "ok", "Saints": "left_in_english", "Memory": "ok", "Ore Empire": "target_missing"}
+    assert ready.judge("A Shadow.", "Karaltı.", 5) == [("Shadow", "Gölge", "target_missing")]
+    chapters = spark.createDataFrame([("u", "b", "m", 5, "A Shadow. Late.", "Gölge."), ("v", "b", "m", None, "Late", "x"), ("w", "z", "m", 1, "Shadow", "y"), ("n", "b", "m", 1, None, "y")], "url string, book string, model string, chapter_no int, source_text string, translation string")
+    table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, first_chapter int")
+    for limit in (100, 2):
+        assert {(r.url, r.source, r.verdict) for r in matching.verdicts(chapters, table, limit).collect()} == {("u", "Shadow", "ok"), ("v", "Late", "target_missing")}
 
 
 def slow_align(s, t):
