@@ -137,3 +137,25 @@ def test_address_boundary(spark):
     claims = spark.createDataFrame(rows, "id long, book string, chapter int, subject string, object string, form string")
     got = ledger.address_table(claims).first()
     assert (got.n, got.form, got.stable) == (5, "sen", True)
+
+
+def test_proposals(spark):
+    from quillwork.operators import governance
+
+    bodies = ['{"new_edges": [{"subject": "a", "relation": "r", "object": "b", "evidence": "e"}]}', '{"new_edges": [{"subject": " ", "relation": "r", "object": "b"}], "odd": 1}', '{"reviews": [{"category": "c", "note": "n", "importance": "huge"}], "new_aliases": {}}', "nonsense", None, "{}"]
+    got = {r.id: r.errors for r in governance.proposal_errors(spark.createDataFrame(list(enumerate(bodies)), "id int, body string")).collect()}
+    assert got[0] == [] and got[5] == [] and got[3] == got[4] == ["no object"]
+    assert got[1] == ["unknown section odd", "new_edges.subject missing in 1", "new_edges.evidence missing in 1"]
+    assert got[2] == ["new_aliases is no list", "reviews.importance unknown in 1"]
+
+
+def test_fill_and_resolve(spark):
+    from quillwork.operators import governance
+
+    mine = spark.createDataFrame([("b", 1, None), ("b", 2, "x")], "book string, id int, note string")
+    theirs = spark.createDataFrame([("b", 1, "n"), ("b", 2, "m"), ("b", 3, "k")], "book string, id int, note string")
+    assert {(r.id, r.note) for r in governance.fill_only(mine, theirs, ["book", "id"], ["note"]).collect()} == {(1, "n"), (2, "x")}
+    nodes = spark.createDataFrame([("b", "Dağ Evi", "n1"), ("b", "Sunny", "n2")], "book string, name string, node string")
+    spellings = spark.createDataFrame([("b", "Sunless", "n2")], "book string, spelling string, node string")
+    names = spark.createDataFrame([("b", x) for x in ("dağ-evi", "SUNLESS", "dagevi", "who")], "book string, name string")
+    assert {r.name: (r.node, r.step) for r in governance.resolve(names, nodes, spellings).collect()} == {"dağ-evi": ("n1", 0), "SUNLESS": ("n2", 1), "dagevi": ("n1", 2), "who": (None, None)}
