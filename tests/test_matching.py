@@ -28,7 +28,7 @@ def test_target_patterns():
 def test_endings():
     assert suffixes.build("kitap", ("(s)I", "DA")) == "kitabında" and suffixes.build("göl", ("lAr", "(y)A")) == "göllere"
     assert suffixes.build("renk", ("(y)I",)) == "rengi" and suffixes.build("top", ("(y)I",)) == "topu"
-    assert suffixes.build("nephis", ("(n)In",), True) == "nephis'in"
+    assert suffixes.build("merwis", ("(n)In",), True) == "merwis'in"
     for stem in ("kale", "ağaç", "ütü", "yaprak"):
         for s in suffixes.sequences():
             assert s in suffixes.parse(stem, suffixes.build(stem, s))
@@ -37,10 +37,10 @@ def test_endings():
 
 
 def test_verdicts(spark):
-    terms = [("Shadow", "Gölge", 1), ("Nephis", "Nephis", None), ("Saints", "Azizler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
+    terms = [("Shadow", "Gölge", 1), ("Merwis", "Merwis", None), ("Saints", "Azizler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
     ready = matching.Dictionary(terms)
-    got = {t: v for t, _, v in ready.judge("The Shadow met Nephis and a Saint. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Nephis ve bir Saint. Anılar.", 5)}
-    assert got == {"Shadow": "ok", "Nephis": "ok", "Saints": "left_in_english", "Memory": "ok", "Ore Empire": "target_missing"}
+    got = {t: v for t, _, v in ready.judge("The Shadow met Merwis and a Saint. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Merwis ve bir Saint. Anılar.", 5)}
+    assert got == {"Shadow": "ok", "Merwis": "ok", "Saints": "left_in_english", "Memory": "ok", "Ore Empire": "target_missing"}
     assert ready.judge("A Shadow.", "Karaltı.", 5) == [("Shadow", "Gölge", "target_missing")]
     chapters = spark.createDataFrame([("u", "b", "m", 5, "A Shadow. Late.", "Gölge."), ("v", "b", "m", None, "Late", "x"), ("w", "z", "m", 1, "Shadow", "y"), ("n", "b", "m", 1, None, "y")], "url string, book string, model string, chapter_no int, source_text string, translation string")
     table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, first_chapter int")
@@ -96,8 +96,8 @@ def test_judgements_and_sign_test(spark):
 
 
 def test_messages():
-    text = "He ran.\n\nRank: Awakened\n\n[Shadow Slave] (Epic)\n\nWeight: 3\n\nx\n\ny\n\nz\n\nAge: 9\n\nTranslator: me\n\nSystem: You died.\n\nShe said: \"no\""
-    assert [m[1:] for m in messages.message_lines(text, ("System",))] == [("key", "Rank", "Awakened"), ("bracket", None, "[Shadow Slave] (Epic)"), ("key", "Weight", "3"), ("voice", "System", "You died.")]
+    text = "He ran.\n\nRank: Awakened\n\n[Silver Crow] (Epic)\n\nWeight: 3\n\nx\n\ny\n\nz\n\nAge: 9\n\nTranslator: me\n\nSystem: You died.\n\nShe said: \"no\""
+    assert [m[1:] for m in messages.message_lines(text, ("System",))] == [("key", "Rank", "Awakened"), ("bracket", None, "[Silver Crow] (Epic)"), ("key", "Weight", "3"), ("voice", "System", "You died.")]
     assert [m[2] for m in messages.message_lines("Age: 9\n\nRank: x", keys=("rank",))] == ["Rank"] and messages.message_lines("") == []
 
 
@@ -125,9 +125,9 @@ def test_books(spark, tmp_path):
 
 
 def test_wiki_and_terms(spark, tmp_path):
-    page = "{{Box|a=b}}'''Sunny''' met [[Nephis|her]].<ref>Chapter 12</ref> He ran. They fought.<ref>Chapter 3</ref><ref>chapter 40, end</ref>"
+    page = "{{Box|a=b}}'''Tolan''' met [[Merwis|her]].<ref>Chapter 12</ref> He ran. They fought.<ref>Chapter 3</ref><ref>chapter 40, end</ref>"
     rows = books.footnoted_sentences(spark.createDataFrame([("p", page)], "page string, wikitext string")).orderBy("at").collect()
-    assert [(r.sentence, r.chapters) for r in rows] == [("Sunny met her.", [12]), ("He ran.", []), ("They fought.", [3, 40])]
+    assert [(r.sentence, r.chapters) for r in rows] == [("Tolan met her.", [12]), ("He ran.", []), ("They fought.", [3, 40])]
     terms = spark.createDataFrame([("b", "x", "y", None, None, 3)], books.TERMS_SCHEMA)
     books.write_terms(terms, f"file://{tmp_path}/t")
     (tmp_path / "more.json").write_text('{"book": "b", "source": "z", "target": "w"}\n')
