@@ -29,10 +29,10 @@ ROLES = {
     "pairs": """SELECT u.conv_id AS book, u.turn AS chapter_no, u.text AS source_text, a.text AS translation FROM {conversations} u JOIN {conversations} a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn WHERE u.role = 'user' AND a.role = 'assistant'""",
     # An order line ties a customer to a supplier; the month of the order is the chapter that tells it.
     "edges": """SELECT concat('b', o_custkey % 3) AS book, concat('c', o_custkey % 40) AS src, concat('rel_', l_returnflag) AS relation, concat('s', l_suppkey % 25) AS dst,
-        CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE year(o_orderdate) * 12 + month(o_orderdate) - 23880 END AS learned_at, concat('line ', l_orderkey, '-', l_linenumber) AS evidence,
+        CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE CAST(year(o_orderdate) * 12 + month(o_orderdate) - 23880 AS INT) END AS learned_at, concat('line ', l_orderkey, '-', l_linenumber) AS evidence,
         CASE WHEN l_linestatus = 'F' THEN 'model' WHEN l_linenumber = 1 THEN 'manual' ELSE 'system' END AS origin,
         CASE WHEN l_orderkey % 17 = 0 THEN 'rejected' ELSE 'approved' END AS status, floor(l_discount * 100 + 0.5) / 100 AS confidence FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
-    "node_values": """SELECT concat('b', o_custkey % 3) AS book, concat('c', o_custkey % 200) AS node, o_orderpriority AS key, o_orderstatus AS value, year(o_orderdate) * 12 + month(o_orderdate) - 23880 AS learned_at, o_orderkey AS seq FROM {orders}""",
+    "node_values": """SELECT concat('b', o_custkey % 3) AS book, concat('c', o_custkey % 200) AS node, o_orderpriority AS key, o_orderstatus AS value, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 23880 AS INT) AS learned_at, o_orderkey AS seq FROM {orders}""",
     # Claims of who did what, from order lines.
     "claims": """SELECT l_orderkey * 10 + l_linenumber AS id, concat('b', l_partkey % 3) AS book, CAST(l_orderkey % 60 AS INT) AS chapter, concat('s', l_suppkey % 30) AS subject, concat('rel_', l_returnflag) AS relation, concat('p', l_partkey % 12) AS object,
         CASE WHEN l_tax >= 0.06 THEN 'narrator' ELSE 'dialogue' END AS voice, l_quantity > 3 AS valid, CASE WHEN l_quantity > 3 THEN NULL WHEN l_quantity > 2 THEN 'no_evidence' ELSE 'schema' END AS reject_reason,
