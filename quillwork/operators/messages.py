@@ -53,14 +53,14 @@ def message_lines(text: str, voices: tuple[str, ...] = (), keys: tuple[str, ...]
 
 
 def messages(chapters: DataFrame, voices: tuple[str, ...] = ("System",), separator: str = "\n\n") -> DataFrame:
-    """A row per accepted line. The scan's state lives within a chapter, which is one row."""
+    """A row per accepted line, numbered within its chapter. The scan's state lives within a chapter, which is one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(x.url, x.book, *m) for x in b.itertuples() for m in message_lines(x.source_text, voices, separator=separator)]
-            yield pd.DataFrame(rows, columns=["url", "book", "paragraph", "kind", "key", "value"])
+            rows = [(x.url, x.book, line, *m) for x in b.itertuples() for line, m in enumerate(message_lines(x.source_text, voices, separator=separator))]
+            yield pd.DataFrame(rows, columns=["url", "book", "line", "paragraph", "kind", "key", "value"])
 
-    return chapters.where("source_text is not null").select("url", "book", "source_text").mapInPandas(run, "url string, book string, paragraph long, kind string, key string, value string")
+    return chapters.where("source_text is not null").select("url", "book", "source_text").mapInPandas(run, "url string, book string, line long, paragraph long, kind string, key string, value string")
 
 
 def key_frequency(found: DataFrame, top: int = 30) -> DataFrame:
