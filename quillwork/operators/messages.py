@@ -70,7 +70,7 @@ def key_frequency(found: DataFrame, top: int = 30) -> DataFrame:
 
 def _told(s, d):
     """Chapters with a message block of their own at the end."""
-    block = F.concat_ws("\n\n", "source_text", F.concat(F.lit("[Level "), F.col("doc_id") % 9, F.lit("]")), F.concat(F.lit("Rank: "), "lang"), F.lit("He said: \"no\""))
+    block = F.concat_ws("\n\n", "source_text", F.concat(F.lit("[Level "), F.col("doc_id") % 9, F.lit("]")), F.concat(F.lit("Name: ["), "book", F.lit("]")), F.concat(F.lit("Rank: "), "lang"), F.lit("He said: \"no\""))
     return role(s, d, "chapters").withColumn("source_text", block)
 
 
