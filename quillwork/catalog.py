@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import chapters, glossary, governance, graph, ledger, matching, messages, quality, reading, review, selection, senses, upkeep, usage
+from .operators import chapters, glossary, governance, graph, ledger, matching, messages, quality, reading, review, selection, senses, upkeep, usage, wording
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (chapters, glossary, governance, graph, ledger, matching, messages, quality, reading, review, selection, senses, upkeep, usage):
+for module in (chapters, glossary, governance, graph, ledger, matching, messages, quality, reading, review, selection, senses, upkeep, usage, wording):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE

@@ -60,3 +60,36 @@ def natural_key(x: Column) -> Column:
 
 def non_space(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"\s+", ""))
+
+
+def tail_words(x: Column, n: int) -> Column:
+    """The last n words, single-spaced; null and blank texts give an empty one."""
+    found = F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.array_join(F.slice(found, F.greatest(F.size(found) - n, F.lit(0)) + 1, n), " ")
+
+
+def last_sentences(x: Column, n: int) -> Column:
+    parts = F.split(F.regexp_replace(x, r"^\s+|\s+$", ""), r"(?<=[.!?…])\s+")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - n, F.lit(0)) + 1, n), " ")
+
+
+def marked_parts(x: Column, n: Column) -> Column:
+    """The texts after the markers [[1]] to [[n]], in order of number; null unless the numbers are 1 to n, each once, and every
+    text has something in it."""
+    marker = r"\[\[([0-9]+)\]\]"
+    numbers = F.transform(F.regexp_extract_all(x, F.lit(marker), F.lit(1)), lambda k: k.cast("int"))
+    texts = F.transform(F.slice(F.split(x, marker, -1), 2, 1 << 30), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    ordered = F.array_sort(F.arrays_zip(numbers.alias("k"), texts.alias("t")))
+    whole = (n > 0) & (F.array_sort(numbers) == F.sequence(F.lit(1), F.greatest(n, F.lit(1)))) & ~F.exists(texts, lambda t: t == "")
+    return F.when(whole, F.transform(ordered, lambda p: p["t"]))
+
+
+def slug(x: Column, prefix: str) -> Column:
+    """Lower-case letters and digits with hyphens between, after a prefix; null where nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    return F.when(s != "", F.concat(F.lit(f"{prefix}-"), s))
+
+
+def head_word(x: Column) -> Column:
+    """Of "X of Y" the last word of X, else the last word."""
+    return F.regexp_extract(F.regexp_replace(x, r"(?i)\s+of\s.*$", ""), r"(\S+)\s*$", 1)

@@ -16,7 +16,7 @@ CASE_END = r"(?i)['’](?:[ıiuü]|[sy][ıiuü]|n[ıiuü]n|[ıiuü]n|[dt][ae]n?|
 ENGLISH = ("the", "and", "of", "what", "wait", "is", "are", "was", "were", "my", "your", "his", "her", "their", "with", "from")
 COUNTED = r"(?i)^(?:[0-9]+|two|three|four|five|six|seven|eight|nine|ten|hundred|thousand)\s"
 SAYS_NOTHING = r""".!?"“”'’:"""
-SUPPOSED = r"\b(?:if|were to|would have|could have|might|perhaps|as if|as though|suppose)\b"
+SUPPOSED = r"(?:^|[^\p{L}\p{N}_])(?:if|were to|would have|could have|might|perhaps|as if|as though|suppose)(?:\z|[^\p{L}\p{N}_])"
 NEAR_LENGTH, LEAST_LOWER, LEAST_QUOTE, LEAST_CONFIDENCE, BROKEN_SHARE, BROKEN_LEAST = 7, 5, 8, 0.6, 0.5, 4
 
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
@@ -52,7 +52,7 @@ def gate(terms: DataFrame, forbidden: DataFrame, policies: DataFrame) -> DataFra
     free = ~F.col("kept")
     rules = {
         "plural_form": plural,
-        "english_possessive": free & F.col("target").rlike(r"(?i)['’]s\b"),
+        "english_possessive": free & F.col("target").rlike(r"(?i)['’]s(?:\z|[^\p{L}\p{N}_])"),
         "case_ending": free & F.col("target").rlike(CASE_END),
         "english_word": free & english,
         "number": free & ((~plural & many) | (plural & ~many & ~F.col("source").rlike(COUNTED))),
@@ -222,7 +222,7 @@ ORACLE = {
     "nested_terms": _duck(f"WITH t AS (SELECT * FROM {_GATED} g) SELECT DISTINCT a.book, a.source, b.source AS \"within\" FROM t a JOIN t b ON a.book = b.book AND length(a.source) < length(b.source) AND contains(concat(' ', lower(b.source), ' '), concat(' ', lower(a.source), ' '))"),
     "gate_reasons": _duck(f"""WITH t AS (SELECT *, {_FOLD('source')} = {_FOLD('target')} AS kept, {_FOLD('target')} AS key, {_FOLD('source')} AS f, regexp_matches(source, {_q(_PLURAL_SOURCE)}) AS plural, regexp_matches(target, {_q(_PLURAL_TARGET)}) AS many FROM {_GATED} g),
 r AS (SELECT book, source, 'plural_form' AS reason FROM t WHERE plural
- UNION SELECT book, source, 'english_possessive' FROM t WHERE NOT kept AND regexp_matches(target, '(?i)[''’]s\\b')
+ UNION SELECT book, source, 'english_possessive' FROM t WHERE NOT kept AND regexp_matches(target, '(?i)[''’]s(?:\\z|[^\\p{{{{L}}}}\\p{{{{N}}}}_])')
  UNION SELECT book, source, 'case_ending' FROM t WHERE NOT kept AND regexp_matches(target, {_q(CASE_END)})
  UNION SELECT book, source, 'english_word' FROM t WHERE NOT kept AND list_has_any(regexp_extract_all(lower(target), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), [{_LIST}])
  UNION SELECT book, source, 'number' FROM t WHERE NOT kept AND ((NOT plural AND many) OR (plural AND NOT many AND NOT regexp_matches(source, {_q(COUNTED)})))
@@ -237,6 +237,6 @@ SELECT book, source, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r G
     "general_categories": _duck(f"WITH n AS (SELECT DISTINCT book, source AS name FROM {_GATED} g), k AS (SELECT book, name, min(reason) AS reason FROM (SELECT book, name, 'listed' AS reason FROM {_PROFILE} p UNION ALL SELECT book, dst, 'object' FROM {_SEEN} e GROUP BY book, dst HAVING count(*) >= 2) q GROUP BY ALL), w AS (SELECT DISTINCT book, {_DSING('w')} AS w FROM (SELECT book, unnest(string_split(lower(name), ' ')) AS w FROM k) a), p AS (SELECT book, name, len(string_split(name, ' ')) AS n, unnest(string_split(lower(name), ' ')) AS w FROM n), m AS (SELECT p.book, p.name FROM p WHERE n >= 2 AND EXISTS (SELECT 1 FROM w WHERE w.book = p.book AND w.w = {_DSING('p.w')}) GROUP BY p.book, p.name, p.n HAVING count(*) = p.n) SELECT book, name, max(reason) AS reason FROM (SELECT n.book, n.name, k.reason FROM n JOIN k ON n.book = k.book AND n.name = k.name UNION ALL SELECT book, name, 'compound' FROM m) q GROUP BY ALL"),
     "same_being": _duck(f"WITH n AS (SELECT DISTINCT book, source FROM {{terms}}), f AS (SELECT book, chapter_no, w, list(w) OVER (PARTITION BY url ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS after FROM (SELECT book, chapter_no, url, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT book, chapter_no, url, regexp_extract_all(source_text, {_q(_TOKENS)}) AS t FROM {{chapters}}) q) q2), p AS (SELECT book, chapter_no, w AS x, regexp_extract(array_to_string(after, ''), {_q(_SAME)}, 1) AS y FROM f WHERE regexp_matches(w, '^[A-Z]')) SELECT p.book, least(x, y) AS a, greatest(x, y) AS b, count(*) AS sentences, min(chapter_no) AS first_chapter FROM p SEMI JOIN n ON p.book = n.book AND p.x = n.source SEMI JOIN n m ON p.book = m.book AND p.y = m.source WHERE y <> '' AND x <> y GROUP BY ALL"),
     "alias_groups": _duck(f"WITH RECURSIVE e AS (SELECT * FROM {_ALIASES} a), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON r.node = b.u), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node), t AS (SELECT c.node, component, coalesce(chapters, 0) AS n FROM c LEFT JOIN {_USES} u ON c.node = u.node), x AS (SELECT component, arg_min(node, (-n, node)) AS representative, count(*) AS members FROM t GROUP BY component) SELECT node, representative, members FROM t JOIN x USING (component)"),
-    "evidence_verdicts": _duck(f"SELECT id, CASE WHEN relation NOT IN ('knows', 'owns') THEN 'unknown relation' WHEN coalesce(length({_DPLAIN('quote')}), 0) < {LEAST_QUOTE} THEN 'no evidence' WHEN NOT contains({_DPLAIN('source_text')}, {_DPLAIN('quote')}) THEN 'not verbatim' WHEN NOT contains({_DPLAIN('quote')}, lower(subject)) THEN 'subject absent' WHEN NOT contains({_DPLAIN('quote')}, lower(object)) THEN 'object absent' WHEN subject = object THEN 'same ends' WHEN confidence < {LEAST_CONFIDENCE}::DOUBLE THEN 'low confidence' WHEN regexp_matches({_DPLAIN('quote')}, {_q(SUPPOSED)}) THEN 'supposed' WHEN regexp_matches(subject, '^[a-z]') THEN 'common noun' END AS reason FROM {_PROPOSED} p LEFT JOIN {{chapters}} ON p.url = chapters_.url"),
+    "evidence_verdicts": _duck(f"SELECT id, CASE WHEN relation NOT IN ('knows', 'owns') THEN 'unknown relation' WHEN coalesce(length({_DPLAIN('quote')}), 0) < {LEAST_QUOTE} THEN 'no evidence' WHEN NOT contains({_DPLAIN('source_text')}, {_DPLAIN('quote')}) THEN 'not verbatim' WHEN NOT contains({_DPLAIN('quote')}, lower(subject)) THEN 'subject absent' WHEN NOT contains({_DPLAIN('quote')}, lower(object)) THEN 'object absent' WHEN subject = object THEN 'same ends' WHEN confidence < {LEAST_CONFIDENCE}::DOUBLE THEN 'low confidence' WHEN regexp_matches({_DPLAIN('quote')}, {_q(SUPPOSED.replace('{', '{{').replace('}', '}}'))}) THEN 'supposed' WHEN regexp_matches(subject, '^[a-z]') THEN 'common noun' END AS reason FROM {_PROPOSED} p LEFT JOIN {{chapters}} ON p.url = chapters_.url"),
     "extracted_names": _duck(f"SELECT url, array_to_string(list_sort(kept), ',') AS kept, CAST(len(names) - len(kept) AS BIGINT) AS dropped, len(names) >= {BROKEN_LEAST} AND len(list_filter(names, lambda n: NOT contains(sf, {_FOLD('n')}))) >= {BROKEN_SHARE}::DOUBLE * len(names) AS broken FROM (SELECT *, list_filter(names, lambda n: NOT list_contains(keys, {_FOLD('n')}) AND NOT regexp_matches(n, {_q(_TURKISH)}) AND contains(tf, {_FOLD('n')}) AND contains(sf, {_FOLD('n')})) AS kept FROM (SELECT url, list_concat(ns[1:6], CASE WHEN doc_id % 3 = 0 THEN ['Bilgin', 'Çelik', 'Xyzzyq', 'Qwortl'] ELSE ['Bilgin'] END) AS names, list_transform(ns[2:3], lambda n: {_FOLD('n')}) AS keys, {_FOLD('source_text')} AS sf, {_FOLD('translation')} AS tf FROM (SELECT *, list_filter(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), lambda x, i: list_position(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), x) = i) AS ns FROM {{chapters}} WHERE translation IS NOT NULL) a) b) c"),
 }

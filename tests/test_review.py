@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import suffixes
-from quillwork.operators import matching, review, senses, upkeep
+from quillwork.functions import text as T
+from quillwork.operators import matching, review, senses, upkeep, wording
 
 
 def test_gate_reasons(spark):
@@ -110,3 +111,31 @@ def test_refill():
     assert [u[0] for u in uses] == [0, 1] and matching.refill(shape, uses, old, old)[0] == "Kılıçlar ve kara kılıç."
     text, moved, left = matching.refill(*matching.template("Kılıçlar geldi.", old), old, new)
     assert (text, moved, left) == ("Kapılar geldi.", 1, 0)
+
+
+def test_attributions(spark):
+    rows = [(1, "b", "Then Mirza met Weaver.", "Sonra Mirza geldi."), (2, "b", "The Captain ran.", "O sırada Kaptan koştu."), (3, "b", "Captain and Master ran.", "ve Kaptan koştu."), (4, "b", "Captain ran.", "Kaptan koştu."), (5, "b", None, None)]
+    paras = spark.createDataFrame(rows, "id int, book string, en string, tr string")
+    r = wording.attributions(paras, spark.createDataFrame([("b", "Weaver", "Dokumacı")], "book string, source string, target string")).collect()
+    assert sorted(map(tuple, r)) == [(1, "Mirza", "="), (2, "Captain", "Kaptan")]
+
+
+def test_claim_reasons(spark):
+    rows = [("b", c, "tie", "x", r, "y") for c, r in ((1, "ally"), (2, "ally"), (3, "foe"), (4, "foe"))] + [("b", c, "common", "z", None, None) for c in (1, 2, 3)] + [("b", c, "name", "q", None, "x") for c in (1, 2)]
+    claims = spark.createDataFrame(rows, "book string, chapter int, kind string, subject string, relation string, object string")
+    r = wording.claim_reasons(claims, "ally", "foe").collect()
+    assert sorted(tuple(x)[1:4] for x in r if x.other) == [("q", "alias", "x"), ("x", "clash", "y"), ("y", "clash", "x")] and [x.node for x in r if not x.other] == ["z"]
+
+
+def test_text_functions(spark):
+    rows = [("[[1]] a [[2]]\nb", 2), ("[[2]] b [[1]] a", 2), ("[[1]] a", 2), ("[[1]] [[2]] b", 2), ("", 1), (None, 1), ("a. b! c", 0)]
+    r = spark.createDataFrame(rows, "t string, n int").select(T.marked_parts(F.col("t"), F.col("n")).alias("m"), T.tail_words(F.col("t"), 2).alias("w"), T.last_sentences(F.col("t"), 2).alias("s"), T.slug(F.col("t"), "p").alias("g")).collect()
+    assert [x.m for x in r] == [["a", "b"], ["a", "b"], None, None, None, None, None]
+    assert (r[6].w, r[6].s, r[6].g, r[5].w, r[4].g) == ("b! c", "b! c", "p-a-b-c", "", None)
+    heads = spark.createDataFrame([("Mask of the Weaver",), ("Red Gate",), ("",)], "t string").select(T.head_word(F.col("t")).alias("h")).collect()
+    assert [x.h for x in heads] == ["Mask", "Gate", ""]
+
+
+def test_foreign_words(spark):
+    paras = spark.createDataFrame([("b", 1, 0, "a слово", "слово ок é"), ("b", 1, 1, None, "ok")], "book string, chapter_no int, para int, en string, tr string")
+    assert [x.words for x in wording.foreign_words(paras).collect()] == ["ок"]
