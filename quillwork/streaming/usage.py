@@ -57,6 +57,47 @@ def active_time_stream(ticks: DataFrame) -> DataFrame:
     return own.groupBy("slug").applyInPandasWithState(step, "slug long, active_us long, idle_gaps long, ticks long", _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+_SIGNED = "day string, model string, successes long, errors long, refusals long"
+
+
+def signed_stream(calls: DataFrame) -> DataFrame:
+    """Signed counter rows as calls come: a refusal right after a success of the same chapter and key takes it back in the counters
+    of the success. Sums of the rows are the batch counters. Calls of one trigger are put in order; the state is the last call of
+    a chapter and key."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts_us", "id"])
+        last, day, model = state.get if state.exists else (None, None, None)
+        out = []
+        for x in rows.itertuples():
+            if x.outcome == "refused" and last == "success":
+                out.append((day, model, -1, 1, 1))
+            else:
+                out.append((x.day, x.model, int(x.outcome == "success"), int(x.outcome in ("error", "quota", "refused")), int(x.outcome == "refused")))
+            last, day, model = x.outcome, x.day, x.model
+        state.update((last, day, model))
+        yield pd.DataFrame(out, columns=["day", "model", "successes", "errors", "refusals"])
+
+    own = calls.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("day").cast("string").alias("day"), "model", "outcome", "chapter", "api_key")
+    return own.groupBy("chapter", "api_key").applyInPandasWithState(step, _SIGNED, "outcome string, day string, model string", "append", GroupStateTimeout.NoTimeout)
+
+
+def intake_stream(numbers: DataFrame) -> DataFrame:
+    """numbers(book, number) as they come -> (book, number, state): applied when it is the next after the book's head, repeated when
+    the head has it, gap otherwise; a gap does not move the head. The state is one number per book, which starts at zero."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        head, out = state.get[0] if state.exists else 0, []
+        for n in sorted(int(x) for b in batches for x in b.number):
+            kind = "repeated" if n <= head else "applied" if n == head + 1 else "gap"
+            head += kind == "applied"
+            out.append((key[0], n, kind))
+        state.update((head,))
+        yield pd.DataFrame(out, columns=["book", "number", "state"])
+
+    return numbers.where("number is not null").select("book", F.col("number").cast("long").alias("number")).groupBy("book").applyInPandasWithState(step, "book string, number long, state string", "head long", "append", GroupStateTimeout.NoTimeout)
+
+
 def upsert_batch(target: str, key: str, at: str):
     """foreachBatch sink: the newest row per key wins. Each batch writes a whole new version next to the old one and readers take
     the last that is complete, so a repeated batch only writes its version again."""

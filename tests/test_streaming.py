@@ -1,6 +1,8 @@
 """Streams give what the batch operators give."""
 
-from quillwork.operators import reading, usage
+from pyspark.sql import functions as F
+
+from quillwork.operators import reading, upkeep, usage
 from quillwork.sources.tables import role
 from quillwork.streaming import usage as streams
 
@@ -48,3 +50,22 @@ def test_upsert_sink(spark, tmp_path):
     write(spark.createDataFrame([(1, "c", 2), (3, "d", 1)], "k long, v string, at long"), 1)
     write(spark.createDataFrame([(1, "c", 2), (3, "d", 1)], "k long, v string, at long"), 1)
     assert {(r.k, r.v) for r in streams.latest_version(spark, target).collect()} == {(1, "c"), (2, "b"), (3, "d")}
+
+
+def test_signed_counters(spark, data, tmp_path):
+    calls = role(spark, data, "calls")
+    for low, high in ((0, 11), (11, 21), (21, 32)):  # as they would come, some days a file
+        calls.where(f"day(ts) >= {low} and day(ts) < {high}").coalesce(1).write.parquet(f"file://{tmp_path}/in", mode="append")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    rows = drained(streams.signed_stream(stream), "signed", "append", f"file://{tmp_path}")
+    got = rows.groupBy("day", "model").agg(*[F.greatest(F.lit(0), F.sum(c)).alias(c) for c in ("successes", "errors", "refusals")])
+    assert {tuple(r) for r in got.collect()} == {(str(r.day), r.model, r.successes, r.errors, r.refusals) for r in upkeep.counters(calls).collect()}
+    assert rows.where("successes < 0").count() > 0
+
+
+def test_intake(spark, tmp_path):
+    for batch in ([1, 2, 3], [5, 2], [4, 5, None]):
+        spark.createDataFrame([("b", n) for n in batch], "book string, number long").coalesce(1).write.parquet(f"file://{tmp_path}/in", mode="append")
+    stream = spark.readStream.schema("book string, number long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = [(r.number, r.state) for r in drained(streams.intake_stream(stream), "intake", "append", f"file://{tmp_path}").collect()]
+    assert sorted(got) == [(1, "applied"), (2, "applied"), (2, "repeated"), (3, "applied"), (4, "applied"), (5, "applied"), (5, "gap")]
