@@ -78,21 +78,52 @@ def shelf(chapters: DataFrame) -> DataFrame:
     return last.select("book", "x.url", "x.chapter_no", "x.title", "x.created_at", "chapters").orderBy(F.desc("created_at"), "book")
 
 
+def key_panel(calls: DataFrame, day: str) -> DataFrame:
+    """Per key: models it was used with, the day's tries and successes, and models that cool, their last call having met the quota."""
+    that = F.col("day") == F.lit(day).cast("date")
+    card = calls.groupBy("api_key", "model").agg(F.count(F.when(that, 1)).alias("tries"), F.count(F.when(that & (F.col("outcome") == "success"), 1)).alias("successes"), F.max(F.struct("ts", "id", "outcome")).alias("x"))
+    return card.groupBy("api_key").agg(F.count("*").alias("models"), F.sum("tries").alias("tries"), F.sum("successes").alias("successes"), F.count(F.when(F.col("x.outcome") == "quota", 1)).alias("cooling"))
+
+
+def burn_forecast(calls: DataFrame, budget: int, days_left: int, window: int = 7) -> DataFrame:
+    """Per model: tokens used, the daily rate of the last days that the log covers, days until the budget is gone at that rate (null
+    without use), and whether it lasts."""
+    end = F.lit(calls.agg(F.max("day")).first()[0]).cast("date")  # one value
+    tokens = F.col("tokens_in") + F.col("tokens_out")
+    used = calls.groupBy("model").agg(F.sum(tokens).cast("long").alias("used"), F.sum(F.when(F.datediff(end, "day") < window, tokens).otherwise(0)).cast("long").alias("recent"))
+    left = F.greatest(F.lit(0), F.lit(budget) - F.col("used"))
+    days = F.when(F.col("recent") > 0, F.round(left * window / F.col("recent"), 4))
+    return used.select("model", "used", "recent", days.alias("days"), F.coalesce(days >= days_left, F.lit(True)).alias("lasts"))
+
+
+def risen(records: DataFrame, told: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """records and told(book, subject, rank, chapter) -> (book, subject, rank, chapter, recorded): the highest rank that a later
+    chapter than the record's tells of someone, if it is above the recorded one; its first chapter. Ranks off the list are none."""
+    step = F.array_position(F.array(*map(F.lit, order)), F.col("rank"))
+    first = told.select("book", "subject", "chapter", "rank", step.alias("s")).where("s > 0").groupBy("book", "subject", "rank", "s").agg(F.collect_set("chapter").alias("at"))
+    r = records.select("book", "subject", F.col("rank").alias("recorded"), step.alias("_s"), F.col("chapter").alias("_c"))
+    later = F.array_min(F.filter("at", lambda c: c > F.col("_c")))
+    up = first.join(r, ["book", "subject"]).withColumn("chapter", later).where((F.col("s") > F.col("_s")) & F.col("chapter").isNotNull())
+    return up.groupBy("book", "subject", "recorded").agg(F.max(F.struct("s", "rank", "chapter")).alias("x")).select("book", "subject", "x.rank", "x.chapter", "recorded")
+
+
 _NUMBERED = "(SELECT book, concat('https://books/', book, '/chapter-', CAST(floor(doc_id / 20) AS INT) + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END, '/', doc_id) AS url, title, chapter_no + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS chapter_no FROM {chapters})"
 _BATCH = "(SELECT book, chapter_no AS number FROM {chapters} WHERE chapter_no IS NOT NULL)"
 _HEADS = "(SELECT book, CAST(min(chapter_no) + 1 AS INT) AS head FROM {chapters} WHERE length(book) % 2 = 0 GROUP BY book)"
 _NOW = "(SELECT url, concat('now', doc_id % 5) AS digest FROM {chapters})"
 _OLD = "(SELECT url, concat('old', doc_id % 3) AS digest FROM {chapters} WHERE doc_id % 2 = 0 UNION SELECT url, concat('old', doc_id % 4) FROM {chapters} WHERE doc_id % 3 = 0)"
 _WANT = "(SELECT url, concat('old', doc_id % 4) AS digest FROM {chapters} WHERE doc_id % 5 = 0)"
+_RECORDS = "(SELECT book, subject, min(relation) AS rank, CAST(floor(max(chapter) / 2) AS INT) AS chapter FROM {claims} WHERE id % 7 = 0 GROUP BY book, subject)"
+_RANKS = "(SELECT book, subject, relation AS rank, chapter FROM {claims} WHERE id % 3 > 0)"
 _SET = "(SELECT book, node AS key, value, CASE WHEN seq % 7 = 0 THEN 'manual' WHEN seq % 2 = 0 THEN 'model' ELSE 'code' END AS origin, seq FROM {node_values})"
 
 
 def _sql(s, d, text: str) -> DataFrame:
-    return s.sql("SELECT * FROM " + text, **{name: role(s, d, name) for name in ("chapters", "node_values") if "{" + name + "}" in text})
+    return s.sql("SELECT * FROM " + text, **{name: role(s, d, name) for name in ("chapters", "node_values", "claims") if "{" + name + "}" in text})
 
 
 def _duck(text: str) -> str:
-    for name in ("chapters", "node_values", "calls"):
+    for name in ("chapters", "node_values", "calls", "claims"):
         text = text.replace("{" + name + "}", sql_role(name) + f" {name}_")
     return text
 
@@ -105,6 +136,9 @@ QUERIES = {
     "restore_versions": lambda s, d: restored(_sql(s, d, _NOW), _sql(s, d, _OLD), _sql(s, d, _WANT)),
     "setting_precedence": lambda s, d: precedence(_sql(s, d, _SET)),
     "daily_models": lambda s, d: daily_models(role(s, d, "calls")),
+    "key_panel": lambda s, d: key_panel(role(s, d, "calls"), "2024-01-20"),
+    "burn_forecast": lambda s, d: burn_forecast(role(s, d, "calls"), 20_000_000, 14),
+    "risen_ranks": lambda s, d: risen(_sql(s, d, _RECORDS), _sql(s, d, _RANKS), ("rel_A", "rel_N", "rel_R")),
     "shelf": lambda s, d: shelf(role(s, d, "chapters")),
 }
 ORACLE = {
@@ -115,5 +149,8 @@ ORACLE = {
     "restore_versions": _duck(f"WITH a AS (SELECT * FROM {_OLD} o), w AS (SELECT url, min(digest) AS w FROM a WHERE (url, digest) IN (SELECT (url, digest) FROM {_WANT} x) GROUP BY url), n AS (SELECT * FROM {_NOW} y) SELECT n.url, coalesce(w.w, digest) AS digest, 'current' AS place FROM n LEFT JOIN w ON n.url = w.url UNION SELECT url, digest, 'archive' FROM n WHERE url IN (SELECT url FROM w) UNION SELECT a.url, digest, 'archive' FROM a LEFT JOIN w ON a.url = w.url WHERE w.w IS NULL OR digest <> w.w"),
     "setting_precedence": _duck(f"SELECT book, key, arg_max(value, (CASE origin WHEN 'manual' THEN 2 WHEN 'model' THEN 1 ELSE 0 END, seq, value)) AS value, arg_max(origin, (CASE origin WHEN 'manual' THEN 2 WHEN 'model' THEN 1 ELSE 0 END, seq, value)) AS origin FROM {_SET} s GROUP BY book, key"),
     "daily_models": _duck("SELECT day, CAST(sum(n) AS BIGINT) AS calls, string_agg(concat(model, ':', n), ',' ORDER BY n DESC, model) AS models FROM (SELECT day, model, count(*) AS n FROM {calls} WHERE outcome = 'success' GROUP BY ALL) q GROUP BY day ORDER BY day DESC LIMIT 12"),
+    "key_panel": _duck("SELECT api_key, count(*) AS models, CAST(sum(t) AS BIGINT) AS tries, CAST(sum(s) AS BIGINT) AS successes, count(CASE WHEN o = 'quota' THEN 1 END) AS cooling FROM (SELECT api_key, model, count(CASE WHEN day = DATE '2024-01-20' THEN 1 END) AS t, count(CASE WHEN day = DATE '2024-01-20' AND outcome = 'success' THEN 1 END) AS s, arg_max(outcome, (ts, id)) AS o FROM {calls} GROUP BY ALL) q GROUP BY api_key"),
+    "burn_forecast": _duck("SELECT *, coalesce(days >= 14, true) AS lasts FROM (SELECT model, used, recent, CASE WHEN recent > 0 THEN round(greatest(0, 20000000 - used) * 7::DOUBLE / recent, 4) END AS days FROM (SELECT model, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS used, CAST(sum(CASE WHEN date_diff('day', day, e) < 7 THEN tokens_in + tokens_out ELSE 0 END) AS BIGINT) AS recent FROM (SELECT *, max(day) OVER () AS e FROM {calls}) a GROUP BY model) b) c"),
+    "risen_ranks": _duck(f"SELECT book, subject, x[2] AS rank, x[3] AS chapter, recorded FROM (SELECT book, subject, recorded, max((s, rank, chapter)) AS x FROM (SELECT t.book, t.subject, t.rank, list_position(['rel_A', 'rel_N', 'rel_R'], t.rank) AS s, r.rank AS recorded, min(t.chapter) AS chapter FROM {_RANKS} t JOIN {_RECORDS} r ON t.book = r.book AND t.subject = r.subject AND t.chapter > r.chapter AND list_position(['rel_A', 'rel_N', 'rel_R'], t.rank) > list_position(['rel_A', 'rel_N', 'rel_R'], r.rank) GROUP BY ALL) a GROUP BY ALL) b"),
     "shelf": _duck("SELECT book, x[2] AS url, x[3] AS chapter_no, x[4] AS title, x[1] AS created_at, chapters FROM (SELECT book, max((created_at, url, chapter_no, title)) AS x, count(*) AS chapters FROM {chapters} GROUP BY book) q"),
 }

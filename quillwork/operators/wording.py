@@ -94,7 +94,7 @@ def text_ends(chapters: DataFrame, n: int = 5) -> DataFrame:
 
 
 _PARAS = "(SELECT concat(book, '/', chapter_no) AS id, CAST(book % 5 AS STRING) AS book, source_text AS en, CASE WHEN chapter_no % 2 = 0 THEN concat('ve Mirza ', lower(source_text)) ELSE source_text END AS tr FROM {pairs} WHERE length(source_text) < 400)"
-_KNOWN = "(SELECT DISTINCT CAST(b AS STRING) AS book, source, target FROM {terms} CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1) n WHERE chapters >= 2)"
+_KNOWN = "(SELECT DISTINCT book, source, target FROM (SELECT '0' AS book, source, target FROM {terms} WHERE chapters >= 2 UNION ALL SELECT '1' AS book, source, target FROM {terms} WHERE chapters >= 2) k1)"
 _TERMS = "(SELECT book, CASE WHEN chapters % 3 = 0 THEN concat(source, ' Beast') ELSE source END AS source, CASE WHEN chapters % 2 = 0 THEN concat(target, ' Canavar') WHEN chapters % 3 = 0 THEN concat(target, ' mahluk') ELSE target END AS target FROM {terms})"
 _CLASSES = "(SELECT DISTINCT book, 'Beast' AS class, 'mahluk' AS word FROM {terms} UNION ALL SELECT DISTINCT book, 'Monster', 'canavar' FROM {terms})"
 _NAMES = "(SELECT book, concat('p', chapter % 20) AS person, subject AS name, CASE WHEN id % 3 = 0 THEN subject ELSE concat(subject, 'x') END AS target FROM {claims} WHERE chapter < 25)"

@@ -139,3 +139,12 @@ def test_text_functions(spark):
 def test_foreign_words(spark):
     paras = spark.createDataFrame([("b", 1, 0, "a слово", "слово ок é"), ("b", 1, 1, None, "ok")], "book string, chapter_no int, para int, en string, tr string")
     assert [x.words for x in wording.foreign_words(paras).collect()] == ["ок"]
+
+
+def test_risen_and_forecast(spark):
+    ranks = lambda *r: spark.createDataFrame(list(r), "book string, subject string, rank string, chapter int")
+    r = upkeep.risen(ranks(("b", "x", "low", 5), ("b", "y", "high", 5)), ranks(("b", "x", "high", 4), ("b", "x", "mid", 6), ("b", "x", "mid", 7), ("b", "x", "odd", 9), ("b", "y", "low", 9)), ("low", "mid", "high"))
+    assert [tuple(x) for x in r.collect()] == [("b", "x", "mid", 6, "low")]
+    calls = spark.createDataFrame([("m", "2024-01-01", 60, 10), ("m", "2024-01-20", 50, 20), ("n", "2024-01-01", 1, 1)], "model string, day string, tokens_in int, tokens_out int").withColumn("day", F.col("day").cast("date"))
+    assert {x.model: (x.used, x.recent, x.days, x.lasts) for x in upkeep.burn_forecast(calls, 240, 11).collect()} == {"m": (140, 70, 10.0, False), "n": (2, 0, None, True)}
+    assert upkeep.burn_forecast(calls.limit(0), 1, 1).count() == 0
