@@ -40,6 +40,8 @@ NAMES = {
     "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
     "Unlicense": ["Unlicense"],
 }
+#: The lines above on one GNU version leave those of the same key out; these are all, and the DuckDB SQL does not know them.
+MORE_NAMES = {f"{a}GPL-{v}": [f"GNU {n} Public License, Version {v}", f"GNU {n} Public License {v}", f"GNU {a}GPL v{v.split('.')[0]}"] for a, n, vs in (("", "General", ("2.0", "3.0")), ("L", "Lesser General", ("2.1", "3.0")), ("A", "Affero General", ("3.0",))) for v in vs}
 NOTICES = ("Released under the {}", "Released under {}", "Licensed under the {}", "Licensed under {}", "This work is licensed under the {}", "This work is licensed under {}", "This project is licensed under the {}", "Distributed under the {}", "This software is released under the {}", "Available under the {}", "SPDX-License-Identifier: {}")
 #: Spellings that count as one, applied to words with single spaces between.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("free software foundation s", "free software foundation"))
@@ -47,16 +49,18 @@ _COPYRIGHT = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|<|\[|[0-9]{4
 _RIGHTS = r"(^|\n)[ \t#*/;-]*all rights reserved[.]?[ \t]*"
 _BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _PARAGRAPH = r"\n[ \t\r]*\n"
-#: Every known text has one of these, so a text without them can match none.
-MARKERS = ("licen", "permission", "redistribution")
+#: What the DuckDB SQL looks for: it knows only the wordings that have one of these.
+SQL_MARKERS = ("licen", "permission", "redistribution")
+#: Every known text has one of these words, whatever stands between its words, so a text without them can match none.
+MARKERS = (*SQL_MARKERS, "released", "distributed", "available")
 
 
-def known() -> list[tuple[str, str]]:
-    """(licence, wording), some hundred rows whatever the corpus."""
+def known(names_by_licence: tuple[dict, ...] = (NAMES, MORE_NAMES)) -> list[tuple[str, str]]:
+    """(licence, wording) of every text and of every notice with every name, some hundred rows whatever the corpus."""
     rows = [(k, t) for k, texts in TEXTS.items() for t in texts]
-    for k, names in NAMES.items():
+    for k, names in (item for own in names_by_licence for item in own.items()):
         rows += [(k, n.format(name)) for name in (*names, k) for n in NOTICES]
-    return sorted({(k, t) for k, t in rows if any(m in t.lower() for m in MARKERS)})
+    return sorted(set(rows))
 
 
 def canonical(text: Column) -> Column:
@@ -111,8 +115,8 @@ def _sql_canonical(x: str) -> str:
 
 def oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({q(k)}, {q(t)})" for k, t in known())
-    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), {q(m)})" for m in MARKERS) + ")"
+    values = ", ".join(f"({q(k)}, {q(t)})" for k, t in known((NAMES,)) if any(m in t.lower() for m in SQL_MARKERS))
+    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), {q(m)})" for m in SQL_MARKERS) + ")"
     return f"""
 WITH known AS (SELECT sha256({_sql_canonical("wording")}) AS digest, min(licence) AS licence FROM (VALUES {values}) AS t(licence, wording) GROUP BY 1),
 own AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),

@@ -194,6 +194,16 @@ def test_licences(spark):
     assert licences.scan_licences(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_every_notice_with_every_name(spark):
+    pairs = {(n, name): k for own in (licences.NAMES, licences.MORE_NAMES) for k, names in own.items() for name in (*names, k) for n in licences.NOTICES}
+    cases = [n.format(name) for n, name in pairs]
+    odd = ["Released\n under -- the MIT", "Prose.\nReleased under CC BY 4.0.\n\nAvailable under the GNU GPL v3", "Released under protest", "available"]
+    got = {r.doc_id: tuple(r)[1:] for r in licences.scan_licences(docs(spark, [*cases, *odd])).collect()}
+    missed = [c for i, (c, k) in enumerate(zip(cases, pairs.values(), strict=True)) if got[i] != (k, 1, 1, k)]
+    assert missed == []
+    assert [got[len(cases) + i] for i in range(4)] == [("MIT", 1, 0, "MIT"), (None, 1, 2, "CC-BY-4.0,GPL-3.0"), (None, 0, 0, ""), (None, 0, 0, "")]
+
+
 # 6 WARC
 
 
