@@ -145,6 +145,21 @@ def _paras(s, d):
     return p.select("book", "chapter_no", F.posexplode(F.arrays_zip(F.slice("s", 1, n).alias("en"), F.slice("t", 1, n).alias("tr"))).alias("para", "x")).select("book", "chapter_no", F.col("para").cast("long").alias("para"), "x.en", "x.tr")
 
 
+def aligned(pairs: DataFrame) -> DataFrame:
+    """Every paragraph of both sides by its place; where one side has ended, its paragraph is empty."""
+    side = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
+    p = pairs.select("book", "chapter_no", F.posexplode(F.arrays_zip(side(F.col("source_text")).alias("en"), side(F.col("translation")).alias("tr"))).alias("para", "x"))
+    return p.select("book", "chapter_no", F.col("para").cast("long").alias("para"), F.coalesce("x.en", F.lit("")).alias("en"), F.coalesce("x.tr", F.lit("")).alias("tr"))
+
+
+def _all_paras(s, d):
+    return aligned(role(s, d, "pairs"))
+
+
+def _all_self_paras(s, d):
+    return _all_paras(s, d).withColumn("tr", F.when((F.col("para") % 2 == 0) & (F.col("en") != ""), F.col("en")).otherwise(F.col("tr")))
+
+
 def _self_paras(s, d):
     p = _paras(s, d)
     return p.withColumn("tr", F.when(F.col("para") % 2 == 0, F.col("en")).otherwise(F.col("tr")))
@@ -162,10 +177,16 @@ QUERIES = {
     "function_word_residue": lambda s, d: residues(_self_paras(s, d)),
     "pronoun_sign": lambda s, d: pronoun_signs(_paras(s, d)),
     "scorecard": lambda s, d: scorecard(_paras(s, d)),
-    "number_mismatch": lambda s, d: number_mismatches(_paras(s, d)),
-    "paragraph_repeats": lambda s, d: repeated_paragraphs(_self_paras(s, d)),
+    "number_mismatch": lambda s, d: number_mismatches(_all_paras(s, d)),
+    "paragraph_repeats": lambda s, d: repeated_paragraphs(_all_self_paras(s, d)),
     "drift_mining": lambda s, d: drift(_renderings(s, d)),
     "memory_greedy_topk": lambda s, d: memory_examples(role(s, d, "pairs")),
+    # The five above whose SQL reads both texts up to the shorter, over the whole texts.
+    "alphabet_leak_whole": lambda s, d: foreign_letters(_all_paras(s, d)),
+    "untranslated_blocks_whole": lambda s, d: untranslated(_all_self_paras(s, d)),
+    "function_word_residue_whole": lambda s, d: residues(_all_self_paras(s, d)),
+    "pronoun_sign_whole": lambda s, d: pronoun_signs(_all_paras(s, d)),
+    "scorecard_whole": lambda s, d: scorecard(_all_paras(s, d)),
 }
 _PAIRS = sql_role("pairs")
 _P = f"(SELECT book, chapter_no, i AS para, s[i + 1] AS en, t[i + 1] AS tr FROM (SELECT book, chapter_no, s, t, unnest(range(least(len(s), len(t)))) AS i FROM (SELECT book, chapter_no, string_split(source_text, chr(10)) AS s, string_split(translation, chr(10)) AS t FROM {_PAIRS} x) y) z)"
@@ -180,3 +201,6 @@ ORACLE = {
     "pronoun_sign": f"SELECT * FROM (SELECT book, chapter_no, para, CAST(len(regexp_extract_all(en, '(?i)\\b(he|him|his)\\b')) AS BIGINT) AS he, CAST(len(regexp_extract_all(en, '(?i)\\b(she|her|hers)\\b')) AS BIGINT) AS she FROM {_P} p) q WHERE he + she > 0",
     "scorecard": f"SELECT *, en_chars > 0 AND tr_chars < 0.85::DOUBLE * en_chars AS alarm FROM (SELECT book, chapter_no, count(*) AS paragraphs, count(CASE WHEN length(trim(en)) > 0 AND length(tr) / length(en) < 0.5 THEN 1 END) AS short, CAST(sum(length(tr)) AS BIGINT) AS tr_chars, CAST(sum(length(en)) AS BIGINT) AS en_chars FROM {_P} p GROUP BY ALL) q",
 }
+_ALL = f"(SELECT book, chapter_no, i AS para, coalesce(s[i + 1], '') AS en, coalesce(t[i + 1], '') AS tr FROM (SELECT book, chapter_no, s, t, unnest(range(greatest(len(s), len(t)))) AS i FROM (SELECT book, chapter_no, string_split(coalesce(source_text, ''), chr(10)) AS s, string_split(coalesce(translation, ''), chr(10)) AS t FROM {_PAIRS} x) y) z)"
+_ALL_SELF = f"(SELECT book, chapter_no, para, en, CASE WHEN para % 2 = 0 AND en <> '' THEN en ELSE tr END AS tr FROM {_ALL} p)"
+ORACLE |= {f"{k}_whole": ORACLE[k].replace(_SELF, _ALL_SELF).replace(_P, _ALL) for k in ("alphabet_leak", "untranslated_blocks", "function_word_residue", "pronoun_sign", "scorecard")}

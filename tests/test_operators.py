@@ -159,3 +159,24 @@ def test_fill_and_resolve(spark):
     spellings = spark.createDataFrame([("b", "Tolgan", "n2")], "book string, spelling string, node string")
     names = spark.createDataFrame([("b", x) for x in ("dağ-evi", "TOLGAN", "dagevi", "who")], "book string, name string")
     assert {r.name: (r.node, r.step) for r in governance.resolve(names, nodes, spellings).collect()} == {"dağ-evi": ("n1", 0), "TOLGAN": ("n2", 1), "dagevi": ("n1", 2), "who": (None, None)}
+
+
+def test_no_paragraph_is_cut(spark):
+    early, long_tail = "One.\nHe paid 42 coins to them.\nAnd 77 more to others.", "Bir.\nO öder 42.\nSon.\nЖук"
+    pairs = spark.createDataFrame([(1, 1, early, "Bir."), (1, 2, "One.", long_tail), (1, 3, early, None)], "book long, chapter_no long, source_text string, translation string")
+    paras = quality.aligned(pairs)
+    assert sorted((r.chapter_no, r.para, r.en, r.tr) for r in paras.collect())[:3] == [(1, 0, "One.", "Bir."), (1, 1, "He paid 42 coins to them.", ""), (1, 2, "And 77 more to others.", "")]
+    cards = {r.chapter_no: (r.paragraphs, r.short, r.tr_chars, r.en_chars, r.alarm) for r in quality.scorecard(paras).collect()}
+    assert cards == {1: (3, 2, 4, 51, True), 2: (4, 0, 21, 4, False), 3: (3, 3, 0, 51, True)}
+    assert sorted((r.chapter_no, r.para, r.missing) for r in quality.number_mismatches(paras).collect()) == [(c, p, v) for c in (1, 3) for p, v in ((1, "42"), (2, "77"))]
+    assert [(r.chapter_no, r.para) for r in quality.foreign_letters(paras).where("letters LIKE '%Ж%'").collect()] == [(2, 3)]
+
+
+def test_queries_read_both_sides_to_the_end(spark, data):
+    from quillwork import catalog
+    from quillwork.sources.tables import role
+
+    want = role(spark, data, "pairs").selectExpr("sum(length(source_text) - size(split(source_text, '\n')) + 1) en", "sum(length(translation) - size(split(translation, '\n')) + 1) tr").first()
+    got = catalog.QUERIES["scorecard_whole"](spark, data).groupBy().sum("en_chars", "tr_chars").first()
+    assert tuple(got) == tuple(want)
+    assert catalog.QUERIES["number_mismatch"](spark, data).count() == quality.number_mismatches(quality.aligned(role(spark, data, "pairs"))).count()
