@@ -160,6 +160,7 @@ def _aliases(s):
 QUERIES = {
     "chapter_list_nulls_last": lambda s, d: chapter_list(role(s, d, "chapters")),
     "chapter_headers": lambda s, d: headers(role(s, d, "chapters"), s.range(0, 4000, 9).select(F.concat(F.lit("doc:"), F.col("id")).alias("url"))),
+    "chapter_headers_whole": lambda s, d: headers(role(s, d, "chapters"), role(s, d, "chapters").select("url")),
     "source_coverage": lambda s, d: source_coverage(role(s, d, "chapters")),
     "latest_per_chapter": lambda s, d: newest_per_chapter(role(s, d, "chapters")),
     "prev_chapter_asof": lambda s, d: previous_chapter(role(s, d, "chapters")),
@@ -183,6 +184,7 @@ _NEW = f"(SELECT url, source_text, CASE WHEN doc_id % 2 = 0 THEN translation ||
 ORACLE = {
     "chapter_list_nulls_last": f"SELECT book, chapter_no, url, title, coalesce(trim(translation) <> '', false) AS translated FROM {_C} x WHERE coalesce(content_type, 'text') <> 'html'",
     "chapter_headers": f"SELECT url, book, chapter_no, title, model FROM {_C} x WHERE doc_id % 9 = 0 AND doc_id < 4000",
+    "chapter_headers_whole": f"SELECT url, book, chapter_no, title, model FROM {_C} x",
     "source_coverage": f"SELECT book, count(*) AS total, count(source_text) AS with_source, count(CASE WHEN trim(translation) <> '' THEN 1 END) AS translated, CAST(sum(length(source_text)) AS BIGINT) AS chars FROM {_C} x GROUP BY book",
     "latest_per_chapter": f"SELECT book, chapter_no, arg_max(url, (created_at, url)) AS url, max(created_at) AS created_at, count(*) AS versions FROM {_C} x GROUP BY book, chapter_no",
     "prev_chapter_asof": f"WITH c AS (SELECT * FROM {_C} x), o AS (SELECT *, last_value(CASE WHEN coalesce(content_type, 'text') <> 'html' THEN url END IGNORE NULLS) OVER (PARTITION BY book ORDER BY chapter_no, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM c WHERE chapter_no IS NOT NULL) SELECT o.url, coalesce(t.url, near) AS previous, t.url IS NOT NULL AS linked FROM o LEFT JOIN c t ON o.prev_url = t.url AND o.book = t.book",

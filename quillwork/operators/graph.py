@@ -146,10 +146,18 @@ def _mentions(s, d):
     return role(s, d, "claims").select("book", F.concat("chapter", F.lit(":"), F.substring("evidence", -1, 1)).alias("place"), F.col("subject").alias("node")).distinct()
 
 
+def _all_claim_edges(s, d):
+    return role(s, d, "claims").select("book", F.col("subject").alias("src"), "relation", F.col("object").alias("dst"))
+
+
 def _claim_edges(s, d):
     return role(s, d, "claims").where("chapter < 30").select("book", F.col("subject").alias("src"), "relation", F.col("object").alias("dst"))
 
 
+def _all_tied(s, d):
+    return role(s, d, "claims").select("book", F.col("subject").alias("src"), F.concat(F.lit("s"), (F.substring("subject", 2, 3).cast("int") + 1) % 30).alias("dst"))
+
+
 def _tied(s, d):
     return role(s, d, "claims").where("chapter % 7 = 0").select("book", F.col("subject").alias("src"), F.concat(F.lit("s"), (F.substring("subject", 2, 3).cast("int") + 1) % 30).alias("dst"))
 
@@ -172,6 +180,11 @@ QUERIES = {
     "graph_health": lambda s, d: health(role(s, d, "edges")),
     "node_clusters": lambda s, d: clusters(_claim_edges(s, d)),
     "case_components": lambda s, d: cases(role(s, d, "edges").where("learned_at % 37 = 0")),
+    # The four above whose SQL reads some chapters, over all edges and claims.
+    "origin_conflicts_whole": lambda s, d: origin_conflicts(role(s, d, "edges")),
+    "cooccurrence_antijoin_whole": lambda s, d: missing_links(_mentions(s, d), _all_tied(s, d)),
+    "node_clusters_whole": lambda s, d: clusters(_all_claim_edges(s, d)),
+    "case_components_whole": lambda s, d: cases(role(s, d, "edges")),
 }
 _E, _V, _CL = sql_role("edges"), sql_role("node_values"), sql_role("claims")
 _MERGED = lambda where: f"(SELECT book, src, relation, dst, (min((learned_at IS NULL, learned_at, evidence)))[2] AS learned_at, (min((learned_at IS NULL, learned_at, evidence)))[3] AS evidence, CASE max({_O}) WHEN 2 THEN 'manual' WHEN 1 THEN 'system' ELSE 'model' END AS origin, max(confidence) AS confidence, CASE WHEN (max(({_O}, status = 'approved')))[2] THEN 'approved' ELSE 'rejected' END AS status, count(*) AS seen FROM {_E} e WHERE {where} GROUP BY book, src, relation, dst)"
@@ -199,3 +212,5 @@ ORACLE = {
     "node_clusters": f"WITH e AS (SELECT book, subject AS src, relation, object AS dst FROM {_CL} x WHERE chapter < 30), o AS (SELECT book, src AS node, CASE WHEN bool_or(relation = 'rel_R') AND bool_or(relation = 'rel_A') THEN 'core' WHEN bool_or(relation = 'rel_R') THEN 'outer' END AS cluster FROM e GROUP BY ALL), g AS (SELECT e.book, e.dst AS node, min(cluster) AS g FROM e JOIN o ON e.book = o.book AND e.src = o.node WHERE cluster IS NOT NULL GROUP BY ALL) SELECT coalesce(o.book, g.book) AS book, coalesce(o.node, g.node) AS node, coalesce(cluster, g, 'none') AS cluster FROM o FULL JOIN g ON o.book = g.book AND o.node = g.node",
     "case_components": _EDGE_COMPONENTS,
 }
+_SLICES = {"origin_conflicts": " WHERE learned_at % 5 = 0", "cooccurrence_antijoin": " WHERE chapter % 7 = 0", "node_clusters": " WHERE chapter < 30", "case_components": " WHERE learned_at % 37 = 0"}
+ORACLE |= {f"{k}_whole": ORACLE[k].replace(where, "") for k, where in _SLICES.items()}

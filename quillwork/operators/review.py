@@ -182,6 +182,7 @@ _PROPOSED = """(SELECT doc_id AS id, url, CASE WHEN doc_id % 8 = 1 THEN 'Nobody'
   regexp_extract(substring(source_text, 60, 71), '[A-Za-z]{{3,}}', 0) AS object, CASE WHEN doc_id % 10 = 3 THEN concat('x', substring(source_text, 11, 120)) WHEN doc_id % 10 = 4 THEN NULL ELSE substring(source_text, 11, 120) END AS quote, CAST(doc_id % 20 AS DOUBLE) / 20 AS confidence FROM {chapters})"""
 _USES = "(SELECT concat(book, '/', node) AS node, count(DISTINCT learned_at) AS chapters FROM (SELECT book, src AS node, learned_at FROM {edges} UNION ALL SELECT book, dst, learned_at FROM {edges}) GROUP BY 1)"
 _ALIASES = "(SELECT DISTINCT concat(book, '/', src) AS u, concat(book, '/', dst) AS v FROM {edges} WHERE learned_at % 37 = 0)"
+_ALL_ALIASES = _ALIASES.replace(" WHERE learned_at % 37 = 0", "")
 
 
 def _sql(s, d, text: str) -> DataFrame:
@@ -194,11 +195,11 @@ def _duck(text: str) -> str:
     return text.replace("{{", "{").replace("}}", "}")
 
 
-def _reported(s, d) -> DataFrame:
+def _reported(s, d, whole: bool = False) -> DataFrame:
     c = role(s, d, "chapters").where("translation is not null")
     names = F.array_distinct(F.regexp_extract_all("source_text", F.lit("[A-Z][a-z]{4,}"), F.lit(0)))
     made = F.when(F.col("doc_id") % 3 == 0, F.array(*map(F.lit, ("Bilgin", "Çelik", "Xyzzyq", "Qwortl")))).otherwise(F.array(F.lit("Bilgin")))
-    return c.select("url", F.concat(F.slice(names, 1, 6), made).alias("names"), F.slice(names, 2, 2).alias("terms"), "source_text", "translation")
+    return c.select("url", F.concat(names if whole else F.slice(names, 1, 6), made).alias("names"), F.slice(names, 2, 2).alias("terms"), "source_text", "translation")
 
 
 QUERIES = {
@@ -211,6 +212,9 @@ QUERIES = {
     "alias_groups": lambda s, d: alias_groups(_sql(s, d, _ALIASES), _sql(s, d, _USES)),
     "evidence_verdicts": lambda s, d: evidence_verdicts(_sql(s, d, _PROPOSED), role(s, d, "chapters"), ("knows", "owns")),
     "extracted_names": lambda s, d: extracted_names(_reported(s, d)),
+    # Over all edges, and over all names of a text instead of six.
+    "alias_groups_whole": lambda s, d: alias_groups(_sql(s, d, _ALL_ALIASES), _sql(s, d, _USES)),
+    "extracted_names_whole": lambda s, d: extracted_names(_reported(s, d, whole=True)),
 }
 _q = lambda x: "'" + x.replace("'", "''") + "'"
 _FOLD = lambda x: f"lower(regexp_replace(trim({x}), '[\\s\\-_''’.·]+', '', 'g'))"
@@ -240,3 +244,5 @@ SELECT book, source, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r G
     "evidence_verdicts": _duck(f"SELECT id, CASE WHEN relation NOT IN ('knows', 'owns') THEN 'unknown relation' WHEN coalesce(length({_DPLAIN('quote')}), 0) < {LEAST_QUOTE} THEN 'no evidence' WHEN NOT contains({_DPLAIN('source_text')}, {_DPLAIN('quote')}) THEN 'not verbatim' WHEN NOT contains({_DPLAIN('quote')}, lower(subject)) THEN 'subject absent' WHEN NOT contains({_DPLAIN('quote')}, lower(object)) THEN 'object absent' WHEN subject = object THEN 'same ends' WHEN confidence < {LEAST_CONFIDENCE}::DOUBLE THEN 'low confidence' WHEN regexp_matches({_DPLAIN('quote')}, {_q(SUPPOSED.replace('{', '{{').replace('}', '}}'))}) THEN 'supposed' WHEN regexp_matches(subject, '^[a-z]') THEN 'common noun' END AS reason FROM {_PROPOSED} p LEFT JOIN {{chapters}} ON p.url = chapters_.url"),
     "extracted_names": _duck(f"SELECT url, array_to_string(list_sort(kept), ',') AS kept, CAST(len(names) - len(kept) AS BIGINT) AS dropped, len(names) >= {BROKEN_LEAST} AND len(list_filter(names, lambda n: NOT contains(sf, {_FOLD('n')}))) >= {BROKEN_SHARE}::DOUBLE * len(names) AS broken FROM (SELECT *, list_filter(names, lambda n: NOT list_contains(keys, {_FOLD('n')}) AND NOT regexp_matches(n, {_q(_TURKISH)}) AND contains(tf, {_FOLD('n')}) AND contains(sf, {_FOLD('n')})) AS kept FROM (SELECT url, list_concat(ns[1:6], CASE WHEN doc_id % 3 = 0 THEN ['Bilgin', 'Çelik', 'Xyzzyq', 'Qwortl'] ELSE ['Bilgin'] END) AS names, list_transform(ns[2:3], lambda n: {_FOLD('n')}) AS keys, {_FOLD('source_text')} AS sf, {_FOLD('translation')} AS tf FROM (SELECT *, list_filter(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), lambda x, i: list_position(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), x) = i) AS ns FROM {{chapters}} WHERE translation IS NOT NULL) a) b) c"),
 }
+ORACLE["alias_groups_whole"] = ORACLE["alias_groups"].replace(_duck(_ALIASES), _duck(_ALL_ALIASES))
+ORACLE["extracted_names_whole"] = ORACLE["extracted_names"].replace("list_concat(ns[1:6], ", "list_concat(ns, ")

@@ -180,3 +180,34 @@ def test_queries_read_both_sides_to_the_end(spark, data):
     got = catalog.QUERIES["scorecard_whole"](spark, data).groupBy().sum("en_chars", "tr_chars").first()
     assert tuple(got) == tuple(want)
     assert catalog.QUERIES["number_mismatch"](spark, data).count() == quality.number_mismatches(quality.aligned(role(spark, data, "pairs"))).count()
+
+
+def test_whole_queries_see_every_chapter(spark, data):
+    from quillwork import catalog
+    from quillwork.sources.tables import role
+
+    ran = lambda name: catalog.QUERIES[name](spark, data)
+    edges, claims, chapters_ = (role(spark, data, x).toPandas() for x in ("edges", "claims", "chapters"))
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x in edges.itertuples():
+        a, b = sorted((top(f"{x.book}/{x.src}"), top(f"{x.book}/{x.dst}")))
+        up[b] = a
+    sizes = {}
+    for x in list(up):
+        sizes[top(x)] = sizes.get(top(x), 0) + 1
+    assert {r.component: r.members for r in ran("case_components_whole").collect()} == sizes
+    assert sorted(r.members for r in ran("alias_groups_whole").collect()) == sorted(n for n in sizes.values() for _ in range(n))
+    models, firm = set(), {}
+    for x in edges.itertuples():
+        pair = (x.book, *sorted((x.src, x.dst)))
+        models.add((*pair, x.relation)) if x.origin == "model" else firm.setdefault(pair, set()).add(x.relation)
+    conflicts = {m for m in models if m[:3] in firm and m[3] not in firm[m[:3]]}
+    assert {tuple(r)[:4] for r in ran("origin_conflicts_whole").collect()} == conflicts
+    assert ran("node_clusters_whole").count() == len({(x.book, n) for x in claims.itertuples() for n in (x.subject, x.object)})
+    assert ran("chapter_headers_whole").count() == len(chapters_)
