@@ -70,13 +70,17 @@ def values_at(values: DataFrame, as_of: int) -> DataFrame:
 def refuted(values: DataFrame) -> DataFrame:
     """A confirmed value refutes earlier unlike ones: the chapter of the first confirmation after each that says otherwise.
 
-    For each value the first later confirmation of any other value is the lesser of the first confirmations of the two earliest
-    distinct values ahead, so two running minima per key do instead of a pair join."""
-    by = Window.partitionBy("book", "node", "key").orderBy("learned_at", "seq").rowsBetween(1, Window.unboundedFollowing)
-    kinds = ("F", "O", "P")
-    firsts = {k: F.min(F.when((F.col("value") == k) & F.col("confirmed"), F.col("learned_at"))).over(by) for k in kinds}
-    other = F.least(*[F.when(F.col("value") != k, firsts[k]) for k in kinds])
-    return values.select("book", "node", "key", "value", "learned_at", "seq", "confirmed").withColumn("refuted_at", other).where("not confirmed and refuted_at is not null").select("book", "node", "key", "value", "learned_at", "seq", "refuted_at")
+    Whatever the values, that is the next confirmation ahead if it differs, else the one that ends its run of equal
+    confirmations; both are carried along the rows from the last to the first, without a pair join. Null says nothing."""
+    ahead = Window.partitionBy("book", "node", "key").orderBy(F.desc("learned_at"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    says = F.col("confirmed") & F.col("value").isNotNull()
+    following = lambda when, *what: F.last(F.when(when, F.struct(*what)), ignorenulls=True).over(ahead)
+    v = values.select("book", "node", "key", "value", "learned_at", "seq", "confirmed").withColumn("_n", following(says, "value", "learned_at"))
+    v = v.withColumn("_ends", F.coalesce(says & (F.col("_n.value") != F.col("value")), F.lit(False)))
+    v = v.withColumn("_o", F.when(F.col("_ends"), F.col("_n.learned_at")).otherwise(following(F.col("_ends"), F.col("_n.learned_at").alias("at"))["at"]))
+    v = v.withColumn("_x", following(says, "value", "learned_at", "_o"))
+    other = F.when(F.col("_x.value") != F.col("value"), F.col("_x.learned_at")).when(F.col("_x.value") == F.col("value"), F.col("_x._o"))
+    return v.withColumn("refuted_at", other).where("not confirmed and refuted_at is not null").select("book", "node", "key", "value", "learned_at", "seq", "refuted_at")
 
 
 def missing_links(mentions: DataFrame, edges: DataFrame, at_least: int = 2) -> DataFrame:

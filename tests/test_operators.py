@@ -211,3 +211,15 @@ def test_whole_queries_see_every_chapter(spark, data):
     assert {tuple(r)[:4] for r in ran("origin_conflicts_whole").collect()} == conflicts
     assert ran("node_clusters_whole").count() == len({(x.book, n) for x in claims.itertuples() for n in (x.subject, x.object)})
     assert ran("chapter_headers_whole").count() == len(chapters_)
+
+
+def test_any_value_refutes(spark):
+    rng = random.Random(6)
+    rows = [("b", f"n{rng.randrange(25)}", "rank", rng.choice(["page", "squire", "knight", "F", "O", "", None]), rng.randrange(12), i, rng.random() < 0.4) for i in range(500)]
+    found = graph.refuted(spark.createDataFrame(rows, "book string, node string, key string, value string, learned_at int, seq int, confirmed boolean"))
+    want = set()
+    for b, n, k, v, at, seq, sure in rows:
+        later = [y[4] for y in rows if y[1] == n and (y[4], y[5]) > (at, seq) and y[6] and None not in (y[3], v) and y[3] != v]
+        if later and not sure:
+            want.add((b, n, k, v, at, seq, min(later)))
+    assert len(want) > 50 and {tuple(r) for r in found.collect()} == want
