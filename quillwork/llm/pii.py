@@ -141,7 +141,7 @@ def email_local(local: str, key: bytes) -> str:
 _EMAIL = r"(?P<local>[^\W_][\w.+-]*)@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
 _PHONE = r"(?<![\w.+-])(?P<country>\+\d{1,3})[ .-]?(?P<phone>\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![\w]|[.-]\d)"
 _NANP = r"(?<![\w.+-])(?P<nanp>\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]|[.-]\d)"
-_DATE = r"(?<![\w.,/-])(?P<date>(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[-/.])(?P<b2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d{2}))(?![\w]|[.,/-]\d)"
+_DATE = r"(?<![\w./-])(?P<date>(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[-/.])(?P<b2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d{2}))(?:(?=[Tt]\d{2})|(?![\w]|[./-]\d))"
 _SSN = r"(?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|[.-]\d)"
 _IPV4 = r"(?<![\w.])(?P<ipv4>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
 _IBAN = r"(?<![\w])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w])"
@@ -159,8 +159,34 @@ def _bare(text: str) -> str:
     return "".join(c for c in text if c.isalnum())
 
 
+# The lengths of the IBAN registry.
+_IBAN_LENGTHS = "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _IBAN_LENGTHS.split()}
+
+
+def _card_length(digits: str) -> int:
+    """The length that the issuer's cards nearly always have, 0 where there is no usual one."""
+    return 15 if digits[:2] in ("34", "37") else 16 if digits[0] == "4" or "51" <= digits[:2] <= "55" or "2221" <= digits[:4] <= "2720" else 0
+
+
+def _starts(value: str, usual: int) -> list[str]:
+    """The value and what it begins with up to a separator, since words and numbers beside a value may match with it: those of
+    the usual length first, then the longer first."""
+    cuts = [value, *(value[:i] for i in range(len(value) - 1, 0, -1) if value[i] in " -")]
+    return sorted(cuts, key=lambda x: len(_bare(x)) != usual)
+
+
+def _first_valid(kind, permute, values, fits, key):
+    for value in values:
+        new = permute(_bare(value), key) if fits(value) else None
+        if new:
+            return kind, _refill(value, new)
+    return None
+
+
 def replacement(m: re.Match, key: bytes) -> tuple[str, str] | None:
-    """(kind, pseudonym) of a match whose value is valid in its format; None leaves the text as it is."""
+    """(kind, pseudonym) of a match whose value is valid in its format; None leaves the text as it is. A card or an IBAN that is
+    only the first part of the match gives a pseudonym of that part's length."""
     g = m.groupdict()
     if g["local"]:
         return "email", f"{email_local(g['local'], key)}@{g['domain']}"
@@ -182,10 +208,9 @@ def replacement(m: re.Match, key: bytes) -> tuple[str, str] | None:
         new = ipv4(int.from_bytes(bytes(parts), "big"), key)
         return new and ("ipv4", ".".join(map(str, new.to_bytes(4, "big"))))
     if g["iban"]:
-        new = iban(_bare(g["iban"]), key)
-        return new and ("iban", _refill(g["iban"], new))
-    new = card(_bare(g["card"]), key)
-    return new and ("card", _refill(g["card"], new))
+        usual = IBAN_LENGTHS.get(g["iban"][:2], 0)
+        return _first_valid("iban", iban, _starts(g["iban"], usual), lambda x: x == g["iban"] or not usual or len(_bare(x)) == usual, key)
+    return _first_valid("card", card, _starts(g["card"], _card_length(_bare(g["card"]))), lambda x: True, key)
 
 
 def _dated(g: dict[str, str], key: bytes) -> tuple[str, str] | None:
@@ -210,12 +235,16 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     if "@" not in text and not any(c in text for c in "0123456789"):
         return text, []
     out, spans, at = [], [], 0
-    for m in PATTERN.finditer(text):
+    m = PATTERN.search(text)
+    while m:
         new = replacement(m, key)
+        after = m.start() + 1
         if new:
+            after = m.start() + len(new[1]) if new[0] in ("card", "iban") else m.end()
             out += [text[at : m.start()], new[1]]
-            spans.append((new[0], m.start(), m.end()))
-            at = m.end()
+            spans.append((new[0], m.start(), after))
+            at = after
+        m = PATTERN.search(text, after)
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 

@@ -63,6 +63,26 @@ def test_pseudonyms_keep_format_and_link():
         assert old not in out
 
 
+def test_values_beside_other_text_are_found():
+    key, visa, spanish, day = b"k", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "2024-03-05"
+    new = {v: pii.pseudonymise(v, key)[0] for v in (visa, spanish, day)}
+    assert all(new[v] != v for v in new)
+    around = {
+        visa: ["card {} 12/27", "{} 123", "{} 12 34", "7 {}", "12 {} 12/27", "{}, 12/27", "{} 4845168114407329"],
+        spanish: ["{} EUR", "{} PAID", "{} EUR 12", "to {} BIC", "{} AB12", "AB12 CDEF GHIJ {}", "{}."],
+        day: ["{}T10:00:00Z", "{}t10:00", "7,{},9", "a,{},b", "{},7"],
+    }
+    for value, places in around.items():
+        for place in places:
+            out, spans = pii.pseudonymise(place.format(value), key)
+            at = place.index("{}")
+            assert out.startswith(place[:at] + new[value]), (place, out)
+            assert (at, at + len(value)) in [s[1:] for s in spans]
+            assert "4845" in place or out == place.format(new[value])
+    for text in ("4111111111111111123456", "2024-03-05x", "2024-03-05-7", "1/2024-03-05", "4111 1111 1111 1112 12/27", "ES91 2100 0418 4502 0005 1333 EUR"):
+        assert pii.pseudonymise(text, key) == (text, []), text
+
+
 def test_pseudonym_rows(spark, texts):
     got = {r.doc_id: r for r in pii.pseudonyms(docs(spark, [*EMPTY, "x a@b.co"])).collect()}
     assert [got[i].text for i in range(3)] == ["", "", " \n\t"] and got[3].n_email == 1 and got[3].spans == "email:2:8"
