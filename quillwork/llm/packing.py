@@ -4,8 +4,8 @@ The lengths of all pieces form a histogram of at most `capacity` entries. A conf
 share one sequence. The covering linear program over configurations (fewest sequences such that every length's demand is met)
 is solved by multiplicative weights: each step prices the lengths, finds the best configuration by knapsack dynamic programming
 and takes as much of it as half its scarcest demand; the price of a length falls exponentially with the part of its demand that
-is met. Full configurations are rounded down, the rest is solved again while that places pieces, and the bounded remainder is
-placed best-fit by decreasing length. Only the
+is met. Full configurations are rounded down and the rest is solved again while that places pieces, then so are all others, and
+the remainder, a few pieces of each length, is placed best-fit by decreasing length, counts of equal lengths at a time. Only the
 histogram reaches the driver; pieces find their place by their rank among the pieces of equal length."""
 
 from __future__ import annotations
@@ -133,39 +133,66 @@ def fractional(demand: dict[int, int], capacity: int, steps: int = STEPS, eta: f
 
 
 def best_fit(demand: Counter[int], capacity: int) -> Counter[tuple]:
-    """Decreasing lengths, each into the fullest open sequence that has room."""
+    """Decreasing lengths, each into the fullest open sequence that has room. Sequences of one content are one row with their
+    number, of which a length splits one at most, so rows are bounded by the distinct lengths however many pieces there are."""
     rooms: list[tuple[int, int]] = []
-    bins: list[Counter[int]] = []
-    for x in sorted(demand.elements(), reverse=True):
-        k = bisect_left(rooms, (x, -1))
-        room, at = rooms.pop(k) if k < len(rooms) else (capacity, len(bins))
-        if at == len(bins):
-            bins.append(Counter())
-        bins[at][x] += 1
-        if room > x:
-            insort(rooms, (room - x, at))
-    return Counter(tuple(sorted(b.items(), reverse=True)) for b in bins)
-
-
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """(configuration, copies) that place every piece of the histogram exactly once."""
+    alike: list[tuple[tuple, int]] = []
+    done: Counter[tuple] = Counter()
+
+    def put(room: int, config: tuple, copies: int) -> None:
+        if room and copies:
+            insort(rooms, (room, len(alike)))
+            alike.append((config, copies))
+        elif copies:
+            done[config] += copies
+
+    for x in sorted(demand, reverse=True):
+        n = demand[x]
+        while n:
+            k = bisect_left(rooms, (x, -1))
+            room, at = rooms.pop(k) if k < len(rooms) else (capacity, -1)
+            times = min(n, room // x)
+            config, copies = alike[at] if at >= 0 else ((), n // times)
+            used = min(copies, n // times)
+            put(room, config, copies - used)
+            put(room - times * x, (*config, (x, times)), used)
+            n -= times * used
+    for _, at in rooms:
+        done[alike[at][0]] += alike[at][1]
+    return done
+
+
+def _rounded(left: Counter[int], capacity: int, full: bool) -> tuple[Counter[tuple], Counter[int]]:
+    """Whole copies of the LP's configurations (`full`: of those that fill a sequence), solved again on the rest while that places
+    pieces and more than four of a length are left; with the rest. Without `full` the first configuration of each solution has
+    a whole copy, so the rest is bounded by the distinct lengths."""
     chosen: Counter[tuple] = Counter()
-    left = Counter({x: n for x, n in histogram.items() if n})
-    for x in [x for x in left if 2 * x > capacity and x == capacity]:
-        chosen[((x, 1),)] += left.pop(x)
     before = 0
     while left and sum(left.values()) > 4 * len(left) and sum(left.values()) != before:
         before = sum(left.values())
+        left = left.copy()
         for config, copies in fractional(left, capacity).items():
-            whole = min([int(copies + 1e-9), *(left[x] // times for x, times in config)]) if sum(x * times for x, times in config) == capacity else 0
+            whole = min([int(copies + 1e-9), *(left[x] // times for x, times in config)]) if not full or sum(x * times for x, times in config) == capacity else 0
             if whole:
                 chosen[config] += whole
                 for x, times in config:
                     left[x] -= whole * times
         left = +left
-    for config, copies in best_fit(left, capacity).items():
-        chosen[config] += copies
-    return sorted(chosen.items(), reverse=True)
+    return chosen, left
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
+    """(configuration, copies) that place every piece of the histogram exactly once. What full configurations leave goes to
+    best fit at once or after the other configurations, whichever takes fewer sequences."""
+    chosen: Counter[tuple] = Counter()
+    left = Counter({x: n for x, n in histogram.items() if n})
+    for x in [x for x in left if 2 * x > capacity and x == capacity]:
+        chosen[((x, 1),)] += left.pop(x)
+    placed, left = _rounded(left, capacity, True)
+    at_once = best_fit(left, capacity)
+    others, rest = _rounded(left, capacity, False)
+    later = others + best_fit(rest, capacity)
+    return sorted((chosen + placed + min(at_once, later, key=Counter.total)).items(), reverse=True)
 
 
 def _places(chosen: list[tuple[tuple, int]]) -> tuple[np.ndarray, ...]:

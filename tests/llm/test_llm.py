@@ -170,6 +170,27 @@ def test_configurations_place_every_piece_once():
     assert packing.knapsack(np.array([3, 5]), np.array([0.3, 0.45]), 11) == {5: 1, 3: 2}
 
 
+def slow_best_fit(demand, capacity):
+    bins = []
+    for x in sorted(demand.elements(), reverse=True):
+        fits = [b for b in bins if capacity - sum(b) >= x]
+        max(fits, key=sum).append(x) if fits else bins.append([x])
+    return len(bins)
+
+
+def test_packing_without_full_configurations():
+    for n in (50, 1_000_000):
+        chosen = packing.configurations({515: 6 * n, 262: 6 * n, 259: 6 * n, 249: 12 * n})
+        assert sum(k for _, k in chosen) <= 9 * n + 4 and len(chosen) < 60
+    assert sum(k for _, k in packing.configurations({600: 10**8, 1: 3})) == 10**8
+    rng = random.Random(3)
+    for _ in range(30):
+        demand = Counter(rng.choice([rng.randint(1, 60), 17, 9]) for _ in range(rng.randint(0, 120)))
+        found = packing.best_fit(demand, 60)
+        assert found.total() == slow_best_fit(demand, 60) and all(sum(x * k for x, k in c) <= 60 for c in found)
+        assert sum((Counter({x: k * m for x, k in c}) for c, m in found.items()), Counter()) == demand
+
+
 # 4 decontamination
 
 
