@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -115,27 +116,42 @@ def drift(renderings: DataFrame, hits: int = 5, chapters: int = 3, share: float
 
 
 def memory_examples(pairs: DataFrame, k: int = 10, damp: float = 0.3, talk: float = 1.2) -> DataFrame:
-    """Greedy weighted cover: the example paragraphs whose words best cover a chapter's, rare words first; a covered word keeps
-    `damp` of its weight. A group holds the paragraphs of one book only."""
+    """Greedy weighted cover per target chapter: the paragraphs of its book's earlier chapters whose words best cover the target's,
+    rare words first (ln(1 + n / (1 + df)) over the n earlier paragraphs); a covered word keeps `damp` of its weight, ties go to
+    the later chapter, then the earlier paragraph. Candidates meet their target by an equi-join on words; a group holds those of
+    one target with the words they share with it."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        bags = [set(x) for x in rows.bag]
+        bags = [sorted(x) for x in rows.bag]
         seen = Counter(w for b in bags for w in b)
-        weight = {w: math.log(1 + len(bags) / (1 + n)) for w, n in seen.items()}
-        order, out = sorted(range(len(rows)), key=lambda i: (-rows.chapter_no.iloc[i], rows.para.iloc[i])), []
-        for pick in range(k):
-            score = {i: sum(weight[w] for w in sorted(bags[i])) * (talk if rows.talk.iloc[i] else 1.0) for i in order}
-            best = max(order, key=lambda i: score[i], default=None)
-            if best is None or score[best] <= 0:
+        weight = {w: math.log(1 + rows.n.iloc[0] / (1 + n)) for w, n in seen.items()}
+        factor = [talk if x else 1.0 for x in rows.talk]
+        score = lambda i: sum(weight[w] for w in bags[i]) * factor[i]
+        heap = [(-score(i), -c, p, i) for i, (c, p) in enumerate(zip(rows.chapter_no, rows.para, strict=True))]
+        heapq.heapify(heap)
+        out = []
+        while heap and len(out) < k:
+            was, c, p, i = heapq.heappop(heap)
+            now = -score(i)
+            if now != was:  # scores only fall, so what stands first with its present score is the best
+                heapq.heappush(heap, (now, c, p, i))
+                continue
+            if now >= 0:
                 break
-            out.append((rows.book.iloc[0], pick, rows.chapter_no.iloc[best], rows.para.iloc[best]))
-            order.remove(best)
-            for w in bags[best]:
+            out.append((rows.book.iloc[0], rows.target.iloc[0], len(out), -c, p))
+            for w in bags[i]:
                 weight[w] *= damp
-        return pd.DataFrame(out, columns=["book", "pick", "chapter_no", "para"])
-
-    bags = paragraphs(pairs).select("book", "chapter_no", "para", F.array_distinct(F.regexp_extract_all(F.lower("en"), F.lit(r"[\p{L}]{4,}"), F.lit(0))).alias("bag"), F.col("en").startswith('"').alias("talk")).where(F.size("bag") > 0)
-    return bags.groupBy("book").applyInPandas(group, "book long, pick long, chapter_no long, para long")
+        return pd.DataFrame(out, columns=["book", "target", "pick", "chapter_no", "para"])
+
+    bag = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]{4,}"), F.lit(0)))
+    own = paragraphs(pairs).select("book", "chapter_no", "para", bag("en").alias("bag"), F.col("en").startswith('"').alias("talk")).where(F.size("bag") > 0)
+    targets = pairs.select("book", F.col("chapter_no").alias("target"), F.explode(bag("source_text")).alias("word")).distinct()
+    earlier = pairs.select("book", "chapter_no").distinct().join(own.groupBy("book", "chapter_no").agg(F.count("*").alias("c")), ["book", "chapter_no"], "left")
+    before = Window.partitionBy("book").orderBy("chapter_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = earlier.select("book", F.col("chapter_no").alias("target"), F.sum("c").over(before).alias("n"))
+    told = own.select("book", "chapter_no", "para", "talk", F.explode("bag").alias("word"))
+    shared = targets.join(told, ["book", "word"]).where("chapter_no < target").groupBy("book", "target", "chapter_no", "para", "talk").agg(F.collect_list("word").alias("bag"))
+    return shared.join(counts, ["book", "target"]).groupBy("book", "target").applyInPandas(group, "book long, target long, pick long, chapter_no long, para long")
 
 
 def _paras(s, d):

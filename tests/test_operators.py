@@ -223,3 +223,29 @@ def test_any_value_refutes(spark):
         if later and not sure:
             want.add((b, n, k, v, at, seq, min(later)))
     assert len(want) > 50 and {tuple(r) for r in found.collect()} == want
+
+
+def test_memory_examples_per_target_chapter(spark):
+    import math
+
+    rng = random.Random(11)
+    words = ["silver", "crow", "night", "tower", "river", "stone", "lord"]
+    line = lambda: rng.choice(["", '"']) + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    texts = [(b, c, [line() for _ in range(5)]) for b in (1, 2) for c in range(1, 9)]
+    pairs = spark.createDataFrame([(b, c, "\n".join(t), "\n".join("x" for _ in (t if c != 4 else t[1:]))) for b, c, t in texts], "book long, chapter_no long, source_text string, translation string")
+    bag = lambda x: {w for w in x.replace('"', "").split() if len(w) > 3}
+    want = []
+    for b, target, own in texts:
+        keys = bag(" ".join(own))
+        pool = [(c, i, x) for bb, c, t in texts for i, x in enumerate(t) if bb == b and c < target and c != 4 and bag(x)]
+        weight = {w: math.log(1 + len(pool) / (1 + sum(w in bag(x) for _, _, x in pool))) for w in keys}
+        for pick in range(3):
+            score = lambda y: sum(weight[w] for w in sorted(bag(y[2]) & keys)) * (1.2 if y[2][0] == '"' else 1.0)
+            best = max(pool, key=lambda y: (score(y), y[0], -y[1]), default=None)
+            if not best or score(best) <= 0:
+                break
+            want.append((b, target, pick, best[0], best[1]))
+            pool.remove(best)
+            for w in bag(best[2]) & keys:
+                weight[w] *= 0.3
+    assert len(want) > 30 and sorted(tuple(r) for r in quality.memory_examples(pairs, k=3).collect()) == sorted(want)
