@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder; a temporary one is set only where the session has none, as in tests."""
+    """checkpoint() into the session's shared folder; where a local session (as in tests) has none, into a temporary one."""
     context = df.sparkSession.sparkContext
     if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillwork-"))
     return df.checkpoint()
 
