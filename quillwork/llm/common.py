@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a local session (as in tests) gets
+    a temporary one; a cluster does not, as its machines would not share it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillwork-stage-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -50,6 +56,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """The key by which rows are known by their text: 128 bits, in lower hex; null text is empty text."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -61,11 +72,19 @@ def rows_out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices (no copies), so that a task's Python memory is bounded by a few hundred rows and not by the Arrow batch."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices (no copies) of at most so many rows and bytes of text (a single longer text is a slice alone), so that a task's Python
+    memory is bounded by them and not by the Arrow batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type)]
+        held = sum((pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64))
+        ends = np.cumsum(held)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def hex16(value: Column) -> Column:
