@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 from datetime import date
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import id_and_text, table
 
 ROUNDS = 10
-#: The production key comes from a secret store; this one keeps tests and queries repeatable.
-DEFAULT_KEY = b"quillwork pseudonym key"
+#: The setting of the session that holds the key, in hexadecimal, as a secret store hands it out.
+KEY_SETTING = "spark.quillwork.pseudonym.key"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -138,7 +139,8 @@ def email_local(local: str, key: bytes) -> str:
     return "".join(o.upper() if c.isupper() and len(o.upper()) == 1 else o for o, c in zip(out, local, strict=True))
 
 
-_EMAIL = r"(?P<local>[^\W_][\w.+-]*)@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
+# A run of an address's characters is looked at once, from its start: marks before the first letter or digit are not part of it.
+_EMAIL = r"(?<![\w.+-])[_.+-]*+(?P<local>[^\W_][\w.+-]*+)@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
 _PHONE = r"(?<![\w.+-])(?P<country>\+\d{1,3})[ .-]?(?P<phone>\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![\w]|[.-]\d)"
 _NANP = r"(?<![\w.+-])(?P<nanp>\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]|[.-]\d)"
 _DATE = r"(?<![\w./-])(?P<date>(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[-/.])(?P<b2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d{2}))(?:(?=[Tt]\d{2})|(?![\w]|[./-]\d))"
@@ -189,7 +191,7 @@ def replacement(m: re.Match, key: bytes) -> tuple[str, str] | None:
     only the first part of the match gives a pseudonym of that part's length."""
     g = m.groupdict()
     if g["local"]:
-        return "email", f"{email_local(g['local'], key)}@{g['domain']}"
+        return "email", f"{m[0][: m.start('local') - m.start()]}{email_local(g['local'], key)}@{g['domain']}"
     if g["country"]:
         new = phone(_bare(g["phone"]), key)
         return new and ("phone", m[0][: len(m[0]) - len(g["phone"])] + _refill(g["phone"], new))
@@ -242,18 +244,25 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
         if new:
             after = m.start() + len(new[1]) if new[0] in ("card", "iban") else m.end()
             out += [text[at : m.start()], new[1]]
-            spans.append((new[0], m.start(), after))
+            spans.append((new[0], m.start("local") if new[0] == "email" else m.start(), after))
             at = after
         m = PATTERN.search(text, after)
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session; without one a fresh key, by which pseudonyms link within this run and are reversible by nobody."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(given) if given else secrets.token_bytes(32)
+
+
+def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_email, ..., n_date, spans) per input row: the text with pseudonyms, counts by kind, and kind:start:end
     of the originals in code points, comma-joined.
 
-    Null text gives the empty text and no spans; values that fail their format's check (Luhn, mod 97, calendar, octets) stay;
-    equal values get equal pseudonyms in every row and document under one key; other columns are ignored."""
+    Null and empty texts give the empty text and no spans; values that fail their format's check (Luhn, mod 97, calendar, octets)
+    stay; equal values get equal pseudonyms in every row and document under one key, so repeated rows give equal rows; very long
+    texts take time in proportion to their length; an empty table gives no rows; other columns are ignored."""
     names = ["doc_id", "text", *(f"n_{k}" for k in KINDS), "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,4 +275,4 @@ def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id"
 
 
 def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(table(spark, sf_dir, "documents"))
+    return pseudonyms(table(spark, sf_dir, "documents"), session_key(spark))
