@@ -1,4 +1,5 @@
-"""Exact substring dedup: every byte that a repeated string of LENGTH bytes covers is removed.
+"""Exact substring dedup: every byte that a repeated string of LENGTH bytes covers is removed. Copies are settled by counting equal
+units (128-bit digests of runs of windows); where units differ, suffixes are sorted by a difference cover and neighbours compared.
 
 Suffixes are compared by names. A name of depth 3 is a triple of bytes; a name of depth 3k is a triple of names of depth k, made
 of 64-bit mixes instead of ranks, so that naming needs no global sort and equal strings have equal names in every task.
@@ -10,10 +11,11 @@ of 64-bit mixes instead of ranks, so that naming needs no global sort and equal
    difference cover modulo V: two equal windows have, at some common distance below V, sampled suffixes that agree on the
    next LENGTH - V + 1 bytes. Sampled suffixes are named to that depth and sorted; those met once are dropped.
 3. The remaining suffixes, those with a repeated sample within V - 1 bytes, are merged in, sorted by the names of their
-   LENGTH-byte prefixes, and neighbours with equal names are repeats.
+   LENGTH-byte prefixes, and neighbours with equal names are compared byte by byte. Names only ever select what is compared.
 
 Steps 2 and 3 run where the units of one least name have been brought together, many least names to a task; a least name with
-more than LOCAL_KINDS different units has its suffixes dealt out by name over the cluster instead, by the same two steps."""
+more than LOCAL_KINDS different units has its suffixes dealt out over the cluster instead, by the same two steps; equal prefixes
+are then known by their 128-bit digests, as neighbours are not in one memory."""
 
 from __future__ import annotations
 
@@ -31,9 +33,8 @@ from .common import bucket_count, id_and_text, small_batches, stage, table, unst
 
 LENGTH = 400
 GRAM = 81
-#: Rows and bytes that a broadcast may hold; joins beyond either shuffle.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_RUNS = 4_000_000
+#: Bytes that a broadcast may hold; larger joins shuffle.
+BROADCAST_BYTES = 96 << 20
 #: Different units of one least name (some 650 bytes each) that one task compares.
 LOCAL_KINDS = 8192
 #: Bytes of units whose suffixes a task sorts at a time.
@@ -130,19 +131,24 @@ def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(text_key, least, unit, first, size, copies) -> (least, unit, copies, slice): the bytes of all the unit's windows,
-    once for each row of the text."""
+    """wanted(text_key, least, unit, first, size, copies) -> (least, unit, copies, slice): the bytes of all the unit's windows, once
+    for each task that meets the text, however many rows repeat it there."""
     keys = wanted.groupBy("text_key").agg(F.collect_list(F.struct("least", "unit", "copies", "first", "size")).alias("wanted"))
     keys = stage(keys, "substring-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for b in small_batches(batches, ROWS):
-            rows = [(w["least"], w["unit"], w["copies"], text[w["first"] : w["first"] + w["size"] + LENGTH - 1]) for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in want]
+            rows = []
+            for key, text, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key not in done:
+                    done.add(key)
+                    rows += [(w["least"], w["unit"], w["copies"], text[w["first"] : w["first"] + w["size"] + LENGTH - 1]) for w in want]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["least", "unit", "copies", "slice"])
 
     keyed = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_keyed, "doc_id long, text_key binary, text binary")
-    return keyed.join(_sized(keys, F.size("wanted")), "text_key").select("text", "wanted").mapInArrow(cut, "least long, unit binary, copies long, slice binary")
+    return keyed.join(_sized(keys, 48, 56 * F.size("wanted")), "text_key").select("text_key", "text", "wanted").mapInArrow(cut, "least long, unit binary, copies long, slice binary")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +157,42 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "text_key", "text"])
 
 
+def _same_bytes(data: np.ndarray, at: np.ndarray, name: np.ndarray, copied: np.ndarray) -> np.ndarray:
+    """The places whose LENGTH bytes occur elsewhere: sorted by name, neighbours are compared byte by byte. A neighbour pair one byte
+    on from another needs only its last byte compared. Should unlike strings share a name, that name's places are compared by their
+    bytes alone."""
+    order = np.argsort(name, kind="stable")
+    ranked, placed = name[order], at[order]
+    alike = np.flatnonzero(ranked[1:] == ranked[:-1])
+    p, q = placed[alike], placed[alike + 1]
+    rank = np.argsort(p, kind="stable")
+    p, q = p[rank], q[rank]
+    follows = np.zeros(len(p), bool)
+    follows[1:] = (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
+    equal = np.zeros(len(p), bool)
+    equal[follows] = data[p[follows] + LENGTH - 1] == data[q[follows] + LENGTH - 1]
+    windows, heads = np.lib.stride_tricks.sliding_window_view(data, LENGTH), np.flatnonzero(~follows)
+    for k in range(0, len(heads), 4096):
+        h = heads[k : k + 4096]
+        equal[h] = (windows[p[h]] == windows[q[h]]).all(axis=1)
+    met = copied[order]
+    if equal.all():
+        met[alike] = met[alike + 1] = True
+        return np.sort(placed[met])
+    for k in range(0, len(p), 4096):
+        equal[k : k + 4096] = (windows[p[k : k + 4096]] == windows[q[k : k + 4096]]).all(axis=1)
+    mixed = np.isin(ranked, np.unique(ranked[alike[rank[~equal]]]))
+    sure = alike[~mixed[alike]]
+    met[sure] = met[sure + 1] = True
+    by_bytes: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero(mixed).tolist():
+        by_bytes.setdefault(data[placed[i] : placed[i] + LENGTH].tobytes(), []).append(i)
+    for own in by_bytes.values():
+        if len(own) > 1:
+            met[own] = True
+    return np.sort(placed[met])
+
+
 def local_runs(units_: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, list[dict[str, int]]]]:
     """(unit, copies, bytes) of whole groups -> the runs [a, b) of repeated windows of each unit that occurs once itself."""
     sizes = np.array([len(x[2]) for x in units_], np.int64)
@@ -167,7 +209,7 @@ def local_runs(units_: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, list
         ranked = name[order]
         same = np.zeros(len(order) + 1, bool)
         same[1:-1] = ranked[1:] == ranked[:-1]
-        return np.sort(at[order[same[1:] | same[:-1] | (copies[owner[at[order]]] > 1)]])
+        return np.sort(at[order[same[1:] | same[:-1] | (copies[owner[at[order]]] > 1)]])  # a superset, if unlike strings share a name
 
     sampled = np.flatnonzero(np.isin(place % V, RESIDUES) & (room >= DEPTH))
     repeated = met(sampled, names_to(data, DEPTH)[sampled])
@@ -177,7 +219,7 @@ def local_runs(units_: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, list
     remaining = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (room >= LENGTH))
     if not len(remaining):
         return []
-    found = met(remaining, names_to(data, LENGTH)[remaining])
+    found = _same_bytes(data, remaining, names_to(data, LENGTH)[remaining], copies[owner[remaining]] > 1)
     found = found[copies[owner[found]] == 1]
     cuts = np.flatnonzero((np.diff(found) > 1) | (np.diff(owner[found]) > 0)) + 1
     out: dict[int, list[dict[str, int]]] = {}
@@ -212,10 +254,10 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def _sized(df: DataFrame, weight) -> DataFrame:
-    """df, to be broadcast if it is counted and within the bounds."""
-    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_RUNS else df
+def _sized(df: DataFrame, row: int, more=None) -> DataFrame:
+    """df, to be broadcast if its counted rows, of `row` bytes and `more` each, are within the bound."""
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()
+    return F.broadcast(df) if rows * row + total <= BROADCAST_BYTES else df
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +323,7 @@ def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS) -> DataFrame
     spark = docs.sparkSession
     found = stage(docs.select("doc_id", "text").mapInArrow(_find_units, _UNITS), "substring-units")
     hot = stage(found.groupBy("least").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("least"), "substring-least")
-    candidates = stage(found.join(_sized(hot, F.lit(1)), "least", "left_semi"), "substring-candidates")
+    candidates = stage(found.join(_sized(hot, 24), "least", "left_semi"), "substring-candidates")
     unstage(found)
     kinds = stage(candidates.groupBy("least", "unit").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("text_key", "first", "size")).alias("at")), "substring-kinds")
     met = kinds.groupBy("least").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.max("again").alias("again")).where("fewest = 1 and (kinds > 1 or again)")
@@ -321,7 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input. Null and empty texts, and texts below 400 bytes, keep all; a row that repeats another of 400 bytes or more loses
     all; matches never cross rows; an empty table gives no rows; other columns are ignored."""
     own = id_and_text(docs, id_col, text_col)
-    spans = _sized(stage(repeated_spans(own, local_kinds), "substring-spans"), F.size("starts"))
+    spans = _sized(stage(repeated_spans(own, local_kinds), "substring-spans"), 64, 8 * F.size("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, ROWS):
@@ -337,8 +379,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the remaining text itself as last column; where a cut falls inside a character, what is left of it reads as U+FFFD."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.decode("kept", "UTF-8").alias("text"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
