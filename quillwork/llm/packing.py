@@ -2,11 +2,11 @@
 
 The lengths of all pieces form a histogram of at most `capacity` entries. A configuration says how many pieces of each length
 share one sequence. The covering linear program over configurations (fewest sequences such that every length's demand is met)
-is solved by multiplicative weights: each step prices the lengths, finds the best configuration by knapsack dynamic programming
-and takes as much of it as half its scarcest demand; the price of a length falls exponentially with the part of its demand that
-is met. Full configurations are rounded down and the rest is solved again while that places pieces, then so are all others, and
-the remainder, a few pieces of each length, is placed best-fit by decreasing length, counts of equal lengths at a time. Only the
-histogram reaches the driver; pieces find their place by their rank among the pieces of equal length."""
+is solved by multiplicative weights: each step prices the lengths, finds the best configurations by knapsack dynamic programming
+and lowers the prices of what they cover; the scaled average of the steps is the solution, the prices give a lower bound. Its
+copies are rounded down; the rest, priced the same way, is placed in whole copies, and what no configuration fits is placed
+best-fit by decreasing length, counts of equal lengths at a time. Only the histogram reaches the driver, and its work does not
+grow with the number of pieces; pieces find their place by their rank among the pieces of equal length."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,13 @@ from .common import id_and_text, stage, table
 
 CAPACITY = 1024
 END_ID = 2
-STEPS = 500
-ETA = 0.2
-#: Worth of a full sequence-long piece beyond its share of the capacity: long pieces find partners while short ones are left.
-LARGE_FIRST = 0.2
+#: Steps of the program at most, on all pieces and on what rounding leaves, how fast a covered length's price falls, how far off prices and configurations may be, and the
+#: gap between value and bound at which it stops.
+STEPS, REST_STEPS, ETA, SLACK, GAP = 240, 60, 1.0, 0.1, 0.0005
+BOUND_STEPS, BOUND_ETA = 96, 0.2
+#: When whole copies are placed: worth of a sequence-long piece beyond its share of the capacity, so that long pieces find partners
+#: while short ones are left; how fast prices fall; and the share of the lengths that as many configurations are placed for between two pricings.
+LARGE_FIRST, FILL_ETA, BLOCK_SHARE = 0.2, 0.2, 32
 #: Pieces of one length that are ranked together; longer runs are dealt out over blocks.
 BLOCK = 4096
 
@@ -44,7 +48,7 @@ def default_tokenizer() -> str:
 def load_encoder(path: str):
     """text -> uint32 ids of the byte-level BPE vocabulary in a `tokenizers` file, special tokens in the text read as that
     library does by default. The merging runs in tiktoken, which gives the same ids several times faster; a file whose merge
-    order is not its id order, which tiktoken needs, is run by `tokenizers` itself."""
+    order is not its id order, which tiktoken needs, and a text that tiktoken stops on are run by `tokenizers` itself."""
     import public_tokenizers
     import tiktoken
 
@@ -59,11 +63,23 @@ def load_encoder(path: str):
     if [vocabulary[a + b] for a, b in pairs] == sorted(vocabulary[a + b] for a, b in pairs):
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
+    else:
+        fast = None
+    slow = []
 
-    slow = Tokenizer.from_file(path)
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(text: str) -> np.ndarray:
+        if fast:
+            try:
+                return fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its regex engine gives up on very long runs of white space
+                pass
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(path))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -89,8 +105,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return id_and_text(docs, id_col, text_col).mapInArrow(run, _PIECES)
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter[int]:
-    """The multiset of lengths of most value within the capacity (each length any number of times)."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best, pick): the most value that fits each capacity (each length any number of times), and the length that the best filling
+    of exactly this capacity takes last, 0 where a smaller capacity does as well."""
     worth = np.full(capacity + 1, -np.inf)
     worth[lengths] = values
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
@@ -98,38 +115,127 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter[
         total = worth[1 : c + 1] + best[c - 1 :: -1][:c]
         k = int(total.argmax())
         best[c] = best[c - 1]
-        if total[k] > best[c] + 1e-15:
+        if total[k] > best[c] + 1e-12:
             best[c], pick[c] = total[k], k + 1
-    out: Counter[int] = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            out[int(pick[c])] += 1
-        c -= int(pick[c]) or 1
+    return best, pick
+
+
+def columns(lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """For each length the best configuration that holds it, as counts of all lengths: the length itself beside the best filling of
+    the room it leaves, so one table prices a configuration for every row of the program."""
+    capacity = len(pick) - 1
+    top = np.maximum.accumulate(np.where(pick > 0, np.arange(capacity + 1), 0))
+    place = np.full(capacity + 1, -1)
+    place[lengths] = np.arange(len(lengths))
+    out = np.eye(len(lengths), dtype=np.int64)
+    room = top[capacity - lengths]
+    while (live := np.flatnonzero(room > 0)).size:
+        last = pick[room[live]]
+        out[live, place[last]] += 1
+        room[live] = top[room[live] - last]
     return out
 
 
-def fractional(demand: dict[int, int], capacity: int, steps: int = STEPS, eta: float = ETA) -> dict[tuple, float]:
-    """Configuration ((length, times), ...) -> copies, by multiplicative weights; demands are never exceeded."""
+@dataclass
+class Fractional:
+    """A solution of the covering program: (configuration, copies) that exceed no demand, the value of the scaled average, which
+    covers every demand, and a lower bound on the value of every solution, by the best dual prices met."""
+
+    copies: list[tuple[tuple, float]]
+    value: float
+    bound: float
+
+
+def _config(lengths: np.ndarray, counts: np.ndarray) -> tuple:
+    return tuple((int(lengths[i]), int(counts[i])) for i in np.flatnonzero(counts)[::-1])
+
+
+def lower_bound(demand: dict[int, int], capacity: int, steps: int = BOUND_STEPS, eta: float = BOUND_ETA) -> float:
+    """Sequences that no solution goes below, fractions included: the best dual value met while only the one best configuration of
+    each step lowers prices, in full where it uses a demand up. Means of feasible prices are feasible, and steadier."""
+    lengths = np.array(sorted(demand), np.int64)
+    n = np.array([demand[x] for x in lengths.tolist()], np.float64)
+    prices, mean, bound = lengths / capacity, np.zeros(len(n)), 0.0
+    for step in range(steps if len(n) else 0):
+        best, pick = knapsack(lengths, prices, capacity)
+        mean += prices / best[capacity]
+        bound = max(bound, float(n @ prices / best[capacity]))
+        if step % 8 == 7:
+            bound = max(bound, float(n @ mean / knapsack(lengths, mean, capacity)[0][capacity]))
+        found = columns(lengths, pick)
+        use = found[int((found @ prices).argmax())]
+        prices = prices * np.exp(-eta / (1 + step / 10) * use / n * float(np.min(n[use > 0] / use[use > 0])))
+    return bound
+
+
+def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS, eta: float = ETA, slack: float = SLACK, gap: float = GAP) -> Fractional:
+    """Fewest sequences, in fractions, that cover the demand, by multiplicative weights.
+
+    A length's weight starts at its share of the volume and falls by e^-eta for each time its demand has been covered. A step
+    prices the lengths (weight over demand, up to `slack` off at random, so that ties between fillings fall differently), takes
+    for every length the best configuration that holds it, keeps those within `slack` of the best, and adds as much of them as
+    covers no demand more than once: the step's width is one. Prices over the value of the best configuration are dual feasible,
+    so each step gives a lower bound; the sum of all steps over its least coverage is feasible and gives the value. Stops when
+    the two are within `gap`."""
     lengths = np.array(sorted(demand), np.int64)
     n = np.array([demand[x] for x in lengths.tolist()], np.float64)
-    left, place = n.copy(), {x: i for i, x in enumerate(lengths.tolist())}
-    copies: Counter[tuple] = Counter()
-    for _ in range(steps):
-        live = np.flatnonzero(left >= 0.5)
-        if not len(live):
+    rng, covered, total, value = np.random.default_rng(len(n)), np.zeros(len(n)), 0.0, np.inf
+    size = lengths / capacity
+    bound = lower_bound(demand, capacity)
+    copies: dict[bytes, float] = {}
+    for _ in range(steps if len(n) else 0):
+        prices = size * np.exp(-eta * (covered - covered.min())) * (1 - slack * rng.random(len(n)))
+        best, pick = knapsack(lengths, prices, capacity)
+        bound = max(bound, float(n @ prices / best[capacity]))
+        found = np.minimum(columns(lengths, pick), n.astype(np.int64))
+        worth = found @ prices
+        found = found[worth >= (1 - slack) * worth.max()]
+        amount = np.min(np.where(found > 0, n / np.maximum(found, 1), np.inf), axis=1)
+        for _ in range(3):
+            use = amount @ found
+            amount *= np.min(np.where(found > 0, n / np.maximum(use, n), np.inf), axis=1)
+        for row, x in zip(found.astype(np.int32), amount.tolist(), strict=True):
+            key = row.tobytes()
+            copies[key] = copies.get(key, 0.0) + x
+        covered += amount @ found / n
+        total += float(amount.sum())
+        if covered.min() > 0:
+            value = min(value, total / float(covered.min()))
+        if value <= bound * (1 + gap):
             break
+    most = float(covered.max()) if len(n) else 1.0
+    return Fractional([(_config(lengths, np.frombuffer(k, np.int32)), x / most) for k, x in copies.items()], value if len(n) else 0.0, bound)
+
+
+def fill(left: Counter[int], capacity: int, full: bool, bonus: float = LARGE_FIRST, eta: float = FILL_ETA, block: int | None = None) -> tuple[Counter[tuple], Counter[int]]:
+    """Whole copies for what rounding leaves, by the same prices: each step takes `block` of the best configurations (`full`: of
+    those that fill a sequence), half of what the pieces left allow, until none fits; with the rest."""
+    lengths = np.array(sorted(left), np.int64)
+    n = np.array([left[x] for x in lengths.tolist()], np.int64)
+    rest, chosen, block = n.copy(), Counter(), block or max(1, len(n) // BLOCK_SHARE)
+    while (live := np.flatnonzero(rest > 0)).size:
         size = lengths[live] / capacity
-        values = size * (1 + LARGE_FIRST * size) * np.exp(-eta * (1 - left[live] / n[live]))
-        found = knapsack(lengths[live], values, capacity)
-        config = {x: int(min(times, np.ceil(left[place[x]]))) for x, times in found.items()}
-        at = np.array([place[x] for x in config])
-        uses = np.array(list(config.values()), np.float64)
-        most = float((left[at] / uses).min())
-        take = most if most <= 4 else most / 2
-        copies[tuple(sorted(config.items(), reverse=True))] += take
-        left[at] = np.maximum(0, left[at] - take * uses)
-    return copies
+        prices = size * (1 + bonus * size) * np.exp(-eta * (1 - rest[live] / n[live]))
+        found = columns(lengths[live], knapsack(lengths[live], prices, capacity)[1])
+        if not full:
+            found = np.minimum(found, rest[live])
+        order = np.argsort(-(found @ prices), kind="stable")
+        if full:
+            order = order[(found @ lengths[live])[order] == capacity]
+        taken = 0
+        for row in found[order]:
+            own = np.flatnonzero(row)
+            most = int((rest[live[own]] // row[own]).min())
+            if most:
+                most = most if most <= 4 else most // 2
+                rest[live[own]] -= most * row[own]
+                chosen[_config(lengths[live], row)] += most
+                taken += 1
+                if taken == block:
+                    break
+        if not taken:
+            break
+    return chosen, Counter({x: k for x, k in zip(lengths.tolist(), rest.tolist(), strict=True) if k})
 
 
 def best_fit(demand: Counter[int], capacity: int) -> Counter[tuple]:
@@ -162,37 +268,57 @@ def best_fit(demand: Counter[int], capacity: int) -> Counter[tuple]:
     return done
 
 
-def _rounded(left: Counter[int], capacity: int, full: bool) -> tuple[Counter[tuple], Counter[int]]:
-    """Whole copies of the LP's configurations (`full`: of those that fill a sequence), solved again on the rest while that places
-    pieces and more than four of a length are left; with the rest. Without `full` the first configuration of each solution has
-    a whole copy, so the rest is bounded by the distinct lengths."""
-    chosen: Counter[tuple] = Counter()
-    before = 0
-    while left and sum(left.values()) > 4 * len(left) and sum(left.values()) != before:
-        before = sum(left.values())
-        left = left.copy()
-        for config, copies in fractional(left, capacity).items():
-            whole = min([int(copies + 1e-9), *(left[x] // times for x, times in config)]) if not full or sum(x * times for x, times in config) == capacity else 0
-            if whole:
-                chosen[config] += whole
-                for x, times in config:
-                    left[x] -= whole * times
-        left = +left
-    return chosen, left
+@dataclass
+class Plan:
+    """(configuration, copies) that place every piece exactly once, with the program's value and its lower bound on sequences."""
 
+    configurations: list[tuple[tuple, int]]
+    value: float
+    bound: float
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """(configuration, copies) that place every piece of the histogram exactly once. What full configurations leave goes to
-    best fit at once or after the other configurations, whichever takes fewer sequences."""
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Pieces as long as a sequence stand alone and stay out of the program. The program's copies are rounded down and the rest is
+    placed in whole copies; where there are few pieces to a length rounding leaves nearly all, so placing all of them in whole
+    copies is tried as well."""
     chosen: Counter[tuple] = Counter()
     left = Counter({x: n for x, n in histogram.items() if n})
-    for x in [x for x in left if 2 * x > capacity and x == capacity]:
-        chosen[((x, 1),)] += left.pop(x)
-    placed, left = _rounded(left, capacity, True)
-    at_once = best_fit(left, capacity)
-    others, rest = _rounded(left, capacity, False)
-    later = others + best_fit(rest, capacity)
-    return sorted((chosen + placed + min(at_once, later, key=Counter.total)).items(), reverse=True)
+    alone = left.pop(capacity, 0)
+    if alone:
+        chosen[((capacity, 1),)] += alone
+    solved = covering_program(left, capacity)
+    by_program, after = rounded(left, solved)
+    chosen += min(by_program + placed_whole(after, capacity), placed_whole(left, capacity), key=Counter.total)
+    return Plan(sorted(chosen.items(), reverse=True), min(solved.value + alone, float(chosen.total())), solved.bound + alone)
+
+
+def placed_whole(left: Counter[int], capacity: int) -> Counter[tuple]:
+    """All pieces in whole copies: full configurations first; what these leave goes to best fit at once, or after configurations
+    that are not full, or after the program on the rest as well, whichever takes fewest sequences."""
+    chosen, left = fill(left, capacity, True)
+    more, rest = fill(left, capacity, False)
+    ways = [best_fit(left, capacity), more + best_fit(rest, capacity)]
+    others, share = Counter(), 1.0
+    while left.total() > 4 * len(left) and share > 0.1:
+        placed, after = rounded(left, covering_program(left, capacity, REST_STEPS))
+        others, share, left = others + placed, 1 - after.total() / left.total(), after
+    more, rest = fill(left, capacity, False)
+    return chosen + min(*ways, others + more + best_fit(rest, capacity), key=Counter.total)
+
+
+def rounded(left: Counter[int], solved: Fractional) -> tuple[Counter[tuple], Counter[int]]:
+    """The whole copies of a solution, and what they leave; a solution that exceeds no demand does not when it is rounded down."""
+    chosen, rest = Counter(), left.copy()
+    for config, copies in solved.copies:
+        whole = int(copies + 1e-9)
+        if whole:
+            chosen[config] += whole
+            rest.subtract({x: times * whole for x, times in config})
+    return chosen, +rest
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
+    return plan(histogram, capacity).configurations
 
 
 def _places(chosen: list[tuple[tuple, int]]) -> tuple[np.ndarray, ...]:
