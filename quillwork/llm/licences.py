@@ -40,8 +40,25 @@ NAMES = {
     "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
     "Unlicense": ["Unlicense"],
 }
-#: The lines above on one GNU version leave those of the same key out; these are all, and the DuckDB SQL does not know them.
+#: The lines above on one GNU version leave those of the same key out; these are all.
 MORE_NAMES = {f"{a}GPL-{v}": [f"GNU {n} Public License, Version {v}", f"GNU {n} Public License {v}", f"GNU {a}GPL v{v.split('.')[0]}"] for a, n, vs in (("", "General", ("2.0", "3.0")), ("L", "Lesser General", ("2.1", "3.0")), ("A", "Affero General", ("3.0",))) for v in vs}
+# SHA-256 of the canonical form of whole licence texts as their publishers give them.
+BODIES = {
+    "Apache-2.0": ["04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"],
+    "Artistic-1.0-Perl": ["e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"],
+    "BSD-3-Clause": ["21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"],
+    "CC0-1.0": ["cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"],
+    "GFDL-1.2": ["5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"],
+    "GFDL-1.3": ["93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"],
+    "GPL-1.0": ["8c8ccb91609d86476ba694f3852da0b81e4187521eb7027193a50e4de976832f"],
+    "GPL-2.0": ["4508df86bd15812610aac1b41e1fd910e35fac55f8992f4c69b7403e76080a32"],
+    "GPL-3.0": ["a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"],
+    "LGPL-2.0": ["a3a53d306db00bff75c36418b878c0c726e136a456022befcf732ae5fadfeb89"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"],
+    "MPL-2.0": ["6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"],
+}
 NOTICES = ("Released under the {}", "Released under {}", "Licensed under the {}", "Licensed under {}", "This work is licensed under the {}", "This work is licensed under {}", "This project is licensed under the {}", "Distributed under the {}", "This software is released under the {}", "Available under the {}", "SPDX-License-Identifier: {}")
 #: Spellings that count as one, applied to words with single spaces between.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("free software foundation s", "free software foundation"))
@@ -49,10 +66,8 @@ _COPYRIGHT = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|<|\[|[0-9]{4
 _RIGHTS = r"(^|\n)[ \t#*/;-]*all rights reserved[.]?[ \t]*"
 _BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _PARAGRAPH = r"\n[ \t\r]*\n"
-#: What the DuckDB SQL looks for: it knows only the wordings that have one of these.
-SQL_MARKERS = ("licen", "permission", "redistribution")
 #: Every known text has one of these words, whatever stands between its words, so a text without them can match none.
-MARKERS = (*SQL_MARKERS, "released", "distributed", "available")
+MARKERS = ("licen", "permission", "redistribution", "released", "distributed", "available")
 
 
 def known(names_by_licence: tuple[dict, ...] = (NAMES, MORE_NAMES)) -> list[tuple[str, str]]:
@@ -74,20 +89,24 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, licence); a wording that several licences share goes to the first by name."""
-    return spark.createDataFrame(known(), "licence string, wording string").groupBy(digest(F.col("wording")).alias("digest")).agg(F.min("licence").alias("licence"))
+    """(digest, licence): of the wordings above and of the whole licence bodies; a wording that several licences share goes to the
+    first by name."""
+    wordings = spark.createDataFrame(known(), "licence string, wording string").select("licence", digest(F.col("wording")).alias("digest"))
+    bodies = spark.createDataFrame([(k, d) for k, own in BODIES.items() for d in own], "licence string, digest string")
+    return wordings.unionByName(bodies).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, whole_licence, n_paragraphs, n_lines, licences) per input row: the licence that the whole text is, the numbers of
     paragraphs and lines that are one, and the distinct licences found, sorted and comma-joined.
 
-    Null, empty and marker-free texts match nothing (null, 0, 0, ''); repeated rows give repeated rows; an empty table gives no
-    rows; other columns are ignored."""
+    Null, empty and marker-free texts match nothing (null, 0, 0, ''); repeated rows and texts are looked up once and each have the
+    result; a very long text is one whole text, its paragraphs and its lines; an empty table gives no rows; other columns are
+    ignored."""
     own = id_and_text(docs, id_col, text_col)
     low = F.lower("text")
     marked = reduce(lambda a, b: a | b, [low.contains(m) for m in MARKERS])
-    candidates = own.where(marked).withColumn("key", F.xxhash64("doc_id", "text"))
+    candidates = own.where(marked).withColumn("key", F.md5(F.col("text").cast("binary")))
     has_marker = lambda u: reduce(lambda a, b: a | b, [F.lower(u).contains(m) for m in MARKERS])
     unit = lambda kind, parts: F.transform(F.filter(parts, has_marker), lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("unit")))
     units = F.concat(unit("whole", F.array("text")), unit("paragraph", F.split("text", _PARAGRAPH, -1)), unit("line", F.split("text", "\n", -1)))
@@ -115,10 +134,12 @@ def _sql_canonical(x: str) -> str:
 
 def oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({q(k)}, {q(t)})" for k, t in known((NAMES,)) if any(m in t.lower() for m in SQL_MARKERS))
-    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), {q(m)})" for m in SQL_MARKERS) + ")"
+    values = ", ".join(f"({q(k)}, {q(t)})" for k, t in known())
+    bodies = ", ".join(f"({q(k)}, {q(d)})" for k, own in BODIES.items() for d in own)
+    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), {q(m)})" for m in MARKERS) + ")"
     return f"""
-WITH known AS (SELECT sha256({_sql_canonical("wording")}) AS digest, min(licence) AS licence FROM (VALUES {values}) AS t(licence, wording) GROUP BY 1),
+WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT sha256({_sql_canonical("wording")}) AS digest, licence FROM (VALUES {values}) AS t(licence, wording)
+  UNION ALL SELECT digest, licence FROM (VALUES {bodies}) AS b(licence, digest)) k GROUP BY 1),
 own AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
 units AS (
   SELECT row_id, 'whole' AS kind, text AS unit FROM own
