@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, hex16, id_and_text, stage, table, utf8
+from .common import bucket_count, hex16, id_and_text, small_batches, stage, table, text_key, utf8
 from .components import connected_components
 
 RADIUS = 3
@@ -18,8 +19,8 @@ SEED = 42
 SHINGLE = 3
 #: Distinct fingerprints of one bucket that a task compares at once; larger buckets are cut into tiles of two such chunks.
 CHUNK = 4096
-#: Ids (8 bytes each) that a broadcast may hold.
-BROADCAST_IDS = 1_000_000
+#: Rows of an id and a text's key (some 100 bytes each) that a broadcast may hold.
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -44,13 +45,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; null text counts as empty (fp 0)."""
+    """(doc_id, fp, text_key): one row per input row; null text counts as empty (fp 0). text_key is the text's MD5, in lower hex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([fingerprint(t) for t in utf8(b.column(1))], pa.int64())], ["doc_id", "fp"])
+        for b in small_batches(batches):
+            texts = utf8(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([hashlib.md5(t).hexdigest() for t in texts])], ["doc_id", "fp", "text_key"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, text_key string")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -142,18 +144,24 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK
     return dealt.mapInArrow(_links(radius), "u long, v long")
 
 
+def fingerprint_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fps(doc_id, fp, ...) -> (fp, class_fp, component_id): each fingerprint's class, named by the class's least fingerprint, and the
+    smallest doc_id in it, null where no row of the class has one."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = connected_components(link_fingerprints(nodes.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("class_fp"))
+    classes = nodes.join(groups, "fp", "left").select("fp", "least", F.coalesce("class_fp", "fp").alias("class_fp"))
+    return classes.join(classes.groupBy("class_fp").agg(F.min("least").alias("component_id")), "class_fp").select("fp", "class_fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) per input row; component_id is the smallest doc_id reachable over links of `radius` or fewer
-    differing bits.
+    """(doc_id, fp, component_id, class_fp, text_key) per input row; component_id is the smallest doc_id reachable over links of
+    `radius` or fewer differing bits, class_fp the smallest fingerprint, which names a class also where it has no id.
 
     Null or empty text has fingerprint 0 and links like any other; rows that repeat a doc_id give repeated rows; a null
-    doc_id never serves as a component id, but its row still carries the component of its fingerprint (null if no other id
-    shares it). Empty tables give empty results; other columns are ignored."""
+    doc_id links like any other but never serves as a component id (null if no row of the class has an id). Empty tables give
+    empty results; other columns are ignored."""
     fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    groups = connected_components(link_fingerprints(nodes.where("node is not null"), radius))
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(fingerprint_classes(fps, radius), "fp").select("doc_id", "fp", "component_id", "class_fp", "text_key")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,15 +169,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame, broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays, with all its columns.
-
-    Documents without an id cannot be named by a group and stay. Rows that repeat a kept doc_id are one document: one row of
-    them stays. The ids that go are broadcast only if they are counted and few; beyond that the join shuffles."""
-    found = stage(near_duplicates(docs), "components").where("doc_id is not null")
-    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_qw_id")).distinct(), "gone")
-    few = gone.count() <= broadcast_rows
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_qw_id"), "left_anti")
-    repeats = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeats.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Pipeline stage: of each class of near duplicates one document stays, with all its columns: the smallest doc_id, of equal ids
+    the smallest text digest.
+
+    Decided by id and text together, so a row goes only if it is itself a near duplicate of what stays, whatever else has its id.
+    Rows without an id are documents as well and stay only where no row of their class has one. Of rows equal in id and text one
+    stays. An empty table gives none. What goes is broadcast only if it is counted and small; beyond that the join shuffles."""
+    found = stage(near_duplicates(docs), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    best = found.groupBy("class_fp").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("class_fp", "best")
+    judged = found.join(best, "class_fp").withColumn("own", rank)
+    gone = stage(judged.where("own <> best").select(F.col("doc_id").alias("_qw_id"), F.col("text_key").alias("_qw_key")).distinct(), "gone")
+    again = stage(judged.where("own = best").groupBy(F.col("doc_id").alias("_qw_id"), F.col("text_key").alias("_qw_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("_qw_id")) & (F.col("_qw_own") == F.col("_qw_key"))
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    kept = docs.withColumn("_qw_own", text_key(F.col("text"))).join(small(gone), same, "left_anti")
+    if not again.isEmpty():
+        repeats = small(again)
+        kept = kept.join(repeats, same, "left_anti").unionByName(kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "_qw_own"]))
+    return kept.select(*docs.columns)
