@@ -6,6 +6,7 @@ adds one table entry per feature and pair, vectorised over rows."""
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -174,7 +175,8 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> Gam:
     """Fit on the labelled documents outside the held-out fold, at most `limit` of them (lowest id hashes).
 
-    Labels of null id or null value are left out; an id labelled more than once takes its smallest label."""
+    Labels of null id or null value are left out; an id labelled more than once takes its smallest label; of an id's different
+    texts the one of the smallest digest is learned from."""
     kept = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("y")).where("label_id is not null and y is not null")
     kept = kept.where(~held_out("label_id")).groupBy("label_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
     rows = kept.collect()  # `limit` pairs of numbers at most
@@ -182,10 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([features(t) for t in utf8(b.column(1))], pa.list_(pa.float64()))], ["doc_id", "x"])
+            texts = utf8(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([features(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "text_key", "x"])
 
     own = id_and_text(docs).join(F.broadcast(chosen.select(F.col("label_id").alias("doc_id"))), "doc_id", "left_semi")
-    seen = {r.doc_id: r.x for r in own.mapInArrow(run, "doc_id long, x array<double>").collect()}  # features of `limit` rows at most
+    one = own.mapInArrow(run, "doc_id long, text_key binary, x array<double>").groupBy("doc_id").agg(F.min(F.struct("text_key", "x")).alias("of"))
+    seen = {r.doc_id: r.x for r in one.select("doc_id", "of.x").collect()}  # a row per id, `limit` at most
     both = sorted((r.label_id, r.y) for r in rows if r.label_id in seen)
     x = np.array([seen[i] for i, _ in both], np.float64).reshape(len(both), len(FEATURES))
     return fit(x, np.array([float(y == 1) for _, y in both]))
@@ -213,7 +217,10 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents the classifier accepts, with all their columns: rows are filtered as they pass, without a join."""
+    """The documents the classifier accepts, with all their columns: rows are filtered as they pass, without a join.
+
+    Null and empty texts are scored as empty texts; rows without an id or with a repeated one are each judged by their own text;
+    without usable labels every score is 0.5 and all stay; an empty table gives no rows."""
     model, at = train(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
