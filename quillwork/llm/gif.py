@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -326,10 +327,8 @@ def timed_frames(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
-            data = b.column(1).to_pylist()[0]
-            try:
-                gif = decode(data) if data else Gif(0, 0, 0, None, [])
-            except (ValueError, IndexError, struct.error):
+            gif = readable(b.column(1).to_pylist()[0])
+            if gif is None:
                 continue
             at = 0
             for k, (f, canvas) in enumerate(zip(gif.frames, canvases(gif), strict=True)):
@@ -341,23 +340,40 @@ def timed_frames(media: DataFrame) -> DataFrame:
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, _FRAMES)
 
 
+_FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long, frame_starts_ms array<long>, histogram array<long>"
+
+
+def readable(data: bytes | None) -> Gif | None:
+    try:
+        return decode(data) if data else None
+    except (ValueError, IndexError, struct.error):
+        return None
+
+
 def read_back(media: DataFrame) -> DataFrame:
     """media(doc_id, n_bytes, media) -> payload facts from the decoded frames, facts of the stored form, and the feature: frames,
-    duration in ms, and the 64-bin colour histogram of all frames."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    duration in ms, and the 64-bin colour histogram of all frames, which the last columns hold one by one with each frame's start.
+
+    Null or unreadable media give null payload facts, feature and frame columns; repeated rows give repeated rows."""
+    names = [x.split()[0] for x in _FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, ROWS):
             rows = []
             for doc, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                gif = decode(data)
+                gif = readable(data)
+                stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                if gif is None:
+                    rows.append((doc, n, None, None, None, *stored, *[None] * 5))
+                    continue
                 payload = b"".join(f.indices for f in gif.frames)
-                feature = f"{len(gif.frames)};{10 * sum(f.delay for f in gif.frames)};{','.join(map(str, whole_histogram(gif).tolist()))}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                starts, colours = list(accumulate((10 * f.delay for f in gif.frames), initial=0)), whole_histogram(gif).tolist()
+                feature = f"{len(gif.frames)};{starts[-1]};{','.join(map(str, colours))}"
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature, len(gif.frames), starts[-1], starts[:-1], colours))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, _FACTS)
 
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
