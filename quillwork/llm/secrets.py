@@ -1,7 +1,11 @@
 """Secret scan in Spark SQL only: pattern spans with positions, and multipart credentials linked by interval joins.
 
 A span's place comes from the text between matches: `split` and `regexp_extract_all` with one pattern give the gaps and the
-matches in turn, and their running lengths are the starts (code points, as `length` counts them)."""
+matches in turn, and their running lengths are the starts (code points, as `length` counts them).
+
+A credential has an access identifier, a secret and an endpoint. What identifies one provider's account, what could be a secret
+of any, and what names a service are weak candidates: alone each is ordinary text, and only parts that complete each other
+within a scope are reported."""
 
 from __future__ import annotations
 
@@ -16,31 +20,59 @@ ASSIGN = r"""(?<key>[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[s
 #: kind -> (pattern, least length of the whole match). A maximal run is found at its start, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Weak parts: reported only beside the parts that complete them.
+#: What starts an access identifier: a cloud key's prefix, a telephony account's, a service account's or client's own words. A text
+#: without one of them has no identifier, so no link.
 ID_PREFIXES = ("AKIA", "ASIA", "AIDA", "AROA")
-WEAK_ACCESS = rf"(?<![A-Z0-9])(?:{'|'.join(ID_PREFIXES)})[A-Z0-9]{{8,}}"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-ENDPOINT = r"(?i)\b(?:https?://[a-z0-9.-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|windows|googleapis)\.(?:com|net))"
+ID_MARKS = (*ID_PREFIXES, "AC")
+ID_WORDS = ("accountname", "account_name", "client_id", "clientid", "client-id", "iam.gserviceaccount.com", "username", "user_name", "user id")
+#: Weak parts: reported only beside the parts that complete them. An identifier is a prefixed key, an account id, a named client,
+#: account or user, or a service account's address; a secret is 40, 64 or 88 characters of base 64, or 32 or 40 of lower hex.
+WEAK_ACCESS = (
+    rf"(?<![A-Za-z0-9])(?:{'|'.join(ID_PREFIXES)})[A-Z0-9]{{8,}}"
+    r"|(?<![A-Za-z0-9])AC[0-9a-f]{32}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])(?i:account_?name|client[_-]?id|user_?name|user id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}"
+    r"|(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}@[A-Za-z0-9-]{1,63}\.iam\.gserviceaccount\.com"
+)
+WEAK_SECRET = r"(?<![A-Za-z0-9+/=])(?:[A-Za-z0-9+/]{86}==|[A-Za-z0-9+/]{64}|[A-Za-z0-9+/]{40}|[0-9a-f]{32})(?![A-Za-z0-9+/=])"
+ENDPOINT = r"(?i)\b(?:[a-z][a-z0-9+.-]{1,20}://[a-z0-9.-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|windows|googleapis|twilio|azure)\.(?:com|net))"
 #: Parts of one credential stand within so many code points.
 SCOPE = 400
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 MIN_SECRET = 12
 
 
+def _bound(x: Column, body) -> Column:
+    """body(x), with x worked out once however often the body names it."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _placed(pairs: Column) -> Column:
+    """pairs(gap, match) -> (start, end, match) of each match. A running sum that appends to an array copies what it has so far, so it
+    runs within blocks of about the root of the number of pairs, and over the blocks' lengths to place them."""
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
+
+    def running(lengths: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def within(block: Column, at: Column) -> Column:
+        starts = running(F.transform(block, size))
+        placed = F.transform(F.arrays_zip(block.alias("x"), starts.alias("at")), lambda p: F.struct((at + p["at"] + F.length(p["x"]["gap"])).alias("start"), (at + p["at"] + size(p["x"])).alias("end"), p["x"]["match"].alias("match")))
+        return F.filter(placed, lambda p: p["match"].isNotNull())
+
+    def whole(pairs_: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(pairs_))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs_) / width).cast("int") - 1), lambda k: F.slice(pairs_, k * width + 1, width))
+        return _bound(blocks, lambda bs: F.flatten(F.transform(F.arrays_zip(bs.alias("b"), running(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + size(x)))).alias("at")), lambda b: within(b["b"], b["at"]))))
+
+    return _bound(pairs, whole)
+
+
 def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """array<struct<start int, end int, kind string>> of the leftmost non-overlapping matches that `keep` accepts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    whole = F.aggregate(pairs, first, step)["out"]
+    whole = _placed(F.arrays_zip(gaps.alias("gap"), found.alias("match")))
     if keep is not None:
         whole = F.filter(whole, lambda x: keep(x["match"]))
     return F.transform(whole, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
@@ -63,8 +95,8 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     assign = _where(named, spans(text, ASSIGN, "assign", long_value))
     access = _where(text.contains("AKIA"), spans(text, ACCESS, "access"))
     hexes = _where(text.rlike(HEX), spans(text, HEX, "hex"))
-    # every link has an access id at one end, so texts without a prefix of one have no weak part to report
-    has_id = reduce(lambda a, b: a | b, [text.contains(p) for p in ID_PREFIXES])
+    # every link has an access id at one end, so texts without one have no weak part to report
+    has_id = reduce(lambda a, b: a | b, [text.contains(p) for p in ID_MARKS] + [low.contains(w) for w in ID_WORDS]) & text.rlike(WEAK_ACCESS)
     weak = F.concat(spans(text, WEAK_ACCESS, "weak_access"), spans(text, WEAK_SECRET, "weak_secret"), spans(text, ENDPOINT, "endpoint"))
     return docs.select("*", _ordered(F.concat(assign, access, hexes)).alias("_qw_base"), _where(has_id, weak).alias("_qw_weak"))
 
@@ -113,9 +145,12 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     Only rows with weak parts, a few, go through the link join; they are known by a hash of id and spans, so equal rows
     share one link result."""
     found = with_spans(docs, text_col)
-    weak = found.where(F.size("_qw_weak") > 0).withColumn("_qw_key", F.xxhash64(F.col(id_col), "_qw_base", "_qw_weak"))
+    weak = found.where(F.size("_qw_weak") > 0).withColumn("_qw_key", F.sha2(F.to_json(F.struct(F.col(id_col).cast("string").alias("id"), "_qw_base", "_qw_weak")), 256))
     new = F.filter("_qw_weak", lambda w: ~F.exists("_qw_base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
-    parts = weak.select(F.col("_qw_key").alias("row_key"), F.col("_qw_base").alias("base"), new.alias("weak")).dropDuplicates(["row_key"])
+    # what stands inside an identifier is no secret beside it
+    ids = F.filter(F.concat("_qw_base", "_qw_weak"), lambda x: x["kind"].isin("access", "weak_access"))
+    apart = F.filter("_qw_base", lambda b: (b["kind"] == "access") | ~F.exists(ids, lambda x: (x["start"] <= b["start"]) & (b["end"] <= x["end"])))
+    parts = weak.select(F.col("_qw_key").alias("row_key"), apart.alias("base"), new.alias("weak")).dropDuplicates(["row_key"])
     linked = link_parts(parts, scope).select(F.col("row_key").alias("_qw_key"), F.col("linked").alias("_qw_linked"))
     all_spans = _ordered(F.concat("_qw_base", F.coalesce("_qw_linked", F.array().cast(_NONE))))
     joined = weak.join(linked, "_qw_key", "left").select(*docs.columns, "_qw_base", all_spans.alias("_qw_spans"))
