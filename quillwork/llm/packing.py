@@ -30,6 +30,8 @@ END_ID = 2
 #: gap between value and bound at which it stops.
 STEPS, REST_STEPS, ETA, SLACK, GAP = 240, 60, 1.0, 0.1, 0.0005
 BOUND_STEPS, BOUND_ETA = 96, 0.2
+#: Copies from which on a configuration of the solution is kept: fewer round down to none.
+LEAST_COPIES = 0.5
 #: When whole copies are placed: worth of a sequence-long piece beyond its share of the capacity, so that long pieces find partners
 #: while short ones are left; how fast prices fall; and the share of the lengths that as many configurations are placed for between two pricings.
 LARGE_FIRST, FILL_ETA, BLOCK_SHARE = 0.2, 0.2, 32
@@ -168,7 +170,7 @@ def lower_bound(demand: dict[int, int], capacity: int, steps: int = BOUND_STEPS,
     return bound
 
 
-def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS, eta: float = ETA, slack: float = SLACK, gap: float = GAP) -> Fractional:
+def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS, eta: float = ETA, slack: float = SLACK, gap: float = GAP, bounded: bool = True) -> Fractional:
     """Fewest sequences, in fractions, that cover the demand, by multiplicative weights.
 
     A length's weight starts at its share of the volume and falls by e^-eta for each time its demand has been covered. A step
@@ -181,7 +183,7 @@ def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS,
     n = np.array([demand[x] for x in lengths.tolist()], np.float64)
     rng, covered, total, value = np.random.default_rng(len(n)), np.zeros(len(n)), 0.0, np.inf
     size = lengths / capacity
-    bound = lower_bound(demand, capacity)
+    bound = lower_bound(demand, capacity, BOUND_STEPS if bounded else 1)
     copies: dict[bytes, float] = {}
     for _ in range(steps if len(n) else 0):
         prices = size * np.exp(-eta * (covered - covered.min())) * (1 - slack * rng.random(len(n)))
@@ -194,9 +196,11 @@ def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS,
         for _ in range(3):
             use = amount @ found
             amount *= np.min(np.where(found > 0, n / np.maximum(use, n), np.inf), axis=1)
-        for row, x in zip(found.astype(np.int32), amount.tolist(), strict=True):
-            key = row.tobytes()
-            copies[key] = copies.get(key, 0.0) + x
+        rows, at = np.nonzero(found)
+        packed = np.stack([at, found[rows, at]], axis=1).astype(np.int16).tobytes()  # counts stay below the capacity
+        ends = (4 * np.cumsum(np.bincount(rows, minlength=len(found)))).tolist()
+        for start, end, x in zip([0, *ends], ends, amount.tolist(), strict=False):
+            copies[packed[start:end]] = copies.get(packed[start:end], 0.0) + x
         covered += amount @ found / n
         total += float(amount.sum())
         if covered.min() > 0:
@@ -204,7 +208,8 @@ def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS,
         if value <= bound * (1 + gap):
             break
     most = float(covered.max()) if len(n) else 1.0
-    return Fractional([(_config(lengths, np.frombuffer(k, np.int32)), x / most) for k, x in copies.items()], value if len(n) else 0.0, bound)
+    whole = ((k, x / most) for k, x in copies.items())
+    return Fractional([(tuple((int(lengths[i]), int(c)) for i, c in np.frombuffer(k, np.int16).reshape(-1, 2)[::-1]), x) for k, x in whole if x >= LEAST_COPIES], value if len(n) else 0.0, bound)
 
 
 def fill(left: Counter[int], capacity: int, full: bool, bonus: float = LARGE_FIRST, eta: float = FILL_ETA, block: int | None = None) -> tuple[Counter[tuple], Counter[int]]:
@@ -300,7 +305,7 @@ def placed_whole(left: Counter[int], capacity: int) -> Counter[tuple]:
     ways = [best_fit(left, capacity), more + best_fit(rest, capacity)]
     others, share = Counter(), 1.0
     while left.total() > 4 * len(left) and share > 0.1:
-        placed, after = rounded(left, covering_program(left, capacity, REST_STEPS))
+        placed, after = rounded(left, covering_program(left, capacity, REST_STEPS, bounded=False))
         others, share, left = others + placed, 1 - after.total() / left.total(), after
     more, rest = fill(left, capacity, False)
     return chosen + min(*ways, others + more + best_fit(rest, capacity), key=Counter.total)

@@ -381,7 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the remaining text itself as last column; where a cut falls inside a character, what is left of it reads as U+FFFD."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.decode("kept", "UTF-8").alias("text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -175,6 +175,18 @@ def test_unlike_strings_of_one_name(spark, monkeypatch):
     assert want
 
 
+def test_remaining_text_of_the_query(spark, tmp_path):
+    """Cuts inside characters read as U+FFFD."""
+    part = "é" * 300
+    spark.createDataFrame([(1, "x" + part + "y"), (2, part[:150] + part[:100] + "e"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.kept_sha256, r.text) for r in registry.QUERIES["op2_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert got[1][1] == "xy" and got[2][1] == "e" and got[3][1] == ""
+    tail = "".join(chr(97 + i * i % 26) for i in range(450))
+    spark.createDataFrame([(1, "q©" + tail), (2, "wé" + tail)], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    rows = registry.QUERIES["op2_substring_dedup"](spark, f"{tmp_path}/b").collect()  # the last byte of both letters is the same
+    assert sorted(r.text for r in rows) == ["q\ufffd", "w\ufffd"] and [r.n_removed for r in rows] == [451, 451]
+
+
 def test_text_of_a_megabyte(spark):
     rng = random.Random(12)
     part = prose(rng, 100)
