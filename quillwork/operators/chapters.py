@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import forms
 from ..functions import text as T
+from ..plans.components import reliable
 from ..sources.tables import role, sql_role, table
 
-#: Dictionary-like inputs up to this many rows are broadcast; larger ones join by shuffle.
-SMALL_ROWS = 100_000
-
 
 def chapter_list(chapters: DataFrame) -> DataFrame:
     """Headers with the translated flag; html rows are other content. Ordered by book and number, missing numbers last."""
@@ -60,14 +59,14 @@ def broken_links(chapters: DataFrame) -> DataFrame:
 
 
 def search(chapters: DataFrame, query: str, limit: int, context: int = 70) -> DataFrame:
-    """Chapters that hold the query under the search fold: hits, and the first with its surroundings. One row above the limit
-    is asked for, and `cut` tells whether there are more."""
-    folded, q = T.search_fold(F.col("translation")), T.search_fold(F.lit(query))
+    """Chapters that hold the query under the search fold: hits, and the first with its surroundings, which are cut out of the rows
+    shown alone. One row above the limit is asked for, and `cut` tells whether there are more."""
+    q = T.search_fold(F.lit(query))
+    holding = forms.once(chapters.where("translation is not null").select("url", "translation"), _f=T.search_fold(F.col("translation"))).where(F.contains("_f", q))
+    top = holding.select("url", "translation", T.occurrences(F.col("_f"), q).alias("hits"), F.position(q, F.col("_f")).alias("at")).orderBy(F.desc("hits"), "url").limit(limit + 1)
     start = F.greatest(F.lit(1), F.col("at") - context)
-    found = chapters.where("translation is not null").select("url", "translation", T.occurrences(folded, q).alias("hits"), F.instr(folded, query.lower()).alias("at")).where("hits > 0")
-    shown = found.select("url", "hits", F.trim(F.regexp_replace(F.substring("translation", start, F.col("at") - start + len(query) + context), r"\s+", " ")).alias("context"))
-    top = shown.orderBy(F.desc("hits"), "url").limit(limit + 1)
-    return top.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("hits"), "url"))).where(F.col("_r") <= limit).select("url", "hits", "context", (F.col("_n") > limit).alias("cut"))
+    shown = top.select("url", "hits", F.trim(F.regexp_replace(F.substring("translation", start, F.col("at") - start + len(query) + context), r"\s+", " ")).alias("context"))
+    return shown.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("hits"), "url"))).where(F.col("_r") <= limit).select("url", "hits", "context", (F.col("_n") > limit).alias("cut"))
 
 
 def paragraphs(pairs: DataFrame, separator: str = "\n") -> DataFrame:
@@ -120,12 +119,24 @@ def conflicts(edits: DataFrame, current: DataFrame) -> DataFrame:
     return edits.join(c, "url", "left").select("url", F.when(F.col("_v").isNull(), "missing").when(F.col("_v").eqNullSafe(F.col("expected")), "applied").otherwise("conflict").alias("result"))
 
 
+def resolved(aliases: DataFrame) -> DataFrame:
+    """aliases(alias, canonical) with every canonical that is an alias itself replaced by what it stands for, until none is: each round
+    doubles the steps taken. A ring of aliases has no end and stays as it is after as many rounds as there are aliases."""
+    now = reliable(aliases.select("alias", "canonical").where("alias <> canonical").dropDuplicates(["alias"]))
+    for _ in range(max(1, now.count().bit_length())):
+        further = now.select(F.col("alias").alias("canonical"), F.col("canonical").alias("_c"))
+        after = reliable(now.join(further, "canonical", "left").select("alias", F.coalesce("_c", "canonical").alias("canonical"), F.col("_c").isNotNull().alias("_moved")))
+        now = after.select("alias", "canonical")
+        if after.where("_moved").isEmpty():
+            break
+    return now
+
+
 def merge_books(chapters: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Book aliases resolve to their canonical book, two steps deep at most; numbers that then collide keep the newest row."""
-    a = aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"))
-    once = chapters.join(F.broadcast(a), F.col("book") == F.col("_a"), "left").withColumn("book", F.coalesce("_c", "book")).drop("_a", "_c")
-    twice = once.join(F.broadcast(a), F.col("book") == F.col("_a"), "left").withColumn("book", F.coalesce("_c", "book")).drop("_a", "_c")
-    return twice.groupBy("book", "chapter_no").agg(F.max_by("url", F.struct("created_at", "url")).alias("url"), F.count("*").alias("merged"))
+    """Book aliases resolve to their canonical book through chains of any length, and numbers that then collide keep the newest row."""
+    a = resolved(aliases).select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"))
+    moved = chapters.join(a, F.col("book") == F.col("_a"), "left").withColumn("book", F.coalesce("_c", "book"))
+    return moved.groupBy("book", "chapter_no").agg(F.max_by("url", F.struct("created_at", "url")).alias("url"), F.count("*").alias("merged"))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -154,13 +165,12 @@ def _digested(df):
 
 
 def _aliases(s):
-    return s.createDataFrame([("src1", "src2"), ("src3", "src1"), ("src7", "src8")], "alias string, canonical string")
+    return s.createDataFrame([("src1", "src2"), ("src3", "src1"), ("src4", "src3"), ("src5", "src4"), ("src7", "src8")], "alias string, canonical string")
 
 
 QUERIES = {
     "chapter_list_nulls_last": lambda s, d: chapter_list(role(s, d, "chapters")),
-    "chapter_headers": lambda s, d: headers(role(s, d, "chapters"), s.range(0, 4000, 9).select(F.concat(F.lit("doc:"), F.col("id")).alias("url"))),
-    "chapter_headers_whole": lambda s, d: headers(role(s, d, "chapters"), role(s, d, "chapters").select("url")),
+    "chapter_headers": lambda s, d: headers(role(s, d, "chapters"), role(s, d, "chapters").where("doc_id % 9 = 0 or lang = 'en'").select("url")),
     "source_coverage": lambda s, d: source_coverage(role(s, d, "chapters")),
     "latest_per_chapter": lambda s, d: newest_per_chapter(role(s, d, "chapters")),
     "prev_chapter_asof": lambda s, d: previous_chapter(role(s, d, "chapters")),
@@ -182,9 +192,11 @@ _FOLD = "translate(lower(translate(translation, 'Iİ', 'ıi')), 'ı', 'i')"
 _OLD = f"(SELECT url, source_text, translation, CASE WHEN doc_id % 4 > 0 THEN model END AS model, prev_url, doc_id % 100 / 100 AS quality, created_at FROM {_C} x WHERE doc_id % 3 <> 0)"
 _NEW = f"(SELECT url, source_text, CASE WHEN doc_id % 2 = 0 THEN translation || '!' ELSE translation END AS translation, CASE WHEN doc_id % 6 > 0 THEN 'model-new' END AS model, prev_url FROM {_C} x WHERE doc_id % 5 <> 0)"
 ORACLE = {
+    "chunk_by_words": f"""WITH n AS (SELECT url, list_transform(string_split(source_text, chr(10)), lambda p: [CAST(len(list_filter(string_split(p, ' '), lambda w: w <> '')) AS BIGINT)]) AS n FROM {_C} x WHERE source_text IS NOT NULL),
+c AS (SELECT url, list_reduce(list_prepend([0::BIGINT], n), lambda a, x: CASE WHEN a[-1] > 0 AND a[-1] + x[1] > 200 THEN list_concat(a, x) ELSE list_append(a[1:len(a) - 1], a[-1] + x[1]) END) AS c FROM n)
+SELECT url, unnest(range(len(c))) AS chunk, unnest(c) AS words FROM c""",
     "chapter_list_nulls_last": f"SELECT book, chapter_no, url, title, coalesce(trim(translation) <> '', false) AS translated FROM {_C} x WHERE coalesce(content_type, 'text') <> 'html'",
-    "chapter_headers": f"SELECT url, book, chapter_no, title, model FROM {_C} x WHERE doc_id % 9 = 0 AND doc_id < 4000",
-    "chapter_headers_whole": f"SELECT url, book, chapter_no, title, model FROM {_C} x",
+    "chapter_headers": f"SELECT url, book, chapter_no, title, model FROM {_C} x WHERE doc_id % 9 = 0 OR lang = 'en'",
     "source_coverage": f"SELECT book, count(*) AS total, count(source_text) AS with_source, count(CASE WHEN trim(translation) <> '' THEN 1 END) AS translated, CAST(sum(length(source_text)) AS BIGINT) AS chars FROM {_C} x GROUP BY book",
     "latest_per_chapter": f"SELECT book, chapter_no, arg_max(url, (created_at, url)) AS url, max(created_at) AS created_at, count(*) AS versions FROM {_C} x GROUP BY book, chapter_no",
     "prev_chapter_asof": f"WITH c AS (SELECT * FROM {_C} x), o AS (SELECT *, last_value(CASE WHEN coalesce(content_type, 'text') <> 'html' THEN url END IGNORE NULLS) OVER (PARTITION BY book ORDER BY chapter_no, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM c WHERE chapter_no IS NOT NULL) SELECT o.url, coalesce(t.url, near) AS previous, t.url IS NOT NULL AS linked FROM o LEFT JOIN c t ON o.prev_url = t.url AND o.book = t.book",
@@ -197,6 +209,6 @@ ORACLE = {
     "upsert_chapters": f"SELECT coalesce(o.url, n.url) AS url, sha256(CASE WHEN n.url IS NOT NULL THEN n.source_text ELSE o.source_text END) AS source_text, sha256(CASE WHEN n.url IS NOT NULL THEN n.translation ELSE o.translation END) AS translation, coalesce(n.model, o.model) AS model, coalesce(n.prev_url, o.prev_url) AS prev_url, CASE WHEN n.url IS NOT NULL AND (o.source_text IS DISTINCT FROM n.source_text OR o.translation IS DISTINCT FROM n.translation) THEN NULL ELSE quality END AS quality FROM {_OLD} o FULL JOIN {_NEW} n ON o.url = n.url",
     "archive_on_change": f"SELECT o.url, sha256(o.translation) AS digest, created_at FROM {_OLD} o JOIN {_NEW} n ON o.url = n.url WHERE trim(o.translation) <> '' AND o.translation IS DISTINCT FROM n.translation",
     "optimistic_conflicts": f"WITH c AS (SELECT * FROM {_C} x) SELECT e.url, CASE WHEN v.url IS NULL THEN 'missing' WHEN v.doc_id % 4 = e.doc_id % 3 THEN 'applied' ELSE 'conflict' END AS result FROM c e LEFT JOIN (SELECT * FROM c WHERE doc_id % 11 <> 0) v ON e.url = v.url",
-    "merge_books": f"WITH b AS (SELECT CASE book WHEN 'src1' THEN 'src2' WHEN 'src3' THEN 'src2' WHEN 'src7' THEN 'src8' ELSE book END AS book, chapter_no, url, created_at FROM {_C} x) SELECT book, chapter_no, arg_max(url, (created_at, url)) AS url, count(*) AS merged FROM b GROUP BY book, chapter_no",
+    "merge_books": f"WITH b AS (SELECT CASE book WHEN 'src1' THEN 'src2' WHEN 'src3' THEN 'src2' WHEN 'src4' THEN 'src2' WHEN 'src5' THEN 'src2' WHEN 'src7' THEN 'src8' ELSE book END AS book, chapter_no, url, created_at FROM {_C} x) SELECT book, chapter_no, arg_max(url, (created_at, url)) AS url, count(*) AS merged FROM b GROUP BY book, chapter_no",
     "page_records": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<p>')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"')) AS BIGINT) AS links, TRY_CAST(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([0-9]+)/?$', 1) AS BIGINT) AS number, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages",
 }

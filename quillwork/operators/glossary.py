@@ -19,7 +19,7 @@ def known_at(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     each = joined.withColumn("learned", F.when(F.col("url").isNull(), F.col("learned")).otherwise(0))
     upto = Window.partitionBy("book").orderBy("chapter_no").rangeBetween(Window.unboundedPreceding, 0)
     running = each.withColumn("n", F.sum("learned").over(upto)).where("url is not null")
-    return running.join(F.broadcast(unknown), "book", "left").select("url", (F.coalesce("n", F.lit(0)) + F.coalesce("always", F.lit(0))).alias("known"))
+    return running.join(unknown, "book", "left").select("url", (F.coalesce("n", F.lit(0)) + F.coalesce("always", F.lit(0))).alias("known"))
 
 
 def visible(terms: DataFrame, as_of: int) -> DataFrame:
@@ -142,6 +142,11 @@ def folds(terms: DataFrame) -> DataFrame:
 
 
 def _terms(s, d):
+    return role(s, d, "terms")
+
+
+def _registered(s, d):
+    """Where candidates meet a dictionary: the words of two chapters or more are in it."""
     return role(s, d, "terms").where("chapters >= 2")
 
 
@@ -176,20 +181,20 @@ QUERIES = {
     "sibling_style": lambda s, d: style_splits(role(s, d, "terms").withColumn("target", F.when(F.length("source") % 2 == 0, F.initcap(F.substring("target", 1, 5))).otherwise(F.substring("target", 1, 5)))),
     "near_terms": lambda s, d: near_terms(_terms(s, d)),
     "softened_pairs": lambda s, d: softened(role(s, d, "terms")),
-    "candidate_antijoin": lambda s, d: new_candidates(_candidates(s, d), _terms(s, d), role(s, d, "terms").where("length(source) = 7")),
-    "stamp_diff": lambda s, d: stamp_differences(_findings(s, d).select(F.concat("book", F.lit("/"), "chapter_no").alias("url"), "book", "source", F.col("stored").alias("stamped")), _terms(s, d)),
+    "candidate_antijoin": lambda s, d: new_candidates(_candidates(s, d), _registered(s, d), role(s, d, "terms").where("length(source) = 7")),
+    "stamp_diff": lambda s, d: stamp_differences(_findings(s, d).select(F.concat("book", F.lit("/"), "chapter_no").alias("url"), "book", "source", F.col("stored").alias("stamped")), _registered(s, d)),
     "import_file_wins": lambda s, d: imported(_rich(_terms(s, d)), _theirs(role(s, d, "terms")), True),
     "import_keep_mine": lambda s, d: imported(_rich(_terms(s, d)), _theirs(role(s, d, "terms")), False),
     "problem_terms": lambda s, d: problem_terms(_findings(s, d), _terms(s, d), 40),
     "coverage_ratio": lambda s, d: coverage(role(s, d, "terms")),
-    "candidate_screen": lambda s, d: screened(_candidates(s, d), _terms(s, d).where("chapters >= 3")),
+    "candidate_screen": lambda s, d: screened(_candidates(s, d), role(s, d, "terms").where("chapters >= 3")),
     "term_hits": lambda s, d: term_hits(role(s, d, "chapters"), _terms(s, d)),
     "pre_registration": lambda s, d: preregistered(role(s, d, "chapters"), _terms(s, d).select("book", "source", (F.col("first_chapter") + 10).alias("registered_at"))),
     "jaccard_backtranslation": lambda s, d: back_translation(role(s, d, "pairs")),
     "term_folds": lambda s, d: folds(role(s, d, "terms")),
 }
 _C, _ALL = sql_role("chapters"), sql_role("terms")
-_T = f"(SELECT * FROM {_ALL} a WHERE chapters >= 2)"
+_T, _REGISTERED = f"(SELECT * FROM {_ALL} a)", f"(SELECT * FROM {_ALL} a WHERE chapters >= 2)"
 _RICH = f"(SELECT *, CASE WHEN length(source) % 2 = 0 THEN 'note on ' || source END AS note, first_chapter + length(source) % 5 AS note_chapter, CASE WHEN length(source) % 3 = 0 THEN 'if named' END AS condition, first_chapter + length(source) % 7 AS condition_chapter, CASE WHEN length(source) % 6 = 5 THEN 'held' ELSE 'approved' END AS status FROM {_T} t)"
 _F = lambda x: f"lower(regexp_replace(trim({x}), '[\\s\\-_''’.·]+', '', 'g'))"
 _FIND = f"(SELECT book, chapter_no, told, source, CASE WHEN length(source) % 3 = 0 THEN 'old' ELSE lower(reverse(source)) END AS stored FROM (SELECT book, chapter_no, created_at AS told, unnest(list_distinct(regexp_extract_all(source_text, '[A-Z][a-z]{{4,}}'))) AS source FROM {_C} c WHERE chapter_no IS NOT NULL) w)".replace("{{", "{").replace("}}", "}")
@@ -204,7 +209,7 @@ ORACLE = {
     "near_terms": f"WITH t AS (SELECT book, source, {_F('source')} AS f FROM {_T} q) SELECT DISTINCT a.book, a.source AS a, b.source AS b FROM t a JOIN t b ON a.book = b.book AND a.source < b.source WHERE levenshtein(a.f, b.f) = 1 AND a.f || 's' <> b.f AND b.f || 's' <> a.f",
     "softened_pairs": f"SELECT book, translate({_F('source')}, 'pbtdkgc', 'ppttkkk') AS mask, count(DISTINCT source) AS n, min(source) AS first, max(source) AS last FROM {_ALL} a GROUP BY 1, 2 HAVING count(DISTINCT source) > 1",
     "candidate_antijoin": f"WITH a AS (SELECT *, {_F('source')} AS key FROM {_ALL} x), taken AS (SELECT book, key FROM a WHERE chapters >= 2 UNION SELECT book, key FROM a WHERE length(source) = 7) SELECT book, key, min(source) AS source, count(*) AS spellings FROM a WHERE (book, key) NOT IN (SELECT (book, key) FROM taken) GROUP BY book, key",
-    "stamp_diff": f"SELECT f.book || '/' || f.chapter_no AS url, f.book, f.source, f.stored AS stamped, t.target AS now FROM {_FIND} f LEFT JOIN {_T} t ON f.book = t.book AND f.source = t.source WHERE f.stored IS DISTINCT FROM t.target",
+    "stamp_diff": f"SELECT f.book || '/' || f.chapter_no AS url, f.book, f.source, f.stored AS stamped, t.target AS now FROM {_FIND} f LEFT JOIN {_REGISTERED} t ON f.book = t.book AND f.source = t.source WHERE f.stored IS DISTINCT FROM t.target",
     "import_file_wins": f"SELECT coalesce(m.book, f.book) AS book, coalesce(m.source, f.source) AS source, coalesce(t, target) AS target, CASE WHEN coalesce(h, false) THEN n ELSE note END AS note FROM {_RICH} m FULL JOIN {_THEIRS} f ON m.book = f.book AND m.source = f.source",
     "import_keep_mine": f"SELECT coalesce(m.book, f.book) AS book, coalesce(m.source, f.source) AS source, coalesce(target, t) AS target, coalesce(note, n) AS note FROM {_RICH} m FULL JOIN {_THEIRS} f ON m.book = f.book AND m.source = f.source",
     "problem_terms": f"SELECT n.book, n.source, count(DISTINCT chapter_no) AS chapters FROM (SELECT book, chapter_no, source, arg_max(stored, told) AS stored FROM {_FIND} f WHERE chapter_no > 10 AND chapter_no <= 40 GROUP BY ALL) n JOIN {_T} t ON n.book = t.book AND n.source = t.source WHERE stored = target GROUP BY 1, 2 HAVING count(DISTINCT chapter_no) >= 2",

@@ -82,7 +82,7 @@ def proposal_errors(proposals: DataFrame) -> DataFrame:
 
 
 def _nodes(s, d):
-    return role(s, d, "terms").where("chapters >= 2").select("book", F.col("source").alias("name"), F.concat("book", F.lit("#"), F.col("source")).alias("node"))
+    return role(s, d, "terms").select("book", F.col("source").alias("name"), F.concat("book", F.lit("#"), F.col("source")).alias("node"))
 
 
 def _writes(s, d):
@@ -100,7 +100,7 @@ _T, _E, _V = sql_role("terms"), sql_role("edges"), sql_role("node_values")
 _F = lambda x: f"lower(regexp_replace(trim({x}), '[\\s\\-_''’.·]+', '', 'g'))"
 _MOVED = lambda x: f"CASE WHEN CAST(substring({x}, 2) AS INT) % 4 = 1 AND CAST(substring({x}, 2) AS INT) < 40 THEN concat('c', CAST(substring({x}, 2) AS INT) - 1) ELSE {x} END"
 ORACLE = {
-    "node_resolver": f"WITH t AS (SELECT * FROM {_T} a), n AS (SELECT book, source AS name, concat(book, '#', source) AS node FROM t WHERE chapters >= 2), k AS (SELECT book, {_F('name')} AS key, node, 0 AS p FROM n UNION ALL SELECT book, {_F('substring(name, 1, 6)')}, node, 1 FROM n WHERE length(name) % 2 = 0 UNION ALL SELECT book, translate(lower(translate(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'Iİ', 'ıi')), 'ığüşöçâîû', 'igusocaiu'), node, 2 FROM n), f AS (SELECT book, key, (min((p, node)))[2] AS node, min(p) AS step FROM k GROUP BY book, key) SELECT t.book, upper(t.source) AS name, f.node, f.step FROM t LEFT JOIN f ON t.book = f.book AND {_F('upper(t.source)')} = f.key".replace("{{", "{").replace("}}", "}"),
+    "node_resolver": f"WITH t AS (SELECT * FROM {_T} a), n AS (SELECT book, source AS name, concat(book, '#', source) AS node FROM t), k AS (SELECT book, {_F('name')} AS key, node, 0 AS p FROM n UNION ALL SELECT book, {_F('substring(name, 1, 6)')}, node, 1 FROM n WHERE length(name) % 2 = 0 UNION ALL SELECT book, translate(lower(translate(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'Iİ', 'ıi')), 'ığüşöçâîû', 'igusocaiu'), node, 2 FROM n), f AS (SELECT book, key, (min((p, node)))[2] AS node, min(p) AS step FROM k GROUP BY book, key) SELECT t.book, upper(t.source) AS name, f.node, f.step FROM t LEFT JOIN f ON t.book = f.book AND {_F('upper(t.source)')} = f.key".replace("{{", "{").replace("}}", "}"),
     "alias_repoint": f"SELECT book, {_MOVED('src')} AS src, relation, dst, min(learned_at) AS learned_at, count(*) AS merged FROM {_E} e GROUP BY 1, 2, 3, 4",
     "delete_cascade": f"SELECT book, relation, count(*) AS count FROM {_E} e WHERE NOT EXISTS (SELECT 1 FROM {_V} v WHERE v.seq % 50 = 0 AND v.book = e.book AND v.node = e.src) GROUP BY ALL",
     "term_history": f"SELECT book, source, target, at, seq, version FROM (SELECT *, row_number() OVER (PARTITION BY book, source ORDER BY at DESC, seq DESC) AS r FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY book, source ORDER BY at, seq) AS BIGINT) AS version FROM (SELECT book, node AS source, value AS target, learned_at AS \"at\", seq, CASE WHEN row_number() OVER w = 1 OR value IS DISTINCT FROM lag(value) OVER w THEN 1 ELSE 0 END AS c FROM {_V} v WINDOW w AS (PARTITION BY book, node ORDER BY learned_at, seq)) a) b) c WHERE r <= 5".replace("target, at, seq", 'target, "at", seq').replace("ORDER BY at", 'ORDER BY "at"'),

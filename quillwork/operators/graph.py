@@ -41,8 +41,10 @@ def closings(edges: DataFrame) -> DataFrame:
 
 
 def edge_state(closed: DataFrame, as_of: int) -> DataFrame:
-    """States at a chapter, by book: active, ended, and ends the reader may not know yet."""
-    s = F.when(F.col("until").isNull(), "active").when(F.col("until") > as_of, "active_end_hidden").otherwise("ended")
+    """States at a chapter, by book: disproven where it was refuted by then (`refuted_at`, if the edges have it), active, ended, and
+    ends the reader may not know yet."""
+    refuted_by = F.coalesce(F.col("refuted_at") <= as_of, F.lit(False)) if "refuted_at" in closed.columns else F.lit(False)
+    s = F.when(refuted_by, "disproven").when(F.col("until").isNull(), "active").when(F.col("until") > as_of, "active_end_hidden").otherwise("ended")
     return closed.where(F.col("since") <= as_of).groupBy("book", s.alias("state")).agg(F.count("*").alias("n"))
 
 
@@ -84,8 +86,11 @@ def refuted(values: DataFrame) -> DataFrame:
 
 
 def missing_links(mentions: DataFrame, edges: DataFrame, at_least: int = 2) -> DataFrame:
-    """Entities told in the same place that no edge of any status ties: pairs with a<b, without those the graph has."""
-    a, b = mentions.alias("a"), mentions.alias("b")
+    """Entities told in the same place that no edge of any status ties: pairs with a<b, without those the graph has. Only entities of
+    `at_least` places are paired, as others cannot meet so often, and a place's pairs are counted before they are shuffled."""
+    often = mentions.select("book", "node", "place").distinct().groupBy("book", "node").agg(F.count("*").alias("_n")).where(F.col("_n") >= at_least).select("book", "node")
+    told = mentions.join(often, ["book", "node"], "left_semi")
+    a, b = told.alias("a"), told.alias("b")
     pairs = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.node") < F.col("b.node"))).groupBy(F.col("a.book").alias("book"), F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.countDistinct("a.place").alias("places"))
     tied = edges.select("book", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return pairs.where(F.col("places") >= at_least).join(tied, ["book", "a", "b"], "left_anti")
@@ -122,10 +127,12 @@ def health(edges: DataFrame, every: int = 25) -> DataFrame:
     return per.withColumn("total", F.sum("n").over(Window.partitionBy("book", "status").orderBy("chapter")))
 
 
-def clusters(edges: DataFrame) -> DataFrame:
-    """Nodes by ordered rules on their relations; a node without a rule of its own takes the least cluster of those it points to."""
+def clusters(edges: DataFrame, rules: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """Nodes by ordered rules, (cluster, relations that the node must all have), the first that holds; a node without a rule of its own
+    takes the least cluster of those that point to it."""
     kinds = edges.groupBy("book", F.col("src").alias("node")).agg(F.collect_set("relation").alias("r"))
-    own = kinds.select("book", "node", F.when(F.array_contains("r", "rel_R") & F.array_contains("r", "rel_A"), "core").when(F.array_contains("r", "rel_R"), "outer").alias("cluster"))
+    holds = [F.when(F.size(F.array_except(F.array(*map(F.lit, need)), "r")) == 0, F.lit(cluster)) for cluster, need in rules]
+    own = kinds.select("book", "node", F.coalesce(*holds, F.lit(None).cast("string")).alias("cluster"))
     heads = own.where("cluster is not null").select("book", F.col("node").alias("src"), F.col("cluster").alias("_c"))
     given = edges.join(heads, ["book", "src"]).groupBy("book", F.col("dst").alias("node")).agg(F.min("_c").alias("_g"))
     return given.join(own, ["book", "node"], "full_outer").select("book", "node", F.coalesce("cluster", "_g", F.lit("none")).alias("cluster"))
@@ -150,71 +157,65 @@ def _mentions(s, d):
     return role(s, d, "claims").select("book", F.concat("chapter", F.lit(":"), F.substring("evidence", -1, 1)).alias("place"), F.col("subject").alias("node")).distinct()
 
 
-def _all_claim_edges(s, d):
+def _claim_edges(s, d):
     return role(s, d, "claims").select("book", F.col("subject").alias("src"), "relation", F.col("object").alias("dst"))
 
 
-def _claim_edges(s, d):
-    return role(s, d, "claims").where("chapter < 30").select("book", F.col("subject").alias("src"), "relation", F.col("object").alias("dst"))
+def _closed(s, d):
+    refuted_at = F.when(F.length("dst") == 2, F.col("since") + 20)
+    return closings(role(s, d, "edges")).withColumn("refuted_at", refuted_at)
 
 
-def _all_tied(s, d):
-    return role(s, d, "claims").select("book", F.col("subject").alias("src"), F.concat(F.lit("s"), (F.substring("subject", 2, 3).cast("int") + 1) % 30).alias("dst"))
+#: Nodes with both relations are core, with the one outer.
+_RULES = [("core", ("rel_R", "rel_A")), ("outer", ("rel_R",))]
 
 
 def _tied(s, d):
-    return role(s, d, "claims").where("chapter % 7 = 0").select("book", F.col("subject").alias("src"), F.concat(F.lit("s"), (F.substring("subject", 2, 3).cast("int") + 1) % 30).alias("dst"))
+    return role(s, d, "claims").select("book", F.col("subject").alias("src"), F.concat(F.lit("s"), (F.substring("subject", 2, 3).cast("int") + 1) % 30).alias("dst"))
 
 
 QUERIES = {
     "edge_upsert_merge": lambda s, d: merge_edges(role(s, d, "edges")),
-    "edges_two_ended": lambda s, d: two_ended(role(s, d, "edges"), _nodes(s, d), 60),
+    "edges_two_ended": lambda s, d: two_ended(role(s, d, "edges"), _nodes(s, d), 100),
     "edge_closing": lambda s, d: closings(role(s, d, "edges")),
-    "edge_states": lambda s, d: edge_state(closings(role(s, d, "edges")), 40),
+    "edge_states": lambda s, d: edge_state(_closed(s, d), 100),
     "edge_support": lambda s, d: support(role(s, d, "edges")),
     "degree_counts": lambda s, d: degrees(role(s, d, "edges")),
     "value_changes": lambda s, d: changes(role(s, d, "node_values")),
-    "values_asof": lambda s, d: values_at(role(s, d, "node_values"), 50),
+    "values_asof": lambda s, d: values_at(role(s, d, "node_values"), 100),
     "refutations": lambda s, d: refuted(_values(s, d)),
     "cooccurrence_antijoin": lambda s, d: missing_links(_mentions(s, d), _tied(s, d)),
     "schema_gaps": lambda s, d: without_relation(role(s, d, "node_values").select("book", "node").distinct(), role(s, d, "edges"), "rel_R"),
-    "origin_conflicts": lambda s, d: origin_conflicts(role(s, d, "edges").where("learned_at % 5 = 0")),
-    "delta_classes": lambda s, d: delta_classes(role(s, d, "edges").where("origin = 'model'"), role(s, d, "edges").where("learned_at < 60")),
+    "origin_conflicts": lambda s, d: origin_conflicts(role(s, d, "edges")),
+    "delta_classes": lambda s, d: delta_classes(role(s, d, "edges").where("origin = 'model'"), role(s, d, "edges").where("learned_at < 100")),
     "relation_objects": lambda s, d: heavy_objects(role(s, d, "edges"), 20),
     "graph_health": lambda s, d: health(role(s, d, "edges")),
-    "node_clusters": lambda s, d: clusters(_claim_edges(s, d)),
-    "case_components": lambda s, d: cases(role(s, d, "edges").where("learned_at % 37 = 0")),
-    # The four above whose SQL reads some chapters, over all edges and claims.
-    "origin_conflicts_whole": lambda s, d: origin_conflicts(role(s, d, "edges")),
-    "cooccurrence_antijoin_whole": lambda s, d: missing_links(_mentions(s, d), _all_tied(s, d)),
-    "node_clusters_whole": lambda s, d: clusters(_all_claim_edges(s, d)),
-    "case_components_whole": lambda s, d: cases(role(s, d, "edges")),
+    "node_clusters": lambda s, d: clusters(_claim_edges(s, d), _RULES),
+    "case_components": lambda s, d: cases(role(s, d, "edges")),
 }
 _E, _V, _CL = sql_role("edges"), sql_role("node_values"), sql_role("claims")
 _MERGED = lambda where: f"(SELECT book, src, relation, dst, (min((learned_at IS NULL, learned_at, evidence)))[2] AS learned_at, (min((learned_at IS NULL, learned_at, evidence)))[3] AS evidence, CASE max({_O}) WHEN 2 THEN 'manual' WHEN 1 THEN 'system' ELSE 'model' END AS origin, max(confidence) AS confidence, CASE WHEN (max(({_O}, status = 'approved')))[2] THEN 'approved' ELSE 'rejected' END AS status, count(*) AS seen FROM {_E} e WHERE {where} GROUP BY book, src, relation, dst)"
 _O = "CASE origin WHEN 'manual' THEN 2 WHEN 'system' THEN 1 ELSE 0 END"
 _CLOSED = f"(SELECT *, lead(since) OVER w AS until, lead(dst) OVER w AS \"by\" FROM (SELECT book, src, relation, dst, min(learned_at) AS since FROM {_E} e WHERE status = 'approved' AND learned_at IS NOT NULL GROUP BY ALL) q WINDOW w AS (PARTITION BY book, src, relation ORDER BY since, dst))"
-_EDGE_COMPONENTS = f"""WITH RECURSIVE e AS (SELECT DISTINCT book || '/' || src AS u, book || '/' || dst AS v FROM {_E} x WHERE learned_at % 37 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+_EDGE_COMPONENTS = f"""WITH RECURSIVE e AS (SELECT DISTINCT book || '/' || src AS u, book || '/' || dst AS v FROM {_E} x), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON r.node = b.u)
 SELECT component, count(*) AS members FROM (SELECT node, min(seen) AS component FROM r GROUP BY node) q GROUP BY component"""
 ORACLE = {
     "edge_upsert_merge": f"SELECT * FROM {_MERGED('true')} m",
-    "edges_two_ended": f"WITH n AS (SELECT concat('c', c_custkey) AS node, c_name AS name FROM customer UNION ALL SELECT concat('s', s_suppkey), s_name FROM supplier) SELECT book, relation, a.name AS src_name, b.name AS dst_name, min(learned_at) AS learned_at FROM {_E} e JOIN n a ON e.src = a.node JOIN n b ON e.dst = b.node WHERE learned_at <= 60 AND status = 'approved' GROUP BY ALL",
+    "edges_two_ended": f"WITH n AS (SELECT concat('c', c_custkey) AS node, c_name AS name FROM customer UNION ALL SELECT concat('s', s_suppkey), s_name FROM supplier) SELECT book, relation, a.name AS src_name, b.name AS dst_name, min(learned_at) AS learned_at FROM {_E} e JOIN n a ON e.src = a.node JOIN n b ON e.dst = b.node WHERE learned_at <= 100 AND status = 'approved' GROUP BY ALL",
     "edge_closing": f"SELECT * FROM {_CLOSED} c",
-    "edge_states": f"SELECT book, CASE WHEN until IS NULL THEN 'active' WHEN until > 40 THEN 'active_end_hidden' ELSE 'ended' END AS state, count(*) AS n FROM {_CLOSED} c WHERE since <= 40 GROUP BY ALL",
+    "edge_states": f"SELECT book, CASE WHEN length(dst) = 2 AND since + 20 <= 100 THEN 'disproven' WHEN until IS NULL THEN 'active' WHEN until > 100 THEN 'active_end_hidden' ELSE 'ended' END AS state, count(*) AS n FROM {_CLOSED} c WHERE since <= 100 GROUP BY ALL",
     "edge_support": f"SELECT book, least(src, dst) AS a, relation, greatest(src, dst) AS b, count(DISTINCT learned_at) AS chapters FROM {_E} e WHERE learned_at IS NOT NULL GROUP BY ALL",
     "degree_counts": f"SELECT book, node, count(*) AS edges, count(DISTINCT relation) AS relations, min(learned_at) AS first FROM (SELECT book, unnest([src, dst]) AS node, relation, learned_at FROM {_E} e) q GROUP BY ALL",
     "value_changes": f"SELECT book, node, key, value, learned_at, seq FROM (SELECT *, lag(value) OVER w AS p, row_number() OVER w AS n FROM {_V} v WINDOW w AS (PARTITION BY book, node, key ORDER BY learned_at, seq)) q WHERE n = 1 OR value IS DISTINCT FROM p",
-    "values_asof": f"SELECT book, node, key, arg_max(value, (learned_at, seq)) AS value, max(learned_at) AS learned_at FROM {_V} v WHERE learned_at <= 50 GROUP BY book, node, key",
+    "values_asof": f"SELECT book, node, key, arg_max(value, (learned_at, seq)) AS value, max(learned_at) AS learned_at FROM {_V} v WHERE learned_at <= 100 GROUP BY book, node, key",
     "refutations": f"WITH v AS (SELECT *, seq % 4 = 0 AS confirmed FROM {_V} x) SELECT a.book, a.node, a.key, a.value, a.learned_at, a.seq, min(b.learned_at) AS refuted_at FROM v a JOIN v b ON a.book = b.book AND a.node = b.node AND a.key = b.key AND (b.learned_at, b.seq) > (a.learned_at, a.seq) AND b.confirmed AND b.value <> a.value WHERE NOT a.confirmed GROUP BY ALL",
-    "cooccurrence_antijoin": f"WITH c AS (SELECT * FROM {_CL} x), m AS (SELECT DISTINCT book, concat(chapter, ':', right(evidence, 1)) AS place, subject AS node FROM c), t AS (SELECT DISTINCT book, least(subject, o) AS a, greatest(subject, o) AS b FROM (SELECT book, subject, concat('s', (CAST(substring(subject, 2, 3) AS INT) + 1) % 30) AS o FROM c WHERE chapter % 7 = 0) q) SELECT p.* FROM (SELECT x.book, x.node AS a, y.node AS b, count(DISTINCT x.place) AS places FROM m x JOIN m y ON x.book = y.book AND x.place = y.place AND x.node < y.node GROUP BY ALL) p ANTI JOIN t ON p.book = t.book AND p.a = t.a AND p.b = t.b WHERE places >= 2",
+    "cooccurrence_antijoin": f"WITH c AS (SELECT * FROM {_CL} x), m AS (SELECT DISTINCT book, concat(chapter, ':', right(evidence, 1)) AS place, subject AS node FROM c), t AS (SELECT DISTINCT book, least(subject, o) AS a, greatest(subject, o) AS b FROM (SELECT book, subject, concat('s', (CAST(substring(subject, 2, 3) AS INT) + 1) % 30) AS o FROM c) q) SELECT p.* FROM (SELECT x.book, x.node AS a, y.node AS b, count(DISTINCT x.place) AS places FROM m x JOIN m y ON x.book = y.book AND x.place = y.place AND x.node < y.node GROUP BY ALL) p ANTI JOIN t ON p.book = t.book AND p.a = t.a AND p.b = t.b WHERE places >= 2",
     "schema_gaps": f"SELECT DISTINCT book, node FROM {_V} v WHERE NOT EXISTS (SELECT 1 FROM {_E} e WHERE e.book = v.book AND e.src = v.node AND relation = 'rel_R')",
-    "origin_conflicts": f"WITH p AS (SELECT DISTINCT book, least(src, dst) AS a, greatest(src, dst) AS b, relation, origin FROM {_E} e WHERE learned_at % 5 = 0), f AS (SELECT book, a, b, list_sort(list(DISTINCT relation)) AS firm FROM p WHERE origin <> 'model' GROUP BY ALL) SELECT p.book, p.a, p.b, relation, array_to_string(firm, ',') AS firm FROM p JOIN f ON p.book = f.book AND p.a = f.a AND p.b = f.b WHERE origin = 'model' AND NOT list_contains(firm, relation)",
-    "delta_classes": f"SELECT p.book, CASE WHEN m.status = 'rejected' THEN 'CONFLICTS' WHEN p.learned_at IS NULL THEN 'NEEDS_REVIEW' WHEN m.status IS NOT NULL AND p.learned_at = m.learned_at THEN 'ALREADY' WHEN m.status IS NOT NULL AND p.learned_at > m.learned_at THEN 'SUPPORTS' WHEN m.status IS NOT NULL THEN 'UPDATES' ELSE 'NEW' END AS class, count(*) AS n FROM {_E} p LEFT JOIN {_MERGED('learned_at < 60')} m ON p.book = m.book AND p.src = m.src AND p.relation = m.relation AND p.dst = m.dst WHERE p.origin = 'model' GROUP BY ALL",
+    "origin_conflicts": f"WITH p AS (SELECT DISTINCT book, least(src, dst) AS a, greatest(src, dst) AS b, relation, origin FROM {_E} e), f AS (SELECT book, a, b, list_sort(list(DISTINCT relation)) AS firm FROM p WHERE origin <> 'model' GROUP BY ALL) SELECT p.book, p.a, p.b, relation, array_to_string(firm, ',') AS firm FROM p JOIN f ON p.book = f.book AND p.a = f.a AND p.b = f.b WHERE origin = 'model' AND NOT list_contains(firm, relation)",
+    "delta_classes": f"SELECT p.book, CASE WHEN m.status = 'rejected' THEN 'CONFLICTS' WHEN p.learned_at IS NULL THEN 'NEEDS_REVIEW' WHEN m.status IS NOT NULL AND p.learned_at = m.learned_at THEN 'ALREADY' WHEN m.status IS NOT NULL AND p.learned_at > m.learned_at THEN 'SUPPORTS' WHEN m.status IS NOT NULL THEN 'UPDATES' ELSE 'NEW' END AS class, count(*) AS n FROM {_E} p LEFT JOIN {_MERGED('learned_at < 100')} m ON p.book = m.book AND p.src = m.src AND p.relation = m.relation AND p.dst = m.dst WHERE p.origin = 'model' GROUP BY ALL",
     "relation_objects": f"SELECT book, relation, dst, count(*) AS edges, count(DISTINCT src) AS subjects FROM {_E} e GROUP BY ALL HAVING count(*) >= 20",
     "graph_health": f"SELECT *, CAST(sum(n) OVER (PARTITION BY book, status ORDER BY chapter) AS BIGINT) AS total FROM (SELECT book, CAST(ceil(learned_at / 25) AS INT) * 25 AS chapter, status, count(*) AS n FROM {_E} e WHERE learned_at IS NOT NULL GROUP BY ALL) q",
-    "node_clusters": f"WITH e AS (SELECT book, subject AS src, relation, object AS dst FROM {_CL} x WHERE chapter < 30), o AS (SELECT book, src AS node, CASE WHEN bool_or(relation = 'rel_R') AND bool_or(relation = 'rel_A') THEN 'core' WHEN bool_or(relation = 'rel_R') THEN 'outer' END AS cluster FROM e GROUP BY ALL), g AS (SELECT e.book, e.dst AS node, min(cluster) AS g FROM e JOIN o ON e.book = o.book AND e.src = o.node WHERE cluster IS NOT NULL GROUP BY ALL) SELECT coalesce(o.book, g.book) AS book, coalesce(o.node, g.node) AS node, coalesce(cluster, g, 'none') AS cluster FROM o FULL JOIN g ON o.book = g.book AND o.node = g.node",
+    "node_clusters": f"WITH e AS (SELECT book, subject AS src, relation, object AS dst FROM {_CL} x), o AS (SELECT book, src AS node, CASE WHEN bool_or(relation = 'rel_R') AND bool_or(relation = 'rel_A') THEN 'core' WHEN bool_or(relation = 'rel_R') THEN 'outer' END AS cluster FROM e GROUP BY ALL), g AS (SELECT e.book, e.dst AS node, min(cluster) AS g FROM e JOIN o ON e.book = o.book AND e.src = o.node WHERE cluster IS NOT NULL GROUP BY ALL) SELECT coalesce(o.book, g.book) AS book, coalesce(o.node, g.node) AS node, coalesce(cluster, g, 'none') AS cluster FROM o FULL JOIN g ON o.book = g.book AND o.node = g.node",
     "case_components": _EDGE_COMPONENTS,
 }
-_SLICES = {"origin_conflicts": " WHERE learned_at % 5 = 0", "cooccurrence_antijoin": " WHERE chapter % 7 = 0", "node_clusters": " WHERE chapter < 30", "case_components": " WHERE learned_at % 37 = 0"}
-ORACLE |= {f"{k}_whole": ORACLE[k].replace(where, "") for k, where in _SLICES.items()}

@@ -12,10 +12,15 @@ def claim_counts(claims: DataFrame) -> DataFrame:
     return claims.groupBy("relation", "valid", "reject_reason").agg(F.count("*").alias("n"))
 
 
-def reconcile(claims: DataFrame) -> DataFrame:
-    """Claims to edges: distinct chapters, earliest evidence, confidence 1 from two chapters on, else 0.8 told by the narrator, else 0.5."""
+def reconcile(claims: DataFrame, doubtful: DataFrame | None = None, alias: str = "alias", cap: float = 0.6) -> DataFrame:
+    """Claims to edges: distinct chapters, earliest evidence, confidence 1 from two chapters on, else 0.8 told by the narrator, else 0.5.
+    Aliases of doubtful(book, subject) names, of a kind that does not merge or written small too often, have `cap` at most."""
     out = claims.where("valid").groupBy("book", "subject", "relation", "object").agg(F.countDistinct("chapter").alias("chapters"), F.max((F.col("voice") == "narrator").cast("int")).alias("_n"), F.min(F.struct("chapter", "evidence")).alias("x"))
-    return out.select("book", "subject", "relation", "object", "chapters", F.col("x.chapter").alias("first"), F.col("x.evidence").alias("evidence"), F.when(F.col("chapters") >= 2, 1.0).when(F.col("_n") == 1, 0.8).otherwise(0.5).alias("confidence"))
+    sure = F.when(F.col("chapters") >= 2, 1.0).when(F.col("_n") == 1, 0.8).otherwise(0.5)
+    if doubtful is not None:
+        out = out.join(doubtful.select("book", "subject", F.lit(True).alias("_doubt")).distinct(), ["book", "subject"], "left")
+        sure = F.when((F.col("relation") == alias) & F.col("_doubt").isNotNull(), F.least(sure, F.lit(cap))).otherwise(sure)
+    return out.select("book", "subject", "relation", "object", "chapters", F.col("x.chapter").alias("first"), F.col("x.evidence").alias("evidence"), sure.alias("confidence"))
 
 
 def majority_kind(claims: DataFrame, at_least: int = 2, share: float = 0.7) -> DataFrame:
@@ -26,13 +31,18 @@ def majority_kind(claims: DataFrame, at_least: int = 2, share: float = 0.7) -> D
     return best.where((F.col("n") >= at_least) & (F.col("n") >= share * F.col("all"))).select("book", "object", "kind", "n", "all")
 
 
-def address_table(claims: DataFrame, last: int = 15, at_least: int = 3, share: float = 0.8) -> DataFrame:
-    """Form of address per pair: the mode of the last forms, stable from three on with four fifths."""
+def address_table(claims: DataFrame, last: int = 15, at_least: int = 3, share: float = 0.8, decided: DataFrame | None = None) -> DataFrame:
+    """Form of address per pair: the mode of the last forms, whatever forms there are (ties by name), stable from three on with four
+    fifths. What a person has decided(book, subject, object, form) overrides the count and is stable."""
     newest = Window.partitionBy("book", "subject", "object").orderBy(F.desc("chapter"), F.desc("id"))
     recent = claims.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= last)
-    out = recent.groupBy("book", "subject", "object").agg(F.count("*").alias("n"), F.count(F.when(F.col("form") == "sen", 1)).alias("sen"))
-    top = F.greatest("sen", F.col("n") - F.col("sen"))
-    return out.select("book", "subject", "object", "n", F.when(F.col("sen") * 2 >= F.col("n"), "sen").otherwise("siz").alias("form"), ((F.col("n") >= at_least) & (top >= share * F.col("n"))).alias("stable"))
+    per = recent.groupBy("book", "subject", "object", "form").agg(F.count("*").alias("k"))
+    out = per.groupBy("book", "subject", "object").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "form")).alias("top"))
+    found = out.select("book", "subject", "object", "n", F.col("top.form").alias("form"), ((F.col("n") >= at_least) & (-F.col("top.k") >= share * F.col("n"))).alias("stable"))
+    if decided is None:
+        return found
+    own = decided.select("book", "subject", "object", F.col("form").alias("_own"))
+    return found.join(own, ["book", "subject", "object"], "full_outer").select("book", "subject", "object", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_own", "form").alias("form"), (F.col("_own").isNotNull() | F.col("stable")).alias("stable"))
 
 
 def address_deviations(claims: DataFrame, as_of: int) -> DataFrame:
@@ -105,9 +115,16 @@ def _ranks(s, d):
     return role(s, d, "claims").select("book", F.concat(F.col("subject"), F.col("object")).alias("node"), "chapter", "id", (F.col("id") % 7).alias("step"))
 
 
+def _forms(s, d):
+    """Three forms of address."""
+    return role(s, d, "claims").withColumn("form", F.when(F.col("id") % 7 < 3, "efendim").otherwise(F.col("form")))
+
+
 QUERIES = {
     "claim_counts": lambda s, d: claim_counts(role(s, d, "claims")),
     "claim_reconcile": lambda s, d: reconcile(role(s, d, "claims")),
+    "alias_reconcile": lambda s, d: reconcile(role(s, d, "claims"), role(s, d, "claims").where("kind = 'kind1'"), "rel_A"),
+    "address_decided": lambda s, d: address_table(_forms(s, d), decided=role(s, d, "claims").where("id % 50 = 0").groupBy("book", "subject", "object").agg(F.lit("hocam").alias("form"))),
     "type_majority": lambda s, d: majority_kind(role(s, d, "claims").withColumn("kind", F.when(F.col("id") % 10 < 8, F.lit("kind0")).otherwise(F.col("kind")))),
     "address_table": lambda s, d: address_table(role(s, d, "claims")),
     "address_deviation": lambda s, d: address_deviations(role(s, d, "claims").withColumn("form", F.when(F.col("id") % 10 > 0, F.lit("sen")).otherwise(F.col("form"))), 30),
@@ -124,7 +141,10 @@ _C = sql_role("claims")
 _FORMED = f"(SELECT * REPLACE (CASE WHEN id % 10 > 0 THEN 'sen' ELSE form END AS form) FROM {_C} x)"
 _TABLE = lambda src: f"(SELECT book, subject, object, n, CASE WHEN sen * 2 >= n THEN 'sen' ELSE 'siz' END AS form, n >= 3 AND greatest(sen, n - sen) >= 0.8 * n AS stable FROM (SELECT book, subject, object, count(*) AS n, count(CASE WHEN form = 'sen' THEN 1 END) AS sen FROM (SELECT *, row_number() OVER (PARTITION BY book, subject, object ORDER BY chapter DESC, id DESC) AS r FROM {src}) a WHERE r <= 15 GROUP BY ALL) b)"
 _KINDS = lambda kind: f"(SELECT *, CAST(sum(n) OVER (PARTITION BY book, object) AS BIGINT) AS \"all\", row_number() OVER (PARTITION BY book, object ORDER BY n DESC, kind) AS r FROM (SELECT book, object, {kind} AS kind, count(DISTINCT chapter) AS n FROM {_C} x GROUP BY 1, 2, 3) a)"
+_ANY_TABLE = lambda src: f"(SELECT book, subject, object, CAST(sum(k) AS BIGINT) AS n, arg_min(form, (-k, form)) AS form, sum(k) >= 3 AND max(k) >= 0.8 * sum(k) AS stable FROM (SELECT book, subject, object, form, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY book, subject, object ORDER BY chapter DESC, id DESC) AS r FROM {src}) a WHERE r <= 15 GROUP BY ALL) b GROUP BY book, subject, object)"
 ORACLE = {
+    "alias_reconcile": f"SELECT r.*, CASE WHEN relation = 'rel_A' AND (book, subject) IN (SELECT (book, subject) FROM {_C} k WHERE kind = 'kind1') THEN least(c, 0.6::DOUBLE) ELSE c END AS confidence FROM (SELECT book, subject, relation, object, count(DISTINCT chapter) AS chapters, min(chapter) AS first, (min((chapter, evidence)))[2] AS evidence FROM {_C} x WHERE valid GROUP BY book, subject, relation, object) r JOIN (SELECT book AS b_, subject AS s_, relation AS r_, object AS o_, CASE WHEN count(DISTINCT chapter) >= 2 THEN 1.0 WHEN bool_or(voice = 'narrator') THEN 0.8 ELSE 0.5 END::DOUBLE AS c FROM {_C} y WHERE valid GROUP BY ALL) q ON book = b_ AND subject = s_ AND relation = r_ AND object = o_".replace("SELECT r.*,", "SELECT r.*,"),
+    "address_decided": f"SELECT t.book, t.subject, t.object, n, CASE WHEN m.book IS NOT NULL THEN 'hocam' ELSE form END AS form, stable OR m.book IS NOT NULL AS stable FROM {_ANY_TABLE(f"(SELECT * REPLACE (CASE WHEN id % 7 < 3 THEN 'efendim' ELSE form END AS form) FROM {_C} y) z")} t LEFT JOIN (SELECT DISTINCT book, subject, object FROM {_C} w WHERE id % 50 = 0) m ON m.book = t.book AND m.subject = t.subject AND m.object = t.object",
     "claim_counts": f"SELECT relation, valid, reject_reason, count(*) AS n FROM {_C} x GROUP BY ALL",
     "claim_reconcile": f"SELECT book, subject, relation, object, count(DISTINCT chapter) AS chapters, min(chapter) AS first, (min((chapter, evidence)))[2] AS evidence, CASE WHEN count(DISTINCT chapter) >= 2 THEN 1.0 WHEN bool_or(voice = 'narrator') THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM {_C} x WHERE valid GROUP BY book, subject, relation, object",
     "type_majority": f"SELECT book, object, kind, n, \"all\" FROM {_KINDS("CASE WHEN id % 10 < 8 THEN 'kind0' ELSE kind END")} q WHERE r = 1 AND n >= 2 AND n >= 0.7::DOUBLE * \"all\"",

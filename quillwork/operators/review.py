@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import forms
 from ..functions import text as T
-from ..plans.components import components
+from ..plans.components import components, reliable
 from ..sources.tables import role, sql_role
 from .glossary import near_terms
 
@@ -23,7 +24,20 @@ _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 _PLURAL_SOURCE = r"(?i)[a-z]{2}[a-rt-z]s\z"
 _PLURAL_TARGET = r"(?i)l[ae]r[ıi]?\z"
 _MID_A, _MID_B = r"^\s{1,2}\z", rf"[^\s{SAYS_NOTHING}]\s{{0,2}}\z"
-_SAME = r"^(?:,[ \t]+(?:the[ \t]+)?|,?[ \t]+(?:also[ \t]+)?(?:known|called)[ \t]+as[ \t]+(?:the[ \t]+)?|[ \t]+(?:was|is|had been)[ \t]+(?:the|also the)[ \t]+|[ \t]*[—–-][ \t]*(?:the[ \t]+)?)([A-Z][\p{L}\p{N}_]*)"
+_SMALL = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]*"
+#: A word within a sentence: after one or two blanks that follow a word, or after a mark that ends nothing and two blanks at most.
+_MID = rf"(?:(?<=[\p{{L}}\p{{N}}_]\s{{1,2}})|(?<=[^\s{SAYS_NOTHING}\p{{L}}\p{{N}}_]\s{{0,2}}))(?<![\p{{L}}\p{{N}}_])\p{{L}}[\p{{L}}\p{{N}}_]*"
+_NAME = r"(?<![\p{L}\p{N}_])[A-Z][\p{L}\p{N}_]*"
+#: What a text says between two names of one being, white space as one space: a naming, a statement, or a mark of apposition.
+CALLED = tuple(f"{comma} {also}{word} as" for comma in ("", ",") for also in ("", "also ") for word in ("known", "called"))
+STATED = (" was", " is", " had been")
+MARKS = ("—", "–", "-")
+CONNECTORS = frozenset((
+    *(f", {the}" for the in ("", "the ")),
+    *(f"{c} {the}" for c in CALLED for the in ("", "the ")),
+    *(f"{s} {the}" for s in STATED for the in ("the ", "also the ")),
+    *(f"{before}{mark}{after}" for mark in MARKS for before in ("", " ") for after in ("", " ", "the ", " the ")),
+))
 _TURKISH = r"[çğıöşüÇĞİÖŞÜ]"
 
 
@@ -46,6 +60,7 @@ def gate(terms: DataFrame, forbidden: DataFrame, policies: DataFrame) -> DataFra
 
     Rows that keep their English name are free of the rules on targets. forbidden(book, target) meets targets by fold, and
     policies(book, kind, rule) ask a kind to be kept or translated."""
+    terms = reliable(terms.select("book", "source", "target", "kind"))  # ten rules read it, and what it is made of is read once
     t = terms.withColumn("kept", _kept()).withColumn("key", T.fold_term(F.col("target")))
     plural, many = F.col("source").rlike(_PLURAL_SOURCE), F.col("target").rlike(_PLURAL_TARGET)
     english = F.size(F.array_intersect(T.words(F.lower("target")), F.array(*map(F.lit, ENGLISH)))) > 0
@@ -73,15 +88,16 @@ def gate(terms: DataFrame, forbidden: DataFrame, policies: DataFrame) -> DataFra
 
 def case_profile(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     """(book, source, lower_uses, upper_mid, ordinary) of one-word terms: how often the book writes the word small, and how often
-    with a capital in mid-sentence; ordinary words are small five times or more and no less often than not. Words are counted
-    map-side per book before the terms join."""
-    t = F.regexp_extract_all("source_text", F.lit(_TOKENS), F.lit(0))
-    told = chapters.where("source_text is not null").select("book", t.alias("t"))
-    words = told.select("book", F.explode(F.transform("t", lambda w, i: F.struct(w.alias("w"), F.get("t", i - 1).alias("sep")))).alias("x")).where(F.col("x.w").rlike(r"^\p{L}"))
-    small = F.col("x.w") == F.lower("x.w")
-    mid = F.col("x.sep").rlike(_MID_A) | F.col("x.sep").rlike(_MID_B)
-    per = words.groupBy("book", F.lower("x.w").alias("key")).agg(F.count(F.when(small, 1)).alias("lower_uses"), F.count(F.when(~small & mid, 1)).alias("upper_mid"))
-    out = terms.where(~F.col("source").contains(" ")).select("book", "source", F.lower("source").alias("key")).distinct().join(per, ["book", "key"])
+    with a capital in mid-sentence; ordinary words are small five times or more and no less often than not. Two patterns pick the
+    words that count, so no list of all words and marks is built; they are counted map-side per book before the terms join. A
+    term that no text has has none of either."""
+    told = chapters.where("source_text is not null")
+    found = lambda pattern: F.explode(F.regexp_extract_all("source_text", F.lit(pattern), F.lit(0))).alias("w")
+    small, mid = told.select("book", found(_SMALL)), told.select("book", found(_MID))
+    counted = lambda words, name: words.groupBy("book", F.lower("w").alias("key")).agg(F.count("*").alias(name))
+    per = counted(small.where("w = lower(w)"), "lower_uses").join(counted(mid.where("w <> lower(w)"), "upper_mid"), ["book", "key"], "full_outer")
+    asked = F.regexp_extract("source", r"^[\p{L}\p{N}_]+$", 0) != ""
+    out = terms.where(asked).select("book", "source", F.lower("source").alias("key")).distinct().join(per, ["book", "key"], "left").na.fill(0, ["lower_uses", "upper_mid"])
     return out.select("book", "source", "lower_uses", "upper_mid", ((F.col("lower_uses") >= LEAST_LOWER) & (F.col("lower_uses") >= F.col("upper_mid"))).alias("ordinary"))
 
 
@@ -115,10 +131,11 @@ def categories(nodes: DataFrame, edges: DataFrame, profile: DataFrame, relation:
 
 def same_being(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     """(book, a, b, sentences, first_chapter): two registered names that a text calls the same ("A, the B", "A known as B", "A was
-    the B", "A - the B"), whichever comes first. Each capitalised word looks at the words after it, so no pair list is tried."""
-    t = F.regexp_extract_all("source_text", F.lit(_TOKENS), F.lit(0))
-    told = chapters.where("source_text is not null").select("book", "chapter_no", t.alias("t"))
-    seen = told.select("book", "chapter_no", F.explode(F.transform("t", lambda w, i: F.when(w.rlike(r"^[A-Z]"), F.struct(w.alias("x"), F.regexp_extract(F.array_join(F.slice("t", i + 2, 9), ""), _SAME, 1).alias("y"))))).alias("p")).where("p.y <> ''").select("book", "chapter_no", "p.x", "p.y").where("x <> y")
+    the B", "A - the B"), whichever comes first. Between the two stands no other capitalised word, so a text's names in order and
+    what stands between them are all that is looked at: neighbours whose connection is one of CONNECTORS."""
+    told = forms.once(chapters.where("source_text is not null").select("book", "chapter_no", "source_text"), _n=F.regexp_extract_all("source_text", F.lit(_NAME), F.lit(0)), _g=F.split("source_text", _NAME, -1))
+    pairs = F.arrays_zip(F.col("_n").alias("x"), F.slice("_g", 2, 1 << 30).alias("between"), F.slice("_n", 2, 1 << 30).alias("y"))
+    seen = told.select("book", "chapter_no", F.inline(F.filter(pairs, lambda p: p["y"].isNotNull() & (F.length(p["between"]) <= 40)))).where(F.regexp_replace("between", r"[ \t]+", " ").isin(*sorted(CONNECTORS)) & (F.col("x") != F.col("y"))).drop("between")
     names = terms.select("book", F.col("source").alias("x")).distinct()
     both = seen.join(names, ["book", "x"], "left_semi").join(names.withColumnRenamed("x", "y"), ["book", "y"], "left_semi")
     return both.groupBy("book", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("sentences"), F.min("chapter_no").alias("first_chapter"))
@@ -181,12 +198,16 @@ _PROFILE = "(SELECT DISTINCT book, concat(source, 's') AS name FROM {terms} WHER
 _PROPOSED = """(SELECT doc_id AS id, url, CASE WHEN doc_id % 8 = 1 THEN 'Nobody' ELSE regexp_extract(substring(source_text, 11, 120), '[A-Za-z]{{4,}}', 0) END AS subject, CASE WHEN doc_id % 9 = 0 THEN 'odd' ELSE 'knows' END AS relation,
   regexp_extract(substring(source_text, 60, 71), '[A-Za-z]{{3,}}', 0) AS object, CASE WHEN doc_id % 10 = 3 THEN concat('x', substring(source_text, 11, 120)) WHEN doc_id % 10 = 4 THEN NULL ELSE substring(source_text, 11, 120) END AS quote, CAST(doc_id % 20 AS DOUBLE) / 20 AS confidence FROM {chapters})"""
 _USES = "(SELECT concat(book, '/', node) AS node, count(DISTINCT learned_at) AS chapters FROM (SELECT book, src AS node, learned_at FROM {edges} UNION ALL SELECT book, dst, learned_at FROM {edges}) GROUP BY 1)"
-_ALIASES = "(SELECT DISTINCT concat(book, '/', src) AS u, concat(book, '/', dst) AS v FROM {edges} WHERE learned_at % 37 = 0)"
-_ALL_ALIASES = _ALIASES.replace(" WHERE learned_at % 37 = 0", "")
+_ALIASES = "(SELECT DISTINCT concat(book, '/', src) AS u, concat(book, '/', dst) AS v FROM {edges})"
 
 
-def _sql(s, d, text: str) -> DataFrame:
-    return s.sql("SELECT * FROM " + text, **{name: role(s, d, name) for name in ("terms", "chapters", "edges") if "{" + name + "}" in text})
+def _sql(s, d, text: str, **given: DataFrame) -> DataFrame:
+    return s.sql("SELECT * FROM " + text, **{name: given.get(name) or role(s, d, name) for name in ("terms", "chapters", "edges") if "{" + name + "}" in text})
+
+
+def _gate(s, d) -> DataFrame:
+    terms = reliable(role(s, d, "terms"))
+    return gate(*[_sql(s, d, text, terms=terms) for text in (_GATED, _BANNED, _POLICY)])
 
 
 def _duck(text: str) -> str:
@@ -195,16 +216,16 @@ def _duck(text: str) -> str:
     return text.replace("{{", "{").replace("}}", "}")
 
 
-def _reported(s, d, whole: bool = False) -> DataFrame:
+def _reported(s, d) -> DataFrame:
     c = role(s, d, "chapters").where("translation is not null")
     names = F.array_distinct(F.regexp_extract_all("source_text", F.lit("[A-Z][a-z]{4,}"), F.lit(0)))
     made = F.when(F.col("doc_id") % 3 == 0, F.array(*map(F.lit, ("Bilgin", "Çelik", "Xyzzyq", "Qwortl")))).otherwise(F.array(F.lit("Bilgin")))
-    return c.select("url", F.concat(names if whole else F.slice(names, 1, 6), made).alias("names"), F.slice(names, 2, 2).alias("terms"), "source_text", "translation")
+    return c.select("url", F.concat(names, made).alias("names"), F.slice(names, 2, 2).alias("terms"), "source_text", "translation")
 
 
 QUERIES = {
     "nested_terms": lambda s, d: nested(_sql(s, d, _GATED)),
-    "gate_reasons": lambda s, d: gate(_sql(s, d, _GATED), _sql(s, d, _BANNED), _sql(s, d, _POLICY)),
+    "gate_reasons": _gate,
     "case_profile": lambda s, d: case_profile(role(s, d, "chapters"), role(s, d, "terms")),
     "family_minority": lambda s, d: family_minority(_sql(s, d, _GATED)),
     "general_categories": lambda s, d: categories(_sql(s, d, _GATED).withColumnRenamed("source", "name"), _sql(s, d, _SEEN), _sql(s, d, _PROFILE)),
@@ -212,9 +233,6 @@ QUERIES = {
     "alias_groups": lambda s, d: alias_groups(_sql(s, d, _ALIASES), _sql(s, d, _USES)),
     "evidence_verdicts": lambda s, d: evidence_verdicts(_sql(s, d, _PROPOSED), role(s, d, "chapters"), ("knows", "owns")),
     "extracted_names": lambda s, d: extracted_names(_reported(s, d)),
-    # Over all edges, and over all names of a text instead of six.
-    "alias_groups_whole": lambda s, d: alias_groups(_sql(s, d, _ALL_ALIASES), _sql(s, d, _USES)),
-    "extracted_names_whole": lambda s, d: extracted_names(_reported(s, d, whole=True)),
 }
 _q = lambda x: "'" + x.replace("'", "''") + "'"
 _FOLD = lambda x: f"lower(regexp_replace(trim({x}), '[\\s\\-_''’.·]+', '', 'g'))"
@@ -236,13 +254,11 @@ r AS (SELECT book, source, 'plural_form' AS reason FROM t WHERE plural
  UNION SELECT x.book, unnest([x.source, y.source]), 'near_spelling' FROM (SELECT DISTINCT book, source, f FROM t WHERE length(f) >= {NEAR_LENGTH}) x JOIN (SELECT DISTINCT book, source, f FROM t WHERE length(f) >= {NEAR_LENGTH}) y ON x.book = y.book AND x.source < y.source AND abs(length(x.f) - length(y.f)) <= 1 AND levenshtein(x.f, y.f) = 1 AND concat(x.f, 's') <> y.f AND concat(y.f, 's') <> x.f
  UNION SELECT t.book, t.source, 'policy' FROM t JOIN {_POLICY} p ON t.book = p.book AND t.kind = p.kind WHERE (p.rule = 'keep') <> t.kept)
 SELECT book, source, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY book, source"""),
-    "case_profile": _duck(f"WITH w AS (SELECT book, lower(w) AS key, count(CASE WHEN w = lower(w) THEN 1 END) AS lower_uses, count(CASE WHEN w <> lower(w) AND (regexp_matches(sep, {_q(_MID_A)}) OR regexp_matches(sep, {_q(_MID_B.replace('{', '{{').replace('}', '}}'))})) THEN 1 END) AS upper_mid FROM {_WORDS} x WHERE regexp_matches(w, '^\\p{{{{L}}}}') GROUP BY ALL) SELECT t.book, t.source, lower_uses, upper_mid, lower_uses >= {LEAST_LOWER} AND lower_uses >= upper_mid AS ordinary FROM {{terms}} JOIN w ON t.book = w.book AND lower(t.source) = w.key".replace("{terms}", "(SELECT DISTINCT book, source FROM {terms}) t")),
+    "case_profile": _duck(f"WITH w AS (SELECT book, lower(w) AS key, count(CASE WHEN w = lower(w) THEN 1 END) AS lower_uses, count(CASE WHEN w <> lower(w) AND (regexp_matches(sep, {_q(_MID_A)}) OR regexp_matches(sep, {_q(_MID_B.replace('{', '{{').replace('}', '}}'))})) THEN 1 END) AS upper_mid FROM {_WORDS} x WHERE regexp_matches(w, '^\\p{{{{L}}}}') GROUP BY ALL) SELECT t.book, t.source, coalesce(lower_uses, 0) AS lower_uses, coalesce(upper_mid, 0) AS upper_mid, coalesce(lower_uses >= {LEAST_LOWER} AND lower_uses >= upper_mid, false) AS ordinary FROM {{terms}} LEFT JOIN w ON t.book = w.book AND lower(t.source) = w.key".replace("{terms}", "(SELECT DISTINCT book, source FROM {terms}) t")),
     "family_minority": _duck(f"WITH f AS (SELECT book, lower(split_part(source, ' ', 1)) AS family, source, target, lower(split_part(target, ' ', 1)) AS head FROM {_GATED} g WHERE contains(source, ' ')), h AS (SELECT book, family, head, count(*) AS n FROM f GROUP BY ALL), u AS (SELECT book, family, CAST(sum(n) AS BIGINT) AS members, arg_min(head, (-n, head)) AS usual FROM h GROUP BY ALL HAVING sum(n) >= 3) SELECT f.book, f.family, f.source, f.target, usual, members FROM f JOIN u ON f.book = u.book AND f.family = u.family WHERE head <> usual AND abs(length(head) - length(usual)) <= 3 AND (starts_with(head, usual) OR starts_with(usual, head))"),
     "general_categories": _duck(f"WITH n AS (SELECT DISTINCT book, source AS name FROM {_GATED} g), k AS (SELECT book, name, min(reason) AS reason FROM (SELECT book, name, 'listed' AS reason FROM {_PROFILE} p UNION ALL SELECT book, dst, 'object' FROM {_SEEN} e GROUP BY book, dst HAVING count(*) >= 2) q GROUP BY ALL), w AS (SELECT DISTINCT book, {_DSING('w')} AS w FROM (SELECT book, unnest(string_split(lower(name), ' ')) AS w FROM k) a), p AS (SELECT book, name, len(string_split(name, ' ')) AS n, unnest(string_split(lower(name), ' ')) AS w FROM n), m AS (SELECT p.book, p.name FROM p WHERE n >= 2 AND EXISTS (SELECT 1 FROM w WHERE w.book = p.book AND w.w = {_DSING('p.w')}) GROUP BY p.book, p.name, p.n HAVING count(*) = p.n) SELECT book, name, max(reason) AS reason FROM (SELECT n.book, n.name, k.reason FROM n JOIN k ON n.book = k.book AND n.name = k.name UNION ALL SELECT book, name, 'compound' FROM m) q GROUP BY ALL"),
-    "same_being": _duck(f"WITH n AS (SELECT DISTINCT book, source FROM {{terms}}), f AS (SELECT book, chapter_no, w, list(w) OVER (PARTITION BY url ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS after FROM (SELECT book, chapter_no, url, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT book, chapter_no, url, regexp_extract_all(source_text, {_q(_TOKENS)}) AS t FROM {{chapters}}) q) q2), p AS (SELECT book, chapter_no, w AS x, regexp_extract(array_to_string(after, ''), {_q(_SAME)}, 1) AS y FROM f WHERE regexp_matches(w, '^[A-Z]')) SELECT p.book, least(x, y) AS a, greatest(x, y) AS b, count(*) AS sentences, min(chapter_no) AS first_chapter FROM p SEMI JOIN n ON p.book = n.book AND p.x = n.source SEMI JOIN n m ON p.book = m.book AND p.y = m.source WHERE y <> '' AND x <> y GROUP BY ALL"),
+    "same_being": _duck(f"WITH n AS (SELECT DISTINCT book, source FROM {{terms}}), t AS (SELECT book, chapter_no, regexp_extract_all(source_text, {_q(_TOKENS)}) AS t FROM {{chapters}}), c AS (SELECT book, chapter_no, t, list_filter(range(1, len(t) + 1), lambda i: regexp_matches(t[i], '^[A-Z]')) AS ix FROM t), p AS (SELECT book, chapter_no, t[a] AS x, t[b] AS y, regexp_replace(array_to_string(t[a + 1:b - 1], ''), '[ \\t]+', ' ', 'g') AS between_ FROM (SELECT book, chapter_no, t, unnest(ix[1:len(ix) - 1]) AS a, unnest(ix[2:len(ix)]) AS b FROM c) q) SELECT p.book, least(x, y) AS a, greatest(x, y) AS b, count(*) AS sentences, min(chapter_no) AS first_chapter FROM p SEMI JOIN n ON p.book = n.book AND p.x = n.source SEMI JOIN n m ON p.book = m.book AND p.y = m.source WHERE between_ IN ({', '.join(map(_q, sorted(CONNECTORS)))}) AND x <> y GROUP BY ALL"),
     "alias_groups": _duck(f"WITH RECURSIVE e AS (SELECT * FROM {_ALIASES} a), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON r.node = b.u), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node), t AS (SELECT c.node, component, coalesce(chapters, 0) AS n FROM c LEFT JOIN {_USES} u ON c.node = u.node), x AS (SELECT component, arg_min(node, (-n, node)) AS representative, count(*) AS members FROM t GROUP BY component) SELECT node, representative, members FROM t JOIN x USING (component)"),
     "evidence_verdicts": _duck(f"SELECT id, CASE WHEN relation NOT IN ('knows', 'owns') THEN 'unknown relation' WHEN coalesce(length({_DPLAIN('quote')}), 0) < {LEAST_QUOTE} THEN 'no evidence' WHEN NOT contains({_DPLAIN('source_text')}, {_DPLAIN('quote')}) THEN 'not verbatim' WHEN NOT contains({_DPLAIN('quote')}, lower(subject)) THEN 'subject absent' WHEN NOT contains({_DPLAIN('quote')}, lower(object)) THEN 'object absent' WHEN subject = object THEN 'same ends' WHEN confidence < {LEAST_CONFIDENCE}::DOUBLE THEN 'low confidence' WHEN regexp_matches({_DPLAIN('quote')}, {_q(SUPPOSED.replace('{', '{{').replace('}', '}}'))}) THEN 'supposed' WHEN regexp_matches(subject, '^[a-z]') THEN 'common noun' END AS reason FROM {_PROPOSED} p LEFT JOIN {{chapters}} ON p.url = chapters_.url"),
-    "extracted_names": _duck(f"SELECT url, array_to_string(list_sort(kept), ',') AS kept, CAST(len(names) - len(kept) AS BIGINT) AS dropped, len(names) >= {BROKEN_LEAST} AND len(list_filter(names, lambda n: NOT contains(sf, {_FOLD('n')}))) >= {BROKEN_SHARE}::DOUBLE * len(names) AS broken FROM (SELECT *, list_filter(names, lambda n: NOT list_contains(keys, {_FOLD('n')}) AND NOT regexp_matches(n, {_q(_TURKISH)}) AND contains(tf, {_FOLD('n')}) AND contains(sf, {_FOLD('n')})) AS kept FROM (SELECT url, list_concat(ns[1:6], CASE WHEN doc_id % 3 = 0 THEN ['Bilgin', 'Çelik', 'Xyzzyq', 'Qwortl'] ELSE ['Bilgin'] END) AS names, list_transform(ns[2:3], lambda n: {_FOLD('n')}) AS keys, {_FOLD('source_text')} AS sf, {_FOLD('translation')} AS tf FROM (SELECT *, list_filter(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), lambda x, i: list_position(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), x) = i) AS ns FROM {{chapters}} WHERE translation IS NOT NULL) a) b) c"),
+    "extracted_names": _duck(f"SELECT url, array_to_string(list_sort(kept), ',') AS kept, CAST(len(names) - len(kept) AS BIGINT) AS dropped, len(names) >= {BROKEN_LEAST} AND len(list_filter(names, lambda n: NOT contains(sf, {_FOLD('n')}))) >= {BROKEN_SHARE}::DOUBLE * len(names) AS broken FROM (SELECT *, list_filter(names, lambda n: NOT list_contains(keys, {_FOLD('n')}) AND NOT regexp_matches(n, {_q(_TURKISH)}) AND contains(tf, {_FOLD('n')}) AND contains(sf, {_FOLD('n')})) AS kept FROM (SELECT url, list_concat(ns, CASE WHEN doc_id % 3 = 0 THEN ['Bilgin', 'Çelik', 'Xyzzyq', 'Qwortl'] ELSE ['Bilgin'] END) AS names, list_transform(ns[2:3], lambda n: {_FOLD('n')}) AS keys, {_FOLD('source_text')} AS sf, {_FOLD('translation')} AS tf FROM (SELECT *, list_filter(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), lambda x, i: list_position(regexp_extract_all(source_text, '[A-Z][a-z]{{{{4,}}}}'), x) = i) AS ns FROM {{chapters}} WHERE translation IS NOT NULL) a) b) c"),
 }
-ORACLE["alias_groups_whole"] = ORACLE["alias_groups"].replace(_duck(_ALIASES), _duck(_ALL_ALIASES))
-ORACLE["extracted_names_whole"] = ORACLE["extracted_names"].replace("list_concat(ns[1:6], ", "list_concat(ns, ")

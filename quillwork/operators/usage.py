@@ -19,7 +19,7 @@ def monthly_cost(calls: DataFrame, price: DataFrame) -> DataFrame:
     """Requests, tokens and cost per month and priced model; half-even rounding to four digits."""
     sums = calls.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "model").agg(F.count("*").alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
     cost = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
-    return sums.join(F.broadcast(price), "model").select("month", "model", "requests", "tokens_in", "tokens_out", F.bround(cost, 4).alias("cost"))
+    return sums.join(price, "model").select("month", "model", "requests", "tokens_in", "tokens_out", F.bround(cost, 4).alias("cost"))
 
 
 def token_pivot(calls: DataFrame, price: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def token_pivot(calls: DataFrame, price: DataFrame) -> DataFrame:
     facts = calls.select("model", F.expr("stack(2, 'input', tokens_in, 'output', tokens_out) as (type, token)"))
     wide = facts.groupBy("model").pivot("type", ["input", "output"]).sum("token")
     cost = F.bround((F.col("input") * F.col("price_in") + F.col("output") * F.col("price_out")) / 1e6, 4)
-    return wide.join(F.broadcast(price), "model", "left").select("model", "input", "output", cost.alias("cost"), F.col("price_in").isNull().alias("unpriced"))
+    return wide.join(price, "model", "left").select("model", "input", "output", cost.alias("cost"), F.col("price_in").isNull().alias("unpriced"))
 
 
 def hourly_tokens(calls: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def credit_gauge(calls: DataFrame, price: DataFrame, grant: float, until: str) -
     """One row: spent, left, the used share capped at 1, spend of the last 7 days, days to exhaustion at that rate."""
     cost = F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")
     end = F.lit(until).cast("date")
-    sums = calls.join(F.broadcast(price), "model").agg((F.sum(cost) / 1e6).alias("s"), (F.sum(F.when((F.col("day") > F.date_sub(end, 7)) & (F.col("day") <= end), cost)) / 1e6).alias("w"))
+    sums = calls.join(price, "model").agg((F.sum(cost) / 1e6).alias("s"), (F.sum(F.when((F.col("day") > F.date_sub(end, 7)) & (F.col("day") <= end), cost)) / 1e6).alias("w"))
     return sums.select(F.bround("s", 4).alias("spent"), F.bround(F.lit(grant) - F.col("s"), 4).alias("left"), F.bround(F.least(F.lit(1.0), F.col("s") / grant), 4).alias("share"), F.bround("w", 4).alias("week"), F.bround((F.lit(grant) - F.col("s")) / (F.col("w") / 7), 2).alias("days_left"))
 
 
@@ -65,7 +65,7 @@ def card_state(latest: DataFrame, now: str) -> DataFrame:
 def stage_means(calls: DataFrame, last: int = 40) -> DataFrame:
     """Mean milliseconds per stage over the last chapters: a chapter without the stage counts as 0; and the share that has it."""
     recent = calls.groupBy("chapter").agg(F.max(F.struct("ts", "id")).alias("at")).orderBy(F.desc("at"), F.desc("chapter")).limit(last)
-    own = calls.join(F.broadcast(recent.select("chapter")), "chapter").groupBy("chapter", "stage").agg(F.sum("duration_ms").alias("ms"))
+    own = calls.join(recent.select("chapter"), "chapter").groupBy("chapter", "stage").agg(F.sum("duration_ms").alias("ms"))
     n = recent.agg(F.count("*").alias("n"))
     return own.groupBy("stage").agg(F.sum("ms").alias("ms"), F.count("*").alias("chapters")).join(F.broadcast(n)).select("stage", F.round(F.col("ms") / F.col("n"), 3).alias("mean_ms"), F.round(F.col("chapters") / F.col("n"), 4).alias("share"))
 

@@ -93,11 +93,11 @@ def text_ends(chapters: DataFrame, n: int = 5) -> DataFrame:
     return own.withColumn("_n", nth).select("url", "tail", F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "_n")).alias("slug"), "head")
 
 
-_PARAS = "(SELECT concat(book, '/', chapter_no) AS id, CAST(book % 5 AS STRING) AS book, source_text AS en, CASE WHEN chapter_no % 2 = 0 THEN concat('ve Mirza ', lower(source_text)) ELSE source_text END AS tr FROM {pairs} WHERE length(source_text) < 400)"
+_PARAS = "(SELECT concat(book, '/', chapter_no) AS id, CAST(book % 5 AS STRING) AS book, source_text AS en, CASE WHEN chapter_no % 2 = 0 THEN concat('ve Mirza ', lower(source_text)) ELSE source_text END AS tr FROM {pairs})"
 _KNOWN = "(SELECT DISTINCT book, source, target FROM (SELECT '0' AS book, source, target FROM {terms} WHERE chapters >= 2 UNION ALL SELECT '1' AS book, source, target FROM {terms} WHERE chapters >= 2) k1)"
 _TERMS = "(SELECT book, CASE WHEN chapters % 3 = 0 THEN concat(source, ' Beast') ELSE source END AS source, CASE WHEN chapters % 2 = 0 THEN concat(target, ' Canavar') WHEN chapters % 3 = 0 THEN concat(target, ' mahluk') ELSE target END AS target FROM {terms})"
 _CLASSES = "(SELECT DISTINCT book, 'Beast' AS class, 'mahluk' AS word FROM {terms} UNION ALL SELECT DISTINCT book, 'Monster', 'canavar' FROM {terms})"
-_NAMES = "(SELECT book, concat('p', chapter % 20) AS person, subject AS name, CASE WHEN id % 3 = 0 THEN subject ELSE concat(subject, 'x') END AS target FROM {claims} WHERE chapter < 25)"
+_NAMES = "(SELECT book, concat('p', chapter % 20) AS person, subject AS name, CASE WHEN id % 3 = 0 THEN subject ELSE concat(subject, 'x') END AS target FROM {claims})"
 _CLAIMS = "(SELECT book, chapter, CASE WHEN id % 5 = 0 THEN 'common' WHEN id % 5 = 1 AND length(subject) > 2 THEN 'name' ELSE 'tie' END AS kind, subject, relation, concat('s', id % 30) AS object FROM {claims})"
 _ANSWERS = "(SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE id % 3 > 0 END AS suitable, CASE WHEN id % 13 = 0 THEN 'review' ELSE 'none' END AS decision, id % 4 = 0 AS plural, id % 8 = 0 AS proven, id % 5 = 0 AS everyday, id % 2 = 0 AS mismatch FROM {claims})"
 _ROLES = ("pairs", "terms", "claims", "chapters")

@@ -63,3 +63,16 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql_role(name: str) -> str:
     """The role as a DuckDB subquery."""
     return "(" + _TABLE.sub(r"\1", _fill(ROLES[name], _DUCK)).replace("{{", "{").replace("}}", "}") + ")"
+
+
+_ROLE = re.compile(r"\{(" + "|".join(ROLES) + r")\}")
+
+
+def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A FROM item over roles, in the subset of SQL that both engines read, as a DataFrame."""
+    return spark.sql("SELECT * FROM " + sql, **{name: role(spark, sf_dir, name) for name in set(_ROLE.findall(sql))})
+
+
+def duck(sql: str) -> str:
+    """The same FROM item for DuckDB; braces that are not a role's are written twice."""
+    return _ROLE.sub(lambda m: sql_role(m[1]) + f" {m[1]}_", sql).replace("{{", "{").replace("}}", "}")

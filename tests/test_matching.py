@@ -1,51 +1,104 @@
-"""Patterns, endings, verdicts, alignment, budgets, messages and book sources, by hand and by brute force."""
+"""Forms of terms, endings, verdicts, violations, alignment, budgets, messages and book sources, by hand and by brute force."""
 
 import io
 import itertools
 import zipfile
 
-from quillwork.functions import patterns, suffixes
-from quillwork.operators import matching, messages, selection
+from pyspark.sql import functions as F
+
+from quillwork.functions import forms, turkish
+from quillwork.operators import lexical, matching, messages, selection, views
 from quillwork.sources import books
 
 
-def test_term_patterns():
-    hit = lambda term, text, loose=False: bool(patterns.term_pattern(term, loose).search(text))
+def found(spark, terms, text):
+    """The terms of one book that a text uses."""
+    t = spark.createDataFrame([("b", x, y) for x, y in terms], "book string, source string, target string")
+    units = spark.createDataFrame([("b", text)], "book string, text string")
+    return sorted({r.source for r in forms.uses(units, "text", t, forms.longest_use(t)).collect()})
+
+
+def test_term_forms(spark):
+    hit = lambda term, text, *more: term in found(spark, [(term, "x"), *more], text)
     assert hit("Tier", "two Tiers") and hit("Tier", "Tier's") and not hit("Tier", "Tiernan")
     assert hit("Ore Empire", "OreEmpire") and hit("OreEmpire", "the ore-empire") and hit("Memory", "Memories")
-    assert not hit("Tyrants", "a Tyrant") and hit("Tyrants", "a Tyrant", True) and not hit("Day", "Daies")
-    assert patterns.singular("Os") is None and patterns.singular("Evil Beasts") == "evilbeast"
+    assert not hit("Ore Empire", "Ore. Empire") and not hit("Onertion", "on er tion") and hit("Ore Empire", "the Ore Empire’s gate")
+    assert hit("Tyrants", "a Tyrant") and not hit("Tyrants", "a Tyrant", ("Tyrant", "y")) and not hit("Day", "Daies") and not hit("Os", "an O")
+    assert found(spark, [("Nephis", "Nephis")], "Nephi came") == [] and found(spark, [], "x") == [] and found(spark, [("x", "y")], "") == []
 
 
-def test_target_patterns():
-    assert patterns.target_present("Kılıç", "kılıcını çekti") and patterns.target_present("Işık", "IŞIĞI gördü")
-    assert not patterns.target_present("Kılıç", "kılavuz") and not patterns.target_present("", "x")
-    assert patterns.target_present("Kabus Yaratığı", "Kabus Yaratıkları geldi") and patterns.target_present("Oyuk Dağı", "Oyuk Dağları")
-    assert patterns.target_present("Kademe 2", "2. Kademe'ye") and patterns.target_present("Dağ", "Dag'a", loose=True)
-    assert patterns.same_target("Oyuk", "Oyuk Dağı") and patterns.same_target("dagin", "Dağ") and not patterns.same_target("taş", "Dağ")
+def test_targets_in_translations(spark):
+    rows = [("Kılıç", "kılıcını çekti", True), ("Işık", "IŞIĞI gördü", True), ("Kılıç", "kılavuz", False), ("", "x", False), ("Kabus Yaratığı", "Kabus Yaratıkları geldi", True), ("Oyuk Dağı", "Oyuk Dağları", True), ("Kademe 2", "2. Kademe'ye", True), ("Kademe 2", "2 Kademe", False), ("Gölge Köle", "gölge, köle", False), ("Gölge Köle", "gölge\nkölenin", True), ("Ad", None, False)]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x, _) in enumerate(rows)], "i int, target string, text string")
+    got = {r.i: r.s for r in df.select("i", turkish.stands(turkish.tokens(F.col("text")), F.col("target")).alias("s")).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, _, w in rows]
+    assert turkish.same_target("Oyuk", "Oyuk Dağı") and turkish.same_target("dagin", "Dağ") and not turkish.same_target("taş", "Dağ") and turkish.same_target("", "x")
 
 
 def test_endings():
-    assert suffixes.build("kitap", ("(s)I", "DA")) == "kitabında" and suffixes.build("göl", ("lAr", "(y)A")) == "göllere"
-    assert suffixes.build("renk", ("(y)I",)) == "rengi" and suffixes.build("top", ("(y)I",)) == "topu"
-    assert suffixes.build("merwis", ("(n)In",), True) == "merwis'in"
+    assert turkish.build("kitap", ("(s)I", "DA")) == "kitabında" and turkish.build("göl", ("lAr", "(y)A")) == "göllere"
+    assert turkish.build("renk", ("(y)I",)) == "rengi" and turkish.build("top", ("(y)I",)) == "topu"
+    assert turkish.build("merwis", ("(n)In",), True) == "merwis'in" and turkish.parse("merwis", "Merwis’in", True) == (("(I)n",), ("(n)In",))
     for stem in ("kale", "ağaç", "ütü", "yaprak"):
-        for s in suffixes.sequences():
-            assert s in suffixes.parse(stem, suffixes.build(stem, s))
-    assert suffixes.move("kale", "kalelerde", "ağaç") == "ağaçlarda" and suffixes.move("kale", "kalem", "göl") == "gölüm" and suffixes.move("kale", "masada", "göl") is None
+        for s in turkish.sequences():
+            assert s in turkish.parse(stem, turkish.build(stem, s))
+    assert turkish.move("kale", "kalelerde", "ağaç") == "ağaçlarda" and turkish.move("kale", "kalem", "göl") == "gölüm" and turkish.move("kale", "masada", "göl") is None
     assert matching.retarget("Kaleye gitti, kalenin önü.", "kale", "kule") == ("Kuleye gitti, kulenin önü.", 2, 0)
+    assert matching.retarget("Kalexyz durdu", "kale", "kule") == ("Kalexyz durdu", 0, 1)
+
+
+TERMS = [("Shadow", "Gölge", 1), ("Merwis", "Merwis", None), ("Saints", "Azizler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
 
 
 def test_verdicts(spark):
-    terms = [("Shadow", "Gölge", 1), ("Merwis", "Merwis", None), ("Saints", "Azizler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
-    ready = matching.Dictionary(terms)
-    got = {t: v for t, _, v in ready.judge("The Shadow met Merwis and a Saint. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Merwis ve bir Saint. Anılar.", 5)}
-    assert got == {"Shadow": "ok", "Merwis": "ok", "Saints": "left_in_english", "Memory": "ok", "Ore Empire": "target_missing"}
-    assert ready.judge("A Shadow.", "Karaltı.", 5) == [("Shadow", "Gölge", "target_missing")]
-    chapters = spark.createDataFrame([("u", "b", "m", 5, "A Shadow. Late.", "Gölge."), ("v", "b", "m", None, "Late", "x"), ("w", "z", "m", 1, "Shadow", "y"), ("n", "b", "m", 1, None, "y")], "url string, book string, model string, chapter_no int, source_text string, translation string")
-    table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, first_chapter int")
-    for limit in (100, 2):
-        assert {(r.url, r.source, r.verdict) for r in matching.verdicts(chapters, table, limit).collect()} == {("u", "Shadow", "ok"), ("v", "Late", "target_missing")}
+    rows = [("u", "b", "m", 5, "A Shadow. Late.", "Gölge."), ("v", "b", "m", None, "Late", "x"), ("w", "z", "m", 1, "Shadow", "y"), ("n", "b", "m", 1, None, "y"), ("k", "b", "m", 5, "The Shadow met Merwis and a Saint. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Merwis ve bir Saint. Anılar."), ("l", "b", "m", 5, "A Shadow.", "Karaltı.")]
+    chapters = spark.createDataFrame(rows, "url string, book string, model string, chapter_no int, source_text string, translation string")
+    table = spark.createDataFrame([("b", *t) for t in TERMS], "book string, source string, target string, first_chapter int")
+    got = {(r.url, r.source): r.verdict for r in matching.verdicts(chapters, table).collect()}
+    assert got == {("u", "Shadow"): "ok", ("v", "Late"): "target_missing", ("k", "Shadow"): "ok", ("k", "Merwis"): "ok", ("k", "Saints"): "left_in_english", ("k", "Memory"): "ok", ("k", "Ore Empire"): "target_missing", ("l", "Shadow"): "target_missing"}
+    assert matching.verdicts(chapters.limit(0), table).count() == 0 and matching.verdicts(chapters, table.limit(0)).count() == 0
+
+
+def test_violations(spark):
+    """The four kinds that are not measured, and forms that are never allowed."""
+    terms = [("Saint", "Aziz", None), ("Rank", "Rütbe", "only in lists"), ("Night", "Nightingale", None), ("Nightingale", "Nightingale", None), ("Mask", "Mask Evi", None), ("Crow", "Karga", "if a name"), ("Sun", "Sun", None)]
+    table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, condition string")
+    rows = [(1, "A Saint came.", "Bir Saint geldi."), (2, "A Saint came.", "Bir aziz geldi."), (3, "Rank. Night, Mask and Sun", "Rank. Night, Mask Sun"), (4, "the Crow", "kudretli Kargaya"), (5, "the Crow", "Kargaya Cassie"), (6, "the Crow", "Kargayasıyla"), (7, None, "Saint"), (8, "no term", "Saint kuzgun"), (9, "the Crow", "Kuzgunlar uçtu")]
+    units = spark.createDataFrame([(i, "b", e, t) for i, e, t in rows], "id int, book string, en string, tr string")
+    forbidden = spark.createDataFrame([("b", "Crow", "Kargaya"), ("b", "Crow", "kuzgun")], "book string, source string, form string")
+    got = sorted((r.id, r.source) for r in matching.violations(units, ["id"], table, forbidden).collect())
+    assert got == [(1, "Saint"), (5, "Crow"), (6, "Crow"), (9, "Crow")]
+
+
+def test_deviations(spark):
+    terms = [("Reaper", "Biçici", None), ("Soul Reaper", "Ruh Biçici", None), ("Cassia", "Cassia", None), ("Red Queen", "Red Queen", None)]
+    table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, condition string")
+    rows = [(1, "Then the Reaper rose.", "Sonra adam kalktı."), (2, "Reaper rose.", "Adam kalktı."), (3, "Then he Reaper rose.", "Adam."), (4, "Then the Reaper rose.", "Sonra biçicinin"), (5, "Then the Reaper rose.", "Reaper kalktı"), (6, "Then the Soul Reaper rose.", "Adam."), (7, "Then Cassia and the Red Queen rose.", "Adam."), (8, "then the reaper", "adam")]
+    paras = spark.createDataFrame([(i, "b", e, t) for i, e, t in rows], "id int, book string, en string, tr string")
+    assert sorted((r.id, r.source) for r in matching.deviations(paras, ["id"], table).collect()) == [(1, "Reaper"), (6, "Soul Reaper"), (7, "Red Queen")]
+
+
+def test_suspicion_and_impact(spark):
+    chapters = spark.createDataFrame([(f"u{i}", "b", m, i, "A Saint.\nOther.", t) for i, (m, t) in enumerate([("pro", "Bir Saint.\nx"), ("pro", "Aziz.\nSaint"), ("x-lite", "Saint\ny"), ("a:b", "Ermiş\nz"), ("", "Aziz Saint"), ("pro", None)])], "url string, book string, model string, chapter_no int, source_text string, translation string")
+    table = spark.createDataFrame([("b", "Saint", "Aziz", None)], "book string, source string, target string, condition string")
+    hits = spark.createDataFrame([(f"u{i}", "b", "Saint") for i in range(6)], "url string, book string, source string")
+    assert [tuple(r) for r in matching.suspicion(hits, chapters).collect()] == [("b", "Saint", 3, "pro:3")]
+    old = spark.createDataFrame([("b", "Saint", "Ermiş"), ("b", "Saint", "Aziz")], "book string, source string, target string")
+    r = matching.impact(chapters, table, old).first()
+    assert (r.chapters, r.current, r.old, r.english, r.different, r.with_source, r.total) == (5, 2, 1, 2, 0, 6, 6)
+    assert [r.sentence for r in matching.term_sentences(chapters, table).collect()] == ["A Saint."]
+
+
+def test_leases(spark):
+    rows = [(1, "a", 0, 7), (1, "b", 100, 7), (1, "c", 1201, 7), (1, "d", 2401, 7), (1, "e", 2402, 7), (1, "f", 0, 8)]
+    got = views.leased(spark.createDataFrame(rows, "work int, worker string, at long, content int")).collect()
+    assert {r.worker: r.granted for r in got} == {"a": True, "b": False, "c": True, "d": False, "e": True, "f": True}
+
+
+def test_quota_days_over_summer_time(spark):
+    calls = spark.createDataFrame([("2024-03-10 07:30:00",), ("2024-03-10 08:30:00",), ("2024-03-11 06:59:00",), ("2024-03-11 07:01:00",)], "t string").select(F.to_timestamp("t").alias("ts"))
+    got = {str(r.quota_day): (r.calls, r.starts_anew, r.first_local) for r in lexical.quota_days(calls).collect()}
+    assert got == {"2024-03-09": (1, 1710057600, "2024-03-10 10:30"), "2024-03-10": (2, 1710140400, "2024-03-10 11:30"), "2024-03-11": (1, 1710226800, "2024-03-11 10:01")}
 
 
 def slow_align(s, t):
@@ -69,6 +122,7 @@ def slow_align(s, t):
 def test_alignment():
     for s, t in (([50, 60, 40], [50, 100]), ([100, 30], [55, 50, 31]), ([10, 20, 30, 40], [11, 19, 33, 41]), ([5], [5])):
         assert [x[2:] for x in selection.align(s, t)] == slow_align(s, t)
+    assert selection.align([0, 0], [0, 0]) is not None
     assert selection.align([], [1]) is None and selection.align([1] * 9, [1] * 5) is None
 
 
@@ -95,10 +149,16 @@ def test_judgements_and_sign_test(spark):
     assert selection.sign_test(0, 0) == 1.0 and selection.sign_test(5, 0) == 0.0625 and selection.sign_test(3, 3) == 1.0
 
 
-def test_messages():
+def test_messages(spark):
+    def told(text, **more):
+        rows = messages.messages(spark.createDataFrame([("u", "b", text)], "url string, book string, source_text string"), **more).orderBy("line").collect()
+        return [(r.kind, r.key, r.value) for r in rows]
+
     text = "He ran.\n\nRank: Awakened\n\n[Silver Crow] (Epic)\n\nWeight: 3\n\nx\n\ny\n\nz\n\nAge: 9\n\nTranslator: me\n\nSystem: You died.\n\nShe said: \"no\""
-    assert [m[1:] for m in messages.message_lines(text, ("System",))] == [("key", "Rank", "Awakened"), ("bracket", None, "[Silver Crow] (Epic)"), ("key", "Weight", "3"), ("voice", "System", "You died.")]
-    assert [m[2] for m in messages.message_lines("Age: 9\n\nRank: x", keys=("rank",))] == ["Rank"] and messages.message_lines("") == []
+    assert told(text) == [("key", "Rank", "Awakened"), ("bracket", None, "[Silver Crow] (Epic)"), ("key", "Weight", "3"), ("voice", "System", "You died.")]
+    chain = "[Start]\n\na\n\nOne: 1\n\nb\n\nc\n\nTwo: 2\n\nd\n\ne\n\nf\n\nThree: 3\n\nFour: [x]\n\n"
+    assert [k for _, k, _ in told(chain)] == [None, "One", "Two", "Three", "Four"]
+    assert [k for _, k, _ in told("Age: 9\n\nRank: x", keys=("rank",))] == ["Rank"] and told("") == [] and told(None) == [] and told("Age: 9\n\nRank: x") == []
 
 
 def epub(chapters):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.functions import suffixes
+from quillwork.functions import forms, turkish
 from quillwork.functions import text as T
 from quillwork.operators import matching, review, senses, upkeep, wording
 
@@ -61,21 +61,23 @@ def test_restored(spark):
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
-        ("She summoned Saint.", ["second"]), ("a Saint came", ["base"]), ("a friendly local Saint", ["base"]), ("sent one to Saint", ["second"]), ("the Saint", ["unclear"]), ("Saints fell", ["base"]), ("Saint Tyris", ["base"]),
-        ("Saint. The end", ["second"]), ("Saint... Saint Tyris?", ["base", "base"]), ("every Master, and Saint", ["base"]), ("Stone Saint", []), ("rank of Saint", ["base"]), ("", []),
+        ("She summoned Warden.", ["second"]), ("a Warden came", ["base"]), ("a friendly local Warden", ["base"]), ("sent one to Warden", ["second"]), ("the Warden", ["unclear"]), ("Wardens fell", ["base"]), ("Warden Tyris", ["base"]),
+        ("Warden. The end", ["second"]), ("Warden... Warden Tyris?", ["base", "base"]), ("every Master, and Warden", ["base"]), ("Stone Warden", []), ("rank of Warden", ["base"]), ("", []),
     ],
 )
-def test_senses(text, kinds):
-    sense = senses.Sense("Saint", "Aziz", "Saint", 5, ("Stone",), ("rank",), ("Master",))
-    assert [k for _, k in senses.occurrences(text, sense, 9)] == kinds
+def test_senses(spark, text, kinds):
+    sense = senses.Sense("Warden", "Bekçi", "Warden", 5, ("Stone",), ("rank",), ("Master",))
+    df = spark.createDataFrame([(text,)], "t string")
+    split = forms.once(df, _w=F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), _g=F.split("t", r"[\p{L}\p{N}_]+", -1))
+    assert split.select(senses.kinds_of_use(sense, F.lit(9)).alias("k")).first().k == kinds
 
 
-def test_sense_faults():
-    sense = senses.Sense("Saint", "Aziz", "Saint", 5)
-    assert senses.sense_fault("She summoned Saint.", "Saint'i çağırdı.", sense, 9) is None
-    assert senses.sense_fault("She summoned Saint.", "Azizi çağırdı.", sense, 9) == ("second", "Saint")
-    assert senses.sense_fault("a Saint", "bir Saint", sense, 9) == ("base", "Aziz") and senses.sense_fault("the Saint", "o", sense, 9) is None
-    assert senses.sense_fault("She summoned Saint.", "Azizi çağırdı.", sense, 2) is None
+def test_sense_faults(spark):
+    sense = senses.Sense("Warden", "Bekçi", "Warden", 5)
+    rows = [(9, "She summoned Warden.", "Warden'i çağırdı."), (9, "She summoned Warden.", "Bekçiyi çağırdı."), (9, "a Warden", "bir Warden"), (9, "the Warden", "o"), (2, "She summoned Warden.", "Bekçiyi çağırdı."), (None, "She summoned Warden.", None), (9, None, "x")]
+    paras = spark.createDataFrame([(1, c, i, e, t) for i, (c, e, t) in enumerate(rows)], "book long, chapter_no long, para long, en string, tr string")
+    got = {r.para: (r.sense, r.expected) for r in senses.sense_faults(paras, [sense]).collect()}
+    assert got == {1: ("second", "Warden"), 2: ("base", "Bekçi"), 5: ("second", "Warden")}
 
 
 def test_address_form(spark):
@@ -93,16 +95,16 @@ def test_message_claims(spark):
 def test_endings_against_all_sequences():
     for stem in ("kitap", "kapı", "renk", "göz"):
         forms = {}
-        for s in suffixes.sequences():
-            forms.setdefault(suffixes.build(stem, s), set()).add(s)
+        for s in turkish.sequences():
+            forms.setdefault(turkish.build(stem, s), set()).add(s)
         for form in sorted(forms)[::37]:
-            assert set(suffixes.parse(stem, form)) == forms[form]
+            assert set(turkish.parse(stem, form)) == forms[form]
 
 
 @pytest.mark.parametrize(("stem", "endings", "form"), [("kitap", ("lIk",), "kitaplık"), ("kitap", ("lIk", "(s)I"), "kitaplığı"), ("göz", ("lIk", "CI"), None), ("göz", ("CI",), "gözcü"), ("kitap", ("CI",), "kitapçı"), ("asker", ("(y)DI",), "askerdi"), ("kapı", ("(y)DI",), "kapıydı"), ("tuz", ("sIz", "lAr"), "tuzsuzlar"), ("kral", ("DIr",), "kraldır")])
 def test_endings(stem, endings, form):
     if form:
-        assert suffixes.build(stem, endings) == form and endings in suffixes.parse(stem, form)
+        assert turkish.build(stem, endings) == form and endings in turkish.parse(stem, form)
 
 
 def test_refill():
