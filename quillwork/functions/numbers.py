@@ -1,18 +1,26 @@
-"""Numbers in running text, in digits or words, with scale words: the values an English and a Turkish paragraph should share."""
+"""Numbers in running text, in digits or words, with scale words, endings and vague magnitudes: what an English and a Turkish
+paragraph should share."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-# Number words and scale words of the two languages.
+from . import turkish
+
+# Number words, scale words and words for an uncounted many of the two languages.
 EN_UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 EN_TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 EN_SCALES = {"hundred": 100, "thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 TR_UNITS = {w: i for i, w in enumerate("sıfır bir iki üç dört beş altı yedi sekiz dokuz".split())}
 TR_TENS = {w: 10 * i for i, w in enumerate("on yirmi otuz kırk elli altmış yetmiş seksen doksan".split(), 1)}
 TR_SCALES = {"yüz": 100, "bin": 10**3, "milyon": 10**6, "milyar": 10**9, "trilyon": 10**12}
+EN_VAGUE = {"hundreds": 100, "thousands": 10**3, "millions": 10**6, "billions": 10**9}
+TR_VAGUE = {"yüzlerce": 100, "binlerce": 10**3, "milyonlarca": 10**6, "milyarlarca": 10**9}
 
-_TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+")
+_TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)?")
+_PAUSE = re.compile(r"[^\s\-–]")
+_SENTENCE_END = re.compile(r"[.!?…]")
 
 
 def _figure(token: str, thousands: str) -> float | None:
@@ -22,52 +30,105 @@ def _figure(token: str, thousands: str) -> float | None:
     return None
 
 
-def values(text: str, turkish: bool) -> list[float]:
-    """All values from left to right. "3 milyon", "three million" and "3.000.000" are one value; a bare scale word is vague and
-    gives none; a figure that fits neither separator style (a version, a date) gives none."""
-    units, tens, scales = (TR_UNITS, TR_TENS, TR_SCALES) if turkish else (EN_UNITS, EN_TENS, EN_SCALES)
-    out: list[float] = []
-    total, part, seen, last_end = 0.0, 0.0, False, -1
-
-    def close() -> None:
-        nonlocal total, part, seen
-        if seen:
-            out.append(total + part)
-        total, part, seen = 0.0, 0.0, False
-
-    low = text.replace("I", "ı").replace("İ", "i").lower() if turkish else text.lower()
-    for m in _TOKEN.finditer(low):
-        token, gap = m[0], low[last_end : m.start()] if last_end >= 0 else ""
-        if seen and gap.strip(" -\t"):
-            close()
-        last_end = m.end()
-        if token[0].isdigit():
-            close()
-            value = _figure(token, "." if turkish else ",")
+@lru_cache(maxsize=1 << 16)
+def _read_word(word: str, turkish_: bool) -> tuple[str, float, bool] | None:
+    """(unit, ten, scale or vague; its value; whether it has an ending, after which no number goes on)."""
+    tables = (("unit", TR_UNITS), ("ten", TR_TENS), ("scale", TR_SCALES)) if turkish_ else (("unit", EN_UNITS), ("ten", EN_TENS), ("scale", EN_SCALES))
+    for kind, table in tables:
+        if word in table:
+            return kind, float(table[word]), False
+    for name, size in (TR_VAGUE if turkish_ else EN_VAGUE).items():
+        if word == name or turkish_ and word.startswith(name):
+            return "vague", float(size), True
+    if not turkish_:
+        return None
+    bare = word.replace("’", "'")
+    for kind, table in tables:
+        for name, value in table.items():
+            if len(word) > len(name) > 2 or "'" in bare:
+                if turkish.parse(name, bare, "'" in bare) and bare != name:
+                    return kind, float(value), True
+    return None
+
+
+class _Reader:
+    """What has been read of the number that stands open, and all that are closed."""
+
+    def __init__(self) -> None:
+        self.found: list[float] = []
+        self.vague: set[float] = set()
+        self.total = self.part = 0.0
+        self.open = self.range = False
+        self.last: tuple[str, float] | None = None
+
+    def close(self) -> None:
+        if self.open and not self.range:
+            self.found.append(self.total + self.part)
+        self.total, self.part, self.open, self.range, self.last = 0.0, 0.0, False, False, None
+
+    def word(self, kind: str, value: float) -> None:
+        before = self.last
+        if kind == "scale":
+            if not self.open and value not in (100.0, 1000.0):
+                return  # a bare scale word from a million on counts nothing
+            self.part = (self.part or 1.0) * value
+            if value >= 1000:
+                self.total, self.part = self.total + self.part, 0.0
+        elif before and before[0] == "ten" and kind == "ten":
+            self.range = True  # "sixty seventy" lies between, and what follows scales no value
+        elif before and (before[0] == kind == "unit" or before[0] == "unit" and kind == "ten"):
+            self.close()
+            self.part = value
+        else:
+            self.part += value
+        self.open, self.last = True, (kind, value)
+
+
+def read(text: str, turkish_: bool) -> tuple[list[float], set[float]]:
+    """All values from left to right, and the magnitudes of an uncounted many ("thousands", "binlerce").
+
+    "3 milyon", "three million" and "3.000.000" are one value, also with Turkish endings on it; a figure that fits neither separator
+    style (a version, a date) gives none; two tens in a row are a range and no value; a capitalised English number word within a
+    sentence is part of a name. Marks between words end a number, but for the comma after thousands."""
+    reader, end = _Reader(), 0
+    for m in _TOKEN.finditer(text):
+        gap, raw = text[end : m.start()], m[0]
+        begins = end == 0 or bool(_SENTENCE_END.search(gap))
+        end = m.end()
+        if reader.open and _PAUSE.search(gap) and not (gap.strip() == "," and reader.last and reader.last[0] == "scale" and reader.last[1] >= 1000):
+            reader.close()
+        if raw[0].isdigit():
+            reader.close()
+            value = _figure(raw, "." if turkish_ else ",")
             if value is not None:
-                part, seen = value, True
-        elif token in units or token in tens:
-            word = units.get(token, tens.get(token, 0))
-            if seen and part % 10 == 0 and word < 10 < part + 1 or not seen or part == 0 or (part % 100 == 0 and word < 100):
-                part, seen = part + word, True
-            else:
-                close()
-                part, seen = float(word), True
-        elif token in scales and (seen or token in ("yüz", "bin")):
-            size = scales[token]
-            part = (part or 1.0) * size
-            seen = True
-            if size >= 1000:
-                total, part = total + part, 0.0
-        elif token == "and" and seen and not turkish:
+                reader.part, reader.open, reader.last = value, True, ("unit", value)
             continue
+        word = turkish.lower(raw) if turkish_ else raw.lower()
+        known = _read_word(word, turkish_)
+        if known is None:
+            if not (word == ("ve" if turkish_ else "and") and reader.open):
+                reader.close()
+        elif known[0] == "vague":
+            reader.close()
+            reader.vague.add(known[1])
+        elif not turkish_ and raw[0].isupper() and not begins:
+            reader.close()
         else:
-            close()
-    close()
-    return out
+            reader.word(known[0], known[1])
+            if known[2]:
+                reader.close()
+    reader.close()
+    return reader.found, reader.vague
+
+
+def values(text: str, turkish_: bool) -> list[float]:
+    return read(text, turkish_)[0]
 
 
 def missing(source: str, translation: str, least: float = 10) -> list[float]:
-    """Values of the source from `least` on that the translation does not have."""
-    there = set(values(translation, True)) | set(values(translation, False))
-    return sorted({v for v in values(source, False) if v >= least and v not in there})
+    """Values of the source from `least` on that the translation does not have, and its vague magnitudes that the translation has
+    neither as such nor as a value of the same scale. A round magnitude may be told as the uncounted many of its size."""
+    wanted, many = read(source, False)
+    there, loose = (x | y for x, y in zip(*[(set(v), w) for v, w in (read(translation, True), read(translation, False))], strict=True))
+    lost = {v for v in wanted if v >= least and v not in there and v not in loose}
+    return sorted(lost | {b for b in many if b not in loose and not any(b <= v < 10 * b for v in there)})
