@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import forms, turkish
 from ..functions import text as T
 from ..sources.tables import role, sql_role
 
@@ -45,10 +46,12 @@ def collisions(terms: DataFrame) -> DataFrame:
 
 
 def style_splits(terms: DataFrame, min_word: int = 3) -> DataFrame:
-    """Words that stand with a capital in one target and without in another."""
+    """Words that stand with a capital in one target and without in another. Words of the very same terms are one finding, under the
+    smallest of them."""
     words = terms.select("book", "source", F.explode(F.array_distinct(F.split("target", " "))).alias("word")).where(F.length("word") >= min_word)
     upper = F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1))
-    return words.groupBy("book", F.lower("word").alias("word")).agg(F.count(F.when(upper, 1)).alias("capital"), F.count(F.when(~upper, 1)).alias("small")).where("capital > 0 and small > 0")
+    split = words.groupBy("book", F.lower("word").alias("word")).agg(F.count(F.when(upper, 1)).alias("capital"), F.count(F.when(~upper, 1)).alias("small"), F.array_sort(F.collect_set("source")).alias("members")).where("capital > 0 and small > 0")
+    return split.groupBy("book", "members").agg(F.min(F.struct("word", "capital", "small")).alias("x")).select("book", "x.word", "x.capital", "x.small")
 
 
 def deletion_keys(x: Column) -> Column:
@@ -73,11 +76,20 @@ def softened(terms: DataFrame) -> DataFrame:
     return terms.groupBy("book", mask.alias("mask")).agg(F.countDistinct("source").alias("n"), F.min("source").alias("first"), F.max("source").alias("last")).where("n > 1")
 
 
-def new_candidates(candidates: DataFrame, terms: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Candidates whose key is neither registered nor rejected; of equal keys the first spelling stays."""
+def variant_key(source: Column) -> Column:
+    """Names that differ by a leading article, by `of the` for `of` or by an inner possessive share it."""
+    bare = F.regexp_replace(F.trim(source), r"(?i)^(?:the|a|an)\s+", "")
+    return T.fold_term(F.regexp_replace(F.regexp_replace(bare, r"(?i)\bof\s+the\b", "of"), r"(?i)['’]s\b", ""))
+
+
+def new_candidates(candidates: DataFrame, terms: DataFrame, spellings: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Candidates whose key is neither registered, nor another spelling of what is, nor rejected or a harmless variant of what was
+    rejected; of equal keys the first spelling stays."""
     key = T.fold_term(F.col("source")).alias("key")
-    taken = terms.select("book", key).union(rejected.select("book", key)).distinct()
-    return candidates.select("book", "source", key).join(taken, ["book", "key"], "left_anti").groupBy("book", "key").agg(F.min("source").alias("source"), F.count("*").alias("spellings"))
+    taken = terms.select("book", key).union(spellings.select("book", T.fold_term(F.col("spelling")).alias("key"))).union(rejected.select("book", key)).distinct()
+    refused = rejected.select("book", variant_key(F.col("source")).alias("_variant")).distinct()
+    open_ = candidates.select("book", "source", key, variant_key(F.col("source")).alias("_variant")).join(taken, ["book", "key"], "left_anti").join(refused, ["book", "_variant"], "left_anti")
+    return open_.groupBy("book", "key").agg(F.min("source").alias("source"), F.count("*").alias("spellings"))
 
 
 def stamp_differences(stamps: DataFrame, terms: DataFrame) -> DataFrame:
@@ -125,10 +137,16 @@ def term_hits(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(terms.select("book", F.col("source").alias("word")), ["book", "word"]).groupBy("url", "book").agg(F.count("*").alias("terms"), F.min("word").alias("first"), F.max("word").alias("last"))
 
 
-def preregistered(chapters: DataFrame, terms: DataFrame) -> DataFrame:
-    """Chapters before a term was registered that hold it already, per term."""
+def preregistered(chapters: DataFrame, terms: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
+    """(book, source, before, first, held, early): chapters before a term was registered that hold it already, the first of them, and how
+    many translations of them hold its target with any ending; registered late where those are `least` or more and have the share.
+    What a chapter holds comes back to its translation as one array."""
     tokens = chapters.where("chapter_no is not null").select("url", "book", "chapter_no", F.explode(F.array_distinct(T.words(F.col("source_text")))).alias("source"))
-    return tokens.join(terms, ["book", "source"]).where("chapter_no < registered_at").groupBy("book", "source").agg(F.countDistinct("url").alias("before"), F.min("chapter_no").alias("first"))
+    told = tokens.join(terms, ["book", "source"]).where("chapter_no < registered_at").groupBy("url", "book", "chapter_no").agg(F.collect_list(F.struct("source", "target")).alias("found"))
+    rows = forms.once(told.join(chapters.select("url", "translation"), "url"), _t=turkish.tokens(F.col("translation")))
+    each = rows.select("url", "book", "chapter_no", F.inline(F.transform("found", lambda f: F.struct(f["source"].alias("source"), turkish.stands(F.col("_t"), f["target"]).alias("held")))))
+    out = each.groupBy("book", "source").agg(F.countDistinct("url").alias("before"), F.min("chapter_no").alias("first"), F.countDistinct(F.when(F.col("held"), F.col("url"))).alias("held"))
+    return out.withColumn("early", (F.col("before") >= least) & (F.col("held") >= share * F.col("before")))
 
 
 def back_translation(pairs: DataFrame) -> DataFrame:
@@ -181,7 +199,7 @@ QUERIES = {
     "sibling_style": lambda s, d: style_splits(role(s, d, "terms").withColumn("target", F.when(F.length("source") % 2 == 0, F.initcap(F.substring("target", 1, 5))).otherwise(F.substring("target", 1, 5)))),
     "near_terms": lambda s, d: near_terms(_terms(s, d)),
     "softened_pairs": lambda s, d: softened(role(s, d, "terms")),
-    "candidate_antijoin": lambda s, d: new_candidates(_candidates(s, d), _registered(s, d), role(s, d, "terms").where("length(source) = 7")),
+    "candidate_antijoin": lambda s, d: new_candidates(_candidates(s, d), _registered(s, d), _spellings(role(s, d, "terms").where("length(source) % 5 = 1")), role(s, d, "terms").where("length(source) = 7")),
     "stamp_diff": lambda s, d: stamp_differences(_findings(s, d).select(F.concat("book", F.lit("/"), "chapter_no").alias("url"), "book", "source", F.col("stored").alias("stamped")), _registered(s, d)),
     "import_file_wins": lambda s, d: imported(_rich(_terms(s, d)), _theirs(role(s, d, "terms")), True),
     "import_keep_mine": lambda s, d: imported(_rich(_terms(s, d)), _theirs(role(s, d, "terms")), False),
@@ -189,7 +207,7 @@ QUERIES = {
     "coverage_ratio": lambda s, d: coverage(role(s, d, "terms")),
     "candidate_screen": lambda s, d: screened(_candidates(s, d), role(s, d, "terms").where("chapters >= 3")),
     "term_hits": lambda s, d: term_hits(role(s, d, "chapters"), _terms(s, d)),
-    "pre_registration": lambda s, d: preregistered(role(s, d, "chapters"), _terms(s, d).select("book", "source", (F.col("first_chapter") + 10).alias("registered_at"))),
+    "pre_registration": lambda s, d: preregistered(role(s, d, "chapters"), _terms(s, d).select("book", "source", F.when(F.length("source") % 2 == 0, F.lower(F.substring("source", 1, 4))).otherwise(F.col("target")).alias("target"), (F.col("first_chapter") + 10).alias("registered_at"))),
     "jaccard_backtranslation": lambda s, d: back_translation(role(s, d, "pairs")),
     "term_folds": lambda s, d: folds(role(s, d, "terms")),
 }
@@ -198,6 +216,7 @@ _T, _REGISTERED = f"(SELECT * FROM {_ALL} a)", f"(SELECT * FROM {_ALL} a WHERE c
 _RICH = f"(SELECT *, CASE WHEN length(source) % 2 = 0 THEN 'note on ' || source END AS note, first_chapter + length(source) % 5 AS note_chapter, CASE WHEN length(source) % 3 = 0 THEN 'if named' END AS condition, first_chapter + length(source) % 7 AS condition_chapter, CASE WHEN length(source) % 6 = 5 THEN 'held' ELSE 'approved' END AS status FROM {_T} t)"
 _F = lambda x: f"lower(regexp_replace(trim({x}), '[\\s\\-_''’.·]+', '', 'g'))"
 _FIND = f"(SELECT book, chapter_no, told, source, CASE WHEN length(source) % 3 = 0 THEN 'old' ELSE lower(reverse(source)) END AS stored FROM (SELECT book, chapter_no, created_at AS told, unnest(list_distinct(regexp_extract_all(source_text, '[A-Z][a-z]{{4,}}'))) AS source FROM {_C} c WHERE chapter_no IS NOT NULL) w)".replace("{{", "{").replace("}}", "}")
+_VARIANT = _F("regexp_replace(regexp_replace(regexp_replace(trim(source), '(?i)^(?:the|a|an)\\s+', ''), '(?i)\\bof\\s+the\\b', 'of', 'g'), '(?i)[''’]s\\b', '', 'g')")
 _THEIRS = f"(SELECT book, source, upper(target) AS t, CASE WHEN length(source) % 2 = 1 THEN 'theirs' END AS n, length(source) % 5 > 1 AS h FROM {_ALL} a WHERE length(source) % 3 <> 1)"
 _WORDS = "list_distinct(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+'))"
 ORACLE = {
@@ -205,10 +224,10 @@ ORACLE = {
     "spoiler_rows": f"SELECT book, source, target, CASE WHEN note_chapter <= 20 THEN note END AS note, CASE WHEN condition_chapter <= 20 THEN condition END AS condition, concat_ws(',', CASE WHEN note IS NOT NULL AND NOT coalesce(note_chapter <= 20, false) THEN 'note' END, CASE WHEN condition IS NOT NULL AND NOT coalesce(condition_chapter <= 20, false) THEN 'condition' END) AS hidden FROM {_RICH} r WHERE first_chapter IS NULL OR first_chapter <= 20",
     "effective_dictionary": f"WITH r AS (SELECT * FROM {_RICH} x), u AS (SELECT book, source, target, 0 AS p FROM r WHERE status <> 'held' UNION ALL SELECT book, source || '-x', target, 1 FROM r WHERE status <> 'held' AND length(source) % 4 = 1) SELECT book, source, target FROM (SELECT *, row_number() OVER (PARTITION BY book, {_F('source')} ORDER BY p, source, target) AS n FROM u) q WHERE n = 1",
     "target_collisions": f"SELECT book, {_F('target')} AS key, count(DISTINCT source) AS n, min(source) AS first, max(source) AS last FROM (SELECT book, source, substring(target, 1, 4) AS target FROM {_ALL} a) b WHERE {_F('target')} <> {_F('source')} GROUP BY 1, 2 HAVING count(DISTINCT source) > 1",
-    "sibling_style": f"SELECT book, lower(w) AS word, count(CASE WHEN up THEN 1 END) AS capital, count(CASE WHEN NOT up THEN 1 END) AS small FROM (SELECT book, w, substring(w, 1, 1) <> lower(substring(w, 1, 1)) AS up FROM (SELECT book, CASE WHEN length(source) % 2 = 0 THEN upper(substring(target, 1, 1)) || substring(target, 2, 4) ELSE substring(target, 1, 5) END AS w FROM {_ALL} a) b WHERE length(w) >= 3) c GROUP BY 1, 2 HAVING count(CASE WHEN up THEN 1 END) > 0 AND count(CASE WHEN NOT up THEN 1 END) > 0",
+    "sibling_style": f"SELECT book, word, capital, small FROM (SELECT *, row_number() OVER (PARTITION BY book, members ORDER BY word) AS r FROM (SELECT book, lower(w) AS word, count(CASE WHEN up THEN 1 END) AS capital, count(CASE WHEN NOT up THEN 1 END) AS small, list_sort(list(DISTINCT source)) AS members FROM (SELECT book, source, w, substring(w, 1, 1) <> lower(substring(w, 1, 1)) AS up FROM (SELECT book, source, CASE WHEN length(source) % 2 = 0 THEN upper(substring(target, 1, 1)) || substring(target, 2, 4) ELSE substring(target, 1, 5) END AS w FROM {_ALL} a) b WHERE length(w) >= 3) c GROUP BY 1, 2 HAVING count(CASE WHEN up THEN 1 END) > 0 AND count(CASE WHEN NOT up THEN 1 END) > 0) d) e WHERE r = 1",
     "near_terms": f"WITH t AS (SELECT book, source, {_F('source')} AS f FROM {_T} q) SELECT DISTINCT a.book, a.source AS a, b.source AS b FROM t a JOIN t b ON a.book = b.book AND a.source < b.source WHERE levenshtein(a.f, b.f) = 1 AND a.f || 's' <> b.f AND b.f || 's' <> a.f",
     "softened_pairs": f"SELECT book, translate({_F('source')}, 'pbtdkgc', 'ppttkkk') AS mask, count(DISTINCT source) AS n, min(source) AS first, max(source) AS last FROM {_ALL} a GROUP BY 1, 2 HAVING count(DISTINCT source) > 1",
-    "candidate_antijoin": f"WITH a AS (SELECT *, {_F('source')} AS key FROM {_ALL} x), taken AS (SELECT book, key FROM a WHERE chapters >= 2 UNION SELECT book, key FROM a WHERE length(source) = 7) SELECT book, key, min(source) AS source, count(*) AS spellings FROM a WHERE (book, key) NOT IN (SELECT (book, key) FROM taken) GROUP BY book, key",
+    "candidate_antijoin": f"WITH a AS (SELECT *, {_F('source')} AS key, {_VARIANT} AS v FROM {_ALL} x), taken AS (SELECT book, key FROM a WHERE chapters >= 2 UNION SELECT book, {_F("concat(source, '-x')")} FROM a WHERE length(source) % 5 = 1 AND length(source) % 4 = 1 UNION SELECT book, key FROM a WHERE length(source) = 7) SELECT book, key, min(source) AS source, count(*) AS spellings FROM a WHERE (book, key) NOT IN (SELECT (book, key) FROM taken) AND (book, v) NOT IN (SELECT (book, v) FROM a WHERE length(source) = 7) GROUP BY book, key",
     "stamp_diff": f"SELECT f.book || '/' || f.chapter_no AS url, f.book, f.source, f.stored AS stamped, t.target AS now FROM {_FIND} f LEFT JOIN {_REGISTERED} t ON f.book = t.book AND f.source = t.source WHERE f.stored IS DISTINCT FROM t.target",
     "import_file_wins": f"SELECT coalesce(m.book, f.book) AS book, coalesce(m.source, f.source) AS source, coalesce(t, target) AS target, CASE WHEN coalesce(h, false) THEN n ELSE note END AS note FROM {_RICH} m FULL JOIN {_THEIRS} f ON m.book = f.book AND m.source = f.source",
     "import_keep_mine": f"SELECT coalesce(m.book, f.book) AS book, coalesce(m.source, f.source) AS source, coalesce(target, t) AS target, coalesce(note, n) AS note FROM {_RICH} m FULL JOIN {_THEIRS} f ON m.book = f.book AND m.source = f.source",
@@ -216,7 +235,9 @@ ORACLE = {
     "coverage_ratio": f"SELECT *, ratio >= 0.8 AS enough FROM (SELECT book, count(*) AS total, count(first_chapter) AS known, round(count(first_chapter) / count(*), 6) AS ratio FROM {_ALL} a GROUP BY book) b",
     "candidate_screen": f"WITH a AS (SELECT *, {_F('source')} AS key FROM {_ALL} x) SELECT book, CASE WHEN length(source) < 6 THEN 'too_short' WHEN (book, key) IN (SELECT (book, key) FROM a WHERE chapters >= 3) THEN 'registered' WHEN length(source) * 7 % 9 >= 5 THEN 'ordinary_word' WHEN chapters < 2 THEN 'one_chapter' ELSE 'accepted' END AS status, count(*) AS n FROM a GROUP BY 1, 2",
     "term_hits": f"SELECT url, w.book, count(*) AS terms, min(word) AS first, max(word) AS last FROM (SELECT url, book, unnest({_WORDS.format('source_text')}) AS word FROM {_C} c) w JOIN {_T} t ON w.book = t.book AND w.word = t.source GROUP BY ALL",
-    "pre_registration": f"SELECT w.book, w.source, count(DISTINCT url) AS before, min(chapter_no) AS first FROM (SELECT url, book, chapter_no, unnest({_WORDS.format('source_text')}) AS source FROM {_C} c WHERE chapter_no IS NOT NULL) w JOIN {_T} t ON w.book = t.book AND w.source = t.source WHERE chapter_no < first_chapter + 10 GROUP BY 1, 2",
+    "pre_registration": f"""WITH t AS (SELECT book, source, CASE WHEN length(source) % 2 = 0 THEN lower(substring(source, 1, 4)) ELSE target END AS target, first_chapter + 10 AS at_ FROM {_T} q), h AS (SELECT w.url, w.book, w.chapter_no, w.source, t.target FROM (SELECT url, book, chapter_no, unnest({_WORDS.format('source_text')}) AS source FROM {_C} c WHERE chapter_no IS NOT NULL) w JOIN t ON w.book = t.book AND w.source = t.source WHERE chapter_no < at_),
+k AS (SELECT url, unnest({turkish.sql_tokens('translation')}) AS w FROM {_C} c), p AS (SELECT DISTINCT h.url, h.source FROM h JOIN k ON k.url = h.url AND (starts_with(k.w, h.target) OR ({turkish.sql_softened('k.w', 'h.target')})))
+SELECT book, source, before, first, held, before >= 2 AND held >= 0.5 * before AS early FROM (SELECT h.book, h.source, count(DISTINCT h.url) AS before, min(chapter_no) AS first, count(DISTINCT p.url) AS held FROM h LEFT JOIN p ON p.url = h.url AND p.source = h.source GROUP BY 1, 2) g""",
     "jaccard_backtranslation": f"SELECT book, chapter_no, CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS overlap FROM (SELECT book, chapter_no, {_WORDS.format('lower(source_text)')} AS a, {_WORDS.format('lower(translation)')} AS b FROM {sql_role('pairs')} p) q",
     "term_folds": f"SELECT book, source, {_F('source')} AS fold, source AS clean, lower(translate(source, 'Iİ', 'ıi')) AS tr, translate(lower(translate(source, 'Iİ', 'ıi')), 'ığüşöçâîû', 'igusocaiu') AS plain FROM {_ALL} a",
 }

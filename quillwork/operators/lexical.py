@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import duck, role, shared, sql_role
+from .glossary import variant_key
 
 # Words that no name begins with, words that carry nothing of a name, endings in s that are no plurals, bounds of a
 # phrase, and the zone whose midnight ends a quota's day.
@@ -20,12 +21,6 @@ QUOTA_ZONE = "America/Los_Angeles"
 _NAME_RUN = r"[A-Z][\p{L}\p{N}'’-]*(?:\s+(?:of\s+the\s+|of\s+|the\s+)?[A-Z][\p{L}\p{N}'’-]*)*"
 
 
-def variant_key(source: Column) -> Column:
-    """Names that differ by a leading article, by `of the` for `of` or by an inner possessive share it."""
-    bare = F.regexp_replace(F.trim(source), r"(?i)^(?:the|a|an)\s+", "")
-    return T.fold_term(F.regexp_replace(F.regexp_replace(bare, r"(?i)\bof\s+the\b", "of"), r"(?i)['’]s\b", ""))
-
-
 def _content(source: Column) -> Column:
     words = F.split(F.lower(F.regexp_replace(T.normalise_source(source), r"(?i)['’]s\b", "")), r"[\s\-_]+")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*EMPTY_WORDS))
