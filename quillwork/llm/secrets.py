@@ -88,8 +88,8 @@ def _where(test: Column, found: Column) -> Column:
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `_qw_base`, sorted by start and then kind as listed, and `_qw_weak`, the candidate parts by start."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    low = F.lower(text)
+    text, low = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("_qw_low")
+    folded = docs.select("*", F.inline(F.array(F.struct(F.lower(text).alias("_qw_low")))))  # once, however often it is named
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_SECRET
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     assign = _where(named, spans(text, ASSIGN, "assign", long_value))
@@ -98,7 +98,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # every link has an access id at one end, so texts without one have no weak part to report
     has_id = reduce(lambda a, b: a | b, [text.contains(p) for p in ID_MARKS] + [low.contains(w) for w in ID_WORDS]) & text.rlike(WEAK_ACCESS)
     weak = F.concat(spans(text, WEAK_ACCESS, "weak_access"), spans(text, WEAK_SECRET, "weak_secret"), spans(text, ENDPOINT, "endpoint"))
-    return docs.select("*", _ordered(F.concat(assign, access, hexes)).alias("_qw_base"), _where(has_id, weak).alias("_qw_weak"))
+    return folded.select(*docs.columns, _ordered(F.concat(assign, access, hexes)).alias("_qw_base"), _where(has_id, weak).alias("_qw_weak"))
 
 
 def _rank(kind: Column) -> Column:

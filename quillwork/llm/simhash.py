@@ -177,12 +177,12 @@ def keep_one_per_group(docs: DataFrame, broadcast_rows: int = BROADCAST_IDS) ->
     stays. An empty table gives none. What goes is broadcast only if it is counted and small; beyond that the join shuffles."""
     found = stage(near_duplicates(docs), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
-    best = found.groupBy("class_fp").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("class_fp", "best")
-    judged = found.join(best, "class_fp").withColumn("own", rank)
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    best = stage(found.groupBy("class_fp").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("class_fp", "best"), "classes")
+    judged = found.join(small(best), "class_fp").withColumn("own", rank)
     gone = stage(judged.where("own <> best").select(F.col("doc_id").alias("_qw_id"), F.col("text_key").alias("_qw_key")).distinct(), "gone")
     again = stage(judged.where("own = best").groupBy(F.col("doc_id").alias("_qw_id"), F.col("text_key").alias("_qw_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     same = F.col("doc_id").eqNullSafe(F.col("_qw_id")) & (F.col("_qw_own") == F.col("_qw_key"))
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     kept = docs.withColumn("_qw_own", text_key(F.col("text"))).join(small(gone), same, "left_anti")
     if not again.isEmpty():
         repeats = small(again)
