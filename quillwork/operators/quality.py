@@ -135,8 +135,9 @@ def repeated_paragraphs(paras: DataFrame, alike: float = 0.85, least: int = 40)
         for b in batches:
             keep = []
             for x in b.itertuples():
-                m = difflib.SequenceMatcher(None, x.t, x.tr, autojunk=False)
-                keep.append(m.real_quick_ratio() >= alike and m.quick_ratio() >= alike and m.ratio() >= alike and difflib.SequenceMatcher(None, x.e, x.en, autojunk=False).ratio() < alike)
+                # the quick ratios are upper bounds, so most pairs are settled without the full comparison
+                over = lambda a, b: (m := difflib.SequenceMatcher(None, a, b, autojunk=False)).real_quick_ratio() >= alike and m.quick_ratio() >= alike and m.ratio() >= alike
+                keep.append(not over(x.e, x.en) and over(x.t, x.tr))
             yield b.loc[keep, ["book", "chapter_no", "para"]]
 
     return near.select("book", "chapter_no", "para", "en", "tr", F.col("_t").alias("t"), F.col("_e").alias("e")).mapInPandas(run, "book long, chapter_no long, para long")

@@ -177,13 +177,13 @@ def evidence_verdicts(proposals: DataFrame, chapters: DataFrame, relations: tupl
 def extracted_names(found: DataFrame) -> DataFrame:
     """found(url, names, terms, source_text, translation) -> (url, kept, dropped, broken): names a model reported, without those that
     are terms, hold Turkish letters, or stand not in both texts; a list of four or more, half of them not in the source, is broken."""
-    source, target = T.fold_term(F.col("source_text")), T.fold_term(F.col("translation"))
-    keys = F.transform("terms", T.fold_term)
+    folded = forms.once(found, _s=T.fold_term(F.col("source_text")), _t=T.fold_term(F.col("translation")), _k=F.transform("terms", T.fold_term))
+    source, target, keys = F.col("_s"), F.col("_t"), F.col("_k")
     good = lambda n: ~F.array_contains(keys, T.fold_term(n)) & ~n.rlike(_TURKISH) & F.contains(target, T.fold_term(n)) & F.contains(source, T.fold_term(n))
     outside = F.size(F.filter("names", lambda n: ~F.contains(source, T.fold_term(n))))
     kept = F.filter("names", good)
     broken = (F.size("names") >= BROKEN_LEAST) & (outside >= BROKEN_SHARE * F.size("names"))
-    return found.select("url", F.array_join(F.array_sort(kept), ",").alias("kept"), (F.size("names") - F.size(kept)).cast("long").alias("dropped"), broken.alias("broken"))
+    return folded.select("url", F.array_join(F.array_sort(kept), ",").alias("kept"), (F.size("names") - F.size(kept)).cast("long").alias("dropped"), broken.alias("broken"))
 
 
 # Inputs of the queries, in SQL that both engines read.
