@@ -155,8 +155,9 @@ def profile_evidence(proposals: DataFrame, samples: DataFrame, least: int = 2) -
     """proposals(id, book, field, value, quote) -> (id, chapter, uses, accepted): the first sample chapter that holds the quote word for
     word, and in how many samples the value stands; accepted with both, the value inside the quote."""
     squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    met = proposals.join(samples.select("book", F.col("chapter_no"), squeezed("text").alias("text")), "book", "left")
-    holds = F.coalesce(F.contains("text", squeezed("quote")), F.lit(False)) & (F.length(squeezed("quote")) > 0)
+    asked = proposals.withColumn("_quote", squeezed("quote"))
+    met = asked.join(samples.select("book", F.col("chapter_no"), squeezed("text").alias("text")), "book", "left")
+    holds = F.coalesce(F.contains("text", F.col("_quote")), F.lit(False)) & (F.length("_quote") > 0)
     out = met.groupBy("id", "value", "quote").agg(F.min(F.when(holds, F.col("chapter_no"))).alias("chapter"), F.count(F.when(F.contains("text", "value"), 1)).alias("uses"))
     return out.select("id", "chapter", "uses", (F.col("chapter").isNotNull() & (F.col("uses") >= least) & F.coalesce(F.contains("quote", "value"), F.lit(False))).alias("accepted"))
 
