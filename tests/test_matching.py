@@ -24,7 +24,7 @@ def test_term_forms(spark):
     assert hit("Ore Empire", "OreEmpire") and hit("OreEmpire", "the ore-empire") and hit("Memory", "Memories")
     assert not hit("Ore Empire", "Ore. Empire") and not hit("Onertion", "on er tion") and hit("Ore Empire", "the Ore Empire’s gate")
     assert hit("Tyrants", "a Tyrant") and not hit("Tyrants", "a Tyrant", ("Tyrant", "y")) and not hit("Day", "Daies") and not hit("Os", "an O")
-    assert found(spark, [("Nephis", "Nephis")], "Nephi came") == [] and found(spark, [], "x") == [] and found(spark, [("x", "y")], "") == []
+    assert found(spark, [("Talanis", "Talanis")], "Talani came") == [] and found(spark, [], "x") == [] and found(spark, [("x", "y")], "") == []
 
 
 def test_targets_in_translations(spark):
@@ -47,46 +47,46 @@ def test_endings():
     assert matching.retarget("Kalexyz durdu", "kale", "kule") == ("Kalexyz durdu", 0, 1)
 
 
-TERMS = [("Shadow", "Gölge", 1), ("Merwis", "Merwis", None), ("Saints", "Azizler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
+TERMS = [("Shadow", "Gölge", 1), ("Merwis", "Merwis", None), ("Wardens", "Bekçiler", None), ("Late", "Geç", 9), ("Memory", "Anı", None), ("Ore Empire", "Cevher", None)]
 
 
 def test_verdicts(spark):
-    rows = [("u", "b", "m", 5, "A Shadow. Late.", "Gölge."), ("v", "b", "m", None, "Late", "x"), ("w", "z", "m", 1, "Shadow", "y"), ("n", "b", "m", 1, None, "y"), ("k", "b", "m", 5, "The Shadow met Merwis and a Saint. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Merwis ve bir Saint. Anılar."), ("l", "b", "m", 5, "A Shadow.", "Karaltı.")]
+    rows = [("u", "b", "m", 5, "A Shadow. Late.", "Gölge."), ("v", "b", "m", None, "Late", "x"), ("w", "z", "m", 1, "Shadow", "y"), ("n", "b", "m", 1, None, "y"), ("k", "b", "m", 5, "The Shadow met Merwis and a Warden. Late. OreEmpire Memories.", "Gölgenin yanında Shadow, Merwis ve bir Warden. Anılar."), ("l", "b", "m", 5, "A Shadow.", "Karaltı.")]
     chapters = spark.createDataFrame(rows, "url string, book string, model string, chapter_no int, source_text string, translation string")
     table = spark.createDataFrame([("b", *t) for t in TERMS], "book string, source string, target string, first_chapter int")
     got = {(r.url, r.source): r.verdict for r in matching.verdicts(chapters, table).collect()}
-    assert got == {("u", "Shadow"): "ok", ("v", "Late"): "target_missing", ("k", "Shadow"): "ok", ("k", "Merwis"): "ok", ("k", "Saints"): "left_in_english", ("k", "Memory"): "ok", ("k", "Ore Empire"): "target_missing", ("l", "Shadow"): "target_missing"}
+    assert got == {("u", "Shadow"): "ok", ("v", "Late"): "target_missing", ("k", "Shadow"): "ok", ("k", "Merwis"): "ok", ("k", "Wardens"): "left_in_english", ("k", "Memory"): "ok", ("k", "Ore Empire"): "target_missing", ("l", "Shadow"): "target_missing"}
     assert matching.verdicts(chapters.limit(0), table).count() == 0 and matching.verdicts(chapters, table.limit(0)).count() == 0
 
 
 def test_violations(spark):
     """The four kinds that are not measured, and forms that are never allowed."""
-    terms = [("Saint", "Aziz", None), ("Rank", "Rütbe", "only in lists"), ("Night", "Nightingale", None), ("Nightingale", "Nightingale", None), ("Mask", "Mask Evi", None), ("Crow", "Karga", "if a name"), ("Sun", "Sun", None)]
+    terms = [("Warden", "Bekçi", None), ("Rank", "Rütbe", "only in lists"), ("Lark", "Larkspur", None), ("Larkspur", "Larkspur", None), ("Mask", "Mask Evi", None), ("Crow", "Karga", "if a name"), ("Sun", "Sun", None)]
     table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, condition string")
-    rows = [(1, "A Saint came.", "Bir Saint geldi."), (2, "A Saint came.", "Bir aziz geldi."), (3, "Rank. Night, Mask and Sun", "Rank. Night, Mask Sun"), (4, "the Crow", "kudretli Kargaya"), (5, "the Crow", "Kargaya Cassie"), (6, "the Crow", "Kargayasıyla"), (7, None, "Saint"), (8, "no term", "Saint kuzgun"), (9, "the Crow", "Kuzgunlar uçtu")]
+    rows = [(1, "A Warden came.", "Bir Warden geldi."), (2, "A Warden came.", "Bir bekçi geldi."), (3, "Rank. Lark, Mask and Sun", "Rank. Lark, Mask Sun"), (4, "the Crow", "kudretli Kargaya"), (5, "the Crow", "Kargaya Mirela"), (6, "the Crow", "Kargayasıyla"), (7, None, "Warden"), (8, "no term", "Warden kuzgun"), (9, "the Crow", "Kuzgunlar uçtu")]
     units = spark.createDataFrame([(i, "b", e, t) for i, e, t in rows], "id int, book string, en string, tr string")
     forbidden = spark.createDataFrame([("b", "Crow", "Kargaya"), ("b", "Crow", "kuzgun")], "book string, source string, form string")
     got = sorted((r.id, r.source) for r in matching.violations(units, ["id"], table, forbidden).collect())
-    assert got == [(1, "Saint"), (5, "Crow"), (6, "Crow"), (9, "Crow")]
+    assert got == [(1, "Warden"), (5, "Crow"), (6, "Crow"), (9, "Crow")]
 
 
 def test_deviations(spark):
-    terms = [("Reaper", "Biçici", None), ("Soul Reaper", "Ruh Biçici", None), ("Cassia", "Cassia", None), ("Red Queen", "Red Queen", None)]
+    terms = [("Reeve", "Kahya", None), ("Iron Reeve", "Demir Kahya", None), ("Mirela", "Mirela", None), ("Red Queen", "Red Queen", None)]
     table = spark.createDataFrame([("b", *t) for t in terms], "book string, source string, target string, condition string")
-    rows = [(1, "Then the Reaper rose.", "Sonra adam kalktı."), (2, "Reaper rose.", "Adam kalktı."), (3, "Then he Reaper rose.", "Adam."), (4, "Then the Reaper rose.", "Sonra biçicinin"), (5, "Then the Reaper rose.", "Reaper kalktı"), (6, "Then the Soul Reaper rose.", "Adam."), (7, "Then Cassia and the Red Queen rose.", "Adam."), (8, "then the reaper", "adam")]
+    rows = [(1, "Then the Reeve rose.", "Sonra adam kalktı."), (2, "Reeve rose.", "Adam kalktı."), (3, "Then he Reeve rose.", "Adam."), (4, "Then the Reeve rose.", "Sonra kahyanın"), (5, "Then the Reeve rose.", "Reeve kalktı"), (6, "Then the Iron Reeve rose.", "Adam."), (7, "Then Mirela and the Red Queen rose.", "Adam."), (8, "then the reeve", "adam")]
     paras = spark.createDataFrame([(i, "b", e, t) for i, e, t in rows], "id int, book string, en string, tr string")
-    assert sorted((r.id, r.source) for r in matching.deviations(paras, ["id"], table).collect()) == [(1, "Reaper"), (6, "Soul Reaper"), (7, "Red Queen")]
+    assert sorted((r.id, r.source) for r in matching.deviations(paras, ["id"], table).collect()) == [(1, "Reeve"), (6, "Iron Reeve"), (7, "Red Queen")]
 
 
 def test_suspicion_and_impact(spark):
-    chapters = spark.createDataFrame([(f"u{i}", "b", m, i, "A Saint.\nOther.", t) for i, (m, t) in enumerate([("pro", "Bir Saint.\nx"), ("pro", "Aziz.\nSaint"), ("x-lite", "Saint\ny"), ("a:b", "Ermiş\nz"), ("", "Aziz Saint"), ("pro", None)])], "url string, book string, model string, chapter_no int, source_text string, translation string")
-    table = spark.createDataFrame([("b", "Saint", "Aziz", None)], "book string, source string, target string, condition string")
-    hits = spark.createDataFrame([(f"u{i}", "b", "Saint") for i in range(6)], "url string, book string, source string")
-    assert [tuple(r) for r in matching.suspicion(hits, chapters).collect()] == [("b", "Saint", 3, "pro:3")]
-    old = spark.createDataFrame([("b", "Saint", "Ermiş"), ("b", "Saint", "Aziz")], "book string, source string, target string")
+    chapters = spark.createDataFrame([(f"u{i}", "b", m, i, "A Warden.\nOther.", t) for i, (m, t) in enumerate([("pro", "Bir Warden.\nx"), ("pro", "Bekçi.\nWarden"), ("x-lite", "Warden\ny"), ("a:b", "Ermiş\nz"), ("", "Bekçi Warden"), ("pro", None)])], "url string, book string, model string, chapter_no int, source_text string, translation string")
+    table = spark.createDataFrame([("b", "Warden", "Bekçi", None)], "book string, source string, target string, condition string")
+    hits = spark.createDataFrame([(f"u{i}", "b", "Warden") for i in range(6)], "url string, book string, source string")
+    assert [tuple(r) for r in matching.suspicion(hits, chapters).collect()] == [("b", "Warden", 3, "pro:3")]
+    old = spark.createDataFrame([("b", "Warden", "Ermiş"), ("b", "Warden", "Bekçi")], "book string, source string, target string")
     r = matching.impact(chapters, table, old).first()
     assert (r.chapters, r.current, r.old, r.english, r.different, r.with_source, r.total) == (5, 2, 1, 2, 0, 6, 6)
-    assert [r.sentence for r in matching.term_sentences(chapters, table).collect()] == ["A Saint."]
+    assert [r.sentence for r in matching.term_sentences(chapters, table).collect()] == ["A Warden."]
 
 
 def test_leases(spark):
