@@ -11,6 +11,8 @@ from .quality import op8_quality_gam
 from .secrets import op10_secrets
 from .simhash import op7_simhash
 from .substrings import op2_substring_dedup
+from .turns import op11_turn_repair
+from .turns import oracle as oracle_op11
 from .warc import ORACLE_OP6, op6_warc
 
 QUERIES = {
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_quality_gam": op8_quality_gam,
     "op9_gif_media": op9_gif_media,
     "op10_secrets": op10_secrets,
+    "op11_turn_repair": op11_turn_repair,
 }
 
-ORACLE: dict[str, str] = {"op5_licence_digests": oracle(), "op6_warc": ORACLE_OP6}
+ORACLE: dict[str, str] = {"op5_licence_digests": oracle(), "op6_warc": ORACLE_OP6, "op11_turn_repair": oracle_op11()}
