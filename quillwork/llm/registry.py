@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op4_decontamination
 from .gif import op9_gif_media
 from .licences import op5_licence_digests, oracle
+from .minhash import op13_minhash
 from .packing import op3_packing
 from .pii import op1_pii_feistel
 from .quality import op8_quality_gam
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_gif_media": op9_gif_media,
     "op10_secrets": op10_secrets,
     "op11_turn_repair": op11_turn_repair,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE: dict[str, str] = {"op5_licence_digests": oracle(), "op6_warc": ORACLE_OP6, "op11_turn_repair": oracle_op11()}
