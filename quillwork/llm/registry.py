@@ -15,6 +15,7 @@ from .substrings import op2_substring_dedup
 from .turns import op11_turn_repair
 from .turns import oracle as oracle_op11
 from .warc import ORACLE_OP6, op6_warc
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_gif_media": op9_gif_media,
     "op10_secrets": op10_secrets,
     "op11_turn_repair": op11_turn_repair,
+    "op12_whitening": op12_whitening,
     "op13_minhash": op13_minhash,
 }
 
