@@ -1,11 +1,17 @@
-"""Dictionary terms in source texts, by keys. A term's key is the letters of its words run together; a text's keys are its runs of
-words, run together. A use of a term is a run whose key is one of the term's forms, so texts and dictionaries meet by equi-join."""
+"""Dictionary terms in source texts, by keys. A term's key is the letters of its words run together; a use of a term is a run of a
+text's words whose key is one of the term's forms. An index of the forms, by the words they can begin with, goes to the texts."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
+from ..plans.components import reliable
 from . import text as T
 
 WORD = r"[\p{L}\p{N}]+"
@@ -16,6 +22,11 @@ OPENING = r"[.!?:…][\s\"'“‘(*\[]*$"
 #: Pieces that a term may be written apart in: its words, and the humps of camel case.
 PIECE = r"\p{Lu}*[\p{Ll}\p{Lo}\p{Lm}]+|\p{Lu}+|\p{N}+"
 
+#: Forms that one index may hold, some 100 MB of a worker; a larger dictionary is looked up in slices.
+INDEX_FORMS = 250_000
+_WORDS, _JOINT, _OPENING, _START = re.compile(r"[^\W_]+"), re.compile(r"(?a)[\s_'’-]*\Z"), re.compile(OPENING), re.compile(r"[\s\"'“‘(*\[]*\Z")
+_CAPITAL = str.isupper
+
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns that are worked out once per row, however often later expressions name them."""
@@ -31,11 +42,6 @@ def kept(source: Column, target: Column) -> Column:
     return T.fold_term(source) == T.fold_term(target)
 
 
-def longest_use(terms: DataFrame) -> int:
-    """Words that a use of the longest term may have: its pieces and a possessive ending; one number from a scan."""
-    return (terms.agg(F.max(F.size(F.regexp_extract_all("source", F.lit(PIECE), F.lit(0))))).first()[0] or 0) + 1
-
-
 def _places(pieces: Column) -> Column:
     """Letters up to the end of each piece."""
     return F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.length(F.array_join(F.slice(pieces, 1, k), "")))
@@ -58,27 +64,101 @@ def term_forms(terms: DataFrame) -> DataFrame:
     return own.select(*terms.columns, "kept", joints.alias("joints"), F.explode(F.array_distinct(every)).alias("form"))
 
 
-def word_runs(units: DataFrame, column: str, longest: int) -> DataFrame:
-    """units -> its columns but the text, with (form, at, n, cuts, capital, opens, before) of every run of up to `longest` words: its key, place and
-    number of words, the letters up to each word's end but the last, whether it begins with a capital, whether it opens a sentence, and the word before it."""
-    text = F.coalesce(F.col(column), F.lit(""))
-    split = once(units, _w=F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _g=F.split(text, WORD, -1)).where(F.size("_w") > 0)
-    joined = lambda i, n: F.forall(F.slice("_g", i + 2, F.lit(n - 1)), lambda g: g.rlike(JOINT))
-    run = lambda i, n: F.struct(F.lower(F.array_join(F.slice("_w", i + 1, F.lit(n)), "")).alias("form"), i.alias("at"), F.lit(n).alias("n"))
-    of = lambda n: F.filter(F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.when(joined(i, n), run(i, n))), lambda x: x.isNotNull())
-    runs = F.concat(*[F.when(F.size("_w") >= n, of(n)).otherwise(F.array().cast("array<struct<form:string,at:int,n:int>>")) for n in range(1, longest + 1)])
-    rest = [c for c in units.columns if c != column]
-    found = split.select(*rest, "_w", "_g", F.explode(runs).alias("_r"))
-    gap = F.element_at("_g", F.col("_r.at") + 1)
-    opens = gap.rlike(OPENING) | ((F.col("_r.at") == 0) & gap.rlike(r"^[\s\"'“‘(*\[]*$"))
-    before = F.when(F.col("_r.at") > 0, F.lower(F.element_at("_w", F.col("_r.at"))))
-    cuts = F.when(F.col("_r.n") > 1, _places(F.slice("_w", F.col("_r.at") + 1, F.col("_r.n") - 1))).otherwise(F.array().cast("array<int>"))
-    return found.select(*rest, "_r.form", "_r.at", "_r.n", cuts.alias("cuts"), F.element_at("_w", F.col("_r.at") + 1).rlike(r"^\p{Lu}").alias("capital"), opens.alias("opens"), before.alias("before"))
-
-
-def uses(units: DataFrame, column: str, terms: DataFrame, longest: int) -> DataFrame:
-    """units(book, ...) -> (its columns but the text, the terms' columns, kept, at, n, capital, opens, before), a row per use of a term of the book."""
-    return word_runs(units, column, longest).join(term_forms(terms), ["book", "form"]).where(F.size(F.array_except("cuts", "joints")) == 0).drop("form", "cuts", "joints")
+class TermIndex:
+    """Forms of a dictionary by book. A word of a text is looked up among the words that a form can begin with, and only where one
+    does are longer runs put together; so a text costs a lookup a word, whatever the dictionary."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self._ready = table, None
+
+    def __getstate__(self):
+        return self.table
+
+    def __setstate__(self, table: pa.Table):
+        self.__init__(table)
+
+    @property
+    def ready(self) -> tuple[dict, dict]:
+        """book -> {first word: most words of a use that begins so}, and book -> {form: [(row, joints)]}; built once a worker."""
+        if self._ready is None:
+            starts, forms = {}, {}
+            columns = (self.table.column(c).to_pylist() for c in ("book", "form", "joints"))
+            for k, (book, form, joints) in enumerate(zip(*columns, strict=True)):
+                own = starts.setdefault(book, {})
+                cuts = sorted({j for j in joints if j < len(form)})
+                for n, cut in enumerate([*cuts, len(form)]):
+                    own[form[:cut]] = max(own.get(form[:cut], 0), 1 if cut == len(form) else len(cuts) + 1 - n)
+                forms.setdefault(book, {}).setdefault(form, []).append((k, frozenset(joints)))
+            self._ready = starts, forms
+        return self._ready
+
+    def find(self, book, text: str) -> Iterator[tuple[int, int, int, bool, bool, str | None]]:
+        """(row of the table, place, words, capital, whether it opens a sentence, the word before) of every use."""
+        starts, forms = (x.get(book) for x in self.ready)
+        if not starts:
+            return
+        words = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
+        low = [text[a:b].lower() for a, b in words]
+        for at, first in enumerate(low):
+            most = starts.get(first)
+            if not most:
+                continue
+            own = None
+            form, cuts = "", []
+            for n in range(1, min(most, len(low) - at) + 1):
+                if n > 1:
+                    if not _JOINT.match(text[words[at + n - 2][1] : words[at + n - 1][0]]):
+                        break
+                    cuts.append(len(form))
+                form += low[at + n - 1]
+                for row, joints in forms.get(form, ()):
+                    if joints.issuperset(cuts):
+                        if own is None:
+                            gap = text[words[at - 1][1] if at else 0 : words[at][0]]
+                            opens = bool(_OPENING.search(gap)) or (at == 0 and bool(_START.match(gap)))
+                            own = (_CAPITAL(text[words[at][0]]), opens, low[at - 1] if at else None)
+                        yield row, at, n, *own
+
+
+def _slices(forms: DataFrame, most: int) -> Iterator[TermIndex]:
+    """The forms in indexes of about `most` rows each; one, where there are not more. Only one slice is on the driver at a time."""
+    count = -(-forms.count() // most)
+    for k in range(count):
+        part = forms if count == 1 else forms.where(F.pmod(F.xxhash64("book", "form"), F.lit(count)) == k)
+        yield TermIndex(part.toArrow())
+
+
+def uses(units: DataFrame, column: str, terms: DataFrame, most: int = INDEX_FORMS) -> DataFrame:
+    """units(book, ...) -> (its columns but the text, the terms' columns, kept, at, n, capital, opens, before), a row per use of a term of the
+    book: its place and number of words, whether it begins with a capital and opens a sentence, and the word before it.
+
+    Texts stay where they are: the dictionary goes to them as an index, in slices of `most` forms, and a pass over the texts per slice."""
+    own = [c for c in units.columns if c != column]
+    added = [f for f in term_forms(terms).schema.fields if f.name not in ("book", "form", "joints")]
+    schema = T_.StructType([*(units.schema[c] for c in own), *added, *[T_.StructField("at", T_.IntegerType()), T_.StructField("n", T_.IntegerType()), T_.StructField("capital", T_.BooleanType()), T_.StructField("opens", T_.BooleanType()), T_.StructField("before", T_.StringType())]])
+    texts = units.select(*own, F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    book, out = own.index("book"), None
+
+    def finder(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = index.value.table.select([f.name for f in added]).combine_chunks()
+            for b in batches:
+                of, hits = [], []
+                for i, (name, text) in enumerate(zip(b.column(book).to_pylist(), b.column(len(own)).to_pylist(), strict=True)):
+                    found = list(index.value.find(name, text))
+                    of += [i] * len(found)
+                    hits += found
+                place, rows = pa.array(of, pa.int64()), pa.array([h[0] for h in hits], pa.int64())
+                columns = [b.column(k).take(place) for k in range(len(own))] + [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.take(rows).columns]
+                columns += [pa.array([h[k] for h in hits], t) for k, t in zip(range(1, 6), (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        return run
+
+    for index in _slices(reliable(term_forms(terms)), most):
+        found = texts.mapInArrow(finder(units.sparkSession.sparkContext.broadcast(index)), schema)
+        out = found if out is None else out.unionByName(found)
+    return units.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 # The same in DuckDB SQL, for oracles.
