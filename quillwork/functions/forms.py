@@ -6,12 +6,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..plans.components import reliable
+from ..plans.spread import spread
 from . import text as T
 
 WORD = r"[\p{L}\p{N}]+"
@@ -22,10 +25,9 @@ OPENING = r"[.!?:…][\s\"'“‘(*\[]*$"
 #: Pieces that a term may be written apart in: its words, and the humps of camel case.
 PIECE = r"\p{Lu}*[\p{Ll}\p{Lo}\p{Lm}]+|\p{Lu}+|\p{N}+"
 
-#: Forms that one index may hold, some 100 MB of a worker; a larger dictionary is looked up in slices.
-INDEX_FORMS = 250_000
-_WORDS, _JOINT, _OPENING, _START = re.compile(r"[^\W_]+"), re.compile(r"(?a)[\s_'’-]*\Z"), re.compile(OPENING), re.compile(r"[\s\"'“‘(*\[]*\Z")
-_CAPITAL = str.isupper
+#: Terms that one index may hold, some 150 MB of a worker; a larger dictionary is looked up in slices.
+INDEX_TERMS = 250_000
+_WORDS, _JOINT, _OPENING, _START = re.compile(r"([^\W_]+)"), re.compile(r"(?a)[\s_'’-]*\Z"), re.compile(OPENING), re.compile(r"[\s\"'“‘(*\[]*\Z")
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -47,29 +49,41 @@ def _places(pieces: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.length(F.array_join(F.slice(pieces, 1, k), "")))
 
 
-def term_forms(terms: DataFrame) -> DataFrame:
-    """terms(book, source, target, ...) -> its columns, `kept`, `form` and `joints`, a row per form: the key with s and es after it, -y
-    also as -ies. A plural whose singular is not registered stands for the singular as well, unless the name is kept. joints are
-    the places where the term may be written apart: between its pieces, and before an ending."""
+def term_bodies(terms: DataFrame) -> DataFrame:
+    """terms(book, source, target, ...) -> its columns, `kept`, `body`, `short` and `joints`. A term's forms are its body alone and with s
+    or es after it, and, where `short`, with ies for its y. The body is the key; a plural whose singular is not registered has the
+    singular's, unless the name is kept. joints are the places where the term may be written apart: between its pieces, and before
+    an ending."""
     last = F.element_at(F.regexp_extract_all("source", F.lit(WORD), F.lit(0)), -1)
     named = terms.withColumn("_key", key(F.col("source"))).where("_key <> ''").withColumn("kept", kept(F.col("source"), F.col("target")))
     plural = last.rlike("(?i)s$") & (F.length(last) > 3) & ~F.col("kept")
     asked = named.withColumn("_one", F.when(plural, F.expr("left(_key, length(_key) - 1)")))
     known = named.select("book", F.col("_key").alias("_one"), F.lit(True).alias("_known")).distinct()
     body = F.when(F.col("_one").isNotNull() & F.col("_known").isNull(), F.col("_one")).otherwise(F.col("_key"))
-    own = asked.join(known, ["book", "_one"], "left").withColumn("_body", body)
-    short = F.when((F.length(last) >= 3) & F.col("_body").rlike("[^aeiou]y$"), F.array(F.concat(F.expr("left(_body, length(_body) - 1)"), F.lit("ies")))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.transform(F.array(*map(F.lit, ("", "s", "es"))), lambda e: F.concat("_body", e)), short)
-    joints = F.concat(_places(F.regexp_extract_all("source", F.lit(PIECE), F.lit(0))), F.array(F.length("_body")))
-    return own.select(*terms.columns, "kept", joints.alias("joints"), F.explode(F.array_distinct(every)).alias("form"))
+    own = asked.join(known, ["book", "_one"], "left").withColumn("body", body)
+    joints = F.concat(_places(F.regexp_extract_all("source", F.lit(PIECE), F.lit(0))), F.array(F.length("body")))
+    short = (F.length(last) >= 3) & F.col("body").rlike("[^aeiou]y$")
+    return own.select(*terms.columns, "kept", "body", short.alias("short"), joints.alias("joints"))
+
+
+def _bodies(form: str) -> Iterator[tuple[str, bool]]:
+    """The bodies that a form can have, and whether it is one's short form."""
+    yield form, False
+    if form.endswith("s"):
+        yield form[:-1], False
+        if form.endswith("es"):
+            yield form[:-2], False
+            if form.endswith("ies"):
+                yield form[:-3] + "y", True
 
 
 class TermIndex:
-    """Forms of a dictionary by book. A word of a text is looked up among the words that a form can begin with, and only where one
-    does are longer runs put together; so a text costs a lookup a word, whatever the dictionary."""
+    """Terms of a dictionary by book and body. Each word of a text is looked up as a form; runs of words are put together only from a
+    word that a term of several pieces begins with, or before a detached ending. So a text costs some lookups a word, whatever the
+    dictionary."""
 
     def __init__(self, table: pa.Table):
-        self.table, self._ready = table, None
+        self.table, self._ready = table, False
 
     def __getstate__(self):
         return self.table
@@ -77,87 +91,113 @@ class TermIndex:
     def __setstate__(self, table: pa.Table):
         self.__init__(table)
 
-    @property
-    def ready(self) -> tuple[dict, dict]:
-        """book -> {first word: most words of a use that begins so}, and book -> {form: [(row, joints)]}; built once a worker."""
-        if self._ready is None:
-            starts, forms = {}, {}
-            columns = (self.table.column(c).to_pylist() for c in ("book", "form", "joints"))
-            for k, (book, form, joints) in enumerate(zip(*columns, strict=True)):
-                own = starts.setdefault(book, {})
-                cuts = sorted({j for j in joints if j < len(form)})
-                for n, cut in enumerate([*cuts, len(form)]):
-                    own[form[:cut]] = max(own.get(form[:cut], 0), 1 if cut == len(form) else len(cuts) + 1 - n)
-                forms.setdefault(book, {}).setdefault(form, []).append((k, frozenset(joints)))
-            self._ready = starts, forms
-        return self._ready
-
-    def find(self, book, text: str) -> Iterator[tuple[int, int, int, bool, bool, str | None]]:
+    def prepare(self) -> None:
+        """Lookup tables, built once a worker: a row for each body, further rows of the same body, of what begins a longer run its most
+        words, and by book all words that a use can begin with."""
+        if self._ready:
+            return
+        names, bodies, self.short = (self.table.column(c).to_pylist() for c in ("book", "body", "short"))
+        keys = [f"{book}\0{body}" for book, body in zip(names, bodies, strict=True)]
+        self.row = dict(zip(keys, range(len(keys)), strict=True))
+        self.others: dict[str, list[int]] = {}
+        for k, key_ in enumerate(keys) if len(self.row) < len(keys) else ():
+            if self.row[key_] != k:
+                self.others.setdefault(key_, []).append(k)
+        self.starts: dict[str, int] = {}
+        self.joints: dict[int, frozenset] = {}
+        parted = pc.list_value_length(self.table.column("joints"))
+        for k in np.flatnonzero(parted.to_numpy() > 2).tolist():
+            self.joints[k] = frozenset(self.table.column("joints")[k].as_py())
+            cuts = sorted(j for j in self.joints[k] if j < len(bodies[k]))
+            for n, cut in enumerate(cuts):
+                first = f"{names[k]}\0{bodies[k][:cut]}"
+                self.starts[first] = max(self.starts.get(first, 0), len(cuts) + 2 - n)
+        self.first: dict[str, set[str]] = {name: set() for name in set(names)}
+        for name, body, short in zip(names, bodies, self.short, strict=True):
+            self.first[name].update((body, f"{body}s", f"{body}es", *((f"{body[:-1]}ies", f"{body[:-1]}i") if short else ())))
+        for key_ in self.starts:
+            name, _, word = key_.partition("\0")
+            self.first[name].add(word)
+        self._ready = True
+
+    def _rows(self, book: str, form: str, cuts: list[int]) -> Iterator[int]:
+        for body, shortened in _bodies(form):
+            key_ = f"{book}\0{body}"
+            row = self.row.get(key_)
+            if row is not None:
+                for k in (row, *self.others.get(key_, ())):
+                    if (not shortened or self.short[k]) and all(c == len(body) or c in self.joints.get(k, ()) for c in cuts):
+                        yield k
+
+    def find(self, book: str, text: str) -> Iterator[tuple[int, int, int, bool, bool, str | None]]:
         """(row of the table, place, words, capital, whether it opens a sentence, the word before) of every use."""
-        starts, forms = (x.get(book) for x in self.ready)
-        if not starts:
+        first = self.first.get(book)
+        if not first:
             return
-        words = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
-        low = [text[a:b].lower() for a, b in words]
-        for at, first in enumerate(low):
-            most = starts.get(first)
-            if not most:
-                continue
-            own = None
-            form, cuts = "", []
-            for n in range(1, min(most, len(low) - at) + 1):
-                if n > 1:
-                    if not _JOINT.match(text[words[at + n - 2][1] : words[at + n - 1][0]]):
-                        break
-                    cuts.append(len(form))
+        parts = _WORDS.split(text)  # gaps and words in turn
+        gaps, words = parts[::2], parts[1::2]
+        low = [w.lower() for w in words]
+        for at in [i for i, w in enumerate(low) if w in first]:
+            found = [(row, 1) for row in self._rows(book, low[at], [])]
+            most = self.starts.get(f"{book}\0{low[at]}", 0)
+            if at + 1 < len(low) and low[at + 1] in ("s", "es"):
+                most = max(most, 2)
+            form, cuts = low[at], []
+            for n in range(2, min(most, len(low) - at) + 1):
+                if not _JOINT.match(gaps[at + n - 1]):
+                    break
+                cuts.append(len(form))
                 form += low[at + n - 1]
-                for row, joints in forms.get(form, ()):
-                    if joints.issuperset(cuts):
-                        if own is None:
-                            gap = text[words[at - 1][1] if at else 0 : words[at][0]]
-                            opens = bool(_OPENING.search(gap)) or (at == 0 and bool(_START.match(gap)))
-                            own = (_CAPITAL(text[words[at][0]]), opens, low[at - 1] if at else None)
-                        yield row, at, n, *own
+                found += [(row, n) for row in self._rows(book, form, cuts)]
+            if found:
+                opens = bool(_OPENING.search(gaps[at])) or (at == 0 and bool(_START.match(gaps[0])))
+                own = (words[at][0].isupper(), opens, low[at - 1] if at else None)
+                yield from ((row, at, n, *own) for row, n in found)
+
 
+class Dictionary:
+    """Terms made ready for texts: indexes of about `most` terms each, one where there are not more, broadcast one after the other."""
 
-def _slices(forms: DataFrame, most: int) -> Iterator[TermIndex]:
-    """The forms in indexes of about `most` rows each; one, where there are not more. Only one slice is on the driver at a time."""
-    count = -(-forms.count() // most)
-    for k in range(count):
-        part = forms if count == 1 else forms.where(F.pmod(F.xxhash64("book", "form"), F.lit(count)) == k)
-        yield TermIndex(part.toArrow())
+    def __init__(self, terms: DataFrame, most: int = INDEX_TERMS):
+        bodies = reliable(term_bodies(terms))
+        self.fields = [f for f in bodies.schema.fields if f.name not in ("book", "body", "short", "joints")]
+        count = -(-bodies.count() // most)
+        parts = (bodies if count == 1 else bodies.where(F.pmod(F.xxhash64("book", "source"), F.lit(count)) == k) for k in range(count))
+        self.indexes = [terms.sparkSession.sparkContext.broadcast(TermIndex(part.toArrow())) for part in parts]
 
 
-def uses(units: DataFrame, column: str, terms: DataFrame, most: int = INDEX_FORMS) -> DataFrame:
+def uses(units: DataFrame, column: str, terms: DataFrame | Dictionary) -> DataFrame:
     """units(book, ...) -> (its columns but the text, the terms' columns, kept, at, n, capital, opens, before), a row per use of a term of the
     book: its place and number of words, whether it begins with a capital and opens a sentence, and the word before it.
 
-    Texts stay where they are: the dictionary goes to them as an index, in slices of `most` forms, and a pass over the texts per slice."""
-    own = [c for c in units.columns if c != column]
-    added = [f for f in term_forms(terms).schema.fields if f.name not in ("book", "form", "joints")]
-    schema = T_.StructType([*(units.schema[c] for c in own), *added, *[T_.StructField("at", T_.IntegerType()), T_.StructField("n", T_.IntegerType()), T_.StructField("capital", T_.BooleanType()), T_.StructField("opens", T_.BooleanType()), T_.StructField("before", T_.StringType())]])
-    texts = units.select(*own, F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    Texts stay where they are, but for tables of few files: the dictionary goes to them, with a pass over the texts per index."""
+    dictionary = terms if isinstance(terms, Dictionary) else Dictionary(terms)
+    own, names = [c for c in units.columns if c != column], [f.name for f in dictionary.fields]
+    found = (("at", T_.IntegerType()), ("n", T_.IntegerType()), ("capital", T_.BooleanType()), ("opens", T_.BooleanType()), ("before", T_.StringType()))
+    schema = T_.StructType([*(units.schema[c] for c in own), *dictionary.fields, *(T_.StructField(*f) for f in found)])
+    texts = spread(units.select(*own, F.coalesce(F.col(column), F.lit("")).alias("_text")))
     book, out = own.index("book"), None
 
     def finder(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = index.value.table.select([f.name for f in added]).combine_chunks()
+            index.value.prepare()
+            table = index.value.table.select(names).combine_chunks()
             for b in batches:
                 of, hits = [], []
                 for i, (name, text) in enumerate(zip(b.column(book).to_pylist(), b.column(len(own)).to_pylist(), strict=True)):
-                    found = list(index.value.find(name, text))
-                    of += [i] * len(found)
-                    hits += found
+                    held = list(index.value.find(name, text))
+                    of += [i] * len(held)
+                    hits += held
                 place, rows = pa.array(of, pa.int64()), pa.array([h[0] for h in hits], pa.int64())
-                columns = [b.column(k).take(place) for k in range(len(own))] + [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.take(rows).columns]
+                columns = [b.column(k).take(place) for k in range(len(own))] + [c.combine_chunks() for c in table.take(rows).columns]
                 columns += [pa.array([h[k] for h in hits], t) for k, t in zip(range(1, 6), (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
         return run
 
-    for index in _slices(reliable(term_forms(terms)), most):
-        found = texts.mapInArrow(finder(units.sparkSession.sparkContext.broadcast(index)), schema)
-        out = found if out is None else out.unionByName(found)
+    for index in dictionary.indexes:
+        part = texts.mapInArrow(finder(index), schema)
+        out = part if out is None else out.unionByName(part)
     return units.sparkSession.createDataFrame([], schema) if out is None else out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import forms
 from ..functions import text as T
 from ..plans.components import reliable
+from ..plans.ordered import carried, ordered
 from ..sources.tables import role, sql_role, table
 
 
@@ -36,24 +37,37 @@ def newest_per_chapter(chapters: DataFrame) -> DataFrame:
 def previous_chapter(chapters: DataFrame) -> DataFrame:
     """The chapter before: the linked one if it is there, else the greatest smaller number of the book with a text."""
     own = chapters.where("chapter_no is not null").select("book", "chapter_no", "url", "prev_url", "content_type")
-    before = Window.partitionBy("book").orderBy("chapter_no", "url").rowsBetween(Window.unboundedPreceding, -1)
-    near = own.withColumn("near", F.last(F.when(F.coalesce("content_type", F.lit("text")) != "html", F.col("url")), ignorenulls=True).over(before))
+    readable = F.when(F.coalesce("content_type", F.lit("text")) != "html", F.col("url"))
+    near = carried(ordered(own, ["book"], ["chapter_no", "url"]), ["book"], before={"near": readable})
     there = chapters.select(F.col("url").alias("_url"), F.col("book").alias("_book"))
     return near.join(there, (F.col("prev_url") == F.col("_url")) & (F.col("book") == F.col("_book")), "left").select("url", F.coalesce("_url", "near").alias("previous"), F.col("_url").isNotNull().alias("linked"))
 
 
+def window_rows(chapters: DataFrame, width: int = 30) -> DataFrame:
+    """(url, earlier, chapter_no, distance): every chapter with a row for each chapter of the book in the `width` numbers before it. Numbers
+    are cut into zones as wide as the window: a chapter meets its own zone and the one before, so a book of any size is many keys."""
+    own = chapters.where("chapter_no is not null").select("book", "chapter_no", "url")
+    zone = F.floor(F.col("chapter_no") / width)
+    asked = own.select("book", "url", F.col("chapter_no").alias("_no"), F.explode(F.array(zone, zone - 1)).alias("zone"))
+    near = asked.join(own.select("book", zone.alias("zone"), F.col("url").alias("earlier"), "chapter_no"), ["book", "zone"])
+    return near.where((F.col("chapter_no") < F.col("_no")) & (F.col("chapter_no") >= F.col("_no") - width)).select("url", "earlier", "chapter_no", (F.col("_no") - F.col("chapter_no")).alias("distance"))
+
+
 def window_before(chapters: DataFrame, width: int = 30) -> DataFrame:
-    """How many chapters of the book lie in the `width` numbers before each, and their characters: a running range frame, so a book is
-    sorted once and no pairs are made."""
-    frame = Window.partitionBy("book").orderBy("chapter_no").rangeBetween(-width, -1)
+    """How many chapters of the book lie in the `width` numbers before each, and their characters. Chapters are counted by number first,
+    and a number's counts go to the `width` numbers after it, so no book is one task and no pairs of chapters are made."""
     own = chapters.where("chapter_no is not null").select("book", "chapter_no", "url", F.length("source_text").alias("n"))
-    return own.select("url", F.count("url").over(frame).alias("before"), F.coalesce(F.sum("n").over(frame), F.lit(0)).cast("long").alias("chars_before"))
+    per = own.groupBy("book", "chapter_no").agg(F.count("*").alias("_count"), F.sum("n").alias("_chars"))
+    given = per.select("book", F.explode(F.sequence(F.col("chapter_no") + 1, F.col("chapter_no") + width)).alias("chapter_no"), "_count", "_chars")
+    sums = given.groupBy("book", "chapter_no").agg(F.sum("_count").alias("_count"), F.sum("_chars").alias("_chars"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return own.join(sums, ["book", "chapter_no"], "left").select("url", zero("_count").alias("before"), zero("_chars").alias("chars_before"))
 
 
 def broken_links(chapters: DataFrame) -> DataFrame:
     """Expected neighbours by number against the stored link; a link into another book is left alone."""
-    by = Window.partitionBy("book").orderBy("chapter_no", "url")
-    own = chapters.where("chapter_no is not null").select("book", "chapter_no", "url", "prev_url").withColumn("expected", F.lag("url").over(by)).withColumn("next", F.lead("url").over(by))
+    told = ordered(chapters.where("chapter_no is not null").select("book", "chapter_no", "url", "prev_url"), ["book"], ["chapter_no", "url"])
+    own = carried(told, ["book"], before={"expected": F.col("url")}, after={"next": F.col("url")}).drop("_block", "_at")
     inside = chapters.select(F.col("url").alias("prev_url"), F.col("book").alias("_book"))
     return own.join(inside, "prev_url", "left").where((F.col("prev_url").isNull() | (F.col("_book") == F.col("book"))) & ~F.col("prev_url").eqNullSafe(F.col("expected"))).select("book", "chapter_no", "url", "prev_url", "expected", "next")
 
@@ -174,6 +188,7 @@ QUERIES = {
     "source_coverage": lambda s, d: source_coverage(role(s, d, "chapters")),
     "latest_per_chapter": lambda s, d: newest_per_chapter(role(s, d, "chapters")),
     "prev_chapter_asof": lambda s, d: previous_chapter(role(s, d, "chapters")),
+    "window30_rows": lambda s, d: window_rows(role(s, d, "chapters")),
     "window30_before": lambda s, d: window_before(role(s, d, "chapters")),
     "chain_neighbours": lambda s, d: broken_links(role(s, d, "chapters")),
     "search_context": lambda s, d: search(role(s, d, "chapters"), "idiot", 20),
@@ -200,6 +215,7 @@ SELECT url, unnest(range(len(c))) AS chunk, unnest(c) AS words FROM c""",
     "source_coverage": f"SELECT book, count(*) AS total, count(source_text) AS with_source, count(CASE WHEN trim(translation) <> '' THEN 1 END) AS translated, CAST(sum(length(source_text)) AS BIGINT) AS chars FROM {_C} x GROUP BY book",
     "latest_per_chapter": f"SELECT book, chapter_no, arg_max(url, (created_at, url)) AS url, max(created_at) AS created_at, count(*) AS versions FROM {_C} x GROUP BY book, chapter_no",
     "prev_chapter_asof": f"WITH c AS (SELECT * FROM {_C} x), o AS (SELECT *, last_value(CASE WHEN coalesce(content_type, 'text') <> 'html' THEN url END IGNORE NULLS) OVER (PARTITION BY book ORDER BY chapter_no, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM c WHERE chapter_no IS NOT NULL) SELECT o.url, coalesce(t.url, near) AS previous, t.url IS NOT NULL AS linked FROM o LEFT JOIN c t ON o.prev_url = t.url AND o.book = t.book",
+    "window30_rows": f"WITH c AS (SELECT * FROM {_C} x WHERE chapter_no IS NOT NULL) SELECT a.url, b.url AS earlier, b.chapter_no, a.chapter_no - b.chapter_no AS distance FROM c a JOIN c b ON a.book = b.book AND b.chapter_no >= a.chapter_no - 30 AND b.chapter_no < a.chapter_no",
     "window30_before": f"WITH c AS (SELECT * FROM {_C} x WHERE chapter_no IS NOT NULL) SELECT a.url, count(b.url) AS before, CAST(coalesce(sum(length(b.source_text)), 0) AS BIGINT) AS chars_before FROM c a LEFT JOIN c b ON a.book = b.book AND b.chapter_no >= a.chapter_no - 30 AND b.chapter_no < a.chapter_no GROUP BY a.url",
     "chain_neighbours": f"WITH c AS (SELECT * FROM {_C} x), o AS (SELECT *, lag(url) OVER w AS expected, lead(url) OVER w AS next FROM c WHERE chapter_no IS NOT NULL WINDOW w AS (PARTITION BY book ORDER BY chapter_no, url)) SELECT o.book, o.chapter_no, o.url, o.prev_url, expected, next FROM o LEFT JOIN c t ON o.prev_url = t.url WHERE (o.prev_url IS NULL OR t.book = o.book) AND o.prev_url IS DISTINCT FROM expected",
     "search_context": f"WITH f AS (SELECT url, translation, CAST((length({_FOLD}) - length(replace({_FOLD}, 'idiot', ''))) / 5 AS BIGINT) AS hits, instr({_FOLD}, 'idiot') AS p FROM {_C} x WHERE translation IS NOT NULL), t AS (SELECT url, hits, trim(regexp_replace(substring(translation, greatest(1, p - 70), p - greatest(1, p - 70) + 75), '\\s+', ' ', 'g')) AS context FROM f WHERE hits > 0 ORDER BY hits DESC, url LIMIT 21) SELECT url, hits, context, (SELECT count(*) FROM t) > 20 AS cut FROM t ORDER BY hits DESC, url LIMIT 20",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import numbered
 from ..sources.tables import duck, role, shared, sql_role
 
 #: Finished jobs that are kept.
@@ -56,9 +57,9 @@ def matching_events(events: DataFrame, **given: object) -> DataFrame:
 def export_selection(chapters: DataFrame, start: int, count: int) -> DataFrame:
     """(book, url, place): of each book the first `count` numbered chapters from `start` on; a book without numbers gives all, by url."""
     told = chapters.where("trim(translation) <> ''").select("book", "chapter_no", "url")
-    numbered = told.groupBy("book").agg(F.max("chapter_no").alias("last"))
-    asked = told.join(numbered, "book").where("last is null or chapter_no >= " + str(int(start)))
-    ranked = asked.withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy("chapter_no", "url")))
+    ends = told.groupBy("book").agg(F.max("chapter_no").alias("last"))
+    asked = told.join(ends, "book").where("last is null or chapter_no >= " + str(int(start)))
+    ranked = numbered(asked, ["book"], ["chapter_no", "url"])
     return ranked.where(F.col("last").isNull() | (F.col("place") <= count)).select("book", "url", F.col("place").cast("long").alias("place"))
 
 
@@ -96,8 +97,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 def pruned_jobs(jobs: DataFrame, keep: int = KEPT_JOBS) -> DataFrame:
     """Per book the jobs that stay: all that run, and of the finished the newest, so that `keep` are left where so many are finished."""
     running = F.col("state") == "running"
-    counted = jobs.withColumn("_n", F.count(F.when(running, 1)).over(Window.partitionBy("book")))
-    ranked = counted.withColumn("_r", F.row_number().over(Window.partitionBy("book", running).orderBy(F.desc("updated_at"), F.desc("id"))))
+    busy = jobs.groupBy("book").agg(F.count(F.when(running, 1)).alias("_n"))
+    counted = jobs.withColumn("_running", running).join(busy, "book")
+    ranked = numbered(counted, ["book", "_running"], [F.desc("updated_at"), F.desc("id")], "_r")
     return ranked.where(running | (F.col("_r") + F.col("_n") <= keep)).select("id", "book", "state", "updated_at")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.components import reliable
+from ..plans.ordered import numbered
 from ..sources.tables import duck, role, shared, sql_role
 from .ledger import address_table
 
@@ -94,7 +96,8 @@ def stratified_slices(chapters: DataFrame, seed: int, parts: int, total: int) ->
     generator make the slices repeatable wherever they are cut."""
     size = max(500, total // parts)
     told = chapters.where("source_text is not null and chapter_no is not null").select("book", "chapter_no", "url", "source_text")
-    place = told.select("book", "chapter_no", "url", (F.row_number().over(Window.partitionBy("book").orderBy("chapter_no", "url")) - 1).alias("at"), F.count("*").over(Window.partitionBy("book")).alias("n"))
+    counts = told.groupBy("book").agg(F.count("*").alias("n"))
+    place = reliable(numbered(told.select("book", "chapter_no", "url"), ["book"], ["chapter_no", "url"], "_r").join(counts, "book").select("book", "chapter_no", "url", (F.col("_r") - 1).alias("at"), "n"))
     draw = lambda *what: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *what), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     books = place.select("book", "n").distinct().select("book", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(parts), F.col("n")).cast("int") - 1)).alias("part"))
     asked = books.select("book", "part", F.least(F.col("n") - 1, F.floor((F.col("part") + draw(F.col("book"), F.col("part").cast("string"))) * F.col("n") / parts)).cast("int").alias("at"))
@@ -148,7 +151,7 @@ def by_priority(lines: DataFrame) -> DataFrame:
     """Lines with their rank in the order of PRIORITIES (others last), then by name without regard to ASCII case, then by id."""
     step = F.coalesce(*[F.when(F.col("priority") == p, i) for i, p in enumerate(PRIORITIES)], F.lit(len(PRIORITIES)))
     plain = F.translate("name", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return lines.select("book", "id", "priority", "name", F.row_number().over(Window.partitionBy("book").orderBy(step, plain, "id")).cast("long").alias("rank"))
+    return numbered(lines.select("book", "id", "priority", "name"), ["book"], [step, plain, "id"], "rank")
 
 
 def profile_evidence(proposals: DataFrame, samples: DataFrame, least: int = 2) -> DataFrame:
