@@ -108,7 +108,7 @@ def text_sizes(chapters: DataFrame) -> DataFrame:
 _NAMES = """(SELECT book, source FROM {terms} UNION ALL SELECT book, concat('The Gate of the ', source) FROM {terms} WHERE chapters % 2 = 0 UNION ALL SELECT book, concat('Gate of ', source) FROM {terms} WHERE chapters % 2 = 0
   UNION ALL SELECT book, concat(source, '''s Gates') FROM {terms} WHERE chapters % 3 = 0 UNION ALL SELECT book, concat(source, ' Gate') FROM {terms} WHERE chapters % 6 = 0)"""
 _REJECTED = "(SELECT book, concat('Gate of the ', source) AS source FROM {terms} WHERE length(source) % 3 = 0)"
-_PARAS = "(SELECT doc_id AS id, concat('But The Gate of the North fell. Then ', substring(source_text, 1, 300), ' He met Mara Vell, and So on. ', regexp_extract(source_text, '[A-Z][a-z]+', 0)) AS en FROM {chapters} WHERE source_text IS NOT NULL)"
+_PARAS = "(SELECT doc_id AS id, concat('But The Gate of the North fell. Then ', source_text, ' He met Mara Vell, and So on. ', regexp_extract(source_text, '[A-Z][a-z]+', 0)) AS en FROM {chapters} WHERE source_text IS NOT NULL)"
 _ANSWERS = """(SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN concat('{{"translation": "', url, '", "detected_names": []}}') WHEN 1 THEN concat('```json', chr(10), '{{"translation": "', url, '"}}', chr(10), '```') WHEN 2 THEN concat('{{"translation": "', url, ' "so" he said", "detected_names": [') WHEN 3 THEN concat('{{"translation": "', url, ' and') ELSE concat('Here it is: ', url) END AS answer FROM {chapters})"""
 
 

@@ -242,7 +242,7 @@ def _renderings(s, d):
 
 
 # English prose left in a translation in every way there is, a line of a text each; terms that hold function and number words.
-_RESIDUE = """(SELECT doc_id AS id, book, concat('The ', lang, ' gates stood, and Nine Herons met ten men. ', substring(source_text, 1, 200)) AS en, CASE doc_id % 6 WHEN 0 THEN concat('The ', lang, ' gates stood, and Nine Herons met ten men. ', substring(source_text, 1, 200)) WHEN 1 THEN 'Kapılar durdu, Nine Herons ten adam gördü.' WHEN 2 THEN 'Kapılar durdu. And Nine Herons on adam gördü.'
+_RESIDUE = """(SELECT doc_id AS id, book, concat('The ', lang, ' gates stood, and Nine Herons met ten men. ', source_text) AS en, CASE doc_id % 6 WHEN 0 THEN concat('The ', lang, ' gates stood, and Nine Herons met ten men. ', source_text) WHEN 1 THEN 'Kapılar durdu, Nine Herons ten adam gördü.' WHEN 2 THEN 'Kapılar durdu. And Nine Herons on adam gördü.'
   WHEN 3 THEN 'Kapılar durdu, Nine Herons on adam gördü.' WHEN 4 THEN 'Orlo of the Nine geldi, the kapı durdu.' ELSE 'Orlo of the Nine geldi, kapı durdu.' END AS tr FROM {chapters} WHERE source_text IS NOT NULL)"""
 _MARKED = "(SELECT DISTINCT book, CASE WHEN length(book) % 2 = 0 THEN 'Orlo of the Nine' ELSE 'Ten' END AS source FROM {terms})"
 QUERIES = {

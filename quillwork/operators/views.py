@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.containment import holding
 from ..plans.components import reliable
 from ..plans.ordered import numbered
 from ..sources.tables import duck, role, shared, sql_role
@@ -156,13 +157,19 @@ def by_priority(lines: DataFrame) -> DataFrame:
 
 def profile_evidence(proposals: DataFrame, samples: DataFrame, least: int = 2) -> DataFrame:
     """proposals(id, book, field, value, quote) -> (id, chapter, uses, accepted): the first sample chapter that holds the quote word for
-    word, and in how many samples the value stands; accepted with both, the value inside the quote."""
+    word, and in how many samples the value stands; accepted with both, the value inside the quote. Quotes and values go to the samples
+    as an index; what comes back is counted by string before proposals are met again."""
     squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    asked = proposals.withColumn("_quote", squeezed("quote"))
-    met = asked.join(samples.select("book", F.col("chapter_no"), squeezed("text").alias("text")), "book", "left")
-    holds = F.coalesce(F.contains("text", F.col("_quote")), F.lit(False)) & (F.length("_quote") > 0)
-    out = met.groupBy("id", "value", "quote").agg(F.min(F.when(holds, F.col("chapter_no"))).alias("chapter"), F.count(F.when(F.contains("text", "value"), 1)).alias("uses"))
-    return out.select("id", "chapter", "uses", (F.col("chapter").isNotNull() & (F.col("uses") >= least) & F.coalesce(F.contains("quote", "value"), F.lit(False))).alias("accepted"))
+    asked = reliable(proposals.select("id", "book", "value", "quote", squeezed("quote").alias("_quote")))
+    needles = asked.select("book", F.col("_quote").alias("needle")).unionByName(asked.select("book", F.col("value").alias("needle")))
+    found = holding(samples.select("book", "chapter_no", squeezed("text").alias("text")), "text", needles)
+    per = reliable(found.groupBy("book", "needle").agg(F.min("chapter_no").alias("chapter"), F.count("*").alias("uses")))
+    quoted = per.select("book", F.col("needle").alias("_quote"), "chapter")
+    used = per.select("book", F.col("needle").alias("value"), "uses")
+    blank = samples.groupBy("book").agg(F.count("text").alias("_all"))  # an empty value stands in every sample
+    out = asked.join(quoted, ["book", "_quote"], "left").join(used, ["book", "value"], "left").join(blank, "book", "left")
+    uses = F.coalesce(F.when(F.col("value") == "", F.col("_all")).otherwise(F.col("uses")), F.lit(0))
+    return out.select("id", "chapter", uses.alias("uses"), (F.col("chapter").isNotNull() & (uses >= least) & F.coalesce(F.contains("quote", "value"), F.lit(False))).alias("accepted"))
 
 
 # Inputs of the queries, in SQL that both engines read.
