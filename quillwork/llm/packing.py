@@ -3,10 +3,11 @@
 The lengths of all pieces form a histogram of at most `capacity` entries. A configuration says how many pieces of each length
 share one sequence. The covering linear program over configurations (fewest sequences such that every length's demand is met)
 is solved by multiplicative weights: each step prices the lengths, finds the best configurations by knapsack dynamic programming
-and lowers the prices of what they cover; the scaled average of the steps is the solution, the prices give a lower bound. Its
-copies are rounded down; the rest, priced the same way, is placed in whole copies, and what no configuration fits is placed
-best-fit by decreasing length, counts of equal lengths at a time. Only the histogram reaches the driver, and its work does not
-grow with the number of pieces; pieces find their place by their rank among the pieces of equal length."""
+and lowers the prices of what they cover. Each step's share is rounded to whole copies as it is taken, and lengths that are covered
+leave the program, so the solution is whole when it is complete; prices give a lower bound. Only what no full sequence takes, some
+pieces of a length at most, may be placed best-fit by decreasing length instead, counts of equal lengths at a time. Only the
+histogram reaches the driver, and its work does not grow with the number of pieces; pieces find their place by their rank among
+the pieces of equal length."""
 
 from __future__ import annotations
 
@@ -26,15 +27,11 @@ from .common import id_and_text, stage, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Steps of the program at most, on all pieces and on what rounding leaves, how fast a covered length's price falls, how far off prices and configurations may be, and the
-#: gap between value and bound at which it stops.
-STEPS, REST_STEPS, ETA, SLACK, GAP = 240, 60, 1.0, 0.1, 0.0005
+#: Steps of the lower bound, and how fast a covered length's price falls in them.
 BOUND_STEPS, BOUND_ETA = 96, 0.2
-#: Copies from which on a configuration of the solution is kept: fewer round down to none.
-LEAST_COPIES = 0.5
-#: When whole copies are placed: worth of a sequence-long piece beyond its share of the capacity, so that long pieces find partners
-#: while short ones are left; how fast prices fall; and the share of the lengths that as many configurations are placed for between two pricings.
-LARGE_FIRST, FILL_ETA, BLOCK_SHARE = 0.2, 0.2, 32
+#: In the program's steps: worth of a sequence-long piece beyond its share of the capacity, so that long pieces find partners while
+#: short ones are left; how fast prices fall; and the share of the lengths that as many configurations are taken for between two pricings.
+LARGE_FIRST, ETA, BLOCK_SHARE = 0.2, 0.2, 32
 #: Pieces of one length that are ranked together; longer runs are dealt out over blocks.
 BLOCK = 4096
 
@@ -139,14 +136,23 @@ def columns(lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Fractional:
-    """A solution of the covering program: (configuration, copies) that exceed no demand, the value of the scaled average, which
-    covers every demand, and a lower bound on the value of every solution, by the best dual prices met."""
+class Program:
+    """A whole solution of the covering program: copies of configurations that fill a sequence, the pieces these leave, and the copies
+    that cover those; with a lower bound on the value of every solution, by the best dual prices met."""
 
-    copies: list[tuple[tuple, float]]
-    value: float
+    full: Counter[tuple]
+    left: Counter[int]
+    others: Counter[tuple]
     bound: float
 
+    @property
+    def copies(self) -> list[tuple[tuple, int]]:
+        return [*self.full.items(), *self.others.items()]
+
+    @property
+    def value(self) -> float:
+        return float(self.full.total() + self.others.total())
+
 
 def _config(lengths: np.ndarray, counts: np.ndarray) -> tuple:
     return tuple((int(lengths[i]), int(counts[i])) for i in np.flatnonzero(counts)[::-1])
@@ -154,10 +160,11 @@ def _config(lengths: np.ndarray, counts: np.ndarray) -> tuple:
 
 def lower_bound(demand: dict[int, int], capacity: int, steps: int = BOUND_STEPS, eta: float = BOUND_ETA) -> float:
     """Sequences that no solution goes below, fractions included: the best dual value met while only the one best configuration of
-    each step lowers prices, in full where it uses a demand up. Means of feasible prices are feasible, and steadier."""
+    each step lowers prices, in full where it uses a demand up. Means of feasible prices are feasible, and steadier; so is a price of
+    one for each length over half a sequence, of which no two share one."""
     lengths = np.array(sorted(demand), np.int64)
     n = np.array([demand[x] for x in lengths.tolist()], np.float64)
-    prices, mean, bound = lengths / capacity, np.zeros(len(n)), 0.0
+    prices, mean, bound = lengths / capacity, np.zeros(len(n)), float(n[2 * lengths > capacity].sum())
     for step in range(steps if len(n) else 0):
         best, pick = knapsack(lengths, prices, capacity)
         mean += prices / best[capacity]
@@ -170,51 +177,12 @@ def lower_bound(demand: dict[int, int], capacity: int, steps: int = BOUND_STEPS,
     return bound
 
 
-def covering_program(demand: dict[int, int], capacity: int, steps: int = STEPS, eta: float = ETA, slack: float = SLACK, gap: float = GAP, bounded: bool = True) -> Fractional:
-    """Fewest sequences, in fractions, that cover the demand, by multiplicative weights.
-
-    A length's weight starts at its share of the volume and falls by e^-eta for each time its demand has been covered. A step
-    prices the lengths (weight over demand, up to `slack` off at random, so that ties between fillings fall differently), takes
-    for every length the best configuration that holds it, keeps those within `slack` of the best, and adds as much of them as
-    covers no demand more than once: the step's width is one. Prices over the value of the best configuration are dual feasible,
-    so each step gives a lower bound; the sum of all steps over its least coverage is feasible and gives the value. Stops when
-    the two are within `gap`."""
-    lengths = np.array(sorted(demand), np.int64)
-    n = np.array([demand[x] for x in lengths.tolist()], np.float64)
-    rng, covered, total, value = np.random.default_rng(len(n)), np.zeros(len(n)), 0.0, np.inf
-    size = lengths / capacity
-    bound = lower_bound(demand, capacity, BOUND_STEPS if bounded else 1)
-    copies: dict[bytes, float] = {}
-    for _ in range(steps if len(n) else 0):
-        prices = size * np.exp(-eta * (covered - covered.min())) * (1 - slack * rng.random(len(n)))
-        best, pick = knapsack(lengths, prices, capacity)
-        bound = max(bound, float(n @ prices / best[capacity]))
-        found = np.minimum(columns(lengths, pick), n.astype(np.int64))
-        worth = found @ prices
-        found = found[worth >= (1 - slack) * worth.max()]
-        amount = np.min(np.where(found > 0, n / np.maximum(found, 1), np.inf), axis=1)
-        for _ in range(3):
-            use = amount @ found
-            amount *= np.min(np.where(found > 0, n / np.maximum(use, n), np.inf), axis=1)
-        rows, at = np.nonzero(found)
-        packed = np.stack([at, found[rows, at]], axis=1).astype(np.int16).tobytes()  # counts stay below the capacity
-        ends = (4 * np.cumsum(np.bincount(rows, minlength=len(found)))).tolist()
-        for start, end, x in zip([0, *ends], ends, amount.tolist(), strict=False):
-            copies[packed[start:end]] = copies.get(packed[start:end], 0.0) + x
-        covered += amount @ found / n
-        total += float(amount.sum())
-        if covered.min() > 0:
-            value = min(value, total / float(covered.min()))
-        if value <= bound * (1 + gap):
-            break
-    most = float(covered.max()) if len(n) else 1.0
-    whole = ((k, x / most) for k, x in copies.items())
-    return Fractional([(tuple((int(lengths[i]), int(c)) for i, c in np.frombuffer(k, np.int16).reshape(-1, 2)[::-1]), x) for k, x in whole if x >= LEAST_COPIES], value if len(n) else 0.0, bound)
-
+def priced_steps(left: Counter[int], capacity: int, full: bool, bonus: float = LARGE_FIRST, eta: float = ETA, block: int | None = None) -> tuple[Counter[tuple], Counter[int]]:
+    """Multiplicative weights in whole copies: (copies of configurations, pieces left).
 
-def fill(left: Counter[int], capacity: int, full: bool, bonus: float = LARGE_FIRST, eta: float = FILL_ETA, block: int | None = None) -> tuple[Counter[tuple], Counter[int]]:
-    """Whole copies for what rounding leaves, by the same prices: each step takes `block` of the best configurations (`full`: of
-    those that fill a sequence), half of what the pieces left allow, until none fits; with the rest."""
+    A length's weight starts at its share of the volume and falls by e^-eta as its demand is covered; a covered length leaves. Each
+    step prices the lengths, takes `block` of the best configurations by the knapsack (`full`: of those that fill a sequence), and
+    of each half the copies that the pieces left allow, rounded to whole ones, until none fits."""
     lengths = np.array(sorted(left), np.int64)
     n = np.array([left[x] for x in lengths.tolist()], np.int64)
     rest, chosen, block = n.copy(), Counter(), block or max(1, len(n) // BLOCK_SHARE)
@@ -243,6 +211,13 @@ def fill(left: Counter[int], capacity: int, full: bool, bonus: float = LARGE_FIR
     return chosen, Counter({x: k for x, k in zip(lengths.tolist(), rest.tolist(), strict=True) if k})
 
 
+def covering_program(demand: Counter[int], capacity: int) -> Program:
+    """Fewest sequences that cover the demand, in whole copies: configurations that fill a sequence first, then any."""
+    full, left = priced_steps(demand, capacity, True)
+    others, _ = priced_steps(left, capacity, False)  # covers all that is left, as a piece alone is a configuration
+    return Program(full, left, others, lower_bound(demand, capacity))
+
+
 def best_fit(demand: Counter[int], capacity: int) -> Counter[tuple]:
     """Decreasing lengths, each into the fullest open sequence that has room. Sequences of one content are one row with their
     number, of which a length splits one at most, so rows are bounded by the distinct lengths however many pieces there are."""
@@ -275,51 +250,26 @@ def best_fit(demand: Counter[int], capacity: int) -> Counter[tuple]:
 
 @dataclass
 class Plan:
-    """(configuration, copies) that place every piece exactly once, with the program's value and its lower bound on sequences."""
+    """(configuration, copies) that place every piece exactly once, their number, the program's lower bound on it, and the share of the pieces,
+    but for those of a whole sequence, that stand in its full sequences."""
 
     configurations: list[tuple[tuple, int]]
     value: float
     bound: float
+    placed: float
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Pieces as long as a sequence stand alone and stay out of the program. The program's copies are rounded down and the rest is
-    placed in whole copies; where there are few pieces to a length rounding leaves nearly all, so placing all of them in whole
-    copies is tried as well."""
-    chosen: Counter[tuple] = Counter()
+    """Pieces as long as a sequence stand alone and stay out of the program. Its full sequences stand; the pieces they leave are covered by
+    its other configurations, or by best fit where that takes fewer sequences."""
     left = Counter({x: n for x, n in histogram.items() if n})
     alone = left.pop(capacity, 0)
+    solved = covering_program(left, capacity)
+    chosen = solved.full + min(solved.others, best_fit(solved.left, capacity), key=Counter.total)
     if alone:
         chosen[((capacity, 1),)] += alone
-    solved = covering_program(left, capacity)
-    by_program, after = rounded(left, solved)
-    chosen += min(by_program + placed_whole(after, capacity), placed_whole(left, capacity), key=Counter.total)
-    return Plan(sorted(chosen.items(), reverse=True), min(solved.value + alone, float(chosen.total())), solved.bound + alone)
-
-
-def placed_whole(left: Counter[int], capacity: int) -> Counter[tuple]:
-    """All pieces in whole copies: full configurations first; what these leave goes to best fit at once, or after configurations
-    that are not full, or after the program on the rest as well, whichever takes fewest sequences."""
-    chosen, left = fill(left, capacity, True)
-    more, rest = fill(left, capacity, False)
-    ways = [best_fit(left, capacity), more + best_fit(rest, capacity)]
-    others, share = Counter(), 1.0
-    while left.total() > 4 * len(left) and share > 0.1:
-        placed, after = rounded(left, covering_program(left, capacity, REST_STEPS, bounded=False))
-        others, share, left = others + placed, 1 - after.total() / left.total(), after
-    more, rest = fill(left, capacity, False)
-    return chosen + min(*ways, others + more + best_fit(rest, capacity), key=Counter.total)
-
-
-def rounded(left: Counter[int], solved: Fractional) -> tuple[Counter[tuple], Counter[int]]:
-    """The whole copies of a solution, and what they leave; a solution that exceeds no demand does not when it is rounded down."""
-    chosen, rest = Counter(), left.copy()
-    for config, copies in solved.copies:
-        whole = int(copies + 1e-9)
-        if whole:
-            chosen[config] += whole
-            rest.subtract({x: times * whole for x, times in config})
-    return chosen, +rest
+    placed = 1 - solved.left.total() / max(1, left.total())
+    return Plan(sorted(chosen.items(), reverse=True), float(chosen.total()), solved.bound + alone, placed)
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
