@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table
+from .common import id_and_text, stage, table
 
 ASSIGN = r"""(?<key>[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?(?<value>[A-Za-z0-9+/_.=-]+)"""
 #: kind -> (pattern, least length of the whole match). A maximal run is found at its start, so the least length can stand in the pattern.
@@ -39,6 +39,8 @@ ENDPOINT = r"(?i)\b(?:[a-z][a-z0-9+.-]{1,20}://[a-z0-9.-]+|[a-z0-9-]+(?:\.[a-z0-
 SCOPE = 400
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 MIN_SECRET = 12
+#: Code points from which on a text is masked in blocks, and those of a block.
+LONG, BLOCK = 16_384, 4096
 
 
 def _bound(x: Column, body) -> Column:
@@ -167,17 +169,39 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return annotate(id_and_text(docs, id_col, text_col), scope=scope).select("doc_id", F.col("_qw_base").alias("base"), F.col("_qw_spans").alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs with every span of its text overwritten by asterisks of the same length; all columns and rows stay, null text stays null."""
-    text, first = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _overwritten(text: Column, spans: Column) -> Column:
+    """The text with its spans, sorted by start, as asterisks. Each span cuts from the text's start, so texts are short here."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         stars = F.repeat(F.lit("*"), F.greatest(F.lit(0), x["end"] - F.greatest(acc["at"], x["start"])))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"])), stars).alias("out"))
 
-    folded = F.aggregate("_qw_spans", first, step)
-    masked = F.when(F.size("_qw_spans") == 0, text).otherwise(F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text))))
-    return annotate(docs, id_col, text_col, scope).withColumn(text_col, masked).select(*docs.columns)
+    folded = F.aggregate(spans, first, step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text))))
+
+
+def _mask_long(found: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """Long texts in blocks: a block is overwritten with what of the spans lies in it, and the blocks are joined again."""
+    rows = stage(found.withColumn("_qw_row", F.monotonically_increasing_id()), "long-texts")
+    blocks = rows.select("_qw_row", F.posexplode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("_qw_k", "_qw_block"))
+    spans = rows.select("_qw_row", F.inline("_qw_spans"))
+    cut = spans.select("_qw_row", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("int"), F.floor((F.col("end") - 1) / BLOCK).cast("int"))).alias("_qw_k"))
+    inside = lambda c: F.least(F.lit(BLOCK), F.greatest(F.lit(0), F.col(c) - F.col("_qw_k") * BLOCK)).cast("int").alias(c)
+    of = cut.select("_qw_row", "_qw_k", F.struct(inside("start"), inside("end")).alias("x")).groupBy("_qw_row", "_qw_k").agg(F.sort_array(F.collect_set("x")).alias("_qw_in"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    done = blocks.join(of, ["_qw_row", "_qw_k"], "left").select("_qw_row", F.struct("_qw_k", _overwritten(F.col("_qw_block"), F.coalesce("_qw_in", none)).alias("t")).alias("b"))
+    texts = done.groupBy("_qw_row").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["t"]), "").alias("_qw_text"))
+    return rows.join(texts, "_qw_row").withColumn(text_col, F.col("_qw_text")).select(*columns)
+
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """docs with every span of its text overwritten by asterisks of the same length; all columns and rows stay, null text stays null.
+    Texts of LONG code points or more are overwritten block by block, so that the work grows with a text's length."""
+    far = F.coalesce(F.length(F.col(text_col).cast("string")) >= LONG, F.lit(False))
+    short = annotate(docs.where(~far), id_col, text_col, scope)
+    plain = short.withColumn(text_col, _overwritten(F.col(text_col), F.col("_qw_spans"))).select(*docs.columns)
+    return plain.unionByName(_mask_long(annotate(docs.where(far), id_col, text_col, scope), text_col, docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:
