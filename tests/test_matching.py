@@ -1,5 +1,6 @@
 """Forms of terms, endings, verdicts, violations, alignment, budgets, messages and book sources, by hand and by brute force."""
 
+import hashlib
 import io
 import itertools
 import zipfile
@@ -193,3 +194,26 @@ def test_wiki_and_terms(spark, tmp_path):
     (tmp_path / "more.json").write_text('{"book": "b", "source": "z", "target": "w"}\n')
     back = {r.source: r for r in books.read_terms(spark, f"file://{tmp_path}/t").union(books.read_terms(spark, f"file://{tmp_path}/more.json")).collect()}
     assert back["x"].has_note and back["x"].first_chapter == 3 and not back["z"].has_note and back["z"].target == "w"
+
+
+def test_learned_vowels_table(spark):
+    """Two witnesses and seven of ten; roundness from close vowels alone, else from the spelling."""
+    votes = {
+        "knight": (["ın", "ın"], "ı"), "lone": (["ın"], None), "fool": (["a", "a"], "u"), "reaper": (["ın", "in"], None), "seven": (["ın"] * 7 + ["in"] * 3, "ı"), "six": (["ın"] * 6 + ["in"] * 3, None),
+        "moon": (["ın", "ın", "a"], "ı"), "lord": (["e", "ün", "ün"], "ü"), "mist": (["e", "e"], "i"), "none": (["x"], None),
+    }
+    text = " ".join(f"{name.capitalize()}'{e}" for name, (endings, _) in votes.items() for e in endings)
+    found = {r.name: r.vowel for r in matching.learned_vowels(spark.createDataFrame([(text,), (None,)], "translation string")).collect()}
+    assert found == {name: vowel for name, (endings, vowel) in votes.items() if endings != ["x"]}
+
+
+def test_rewriting_follows_what_is_learned(spark):
+    chapters = spark.createDataFrame([("u1", "Aslan'ın kapısı. Aslan'a baktı."), ("u2", "Knight'ın sözü, Knight'a.")], "url string, translation string")
+    learned = spark.createDataFrame([("knight", "ı"), ("aslan", None)], "name string, vowel string")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    (row,) = matching.retargeted(chapters, "Aslan", "Knight", learned).collect()
+    assert (row.digest, row.moved, row.left) == (digest("Knight'ın kapısı. Knight'a baktı."), 2, 0)
+    (row,) = matching.retargeted(chapters, "Aslan", "Knight").collect()
+    assert row.digest == digest("Knight'in kapısı. Knight'e baktı.")
+    (row,) = matching.retargeted(chapters, "Knight", "Orman", learned).collect()
+    assert (row.digest, row.moved, row.left) == (digest("Orman'ın sözü, Orman'a."), 2, 0)
