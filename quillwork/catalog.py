@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import chapters, glossary, governance, graph, ledger, lexical, matching, messages, quality, reading, reads, records, review, selection, senses, upkeep, usage, views, wording
+from .operators import chapters, glossary, governance, graph, ledger, lexical, matching, merging, messages, quality, reading, reads, records, review, selection, senses, upkeep, usage, views, wording
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (chapters, glossary, governance, graph, ledger, lexical, matching, messages, quality, reading, reads, records, review, selection, senses, upkeep, usage, views, wording):
+for module in (chapters, glossary, governance, graph, ledger, lexical, matching, merging, messages, quality, reading, reads, records, review, selection, senses, upkeep, usage, views, wording):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
