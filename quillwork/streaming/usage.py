@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.attention import JUMP_RATIO, OPEN_RATIO
 from ..operators.reading import IDLE_S, TICK_S
 
 
@@ -123,3 +124,45 @@ def latest_version(spark: SparkSession, target: str, before: int | None = None)
     if before is not None:
         found = [x for x in found if int(x.rsplit("=", 1)[1]) < before]
     return spark.read.parquet(found[-1]) if found else None
+
+
+_SESSION = "tick long, touch long, ratio double, ms long, tempo boolean, touched boolean, finished boolean, skipped boolean"
+
+
+def session_stream(events: DataFrame, late: str = "10 minutes", idle_ms: int = 1_800_000) -> DataFrame:
+    """events(session, at, seq, kind, visible, dialog, flowing, ratio), `at` in milliseconds, as they come -> (session, mode, active_ms, finished,
+    skipped, closed): the rules of `reading_sessions` as a state of eight values. Every trigger tells how a session stands; when none of its
+    events came for `idle_ms` of event time it is told a last time, closed, and its state goes. Events of one trigger are put in order."""
+
+    def told(key: tuple, s: tuple, closed: bool) -> pd.DataFrame:
+        _, _, _, ms, tempo, touched, finished, skipped = s
+        row = (key[0], "tempo" if tempo else "free", 0 if tempo and not touched else ms, finished, skipped, closed)
+        return pd.DataFrame([row], columns=["session", "mode", "active_ms", "finished", "skipped", "closed"])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield told(key, state.get, True)
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+        tick, touch, last, ms, tempo, touched, finished, skipped = state.get if state.exists else (None, None, None, 0, False, False, False, False)
+        for at, kind, visible, dialog, flowing, ratio in rows[["at", "kind", "visible", "dialog", "flowing", "ratio"]].itertuples(index=False, name=None):
+            at, ratio = int(at), None if ratio is None or ratio != ratio else float(ratio)
+            if kind == "tick":
+                gap = min(at - (at if tick is None else tick), TICK_S * 1000)
+                if visible is True and dialog is not True:
+                    ms += gap if flowing is True else max(0, min(at, (at if touch is None else touch) + IDLE_S * 1000) - (at - gap))
+                tempo = tempo or flowing is True
+            if ratio is not None and kind in ("open", "scroll"):
+                skipped = skipped or (kind == "open" and ratio > OPEN_RATIO) or (kind == "scroll" and last is not None and ratio - last > JUMP_RATIO)
+                last = ratio
+            tick = at if kind in ("open", "tick") else tick
+            touch = at if kind in ("open", "touch") else touch
+            touched, finished = touched or kind == "touch", finished or kind == "end"
+        held = (tick, touch, last, ms, tempo, touched, finished, skipped)
+        state.update(held)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["at"].max()) + idle_ms))
+        yield told(key, held, False)
+
+    timed = events.withColumn("event_time", F.timestamp_millis("at")).withWatermark("event_time", late)
+    return timed.groupBy("session").applyInPandasWithState(step, "session string, mode string, active_ms long, finished boolean, skipped boolean, closed boolean", _SESSION, "update", GroupStateTimeout.EventTimeTimeout)
