@@ -37,6 +37,8 @@ GRAM = 81
 BROADCAST_BYTES = 96 << 20
 #: Different units of one least name (some 650 bytes each) that one task compares.
 LOCAL_KINDS = 8192
+#: Bytes of a least name's different units that one task compares, at some 110 bytes of memory each; long runs of one period are long units.
+LOCAL_BYTES = 6 << 20
 #: Bytes of units whose suffixes a task sorts at a time.
 SORTED_BYTES = 1 << 19
 #: Rows of an Arrow batch that a worker turns into Python objects at a time.
@@ -318,7 +320,7 @@ def dealt_runs(slices: DataFrame) -> DataFrame:
     return _repeated(stage(rest, "substring-suffixes"), "prefix").groupBy("unit").agg(F.collect_list("at").alias("at")).mapInArrow(runs, "unit binary, runs array<struct<a:int,b:int>>")
 
 
-def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """docs(doc_id, text) -> (text_key, starts, ends): for each text with repeats, its maximal removed runs."""
     spark = docs.sparkSession
     found = stage(docs.select("doc_id", "text").mapInArrow(_find_units, _UNITS), "substring-units")
@@ -326,11 +328,12 @@ def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS) -> DataFrame
     candidates = stage(found.join(_sized(hot, 24), "least", "left_semi"), "substring-candidates")
     unstage(found)
     kinds = stage(candidates.groupBy("least", "unit").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("text_key", "first", "size")).alias("at")), "substring-kinds")
-    met = kinds.groupBy("least").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.max("again").alias("again")).where("fewest = 1 and (kinds > 1 or again)")
-    mixed = stage(kinds.join(met.select("least", "kinds"), "least").select("least", "kinds", "unit", "copies", "at.text_key", "at.first", "at.size"), "substring-mixed")
-    local = _slices(docs, mixed.where(F.col("kinds") <= local_kinds))
+    met = kinds.groupBy("least").agg(F.count("*").alias("kinds"), F.sum(F.col("at.size") + LENGTH).alias("bytes"), F.min("copies").alias("fewest"), F.max("again").alias("again")).where("fewest = 1 and (kinds > 1 or again)")
+    near = (F.col("kinds") <= local_kinds) & (F.col("bytes") <= local_bytes)
+    mixed = stage(kinds.join(met.select("least", near.alias("near")), "least").select("least", "near", "unit", "copies", "at.text_key", "at.first", "at.size"), "substring-mixed")
+    local = _slices(docs, mixed.where("near"))
     runs = local.repartition(bucket_count(spark), "least").sortWithinPartitions("least", "unit").mapInArrow(_local, _RUNS)
-    large = mixed.where(F.col("kinds") > local_kinds)
+    large = mixed.where("not near")
     settled = kinds.where("copies > 1").select("unit", F.array(F.struct(F.lit(0).alias("a"), F.col("at.size").alias("b"))).alias("runs"))
     if not large.isEmpty():
         dealt = dealt_runs(stage(_slices(docs, large).dropDuplicates(["unit"]).drop("least"), "substring-slices"))
@@ -356,14 +359,14 @@ def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS) -> DataFrame
     return placed.groupBy("text_key").agg(F.collect_list(F.struct("first", "runs")).alias("units")).mapInArrow(merge, "text_key binary, starts array<int>, ends array<int>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", local_kinds: int = LOCAL_KINDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", local_kinds: int = LOCAL_KINDS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) per input row.
 
     Removed is each byte covered by a 400-byte string that starts anywhere else as well, in the same text or another, judged on
     the input. Null and empty texts, and texts below 400 bytes, keep all; a row that repeats another of 400 bytes or more loses
     all; matches never cross rows; an empty table gives no rows; other columns are ignored."""
     own = id_and_text(docs, id_col, text_col)
-    spans = _sized(stage(repeated_spans(own, local_kinds), "substring-spans"), 64, 8 * F.size("starts"))
+    spans = _sized(stage(repeated_spans(own, local_kinds, local_bytes), "substring-spans"), 64, 8 * F.size("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, ROWS):

@@ -138,6 +138,16 @@ def test_difference_covers():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
 
 
+def test_long_units_of_one_period_are_dealt_out(spark):
+    """Runs of blanks of unlike lengths are one long unit each under one least name: beyond some bytes they are no one task's."""
+    rng = random.Random(8)
+    cases = [prose(rng, 30) + " " * (3000 + 137 * i) + prose(rng, 40) for i in range(10)] + ["ab" * 2500, "ab" * 2700 + "x", "=" * 4000]
+    want = {i: row for i, row in enumerate(substrings.brute_force(cases))}
+    for limit in (substrings.LOCAL_BYTES, 8_000):
+        found = substrings.remove_repeats(docs(spark, cases), local_bytes=limit).selectExpr("*", "sha2(kept, 256) AS h").collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in found} == want
+
+
 @pytest.mark.parametrize("local_kinds", [8192, 0])
 def test_repeats_against_brute_force(spark, local_kinds):
     rng = random.Random(5)
