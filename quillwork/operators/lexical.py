@@ -137,4 +137,6 @@ d AS (SELECT id, name, min(k) AS k FROM c WHERE length(name) >= 2 GROUP BY ALL)
     "phrase_ends": f"""WITH w AS (SELECT id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS w FROM (SELECT id, regexp_extract_all(en, '\\S+') AS x FROM {duck(_PARAS)} p) q), s AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?…:;]["”’)]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM w),
 p AS (SELECT id, sentence, CAST(floor((row_number() OVER (PARTITION BY id, sentence ORDER BY i) - 1) / 3) AS BIGINT) AS part, i FROM s), g AS (SELECT id, sentence, part, min(i) AS i, count(*) AS n FROM p GROUP BY ALL) SELECT id, count(*) AS phrases, string_agg(n::VARCHAR, ',' ORDER BY i) AS words FROM g GROUP BY id""",
     "tolerant_json": f"""SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'whole' WHEN 1 THEN 'whole' WHEN 2 THEN 'recovered' WHEN 3 THEN 'cut_off' ELSE 'raw' END AS state, CASE doc_id % 5 WHEN 0 THEN url WHEN 1 THEN url WHEN 2 THEN url || ' "so" he said' WHEN 3 THEN url || ' and' ELSE 'Here it is: ' || url END AS value FROM {sql_role('chapters')} c""",
+    "text_sizes": rf"""SELECT url, length(regexp_replace(x, '\s+', '', 'g')) AS letters, CAST(len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) AS BIGINT) AS words, sha256(array_to_string(p[greatest(len(p) - 2, 0) + 1:], ' ')) AS last
+FROM (SELECT url, source_text AS x, string_split(regexp_replace(regexp_replace(source_text, '^\s+|\s+$', '', 'g'), '([.!?…])\s+', concat('\1', chr(1)), 'g'), chr(1)) AS p FROM {sql_role('chapters')} c WHERE source_text IS NOT NULL) q""",
 }
