@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forms, turkish
 from ..functions import text as T
-from ..sources.tables import role, sql_role
+from ..sources.tables import duck, role, shared, sql_role
 
 
 def known_at(chapters: DataFrame, terms: DataFrame) -> DataFrame:
@@ -76,6 +76,34 @@ def softened(terms: DataFrame) -> DataFrame:
     return terms.groupBy("book", mask.alias("mask")).agg(F.countDistinct("source").alias("n"), F.min("source").alias("first"), F.max("source").alias("last")).where("n > 1")
 
 
+def softened_members(terms: DataFrame) -> DataFrame:
+    """(book, mask, source): every name whose mask another name of the book shares, so that each pair can be read off."""
+    masks = softened(terms).select("book", "mask")
+    return terms.select("book", F.translate(T.fold_term(F.col("source")), "pbtdkgc", "ppttkkk").alias("mask"), "source").distinct().join(masks, ["book", "mask"], "left_semi")
+
+
+def origin_chapter(text: Column, origin: Column) -> Column:
+    """The chapter whose knowledge a field was written with, from its origin {"chapter": n, "digest": ...}: only while the digest is that of the
+    field's text today, so an edit makes the origin unknown."""
+    digest = F.substring(F.sha1(text.cast("binary")), 1, 16)
+    known = (text != "") & (F.get_json_object(origin, "$.digest") == digest)
+    return F.when(known, F.get_json_object(origin, "$.chapter").try_cast("int"))
+
+
+def masked_by_origin(terms: DataFrame, as_of: int | None) -> DataFrame:
+    """(book, source, target, condition, definition, note, hidden): what a reader at a chapter may see. Terms learned later are left out, unknown
+    ones stay; a condition or definition shows only if its origin is known and read by then; a checker's note never shows. `hidden`
+    lists the fields that are masked, in this order. Without a chapter all is shown."""
+    fields = ("condition", "definition")
+    if as_of is None:
+        return terms.select("book", "source", "target", *fields, "note", F.lit("").alias("hidden"))
+    shown = {c: F.coalesce(origin_chapter(F.col(c), F.col(f"{c}_origin")) <= as_of, F.lit(False)) for c in fields}
+    there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    hidden = F.array_compact(F.array(*[F.when(there(c) & ~shown[c], F.lit(c)) for c in fields], F.when(there("note"), F.lit("note"))))
+    seen = terms.where(F.col("first_chapter").isNull() | (F.col("first_chapter") <= as_of))
+    return seen.select("book", "source", "target", *[F.when(~there(c) | shown[c], F.col(c)).alias(c) for c in fields], F.when(~there("note"), F.col("note")).alias("note"), F.concat_ws(",", hidden).alias("hidden"))
+
+
 def variant_key(source: Column) -> Column:
     """Names that differ by a leading article, by `of the` for `of` or by an inner possessive share it."""
     bare = F.regexp_replace(F.trim(source), r"(?i)^(?:the|a|an)\s+", "")
@@ -191,7 +219,21 @@ def _findings(s, d):
     return words.select("*", F.when(F.length("source") % 3 == 0, F.lit("old")).otherwise(F.lower(F.reverse("source"))).alias("stored"))
 
 
+#: Terms with fields and their origins: of today's text, of an earlier one, without a digest, broken, or none.
+_ORIGINS = """(SELECT *, concat('{{"chapter": ', CASE WHEN first_chapter IS NULL THEN 'null' ELSE CAST(first_chapter + chapters % 6 AS VARCHAR(9)) END, ', "digest": "', substring(sha1({b1}), 1, 16), '"}}') AS condition_origin,
+  CASE length(source) % 4 WHEN 0 THEN concat('{{"chapter": 3, "digest": "', substring(sha1({b2}), 1, 16), '"}}') WHEN 1 THEN '{{"chapter": 3}}' WHEN 2 THEN 'not json' END AS definition_origin
+  FROM (SELECT book, source, target, first_chapter, chapters, CASE WHEN length(source) % 3 > 0 THEN concat('as ', source) END AS condition, concat('one of ', target) AS definition, CASE WHEN chapters % 7 = 0 THEN 'checked' END AS note FROM {terms}) t)"""
+_SPARK_BYTES = {"{b1}": "CAST(concat(coalesce(condition, ''), CASE WHEN chapters % 5 = 0 THEN '!' ELSE '' END) AS BINARY)", "{b2}": "CAST(definition AS BINARY)"}
+_DUCK_BYTES = {"{b1}": "concat(coalesce(condition, ''), CASE WHEN chapters % 5 = 0 THEN '!' ELSE '' END)", "{b2}": "definition"}
+
+
+def _origins(parts: dict[str, str]) -> str:
+    return _ORIGINS.replace("{b1}", parts["{b1}"]).replace("{b2}", parts["{b2}"])
+
+
 QUERIES = {
+    "softened_members": lambda s, d: softened_members(role(s, d, "terms")),
+    "origin_masked": lambda s, d: masked_by_origin(shared(s, d, _origins(_SPARK_BYTES)), 20),
     "dict_known_at": lambda s, d: known_at(role(s, d, "chapters"), _terms(s, d)),
     "spoiler_rows": lambda s, d: visible(_rich(_terms(s, d)), 20),
     "effective_dictionary": lambda s, d: effective(_rich(_terms(s, d)), _spellings(_terms(s, d))),
@@ -219,7 +261,12 @@ _FIND = f"(SELECT book, chapter_no, told, source, CASE WHEN length(source) % 3 =
 _VARIANT = _F("regexp_replace(regexp_replace(regexp_replace(trim(source), '(?i)^(?:the|a|an)\\s+', ''), '(?i)\\bof\\s+the\\b', 'of', 'g'), '(?i)[''’]s\\b', '', 'g')")
 _THEIRS = f"(SELECT book, source, upper(target) AS t, CASE WHEN length(source) % 2 = 1 THEN 'theirs' END AS n, length(source) % 5 > 1 AS h FROM {_ALL} a WHERE length(source) % 3 <> 1)"
 _WORDS = "list_distinct(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+'))"
+_SHOWN = lambda c: f"({c} <> '' AND CASE WHEN json_valid({c}_origin) THEN json_extract_string({c}_origin, '$.digest') = substring(sha1({c}), 1, 16) AND TRY_CAST(json_extract_string({c}_origin, '$.chapter') AS INT) <= 20 END)"
 ORACLE = {
+    "softened_members": f"WITH m AS (SELECT DISTINCT book, translate({_F('source')}, 'pbtdkgc', 'ppttkkk') AS mask, source FROM {_ALL} a) SELECT * FROM m WHERE EXISTS (SELECT 1 FROM m o WHERE o.book = m.book AND o.mask = m.mask AND o.source <> m.source)",
+    "origin_masked": f"""SELECT book, source, target, CASE WHEN coalesce({_SHOWN('condition')}, false) THEN condition END AS condition, CASE WHEN coalesce({_SHOWN('definition')}, false) THEN definition END AS definition, CAST(NULL AS VARCHAR) AS note,
+  concat_ws(',', CASE WHEN condition <> '' AND NOT coalesce({_SHOWN('condition')}, false) THEN 'condition' END, CASE WHEN definition <> '' AND NOT coalesce({_SHOWN('definition')}, false) THEN 'definition' END, CASE WHEN note <> '' THEN 'note' END) AS hidden
+  FROM {duck(_origins(_DUCK_BYTES))} t WHERE first_chapter IS NULL OR first_chapter <= 20""",
     "dict_known_at": f"WITH t AS (SELECT * FROM {_T} q) SELECT c.url, (SELECT count(*) FROM t WHERE t.book = c.book AND (t.first_chapter IS NULL OR t.first_chapter <= c.chapter_no)) AS known FROM {_C} c WHERE c.chapter_no IS NOT NULL",
     "spoiler_rows": f"SELECT book, source, target, CASE WHEN note_chapter <= 20 THEN note END AS note, CASE WHEN condition_chapter <= 20 THEN condition END AS condition, concat_ws(',', CASE WHEN note IS NOT NULL AND NOT coalesce(note_chapter <= 20, false) THEN 'note' END, CASE WHEN condition IS NOT NULL AND NOT coalesce(condition_chapter <= 20, false) THEN 'condition' END) AS hidden FROM {_RICH} r WHERE first_chapter IS NULL OR first_chapter <= 20",
     "effective_dictionary": f"WITH r AS (SELECT * FROM {_RICH} x), u AS (SELECT book, source, target, 0 AS p FROM r WHERE status <> 'held' UNION ALL SELECT book, source || '-x', target, 1 FROM r WHERE status <> 'held' AND length(source) % 4 = 1) SELECT book, source, target FROM (SELECT *, row_number() OVER (PARTITION BY book, {_F('source')} ORDER BY p, source, target) AS n FROM u) q WHERE n = 1",

@@ -15,6 +15,12 @@ def prices(spark) -> DataFrame:
     return spark.createDataFrame([(m, i, o) for m, (i, o) in PRICES.items()], "model string, price_in long, price_out long")
 
 
+def days_of_month(calls: DataFrame, month: str) -> DataFrame:
+    """(day, model, requests, tokens_in, tokens_out) of one month, by the prefix of its days: YYYY-MM."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return calls.where(day.startswith(f"{month}-")).groupBy(day.alias("day"), "model").agg(F.count("*").alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
+
 def monthly_cost(calls: DataFrame, price: DataFrame) -> DataFrame:
     """Requests, tokens and cost per month and priced model; half-even rounding to four digits."""
     sums = calls.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "model").agg(F.count("*").alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
@@ -109,6 +115,7 @@ def reingested(hours: DataFrame, again: DataFrame, overlap_h: int = 2) -> DataFr
 
 _P = lambda s: prices(s)
 QUERIES = {
+    "usage_days_of_month": lambda s, d: days_of_month(role(s, d, "calls"), "2024-01"),
     "usage_monthly_cost": lambda s, d: monthly_cost(role(s, d, "calls"), _P(s)),
     "usage_token_pivot": lambda s, d: token_pivot(role(s, d, "calls"), _P(s)),
     "usage_hourly_tokens": lambda s, d: hourly_tokens(role(s, d, "calls")),
@@ -129,6 +136,7 @@ _PRICES = "(VALUES " + ", ".join(f"('{m}', CAST({i} AS BIGINT), CAST({o} AS BIGI
 _HOURS = lambda where: f"(SELECT strftime(date_trunc('hour', ts - INTERVAL 1 SECOND), '%Y-%m-%dT%H') AS hour, model, CAST(sum(tokens_in) AS BIGINT) AS tokens FROM {_CALLS} x WHERE tokens_in > 0 AND {where} GROUP BY ALL)"
 _STATE = f"(SELECT api_key, model, max(ts) AS last_try, max(CASE WHEN outcome = 'success' THEN ts END) AS last_success, arg_max(outcome, (ts, id)) AS outcome, max(CASE WHEN outcome = 'quota' THEN ts END) + INTERVAL 3600 SECOND AS cooling_until FROM {_CALLS} x GROUP BY ALL)"
 ORACLE = {
+    "usage_days_of_month": f"SELECT strftime(ts, '%Y-%m-%d') AS day, model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM {_CALLS} x WHERE strftime(ts, '%Y-%m-%d') LIKE '2024-01-%' GROUP BY ALL",
     "usage_monthly_cost": f"SELECT month, s.model, requests, tokens_in, tokens_out, round_even((tokens_in * price_in + tokens_out * price_out) / 1e6, 4) AS cost FROM (SELECT strftime(ts, '%Y-%m') AS month, model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM {_CALLS} x GROUP BY ALL) s JOIN {_PRICES} ON s.model = p.model",
     "usage_token_pivot": f"SELECT s.model, input, output, round_even((input * price_in + output * price_out) / 1e6, 4) AS cost, price_in IS NULL AS unpriced FROM (SELECT model, CAST(sum(tokens_in) AS BIGINT) AS input, CAST(sum(tokens_out) AS BIGINT) AS output FROM {_CALLS} x GROUP BY ALL) s LEFT JOIN {_PRICES} ON s.model = p.model",
     "usage_hourly_tokens": f"SELECT * FROM {_HOURS('true')} h",
