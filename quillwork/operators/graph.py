@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.components import components
+from ..plans.components import components, reliable
 from ..sources.tables import role, sql_role, table
 
 KEY = ["book", "src", "relation", "dst"]
+#: Entities of a place from which on it is looked at for making no pairs.
+HEAVY_PLACE = 500
 ORIGINS = {"manual": 2, "system": 1, "model": 0}
 
 
@@ -85,13 +87,27 @@ def refuted(values: DataFrame) -> DataFrame:
     return v.withColumn("refuted_at", other).where("not confirmed and refuted_at is not null").select("book", "node", "key", "value", "learned_at", "seq", "refuted_at")
 
 
-def missing_links(mentions: DataFrame, edges: DataFrame, at_least: int = 2) -> DataFrame:
+def missing_links(mentions: DataFrame, edges: DataFrame, at_least: int = 2, heavy: int = HEAVY_PLACE) -> DataFrame:
     """Entities told in the same place that no edge of any status ties: pairs with a<b, without those the graph has. Only entities of
-    `at_least` places are paired, as others cannot meet so often, and a place's pairs are counted before they are shuffled."""
-    often = mentions.select("book", "node", "place").distinct().groupBy("book", "node").agg(F.count("*").alias("_n")).where(F.col("_n") >= at_least).select("book", "node")
-    told = mentions.join(often, ["book", "node"], "left_semi")
-    a, b = told.alias("a"), told.alias("b")
-    pairs = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.node") < F.col("b.node"))).groupBy(F.col("a.book").alias("book"), F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.countDistinct("a.place").alias("places"))
+    `at_least` places are paired, as others cannot meet so often, and a place's pairs are counted before they are shuffled.
+
+    A place of more than `heavy` such entities makes no pairs if it is among the `at_least` - 1 largest of its book: pairs that meet often
+    enough meet in another place as well. They are found there, and what they share of the large places is counted by their sets."""
+    distinct = mentions.select("book", "node", "place").distinct()
+    often = distinct.groupBy("book", "node").agg(F.count("*").alias("_n")).where(F.col("_n") >= at_least).select("book", "node")
+    told = distinct.join(often, ["book", "node"], "left_semi")
+    large = told.groupBy("book", "place").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+    order = Window.partitionBy("book").orderBy(F.desc("_n"), "place")
+    apart = reliable(large.withColumn("_r", F.row_number().over(order)).where(F.col("_r") < at_least).select("book", "place"))
+    light = told.join(apart, ["book", "place"], "left_anti")
+    a, b = light.alias("a"), light.alias("b")
+    met = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.node") < F.col("b.node")))
+    pairs = met.groupBy(F.col("a.book").alias("book"), F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("places"))
+    if not apart.isEmpty():
+        sets = told.join(apart, ["book", "place"]).groupBy("book", "node").agg(F.collect_set("place").alias("_s"))
+        of = lambda c: sets.select("book", F.col("node").alias(c), F.col("_s").alias(f"_{c}"))
+        both = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
+        pairs = pairs.join(of("a"), ["book", "a"], "left").join(of("b"), ["book", "b"], "left").select("book", "a", "b", (F.col("places") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), both).otherwise(0)).alias("places"))
     tied = edges.select("book", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return pairs.where(F.col("places") >= at_least).join(tied, ["book", "a", "b"], "left_anti")
 
