@@ -36,7 +36,8 @@ def two_ended(edges: DataFrame, nodes: DataFrame, as_of: int) -> DataFrame:
 
 
 def closings(edges: DataFrame) -> DataFrame:
-    """A relation with one object at a time: an approved later edge closes the one before it, known from the later's chapter on."""
+    """A relation with one object at a time: an approved later edge closes the one before it, known from the later's chapter on. An object
+    that comes back (A, B, A) counts from its first time, with the end that followed it; its return is not an edge of its own."""
     e = edges.where("status = 'approved' and learned_at is not null").groupBy("book", "src", "relation", "dst").agg(F.min("learned_at").alias("since"))
     by = Window.partitionBy("book", "src", "relation").orderBy("since", "dst")
     return e.withColumn("until", F.lead("since").over(by)).withColumn("by", F.lead("dst").over(by))

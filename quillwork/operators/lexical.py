@@ -18,6 +18,7 @@ NO_PLURALS = ("ss", "us", "is", "ous", "ics", "sis", "news", "corps", "series",
 SMALLEST_PHRASE, LARGEST_PHRASE = 2, 6
 QUOTA_ZONE = "America/Los_Angeles"
 
+# Fixed value: a run of capitalised words that can be a name.
 _NAME_RUN = r"[A-Z][\p{L}\p{N}'’-]*(?:\s+(?:of\s+the\s+|of\s+|the\s+)?[A-Z][\p{L}\p{N}'’-]*)*"
 
 
