@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from html import unescape
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pages
+
 TERMS_SCHEMA = "book string, source string, target string, note string, condition string, first_chapter int"
 _TAG, _BLOCK = re.compile(r"<[^>]+>"), re.compile(r"</(?:p|div|h[1-6]|li|blockquote)>|<br\s*/?>", re.IGNORECASE)
 
@@ -25,31 +29,65 @@ def plain_text(html: str) -> str:
     return "\n\n".join(re.sub(r"\s+", " ", p) for p in parts if p)
 
 
+_NO_BOOK = (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError)
+
+
+def _package(book: zipfile.ZipFile) -> tuple[dict[str, tuple[str, str]], list[str]]:
+    """The manifest, id -> (path in the archive, media type), and the ids of the spine in reading order."""
+    container = ElementTree.fromstring(book.read("META-INF/container.xml"))
+    root = next(e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile"))
+    package = ElementTree.fromstring(book.read(root))
+    items = {e.get("id"): (posixpath.normpath(posixpath.join(posixpath.dirname(root), unquote(e.get("href")))), e.get("media-type") or "") for e in package.iter() if e.tag.endswith("}item")}
+    return items, [e.get("idref") for e in package.iter() if e.tag.endswith("}itemref") and e.get("idref") in items]
+
+
 def epub_documents(data: bytes) -> list[tuple[int, str, str]]:
     """(number, path, text) of an EPUB's spine documents in reading order."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
-        root = next(e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile"))
-        package = ElementTree.fromstring(book.read(root))
-        paths = {e.get("id"): posixpath.normpath(posixpath.join(posixpath.dirname(root), e.get("href"))) for e in package.iter() if e.tag.endswith("}item")}
-        spine = [paths[e.get("idref")] for e in package.iter() if e.tag.endswith("}itemref") and e.get("idref") in paths]
-        return [(i, p, plain_text(book.read(p).decode("utf-8", "replace"))) for i, p in enumerate(spine, 1) if p in book.namelist()]
+        items, spine = _package(book)
+        return [(i, p, plain_text(book.read(p).decode("utf-8", "replace"))) for i, p in enumerate((items[k][0] for k in spine), 1) if p in book.namelist()]
 
 
-def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every EPUB under a folder to chapter rows; a file that is no EPUB gives none. A file is one row of the binary source."""
+def epub_images(data: bytes) -> list[tuple[str, str, int, str, list[int]]]:
+    """(path, media type, bytes, digest, numbers of the spine documents that show it) of an EPUB's images, by path."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        items, spine = _package(book)
+        names, shown = set(book.namelist()), {}
+        for i, page in enumerate((items[k][0] for k in spine), 1):
+            if page in names:
+                root = pages.tree(book.read(page).decode("utf-8", "replace"))
+                for node in pages.select(root, "img[src], image[href], image[xlink:href]"):
+                    ref = node.attrs.get("src") or node.attrs.get("href") or node.attrs.get("xlink:href") or ""
+                    at = posixpath.normpath(posixpath.join(posixpath.dirname(page), unquote(ref.split("#")[0])))
+                    shown.setdefault(at, set()).add(i)
+        found = sorted({(p, kind) for p, kind in items.values() if kind.startswith("image/") and p in names})
+        return [(p, kind, len(image := book.read(p)), hashlib.sha256(image).hexdigest(), sorted(shown.get(p, ()))) for p, kind in found]
+
+
+def _epubs(spark: SparkSession, folder: str, read, columns: list[str], schema: str) -> DataFrame:
+    """read(bytes) -> rows, of every EPUB under a folder; a file that is no EPUB gives none. A file is one row of the binary source."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, data in zip(b.path, b.content, strict=True):
                 try:
-                    rows = epub_documents(data)
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError):
+                    rows = read(data)
+                except _NO_BOOK:
                     rows = []
-                yield pd.DataFrame([(path, *r) for r in rows], columns=["file", "chapter_no", "path", "source_text"])
+                yield pd.DataFrame([(path, *r) for r in rows], columns=columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(folder).select("path", "content")
-    return files.mapInPandas(run, "file string, chapter_no int, path string, source_text string")
+    return files.mapInPandas(run, schema)
+
+
+def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, chapter_no, path, source_text): the spine documents of every EPUB under a folder."""
+    return _epubs(spark, folder, epub_documents, ["file", "chapter_no", "path", "source_text"], "file string, chapter_no int, path string, source_text string")
+
+
+def read_epub_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, path, media_type, bytes, digest, chapters): the images of every EPUB under a folder and the chapters that show them."""
+    return _epubs(spark, folder, epub_images, ["file", "path", "media_type", "bytes", "digest", "chapters"], "file string, path string, media_type string, bytes long, digest string, chapters array<int>")
 
 
 def read_pasted(spark: SparkSession, path: str, book: str) -> DataFrame:
