@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components, reliable
-from ..sources.tables import role, sql_role, table
+from ..sources.tables import duck, role, shared, sql_role, table
 
 KEY = ["book", "src", "relation", "dst"]
 #: Entities of a place from which on it is looked at for making no pairs.
@@ -155,6 +155,24 @@ def clusters(edges: DataFrame, rules: list[tuple[str, tuple[str, ...]]]) -> Data
     return given.join(own, ["book", "node"], "full_outer").select("book", "node", F.coalesce("cluster", "_g", F.lit("none")).alias("cluster"))
 
 
+def graph_cut(nodes: DataFrame, edges: DataFrame, as_of: int | None) -> tuple[DataFrame, DataFrame]:
+    """nodes(book, node, first_chapter, ...) and edges(book, src, dst, learned_at, ...) as a reader at a chapter may see them: edges learned by then
+    between nodes that are known and not first seen later, and the nodes that have one. Without a chapter nothing is cut by chapter."""
+    seen = nodes if as_of is None else nodes.where(F.col("first_chapter").isNull() | (F.col("first_chapter") <= as_of))
+    told = edges if as_of is None else edges.where(F.col("learned_at") <= as_of)
+    end = lambda c: seen.select("book", F.col("node").alias(c)).distinct()
+    kept = told.join(end("src"), ["book", "src"], "left_semi").join(end("dst"), ["book", "dst"], "left_semi").select(*edges.columns)
+    tied = kept.select("book", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return seen.join(tied, ["book", "node"], "left_semi").select(*nodes.columns), kept
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame, as_of: int | None) -> DataFrame:
+    """(book, kind, line): the cut graph as a JSON object per node and edge, null fields written out."""
+    shown, kept = graph_cut(nodes, edges, as_of)
+    line = lambda df, kind: df.select("book", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "book"]), {"ignoreNullFields": "false"}).alias("line"))
+    return line(shown, "node").unionByName(line(kept, "edge"))
+
+
 def cases(edges: DataFrame) -> DataFrame:
     """Connected components of a book's edges, each named by its least member, with sizes."""
     found = components(edges.select(F.concat_ws("/", "book", "src").alias("u"), F.concat_ws("/", "book", "dst").alias("v")))
@@ -191,7 +209,11 @@ def _tied(s, d):
     return role(s, d, "claims").select("book", F.col("subject").alias("src"), F.concat(F.lit("s"), (F.substring("subject", 2, 3).cast("int") + 1) % 30).alias("dst"))
 
 
+_ENDS = "(SELECT book, node, min(told) AS first_chapter FROM (SELECT book, src AS node, learned_at + 9 AS told FROM {edges} UNION ALL SELECT book, dst, learned_at + 4 FROM {edges} WHERE dst <> 's7') e GROUP BY book, node)"
+_TIES = "(SELECT book, src, relation, dst, min(learned_at) AS learned_at FROM {edges} WHERE status = 'approved' GROUP BY book, src, relation, dst)"
+
 QUERIES = {
+    "graph_export": lambda s, d: graph_lines(shared(s, d, _ENDS), shared(s, d, _TIES), 12),
     "edge_upsert_merge": lambda s, d: merge_edges(role(s, d, "edges")),
     "edges_two_ended": lambda s, d: two_ended(role(s, d, "edges"), _nodes(s, d), 100),
     "edge_closing": lambda s, d: closings(role(s, d, "edges")),
@@ -218,6 +240,8 @@ _EDGE_COMPONENTS = f"""WITH RECURSIVE e AS (SELECT DISTINCT book || '/' || src A
 r(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON r.node = b.u)
 SELECT component, count(*) AS members FROM (SELECT node, min(seen) AS component FROM r GROUP BY node) q GROUP BY component"""
 ORACLE = {
+    "graph_export": f"""WITH n AS (SELECT * FROM {duck(_ENDS)} q WHERE first_chapter IS NULL OR first_chapter <= 12), e AS (SELECT * FROM {duck(_TIES)} q WHERE learned_at <= 12 AND EXISTS (SELECT 1 FROM n WHERE n.book = q.book AND n.node = q.src) AND EXISTS (SELECT 1 FROM n WHERE n.book = q.book AND n.node = q.dst))
+SELECT book, 'node' AS kind, CAST(to_json({{'node': node, 'first_chapter': first_chapter}}) AS VARCHAR) AS line FROM n WHERE EXISTS (SELECT 1 FROM e WHERE e.book = n.book AND n.node IN (e.src, e.dst)) UNION ALL SELECT book, 'edge', CAST(to_json({{'src': src, 'relation': relation, 'dst': dst, 'learned_at': learned_at}}) AS VARCHAR) FROM e""",
     "edge_upsert_merge": f"SELECT * FROM {_MERGED('true')} m",
     "edges_two_ended": f"WITH n AS (SELECT concat('c', c_custkey) AS node, c_name AS name FROM customer UNION ALL SELECT concat('s', s_suppkey), s_name FROM supplier) SELECT book, relation, a.name AS src_name, b.name AS dst_name, min(learned_at) AS learned_at FROM {_E} e JOIN n a ON e.src = a.node JOIN n b ON e.dst = b.node WHERE learned_at <= 100 AND status = 'approved' GROUP BY ALL",
     "edge_closing": f"SELECT * FROM {_CLOSED} c",

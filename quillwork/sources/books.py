@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages
+from ..operators.graph import graph_cut
 
 TERMS_SCHEMA = "book string, source string, target string, note string, condition string, first_chapter int"
 _TAG, _BLOCK = re.compile(r"<[^>]+>"), re.compile(r"</(?:p|div|h[1-6]|li|blockquote)>|<br\s*/?>", re.IGNORECASE)
@@ -121,9 +122,7 @@ def write_terms(terms: DataFrame, path: str) -> None:
     terms.select(F.to_json(F.struct(*terms.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, as_of: int) -> None:
-    """Nodes and edges as JSON lines, cut at a chapter: edges learned by then, and only nodes that have one."""
-    seen = edges.where(F.col("learned_at") <= as_of)
-    named = seen.select("book", F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes, "node")
-    seen.write.mode("overwrite").json(f"{path}/edges")
-    named.write.mode("overwrite").json(f"{path}/nodes")
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, as_of: int | None) -> None:
+    """The graph as `graph_cut` leaves it, nodes and edges as JSON lines."""
+    for name, part in zip(("nodes", "edges"), graph_cut(nodes, edges, as_of), strict=True):
+        part.write.mode("overwrite").json(f"{path}/{name}")
