@@ -698,7 +698,7 @@ def test_oracle(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     other = con.sql(registry.ORACLE[name])
     mine = registry.QUERIES[name](spark, data).select(*other.columns)
