@@ -14,6 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes that a broadcast may hold; larger joins shuffle.
+BROADCAST_BYTES = 96 << 20
+_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_S29, _S32 = np.uint64(29), np.uint64(32)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +67,11 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
+def keyed_bytes(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, text_key binary, text binary): rows with the 128-bit digest of their text's bytes."""
+    return docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), F.col("text").cast("binary").alias("text"))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -87,5 +98,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int
             at = end
 
 
+def sized(df: DataFrame, row: int, more=None) -> DataFrame:
+    """df, to be broadcast if its counted rows, of `row` bytes and `more` each, are within the bound."""
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()
+    return F.broadcast(df) if rows * row + total <= BROADCAST_BYTES else df
+
+
 def hex16(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    y = b * _C[1]
+    h = (a * _C[0]) ^ (y >> _S32 | y << _S32)
+    h = (h ^ h >> _S29) * _C[2] + c * _C[3]
+    return h ^ h >> _S32
+
+
+def slide(a: np.ndarray, width: int, op) -> np.ndarray:
+    k = 1
+    while 2 * k <= width:
+        a = op(a[:-k], a[k:])
+        k *= 2
+    return op(a[: len(a) - (width - k)], a[width - k :]) if k < width else a

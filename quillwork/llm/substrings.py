@@ -29,12 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, id_and_text, small_batches, stage, table, unstage, utf8
+from .common import bucket_count, id_and_text, keyed_bytes, mix, sized, slide, small_batches, stage, table, unstage
+from .passages import repeated_passages
 
 LENGTH = 400
 GRAM = 81
-#: Bytes that a broadcast may hold; larger joins shuffle.
-BROADCAST_BYTES = 96 << 20
 #: Different units of one least name (some 650 bytes each) that one task compares.
 LOCAL_KINDS = 8192
 #: Bytes of a least name's different units that one task compares, at some 110 bytes of memory each; long runs of one period are long units.
@@ -44,9 +43,6 @@ SORTED_BYTES = 1 << 19
 #: Rows of an Arrow batch that a worker turns into Python objects at a time.
 ROWS = 256
 
-_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_S29, _S32 = np.uint64(29), np.uint64(32)
-
 
 def difference_cover(r: int) -> tuple[int, list[int]]:
     """(modulus, residues): 24rr+36r+13 and 6r+4 residues whose differences are all residues of the modulus."""
@@ -58,20 +54,13 @@ V, RESIDUES = difference_cover(1)
 DEPTH = LENGTH - V + 1
 
 
-def _mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    y = b * _C[1]
-    h = (a * _C[0]) ^ (y >> _S32 | y << _S32)
-    h = (h ^ h >> _S29) * _C[2] + c * _C[3]
-    return h ^ h >> _S32
-
-
 def names(data: np.ndarray, depth: int) -> np.ndarray:
     """The name of depth 3, 9, 27, 81, ... of every position that has so many bytes before it ends."""
     t = data.astype(np.uint64)
     level = t[:-2] << np.uint64(16) | t[1:-1] << np.uint64(8) | t[2:]
     k = 3
     while k < depth:
-        level = _mix(level[: -2 * k], level[k:-k], level[2 * k :])
+        level = mix(level[: -2 * k], level[k:-k], level[2 * k :])
         k *= 3
     return level
 
@@ -84,27 +73,19 @@ def names_to(data: np.ndarray, depth: int) -> np.ndarray:
     own = names(data, k)
     n = len(data) - depth + 1
     middle = min(k, depth - k)
-    return _mix(own[:n], own[middle : middle + n], own[depth - k : depth - k + n])
-
-
-def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
-    k = 1
-    while 2 * k <= width:
-        a = op(a[:-k], a[k:])
-        k *= 2
-    return op(a[: len(a) - (width - k)], a[width - k :]) if k < width else a
+    return mix(own[:n], own[middle : middle + n], own[depth - k : depth - k + n])
 
 
 def units(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(least name, first window, windows, whether the least name stands at several places within) of each unit."""
     data, width = np.frombuffer(text, np.uint8), length - GRAM + 1
     name = names(data, GRAM)
-    least = _slide(name, width, np.minimum)
+    least = slide(name, width, np.minimum)
     cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate([[0], cuts])
     size = np.diff(np.concatenate([first, [len(least)]]))
     edge = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(name == _slide(np.concatenate([edge, least, edge]), width, np.maximum))
+    chosen = np.flatnonzero(name == slide(np.concatenate([edge, least, edge]), width, np.maximum))
     value = name[chosen]
     twice = value[1:] == value[:-1]
     again = np.isin(least[first], value[1:][twice]) if twice.any() else np.zeros(len(first), bool)
@@ -117,11 +98,10 @@ _UNITS = "text_key binary, least long, unit binary, first int, size int, again b
 def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches, ROWS):
         out: list[list] = [[] for _ in range(6)]
-        for text in utf8(b.column(1)):
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if len(text) < LENGTH:
                 continue
             least, first, size, again = units(text)
-            key = xxhash.xxh3_128_digest(text)
             out[0] += [key] * len(first)
             out[1].append(least.view(np.int64))
             out[2] += [xxhash.xxh3_128_digest(text[p : p + n + LENGTH - 1]) for p, n in zip(first.tolist(), size.tolist(), strict=True)]
@@ -149,14 +129,7 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["least", "unit", "copies", "slice"])
 
-    keyed = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_keyed, "doc_id long, text_key binary, text binary")
-    return keyed.join(_sized(keys, 48, 56 * F.size("wanted")), "text_key").select("text_key", "text", "wanted").mapInArrow(cut, "least long, unit binary, copies long, slice binary")
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in small_batches(batches, ROWS):
-        texts = utf8(b.column(1))
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "text_key", "text"])
+    return docs.where(F.octet_length("text") >= LENGTH).join(sized(keys, 48, 56 * F.size("wanted")), "text_key").select("text_key", "text", "wanted").mapInArrow(cut, "least long, unit binary, copies long, slice binary")
 
 
 def _same_bytes(data: np.ndarray, at: np.ndarray, name: np.ndarray, copied: np.ndarray) -> np.ndarray:
@@ -256,12 +229,6 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def _sized(df: DataFrame, row: int, more=None) -> DataFrame:
-    """df, to be broadcast if its counted rows, of `row` bytes and `more` each, are within the bound."""
-    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()
-    return F.broadcast(df) if rows * row + total <= BROADCAST_BYTES else df
-
-
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names to DEPTH bytes of the suffixes at the cover's residues."""
     for b in batches:
@@ -321,11 +288,11 @@ def dealt_runs(slices: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """docs(doc_id, text) -> (text_key, starts, ends): for each text with repeats, its maximal removed runs."""
+    """docs(text_key, text binary) -> (text_key, starts, ends): for each text with repeats, its maximal removed runs."""
     spark = docs.sparkSession
-    found = stage(docs.select("doc_id", "text").mapInArrow(_find_units, _UNITS), "substring-units")
+    found = stage(docs.select("text_key", "text").mapInArrow(_find_units, _UNITS), "substring-units")
     hot = stage(found.groupBy("least").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("least"), "substring-least")
-    candidates = stage(found.join(_sized(hot, 24), "least", "left_semi"), "substring-candidates")
+    candidates = stage(found.join(sized(hot, 24), "least", "left_semi"), "substring-candidates")
     unstage(found)
     kinds = stage(candidates.groupBy("least", "unit").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("text_key", "first", "size")).alias("at")), "substring-kinds")
     met = kinds.groupBy("least").agg(F.count("*").alias("kinds"), F.sum(F.col("at.size") + LENGTH).alias("bytes"), F.min("copies").alias("fewest"), F.max("again").alias("again")).where("fewest = 1 and (kinds > 1 or again)")
@@ -360,31 +327,35 @@ def repeated_spans(docs: DataFrame, local_kinds: int = LOCAL_KINDS, local_bytes:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", local_kinds: int = LOCAL_KINDS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) per input row.
+    """(doc_id, n_bytes, n_removed, n_spans, n_passages, n_passage_words, kept binary) per input row.
 
     Removed is each byte covered by a 400-byte string that starts anywhere else as well, in the same text or another, judged on
     the input. Null and empty texts, and texts below 400 bytes, keep all; a row that repeats another of 400 bytes or more loses
-    all; matches never cross rows; an empty table gives no rows; other columns are ignored."""
-    own = id_and_text(docs, id_col, text_col)
-    spans = _sized(stage(repeated_spans(own, local_kinds, local_bytes), "substring-spans"), 64, 8 * F.size("starts"))
+    all; matches never cross rows; an empty table gives no rows; other columns are ignored. n_passages and n_passage_words count the
+    passages of more than 50 words that another row holds as well, of any length in bytes; nothing is removed for them."""
+    own = keyed_bytes(id_and_text(docs, id_col, text_col))
+    spans = stage(repeated_spans(own, local_kinds, local_bytes), "substring-spans").join(stage(repeated_passages(own), "passage-counts"), "text_key", "full")
+    spans = sized(stage(spans, "substring-found"), 80, 8 * F.greatest(F.size("starts"), F.lit(0)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, ROWS):
             rows = []
-            for doc, text, starts, ends in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for doc, text, starts, ends, passages, passage_words in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 kept = text if not starts else b"".join(text[a:e] for a, e in zip([0, *ends], [*starts, len(text)], strict=True))
-                rows.append((doc, len(text), len(text) - len(kept), len(starts or ()), kept))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((doc, len(text), len(text) - len(kept), len(starts or ()), passages or 0, passage_words or 0, kept))
+            types = (*[pa.int64()] * 6, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words", "kept"])
 
-    keyed = own.mapInArrow(_keyed, "doc_id long, text_key binary, text binary")
-    return keyed.join(spans, "text_key", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = own.join(spans, "text_key", "left").select("doc_id", "text", "starts", "ends", "n_passages", "n_passage_words")
+    return found.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long, kept binary")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the remaining text itself as last column; where a cut falls inside a character, what is left of it reads as U+FFFD."""
+    """After the contract's columns: the passages of more than 50 words that stand in another document too, which may be below 400
+    bytes and are then not removed, and the remaining text itself; where a cut falls inside a character, what is left of it reads
+    as U+FFFD."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

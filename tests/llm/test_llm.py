@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillwork.llm import decontamination, gif, licences, packing, pii, quality, registry, secrets, simhash, substrings, warc
+from quillwork.llm import decontamination, gif, licences, packing, passages, pii, quality, registry, secrets, simhash, substrings, warc
+from quillwork.llm.common import keyed_bytes
 from quillwork.llm.components import connected_components
 
 DOCS = "doc_id long, text string, source string, fp int, key int, score int"
@@ -211,6 +212,48 @@ def test_repeats_query(spark, data, texts):
     assert {r.doc_id: tuple(r)[1:5] for r in registry.QUERIES["op2_substring_dedup"](spark, data).collect()} == want
 
 
+def test_passages_of_over_fifty_words(spark):
+    """Passages of 50 to 70 short words, most below 400 bytes: at both ends, in the middle, overlapping, in other case, in exact copies, within one text only."""
+    rng = random.Random(21)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    a, b, c, d = short(51), short(50), short(70), short(60)
+    cases = [f"{a} {prose(rng, 80)}", f"{prose(rng, 80)}, {a}.", f"{prose(rng, 9)} {a.upper().replace('É', 'é')}\n{prose(rng, 9)}"]
+    cases += [f"{prose(rng, 60)} {b} {prose(rng, 60)}", f"{prose(rng, 60)} {b} {prose(rng, 60)}", *EMPTY, f"{d} x {d}", "tick tock " * 80, prose(rng, 400)]
+    w = c.split()
+    cases += [f"{prose(rng, 5)} {' '.join(w[:60])} q {' '.join(w[5:])}", f"z {c} {prose(rng, 3)}", f"{a} {c} {a}", "tick tock " * 26, prose(rng, 50)]
+    cases += [prose(rng, 70)] * 2 + [prose(rng, 300)] * 3 + [f"{prose(rng, 30)} {cases[9]} {prose(rng, 30)}"]
+    cases += [f"{' '.join(cases[9].split()[: 40 * k])} {prose(rng, 2)} {' '.join(cases[9].split()[40 * k :])}" for k in range(9)]
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in substrings.remove_repeats(docs(spark, cases)).collect()}
+    want = passages.brute_force(cases)
+    assert [got[i] for i in range(len(cases))] == want
+    assert want[:9] == [(1, 51)] * 3 + [(0, 0)] * 6 and len(a.encode()) < 400
+    dealt = passages.repeated_passages(keyed_bytes(docs(spark, cases).fillna("", ["text"])), local_kinds=0)
+    rows = keyed_bytes(docs(spark, cases)).join(dealt, "text_key").collect()
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in rows} == {i: w for i, w in enumerate(want) if w[0]}
+
+
+def test_passages_planted_in_the_table(spark, data, texts, tmp_path):
+    """Of 40 documents that share nothing, 20 take passages of 51 to 60 words, below 400 bytes, in pairs: those are told, the others are not, and nothing is removed."""
+    rng = random.Random(22)
+    shared = dict(zip(sorted(texts), passages.brute_force([texts[i] for i in sorted(texts)]), strict=True))
+    removed = dict(zip(sorted(texts), substrings.brute_force([texts[i] for i in sorted(texts)]), strict=True))
+    clean = [i for i in sorted(texts) if not shared[i][0] and not removed[i][1] and len((texts[i] or "").split()) > 60][:40]
+    planted = {}
+    for k in range(0, 20, 2):
+        passage = " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(3, 6))) for _ in range(51 + k // 2))
+        for i in clean[k : k + 2]:
+            own = texts[i].split(" ")
+            at = rng.randint(0, len(own))
+            planted[i] = " ".join([*own[:at], passage, *own[at:]])
+        assert len(passage.encode()) < 400
+    whole = {**texts, **planted}
+    spark.createDataFrame([(i, whole[i]) for i in sorted(whole)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op2_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert [(got[i].n_passages, got[i].n_passage_words >= 51) for i in clean] == [(1, True)] * 20 + [(0, False)] * 20
+    assert all(got[i].n_removed == 0 for i in clean)
+    assert [(got[i].n_passages, got[i].n_passage_words) for i in sorted(whole)] == passages.brute_force([whole[i] for i in sorted(whole)])
+
+
 # 3 packing
 
 
