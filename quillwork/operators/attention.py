@@ -38,7 +38,9 @@ def reading_sessions(events: DataFrame) -> DataFrame:
 _EVENTS = """(SELECT concat(slug, '/', day) AS session, moment, seq, CASE WHEN n = 1 THEN 'open' WHEN seq % 7 = 0 THEN 'touch' WHEN seq % 5 = 1 THEN 'scroll' WHEN seq % 31 = 3 THEN 'end' ELSE 'tick' END AS kind,
   seq % 11 <> 2 AS visible, seq % 13 = 4 AS dialog, seq % 3 = 0 AND slug % 4 = 0 AS flowing, CASE WHEN seq % 17 = 5 THEN NULL ELSE CAST(seq % 29 AS DOUBLE) / 100 END AS ratio
   FROM (SELECT slug, day, event_id AS seq, CAST(floor({ms} / 400) AS BIGINT) AS moment, row_number() OVER (PARTITION BY slug, day ORDER BY CAST(floor({ms} / 400) AS BIGINT), event_id) AS n FROM {events_log}) e)"""
-_SPARK_MS, _DUCK_MS = "unix_millis(CAST(ts AS TIMESTAMP))", "epoch_ms(ts)"
+# DuckDB's epoch_ms rounds halves away from zero, where unix_millis cuts.
+_MICROS = "unix_micros(CAST(ts AS TIMESTAMP))"
+_SPARK_MS, _DUCK_MS = f"(({_MICROS} + CASE WHEN {_MICROS} < 0 THEN -500 ELSE 500 END) DIV 1000)", "epoch_ms(ts)"
 
 
 def _events(s, d):

@@ -1,10 +1,12 @@
 """Reading sessions rule by rule, and the stream against the batch form."""
 
+import datetime as dt
 import random
 
+import duckdb
 import pytest
 
-from quillwork.operators.attention import reading_sessions
+from quillwork.operators.attention import ORACLE, QUERIES, reading_sessions
 from quillwork.streaming.usage import session_stream
 
 SCHEMA = "session string, at long, seq long, kind string, visible boolean, dialog boolean, flowing boolean, ratio double"
@@ -38,6 +40,17 @@ def test_rules(spark, events, found):
     assert one(spark, *events) == found
 
 
+def test_milliseconds_round_as_in_sql(spark, tmp_path):
+    """Times half a millisecond and more above a boundary of 400 ms, on both sides of 1970."""
+    rows = [(10 * s + i, start + dt.timedelta(microseconds=400_000 * i - cut), s) for s, start in enumerate((dt.datetime(2024, 1, 24, 8), dt.datetime(1969, 12, 30, 8))) for i, cut in enumerate((0, 500, 501, 499, 1, 999, 1500))]
+    spark.createDataFrame([(e, t, s, "view", 1.0, '{"k": 1}') for e, t, s in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    mine = QUERIES["reading_sessions"](spark, str(tmp_path))
+    found = con.sql(f"SELECT {', '.join(mine.columns)} FROM ({ORACLE['reading_sessions']}) q").fetchall()
+    assert sorted(map(tuple, mine.collect())) == sorted(found)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng, rows = random.Random(6), []
     for s in range(12):
