@@ -65,8 +65,9 @@ def current_view(records: DataFrame, as_of: int) -> DataFrame:
 
 
 def monotone_ranks(ranks: DataFrame) -> DataFrame:
-    """A rank goes if any later one is lower."""
-    after = Window.partitionBy("book", "node").orderBy("chapter", "id").rowsBetween(1, Window.unboundedFollowing)
+    """A rank goes if any later one is lower. The window runs from the last row on: one that grows towards the end is worked out anew
+    for every row."""
+    after = Window.partitionBy("book", "node").orderBy(F.desc("chapter"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     return ranks.withColumn("_low", F.min("step").over(after)).where(F.col("_low").isNull() | (F.col("_low") >= F.col("step"))).select("book", "node", "chapter", "id", "step")
 
 

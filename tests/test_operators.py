@@ -134,6 +134,17 @@ def test_stems_and_drift(spark):
     assert [(r.main, r.runner_up, r.n, r.n_runner_up) for r in found] == [("gölge", "karaltı", 6, 3)]
 
 
+def test_ranks_from_the_last_on(spark):
+    """Against a plain loop, in linear time: Spark works a frame that ends with its group out anew for every row."""
+    rows = [("b", f"n{i % 3}", None if i % 11 == 0 else i * 7 % 40, i, None if i % 13 == 0 else i * 5 % 17) for i in range(200)]
+    found = ledger.monotone_ranks(spark.createDataFrame(rows, "book string, node string, chapter int, id int, step int"))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    place = lambda r: (-1 if r[2] is None else r[2], r[3])
+    later = lambda r: [x[4] for x in rows if x[1] == r[1] and place(x) > place(r) and x[4] is not None]
+    keep = [r for r in rows if not later(r) or (r[4] is not None and min(later(r)) >= r[4])]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, keep))
+
+
 def test_ledger_precedence(spark):
     records = spark.createDataFrame([(1, "b", "k", "sys", "system", 9, False), (2, "b", "k", "man", "manual", 3, False), (3, "b", "gone", "v", "system", 1, False), (4, "b", "gone", "v", "manual", 2, True)], "id long, book string, key string, value string, origin string, first_chapter int, deleted boolean")
     assert [(r.key, r.value) for r in ledger.current_view(records, 99).collect()] == [("k", "man")]
