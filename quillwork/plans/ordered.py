@@ -20,23 +20,23 @@ def ordered(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFr
 def carried(rows: DataFrame, keys: list[str], before: dict[str, Column] | None = None, after: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
     """rows of `ordered` with, for each row, the nearest value before it (`before`) and after it (`after`) that is not null, and the sum of
     all values before it (`sums`, 0 where there are none), within its group. At most as many blocks of a group are scanned in one task as there are
-    range partitions."""
+    range partitions. What comes after is read from the last row on: a frame up to the end is worked out anew for every row."""
     before, after, sums = before or {}, after or {}, sums or {}
-    place = Window.partitionBy(*keys, "_block").orderBy("_at")
-    back, ahead = place.rowsBetween(Window.unboundedPreceding, -1), place.rowsBetween(1, Window.unboundedFollowing)
+    place, upwards = Window.partitionBy(*keys, "_block"), (Window.unboundedPreceding, -1)
+    back, ahead = place.orderBy("_at").rowsBetween(*upwards), place.orderBy(F.desc("_at")).rowsBetween(*upwards)
     own = rows.select(
-        "*", *[F.last(v, True).over(back).alias(f"_o_{k}") for k, v in before.items()], *[F.first(v, True).over(ahead).alias(f"_o_{k}") for k, v in after.items()],
+        "*", *[F.last(v, True).over(back).alias(f"_o_{k}") for k, v in before.items()], *[F.last(v, True).over(ahead).alias(f"_o_{k}") for k, v in after.items()],
         *[F.coalesce(F.sum(v).over(back), F.lit(0)).alias(f"_o_{k}") for k, v in sums.items()],
     )
     there = lambda v: F.when(v.isNotNull(), F.col("_at"))
     ends = rows.groupBy(*keys, "_block").agg(
         *[F.max_by(v, there(v)).alias(k) for k, v in before.items()], *[F.min_by(v, there(v)).alias(k) for k, v in after.items()], *[F.sum(v).alias(k) for k, v in sums.items()], F.count("*").alias("_n")
     )
-    along = Window.partitionBy(*keys).orderBy("_block")
-    early, late = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    along = Window.partitionBy(*keys)
+    early, late = along.orderBy("_block").rowsBetween(*upwards), along.orderBy(F.desc("_block")).rowsBetween(*upwards)
     scanned = ends.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_k_block"), *[F.last(k, True).over(early).alias(f"_c_{k}") for k in before],
-        *[F.first(k, True).over(late).alias(f"_c_{k}") for k in after], *[F.coalesce(F.sum(k).over(early), F.lit(0)).alias(f"_c_{k}") for k in sums],
+        *[F.last(k, True).over(late).alias(f"_c_{k}") for k in after], *[F.coalesce(F.sum(k).over(early), F.lit(0)).alias(f"_c_{k}") for k in sums],
     )
     same = F.col("_block") == F.col("_k_block")
     for k in keys:

@@ -30,6 +30,12 @@ def test_plain_window(spark, rows):
     assert key(found) == key(plain)
 
 
+def test_no_frame_up_to_the_end(spark, rows):
+    """Spark works a frame that ends with its group out anew for every row, so a group's time grows with its square."""
+    found = carried(ordered(rows, ["k"], ["no", "id"]), ["k"], after={"next": F.col("v")})
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
 def test_numbers(spark, rows):
     found = numbered(rows, ["k"], [F.desc("no"), "id"], "r")
     plain = rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("no"), "id")))
