@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from .ledger import address_table
 
 #: Seconds that a job belongs to its worker.
 LEASE = 1200
+#: Leases that one zone of a key's times is long: at whole seconds it has some 77 000 times at most.
+ZONE_LEASES = 64
 #: Fixed order of priorities.
 PRIORITIES = ("critical", "high", "medium", "low")
 LEAST_LOWER = 0.3
@@ -32,16 +38,59 @@ def in_flight(attempts: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def leased(requests: DataFrame, lease: int = LEASE) -> DataFrame:
     """requests(work, worker, at seconds, content) -> (key, worker, at, granted): work is known by its content, and a request gets it
-    if nobody has it or the lease that the last grant gave has run out. Grants follow each other by more than a lease, so the next one
-    is the first request after the lease of the one before; within a lease requests are denied. A key's requests in order of time
-    are one state, folded over the sorted array."""
+    if nobody has it or the lease that the last grant gave has run out; of requests of one time the first worker's. Grants follow each other by
+    more than a lease, so the next one is the first request after the lease of the one before. A request without a time is granted and holds nothing.
+
+    A key's times are cut into zones of ZONE_LEASES leases. What a zone makes of the grant before it depends on the first time after that grant's
+    lease alone, so each zone tells its last grant for every such time, the zones of a key are chained by these, and
+    then every zone is walked from the grant it begins with. No task holds more than a zone's times or a key's zones."""
     keyed = requests.select(F.sha2(F.to_json(F.struct("work", "content")), 256).alias("key"), "worker", "at")
-    rows = keyed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "worker"))).alias("r"))
-    first = F.struct(F.lit(None).cast("long").alias("held"), F.array().cast("array<boolean>").alias("granted"))
-    free = lambda acc, x: acc["held"].isNull() | (x["at"] > acc["held"] + lease)
-    step = lambda acc, x: F.struct(F.when(free(acc, x), x["at"]).otherwise(acc["held"]).alias("held"), F.concat(acc["granted"], F.array(free(acc, x))).alias("granted"))
-    folded = rows.select("key", "r", F.aggregate("r", first, step)["granted"].alias("g"))
-    return folded.select("key", F.inline(F.arrays_zip(F.col("r.worker").alias("worker"), F.col("r.at").alias("at"), F.col("g").alias("granted"))))
+    zone = F.col("at") - F.pmod("at", F.lit(ZONE_LEASES * max(lease, 1)))
+    times = reliable(keyed.where("at is not null").groupBy("key", zone.alias("zone")).agg(F.sort_array(F.collect_set("at")).alias("t")))
+
+    def lasting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            told = [last_grants(t, lease) for t in b.t]
+            yield pd.DataFrame({"key": b.key, "zone": b.zone, "first": [x for x, _ in told], "last": [y for _, y in told]})
+
+    def chained(zones: pd.DataFrame) -> pd.DataFrame:
+        zones, held, before = zones.sort_values("zone"), None, []
+        for first, last in zip(zones["first"], zones["last"], strict=True):
+            before.append(held)
+            at = 0 if held is None else bisect_right(first, held + lease)
+            held = last[at] if at < len(first) else held
+        return pd.DataFrame({"key": zones.key, "zone": zones.zone, "held": pd.array(before, "Int64")})
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(key, at) for key, t, held in zip(b.key, b.t, b.held, strict=True) for at in grants(t, None if pd.isna(held) else int(held), lease)]
+            yield pd.DataFrame(found, columns=["key", "at"])
+
+    begun = times.mapInPandas(lasting, "key string, zone long, first array<long>, last array<long>").groupBy("key").applyInPandas(chained, "key string, zone long, held long")
+    granted = times.join(begun, ["key", "zone"]).mapInPandas(walked, "key string, at long").withColumn("_granted", F.lit(True))
+    rows = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("key", "at").orderBy("worker"))).join(granted, ["key", "at"], "left")
+    return rows.select("key", "worker", "at", (F.col("at").isNull() | ((F.col("_n") == 1) & F.col("_granted").isNotNull())).alias("granted"))
+
+
+def grants(times: Sequence[int], held: int | None, lease: int) -> Iterator[int]:
+    """The granted of distinct rising times, after a grant at `held`."""
+    at = 0 if held is None else bisect_right(times, held + lease)
+    while at < len(times):
+        yield int(times[at])
+        at = bisect_right(times, times[at] + lease)
+
+
+def last_grants(times: Sequence[int], lease: int) -> tuple[list[int], list[int]]:
+    """(first, last): if the first grant among these times is later than the entry of `first` before and not later than this one, the last grant
+    is this entry of `last`. A grant before them has its lease run out by a lease after the first time."""
+    last, times = [], [int(t) for t in times]
+    after = np.searchsorted(times, np.array(times) + lease, side="right").tolist()
+    for at in range(len(times) - 1, -1, -1):
+        last.append(times[at] if after[at] == len(times) else last[len(times) - 1 - after[at]])
+    last.reverse()
+    asked = range(min(after[0] + 1, len(times)))
+    ends = [k for k in asked if k == len(asked) - 1 or last[k] != last[k + 1]]
+    return [times[k] for k in ends], [last[k] for k in ends]
 
 
 def ledger_metrics(runs: DataFrame, prices: DataFrame, forms: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import io
 import itertools
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import forms, turkish
@@ -96,6 +98,33 @@ def test_leases(spark):
     assert {r.worker: r.granted for r in got} == {"a": True, "b": False, "c": True, "d": False, "e": True, "f": True}
 
 
+def slow_leases(rows, lease):
+    """One request after the other."""
+    out, held = [], {}
+    for work, worker, at, content in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1] is not None, r[1] or "")):
+        free = held.get((work, content)) is None or at is None or at > held[work, content] + lease
+        out.append((worker, at, free))
+        if free and at is not None:
+            held[work, content] = at
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("lease", [0, 3, 40])
+def test_leases_over_many_zones(spark, lease):
+    rng = random.Random(lease)
+    at = lambda: rng.choice([None, rng.randrange(-500, 500), rng.randrange(20_000)])
+    rows = [(rng.choice([1, 1, 1, 2]), rng.choice([None, "a", "b", "c"]), at(), 7) for _ in range(1500)] + [(3, "z", t, 7) for t in (5, 5, 5000, 5003, 5044)]
+    got = views.leased(spark.createDataFrame(rows, "work int, worker string, at long, content int"), lease).collect()
+    assert sorted(repr((r.worker, r.at, r.granted)) for r in got) == slow_leases(rows, lease)
+
+
+def test_leases_gather_no_rows(spark):
+    """A key's requests never meet in one array: it grew with the key, and folding it took the square of its length."""
+    rows = spark.range(100).select(F.lit(1).alias("work"), F.concat(F.lit("w"), F.col("id")).alias("worker"), (F.col("id") % 3).alias("at"), F.lit(7).alias("content"))
+    plan = views.leased(rows)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+
+
 def test_quota_days_over_summer_time(spark):
     calls = spark.createDataFrame([("2024-03-10 07:30:00",), ("2024-03-10 08:30:00",), ("2024-03-11 06:59:00",), ("2024-03-11 07:01:00",)], "t string").select(F.to_timestamp("t").alias("ts"))
     got = {str(r.quota_day): (r.calls, r.starts_anew, r.first_local) for r in lexical.quota_days(calls).collect()}
