@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import heapq
 import math
 from collections import Counter
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import forms, numbers
+from ..functions import forms, likeness, numbers
 from ..functions import text as T
 from ..sources.tables import duck, role, shared, sql_role
 from .chapters import paragraphs
@@ -133,11 +132,7 @@ def repeated_paragraphs(paras: DataFrame, alike: float = 0.85, least: int = 40)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = []
-            for x in b.itertuples():
-                # the quick ratios are upper bounds, so most pairs are settled without the full comparison
-                over = lambda a, b: (m := difflib.SequenceMatcher(None, a, b, autojunk=False)).real_quick_ratio() >= alike and m.quick_ratio() >= alike and m.ratio() >= alike
-                keep.append(not over(x.e, x.en) and over(x.t, x.tr))
+            keep = [likeness.alike(x.t, x.tr, alike) and not likeness.alike(x.e, x.en, alike) for x in b.itertuples()]
             yield b.loc[keep, ["book", "chapter_no", "para"]]
 
     return near.select("book", "chapter_no", "para", "en", "tr", F.col("_t").alias("t"), F.col("_e").alias("e")).mapInPandas(run, "book long, chapter_no long, para long")
