@@ -4,7 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillwork.functions import forms
+from quillwork.operators import matching
 
 
 @pytest.mark.parametrize("chars", [10**9, 200])
@@ -29,3 +32,13 @@ def test_texts_are_read_once(spark):
     dealt = forms.uses(units, "text", forms.Dictionary(table, 10))
     assert sorted(r.source for r in dealt.collect()) == ["Name1", "Name5"]
     assert dealt._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one pass, not one for each ten terms
+
+
+def test_marked_by_place(spark):
+    """Targets twice over, none, and further ones; no name is looked up in an array, which took the square of a text's terms."""
+    found = [("A", "kapı"), ("B", "ev"), ("C", "kapı"), ("D", None), ("E", "yol")]
+    rows = spark.createDataFrame([(1, "Kapılar ve yollar", found, ["ev", "yol", "kapı", "yol"]), (2, None, found[:2], []), (3, "Ev", [], ["ev"])], "id int, tr string, found array<struct<source string, target string>>, w array<string>")
+    out = matching.marked(rows.select("id", "tr", "found", F.col("w").alias("was")), "tr", was=F.col("was"))
+    assert "array_contains" not in out._jdf.queryExecution().toString()
+    got = {r.id: ([x.stands for x in r.found], sorted(r.was)) for r in out.collect()}
+    assert got == {1: ([True, False, True, False, True], ["kapı", "yol"]), 2: ([False, False], []), 3: ([], ["ev"])}
