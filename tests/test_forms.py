@@ -42,3 +42,11 @@ def test_marked_by_place(spark):
     assert "array_contains" not in out._jdf.queryExecution().toString()
     got = {r.id: ([x.stands for x in r.found], sorted(r.was)) for r in out.collect()}
     assert got == {1: ([True, False, True, False, True], ["kapı", "yol"]), 2: ([False, False], []), 3: ([], ["ev"])}
+
+
+def test_deviations_with_a_dealt_dictionary(spark, data, monkeypatch):
+    """The dictionary's tables stand in one plan several times, beside the terms they come from."""
+    key = lambda: sorted(map(tuple, matching.QUERIES["target_deviations"](spark, data).collect()))
+    whole = key()
+    monkeypatch.setattr(forms.Dictionary.__init__, "__defaults__", (200,))
+    assert whole and key() == whole
